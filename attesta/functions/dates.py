@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-# Texts that stand for no date.
+# Texts that stand for no date, and the shape of an ISO date or date-time.
 NULL_WORDS = ("null", "none", "n/a", "")
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?)?(Z|[+-]\d{2}:?\d{2})?$"
+ZONE = r"(?<=[T ].{2,20})(Z|[+-]\d{2}:?\d{2})$"
 
 
-def parse_date(text: Column) -> Column:
+def parse_date(x: str) -> str:
     """UTC time of an ISO date or date-time; no zone means UTC, anything else is NULL."""
-    usable = ~F.lower(text).isin(*NULL_WORDS) & text.rlike(ISO)
-    zone = F.regexp_extract(text, r"(Z|[+-]\d{2}:?\d{2})$", 1)
-    bare_date = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    zone = F.when(bare_date, F.lit("")).otherwise(zone)
-    body = F.when(zone != "", F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "")).otherwise(text)
-    body = F.regexp_replace(body, ",", ".")
-    body = F.when(body.rlike(r"[T ]\d{2}$"), F.concat(body, F.lit(":00"))).otherwise(body)
-    local = body.try_cast("timestamp_ntz")
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    minutes = F.when(
-        zone.rlike(r"^[+-]"),
-        sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")),
-    ).otherwise(0)
-    return F.when(usable, local - F.make_dt_interval(mins=minutes))
+    null_words = ", ".join(f"'{w}'" for w in NULL_WORDS)
+    body = f"replace(regexp_replace({x}, r'{ZONE}', ''), ',', '.')"
+    local = f"try_cast(if({body} RLIKE r'[T ]\\d{{2}}$', concat({body}, ':00'), {body}) AS TIMESTAMP_NTZ)"
+    zone = f"nullif(replace(regexp_extract({x}, r'{ZONE}', 1), 'Z', ''), '')"
+    minutes = (
+        f"coalesce(if(startswith({zone}, '-'), -1, 1) * (try_cast(substring({zone}, 2, 2) AS INT) * 60"
+        f" + try_cast(right({zone}, 2) AS INT)), 0)"
+    )
+    usable = f"lower({x}) NOT IN ({null_words}) AND {x} RLIKE r'{ISO}'"
+    return f"if({usable}, {local} - make_dt_interval(0, 0, {minutes}), null)"

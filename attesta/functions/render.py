@@ -1,70 +1,58 @@
-"""Text forms of claims, conflicts and summaries."""
+"""Text forms of claims, conflicts and summaries as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from attesta.functions.text import lit, slugify
 
-from attesta.functions.text import slugify
 
+def score_bar(score: str) -> str:
+    return f"repeat('█', cast(floor({score} * 10) AS INT))"
 
-def score_bar(score: Column) -> Column:
-    return F.repeat(F.lit("█"), F.floor(score * 10).cast("int"))
 
+def two_places(score: str) -> str:
+    return f"format_string('%.2f', {score})"
 
-def two_places(score: Column) -> Column:
-    return F.format_string("%.2f", score)
 
-
-def source_key(source_artifact: Column, artifact_id: Column) -> Column:
+def source_key(source_artifact: str, artifact_id: str) -> str:
     """The name a source page is filed under."""
-    return F.when(F.coalesce(source_artifact, F.lit("")) != "", source_artifact).otherwise(
-        F.substring(artifact_id, 1, 8)
-    )
+    return f"coalesce(nullif({source_artifact}, ''), left({artifact_id}, 8))"
 
 
-def span_preview(span: Column, n: int = 120) -> Column:
-    return F.translate(F.substring(span, 1, n), "\n", " ")
+def span_preview(span: str, n: int = 120) -> str:
+    return f"replace(left({span}, {n}), '\\n', ' ')"
 
 
-def claim_oneliner(claim_id: Column, s: Column, p: Column, o: Column, cls: Column, conf: Column, n_sup: Column) -> Column:
-    return F.format_string("[C:%s] %s | %s | %s (%s, %.2f, %d src)", F.substring(claim_id, 1, 7), s, p, o, cls, conf, n_sup)
+def claim_oneliner(claim_id: str, s: str, p: str, o: str, cls: str, conf: str, n_sup: str) -> str:
+    return f"format_string('[C:%s] %s | %s | %s (%s, %.2f, %d src)', left({claim_id}, 7), {s}, {p}, {o}, {cls}, {conf}, {n_sup})"
 
 
-def entity_oneliner(uuid: Column, name: Column, summary: Column) -> Column:
-    return F.format_string("[E:%s] %s: %s", F.substring(uuid, 1, 7), name, F.substring(summary, 1, 80))
+def entity_oneliner(uuid: str, name: str, summary: str) -> str:
+    return f"format_string('[E:%s] %s: %s', left({uuid}, 7), {name}, left({summary}, 80))"
 
 
-def counted(parts: list[tuple[str, Column, str]], empty: str) -> Column:
+def counted(parts: list[tuple[str, str, str]], empty: str) -> str:
     """``+3 added, =2 unchanged`` from (prefix, count, suffix) parts; zero counts are left out."""
-    shown = [F.when(n > 0, F.concat(F.lit(pre), n.cast("string"), F.lit(post))) for pre, n, post in parts]
-    text = F.concat_ws(", ", *shown)
-    return F.when(text == "", F.lit(empty)).otherwise(text)
+    shown = ", ".join(f"if({n} > 0, concat('{pre}', {n}, '{post}'), null)" for pre, n, post in parts)
+    return f"coalesce(nullif(concat_ws(', ', {shown}), ''), '{empty}')"
 
 
-def claim_bullet(status: Column, sentence: Column, score: Column, source: Column, span: Column, prefix: str = "../") -> Column:
+def claim_bullet(status: str, sentence: str, score: str, source: str, span: str, prefix: str = "../") -> str:
     """A claim line with score bar, and a second line that links the first source."""
-    head = F.concat(
-        F.lit("- **["), status, F.lit("]** "), sentence, F.lit("  `score="), two_places(score), F.lit("` "), score_bar(score)
-    )
-    link = F.concat(F.lit("["), source, F.lit(f"]({prefix}sources/"), slugify(source), F.lit(".md)"))
-    second = F.when(
-        F.coalesce(span, F.lit("")) != "", F.concat(F.lit("\n  > _"), span_preview(span), F.lit("_ — "), link)
-    ).otherwise(F.concat(F.lit("\n  — "), link))
-    return F.concat(head, F.when(source.isNotNull(), second).otherwise(F.lit("")))
+    head = f"concat('- **[', {status}, ']** ', {sentence}, '  `score=', {two_places(score)}, '` ', {score_bar(score)})"
+    link = f"concat('[', {source}, ']({prefix}sources/', {slugify(source)}, '.md)')"
+    second = f"if(coalesce({span}, '') <> '', concat('\\n  > _', {span_preview(span)}, '_ — ', {link}), concat('\\n  — ', {link}))"
+    return f"concat({head}, if({source} IS NULL, '', {second}))"
 
 
-def frontmatter(fields: list[tuple[str, Column]]) -> Column:
-    """A front matter block; array values become list items."""
-    lines = [F.lit("---")]
-    for key, value in fields:
-        lines.append(F.concat(F.lit(f"{key}: "), value.cast("string")))
-    return F.concat_ws("\n", *lines, F.lit("---"))
+def frontmatter(fields: list[tuple[str, str]]) -> str:
+    """A front matter block of (key, value expression); give list values as ``list_field``."""
+    lines = ", ".join(v if k == "" else f"concat({lit(k + ': ')}, {v})" for k, v in fields)
+    return f"concat_ws('\\n', '---', {lines}, '---')"
 
 
-def list_field(key: str, items: Column) -> Column:
-    return F.concat_ws("\n", F.lit(f"{key}:"), F.transform(items, lambda x: F.concat(F.lit("  - "), x)))
+def list_field(key: str, items: str) -> str:
+    return f"concat_ws('\\n', '{key}:', transform({items}, x -> concat('  - ', x)))"
 
 
-def iso_utc(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+def iso_utc(t: str) -> str:
+    return f"concat(date_format({t}, \"yyyy-MM-dd'T'HH:mm:ss\"), '+00:00')"

@@ -1,83 +1,69 @@
-"""Scores of a claim as Column expressions."""
+"""Scores of a claim as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from attesta import schema as S
 
 
-def as_ts(value: Column | str) -> Column:
-    """A point in time: a Column, or text such as '2002-01-01'."""
-    return value if isinstance(value, Column) else F.lit(str(value)).cast("timestamp_ntz")
+def ts(value: str) -> str:
+    """A point in time as SQL: text such as '2002-01-01', or an expression in parentheses."""
+    return value if value.startswith("(") else f"TIMESTAMP_NTZ '{value}'"
 
 
-def days_between(start: Column, end: Column) -> Column:
+def days_between(start: str, end: str) -> str:
     """Fractional days; an interval subtraction, so the session time zone plays no part."""
-    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
-    return seconds.cast("double") / 86400.0
+    return f"(cast(cast(cast({end} - {start} AS INTERVAL SECOND) AS DECIMAL(20, 6)) AS DOUBLE) / 86400D)"
 
 
 def truth_score_from_counts(
-    confidence: Column, max_support_authority: Column, authority: Column, recency: Column,
-    n_supporting: Column, n_refuting: Column, n_conflicts: Column,
-) -> Column:
+    confidence: str, max_support_authority: str, authority: str, recency: str, n_sup: str, n_ref: str, n_conflicts: str
+) -> str:
     """confidence x authority x recency x corroboration x penalties, from evidence counts."""
-    corroboration = F.when(
-        n_supporting + n_refuting > 0,
-        F.least(F.lit(1.0), n_supporting * F.lit(S.CORROBORATION_STEP)),
-    ).otherwise(F.lit(S.NO_EVIDENCE_FACTOR))
-    penalty = F.pow(F.lit(S.REFUTE_FACTOR), n_refuting) * F.pow(F.lit(S.CONFLICT_FACTOR), n_conflicts)
-    return confidence * F.coalesce(max_support_authority, authority) * recency * corroboration * penalty
+    corroboration = f"if({n_sup} + {n_ref} > 0, least(1D, {n_sup} * {S.CORROBORATION_STEP}D), {S.NO_EVIDENCE_FACTOR}D)"
+    return (
+        f"({confidence} * coalesce({max_support_authority}, {authority}) * {recency} * {corroboration}"
+        f" * pow({S.REFUTE_FACTOR}D, {n_ref}) * pow({S.CONFLICT_FACTOR}D, {n_conflicts}))"
+    )
+
+
+LEDGER_SCORE = truth_score_from_counts(
+    "confidence", "max_authority", "authority", "recency", "n_supporting", "n_refuting", "n_conflicts"
+)
 
 
-def evidence_counts(evidence: Column) -> dict[str, Column]:
+def evidence_counts(evidence: str = "evidence") -> dict[str, str]:
     """Counts over a claim's own evidence array."""
-    supporting = F.filter(evidence, lambda e: e["supports"])
+    sup = f"filter({evidence}, e -> e.supports)"
     return {
-        "n_supporting": F.size(supporting).cast("long"),
-        "n_refuting": F.size(F.filter(evidence, lambda e: ~e["supports"])).cast("long"),
-        "max_authority": F.array_max(F.transform(supporting, lambda e: e["source_authority"])),
-        "n_sources": F.size(F.array_distinct(F.transform(supporting, lambda e: e["artifact_id"]))).cast("long"),
+        "n_supporting": f"cast(size({sup}) AS BIGINT)",
+        "n_refuting": f"cast(size(filter({evidence}, e -> NOT e.supports)) AS BIGINT)",
+        "max_authority": f"array_max(transform({sup}, e -> e.source_authority))",
+        "n_sources": f"cast(size(array_distinct(transform({sup}, e -> e.artifact_id))) AS BIGINT)",
     }
 
 
-def truth_score(evidence: Column, confidence: Column, authority: Column, recency: Column, conflicts: Column) -> Column:
+def truth_score(evidence: str, confidence: str, authority: str, recency: str, conflicts: str) -> str:
     """The same score over nested evidence and conflict arrays."""
     c = evidence_counts(evidence)
     return truth_score_from_counts(
-        confidence, c["max_authority"], authority, recency, c["n_supporting"], c["n_refuting"], F.size(conflicts)
-    )
-
-
-def ledger_score() -> Column:
-    """The score over the columns of a ledger table."""
-    col = F.col
-    return truth_score_from_counts(
-        col("confidence"), col("max_authority"), col("authority"), col("recency"),
-        col("n_supporting"), col("n_refuting"), col("n_conflicts"),
+        confidence, c["max_authority"], authority, recency, c["n_supporting"], c["n_refuting"], f"size({conflicts})"
     )
 
 
-def decay_rate(knowledge_class: Column) -> Column:
-    rate = F.lit(S.DECAY_FALLBACK)
-    for name, value in S.DECAY_PER_DAY.items():
-        rate = F.when(knowledge_class == name, F.lit(value)).otherwise(rate)
-    return rate
+def decay_rate(knowledge_class: str) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {rate}D" for name, rate in S.DECAY_PER_DAY.items())
+    return f"CASE {knowledge_class} {cases} ELSE {S.DECAY_FALLBACK}D END"
 
 
-def clamp01(col: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col))
+def clamp01(x: str) -> str:
+    return f"greatest(0D, least(1D, {x}))"
 
 
-def cosine(a: Column, b: Column) -> Column:
+def cosine(a: str, b: str) -> str:
     """Cosine similarity; 0 for empty, unequal or zero vectors."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    dot = f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x AS DOUBLE) * y), 0D, (s, x) -> s + x)"
 
-    def length(v: Column) -> Column:
-        return F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    def length(v: str) -> str:
+        return f"sqrt(aggregate(transform({v}, x -> cast(x AS DOUBLE) * x), 0D, (s, x) -> s + x))"
 
-    na, nb = length(a), length(b)
-    fit = (F.size(a) > 0) & (F.size(a) == F.size(b)) & (na > 0) & (nb > 0)
-    return F.when(fit, dot / (na * nb)).otherwise(F.lit(0.0))
+    return f"if(size({a}) > 0 AND size({a}) = size({b}), coalesce(try_divide({dot}, {length(a)} * {length(b)}), 0D), 0D)"

@@ -1,239 +1,182 @@
-"""Text expressions. All are plain Columns: they run in the JVM and fold into the surrounding projection."""
+"""Text functions as Spark SQL expressions.
 
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+Each function takes SQL expressions (usually column names) and returns one, to be used with ``F.expr``, ``selectExpr``
+or inside a statement. They are built-in functions only, so they run in the JVM within the surrounding projection.
+"""
 
-ColumnLike = Column | str
+from __future__ import annotations
 
-# A heading line; ``d`` makes \n the only line end and ``U`` makes \s cover Unicode spaces.
+# Fixed values (patterns). A heading line; flag d makes \n the only line end, U lets \s cover Unicode spaces.
 HEADING = r"(?mdU)^(#{1,4})\s+(.+)$"
 # A page number line, such as "Page 3 of 9", "- 4 -" or "12".
 PAGE_LINE = r"(?U)^(Page\s+\d+|[-–—]\s*\d+\s*[-–—]|\d+\s*$)"
-_MARK = "\uE000\uE001"  # private-use characters, put before each heading to split there
+# Line ends as splitlines() sees them.
+ANY_LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+# White space as strip() sees it.
+WHITE_SPACE = (
+    r"\t\n\u000B\u000C\r\u001C\u001D\u001E\u001F \u0085\u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A"
+    r"\u2028\u2029\u202F\u205F\u3000"
+)
+# Private-use characters put before each heading to split there.
+MARK = "\uE000\uE001"
 
 
-def _c(col: ColumnLike) -> Column:
-    return F.col(col) if isinstance(col, str) else col
+def lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def ws_trim(col: ColumnLike) -> Column:
-    """Strip every kind of white space, not only blanks."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+def ws_trim(x: str) -> str:
+    """Strip every kind of white space, not only blanks; a character list is much faster than a pattern."""
+    return f"btrim({x}, '{WHITE_SPACE}')"
 
 
-def norm(col: ColumnLike) -> Column:
-    return F.lower(ws_trim(F.coalesce(_c(col), F.lit(""))))
+def norm(x: str) -> str:
+    return f"lower({ws_trim(f'coalesce({x}, {lit(str())})')})"
 
 
-def fingerprint(subject: ColumnLike, predicate: ColumnLike, obj: ColumnLike) -> Column:
-    return F.concat_ws("|", norm(subject), norm(predicate), norm(obj))
+def fingerprint(s: str, p: str, o: str) -> str:
+    return f"concat_ws('|', {norm(s)}, {norm(p)}, {norm(o)})"
 
 
-def conflict_key(subject: ColumnLike, predicate: ColumnLike) -> Column:
-    return F.concat_ws("|", norm(subject), norm(predicate))
+def conflict_key(s: str, p: str) -> str:
+    return f"concat_ws('|', {norm(s)}, {norm(p)})"
 
 
-def pair_key(a: ColumnLike, b: ColumnLike) -> Column:
+def pair_key(a: str, b: str) -> str:
     """Key of an unordered pair of names."""
-    return F.array_join(F.array_sort(F.array(norm(a), norm(b))), "|")
+    return f"array_join(array_sort(array({norm(a)}, {norm(b)})), '|')"
 
 
-def claim_text(subject: ColumnLike, predicate: ColumnLike, obj: ColumnLike) -> Column:
-    return F.concat_ws(" ", _c(subject), _c(predicate), _c(obj))
+def claim_text(s: str, p: str, o: str) -> str:
+    return f"concat_ws(' ', {s}, {p}, {o})"
 
 
-def sha_prefix(col: ColumnLike, n: int = 16) -> Column:
-    return F.substring(F.sha2(_c(col).cast("binary"), 256), 1, n)
+def sha_prefix(x: str, n: int = 16) -> str:
+    return f"left(sha2({x}, 256), {n})"
 
 
-def slugify(col: ColumnLike) -> Column:
-    kept = F.regexp_replace(F.regexp_replace(norm(col), " ", "-"), r"[^\p{L}\p{N}_-]", "")
-    cut = F.substring(kept, 1, 80)
-    return F.when(cut == "", F.lit("unnamed")).otherwise(cut)
+def slugify(x: str) -> str:
+    kept = f"regexp_replace(replace({norm(x)}, ' ', '-'), r'[^\\p{{L}}\\p{{N}}_-]', '')"
+    return f"coalesce(nullif(left({kept}, 80), ''), 'unnamed')"
 
 
-def words(col: ColumnLike) -> Column:
-    return F.filter(F.split(_c(col), r"(?U)\s+"), lambda w: w != "")
+def words(x: str) -> str:
+    return f"filter(split({x}, r'(?U)\\s+'), w -> w <> '')"
 
 
-def word_count(col: ColumnLike) -> Column:
-    return F.size(words(col)).cast("long")
+def word_count(x: str) -> str:
+    return f"cast(size({words(x)}) AS BIGINT)"
 
 
-def token_overlap(a: ColumnLike, b: ColumnLike) -> Column:
+def token_overlap(a: str, b: str) -> str:
     """Shared tokens over the larger token set; 0 when either side has none."""
-    ta, tb = F.array_distinct(words(a)), F.array_distinct(words(b))
-    return F.when(
-        (F.size(ta) > 0) & (F.size(tb) > 0),
-        F.size(F.array_intersect(ta, tb)) / F.greatest(F.size(ta), F.size(tb)),
-    ).otherwise(F.lit(0.0))
+    ta, tb = f"array_distinct({words(a)})", f"array_distinct({words(b)})"
+    return f"coalesce(try_divide(size(array_intersect({ta}, {tb})), greatest(size({ta}), size({tb}))), 0D)"
 
 
-def objects_conflict(a: ColumnLike, b: ColumnLike, similarity: float = 0.8) -> Column:
+def objects_conflict(a: str, b: str, similarity: float = 0.8) -> str:
     na, nb = norm(a), norm(b)
-    return (na != nb) & (token_overlap(na, nb) < F.lit(similarity))
+    return f"({na} <> {nb} AND {token_overlap(na, nb)} < {similarity}D)"
 
 
-def count_literal(col: ColumnLike, needle: str) -> Column:
+def count_literal(x: str, needle: str) -> str:
     """Occurrences of a literal, not overlapping."""
-    text = _c(col)
-    return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
+    return f"cast((length({x}) - length(replace({x}, {lit(needle)}, ''))) div {len(needle)} AS BIGINT)"
 
 
-def table_markers(col: ColumnLike) -> Column:
-    return count_literal(col, "| --- ") + count_literal(col, "|---")
+def table_markers(x: str) -> str:
+    return f"({count_literal(x, '| --- ')} + {count_literal(x, '|---')})"
 
 
-def quality_score(markdown: ColumnLike, tables: ColumnLike) -> Column:
+def quality_score(md: str, tables: str) -> str:
     """Heuristic 0..1 score of a parse: length, tables and structure, less for noise."""
-    text = _c(markdown)
-    wc = word_count(text)
-    marks = F.regexp_count(text, F.lit(r"(?mdU)^#{1,6}\s")) + F.regexp_count(text, F.lit(r"(?mdU)^[-*]\s"))
-    base = (
-        F.least(wc / 500, F.lit(0.3))
-        + F.when(_c(tables) > 0, 0.15).otherwise(0.0)
-        + F.least(marks / 20, F.lit(0.2))
-    )
-    non_ascii = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
-    noisy = (wc > 0) & (non_ascii / F.length(text) > 0.1)
-    lines = F.filter(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: ws_trim(x) != "")
-    chars = F.aggregate(lines, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-    short = (F.size(lines) > 0) & (chars / F.size(lines) < 10)
-    control = F.length(F.regexp_replace(F.substring(text, 1, 500), r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    score = (
-        base
-        * F.when(noisy, 0.7).otherwise(1.0)
-        * F.when(short, 0.5).otherwise(1.0)
-        * F.when(control > 10, 0.1).otherwise(1.0)
-    )
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(F.least(score, F.lit(1.0)))
-
+    wc = word_count(md)
+    marks = f"(regexp_count({md}, r'(?mdU)^#{{1,6}}\\s') + regexp_count({md}, r'(?mdU)^[-*]\\s'))"
+    noisy = f"length(regexp_replace({md}, r'[\\x00-\\x7F]', '')) / length({md}) > 0.1 AND {wc} > 0"
+    lines = f"filter(split({md}, r'{ANY_LINE_END}'), x -> {ws_trim('x')} <> '')"
+    short = f"coalesce(try_divide(aggregate({lines}, 0L, (acc, x) -> acc + length(x)), size({lines})) < 10, false)"
+    control = f"length(regexp_replace(left({md}, 500), r'[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ''))"
+    base = f"(least({wc} / 500D, 0.3D) + if({tables} > 0, 0.15D, 0D) + least({marks} / 20D, 0.2D))"
+    score = f"{base} * if({noisy}, 0.7D, 1D) * if({short}, 0.5D, 1D) * if({control} > 10, 0.1D, 1D)"
+    return f"if(coalesce(length({md}), 0) = 0, 0D, least({score}, 1D))"
 
-def strip_boilerplate(markdown: ColumnLike, repeat: int = 3, max_len: int = 100) -> Column:
-    """Drop short lines that occur ``repeat`` times or more, and page number lines.
 
-    Sorted lines show repeats as equal neighbours, so the whole text is handled in one n log n pass per row.
-    """
-    lines = F.split(_c(markdown), "\n")
-    bare = F.array_sort(F.filter(F.transform(lines, ws_trim), lambda x: (x != "") & (F.length(x) < max_len)))
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is then computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def repeated_lines(sorted_lines: Column) -> Column:
-        return F.array_distinct(
-            F.filter(sorted_lines, lambda x, i: F.get(sorted_lines, i + (repeat - 1)).eqNullSafe(x))
-        )
 
-    def keep(line: Column, dropped: Column) -> Column:
-        bare_line = ws_trim(line)
-        return ~F.array_contains(dropped, bare_line) & ~bare_line.rlike(PAGE_LINE)
+def strip_boilerplate(md: str, repeat: int = 3, max_len: int = 100) -> str:
+    """Drop short lines that occur ``repeat`` times or more, and page number lines.
 
-    # transform over one-element arrays binds the sorted lines and the dropped set once per row
-    dropped = F.transform(F.array(bare), repeated_lines)[0]
-    return F.transform(
-        F.array(dropped), lambda gone: F.array_join(F.filter(lines, lambda x: keep(x, gone)), "\n")
-    )[0]
+    In sorted order repeats are equal neighbours, so a text costs one n log n pass.
+    """
+    bare = f"array_sort(filter(transform(split({md}, '\\n'), x -> {ws_trim('x')}), x -> x <> '' AND length(x) < {max_len}))"
+    repeated = f"array_distinct(filter(srt, (x, i) -> get(srt, i + {repeat - 1}) <=> x))"
+    keep = let("b", ws_trim("x"), f"NOT array_contains(gone, b) AND NOT b RLIKE r'{PAGE_LINE}'")
+    body = f"array_join(filter(split({md}, '\\n'), x -> {keep}), '\\n')"
+    return let("gone", let("srt", bare, repeated), body)
 
 
-def headings(markdown: ColumnLike) -> Column:
-    return F.transform(F.regexp_extract_all(_c(markdown), F.lit(HEADING), F.lit(2)), ws_trim)
+def headings(md: str) -> str:
+    return f"transform(regexp_extract_all({md}, r'{HEADING}', 2), h -> {ws_trim('h')})"
 
 
-def sections(markdown: ColumnLike, preamble: str = "", strip_plain: bool = False) -> Column:
+def sections(md: str, preamble: str = "", strip_plain: bool = False) -> str:
     """Sections as an array of (heading, content); text before the first heading is the preamble.
 
-    A text without headings is one section with an empty heading: as it is, or stripped (and dropped when
-    blank) with ``strip_plain``.
+    A text without headings is one section with an empty heading: as it is, or stripped (and dropped when blank) with
+    ``strip_plain``.
     """
-    text = _c(markdown)
-    parts = F.split(F.regexp_replace(text, HEADING, _MARK + "$0"), _MARK)
-
-    def to_section(part: Column, i: Column) -> Column:
-        title = F.when(i == 0, F.lit(preamble)).otherwise(ws_trim(F.regexp_extract(part, HEADING, 2)))
-        return F.struct(title.alias("heading"), ws_trim(part).alias("content"))
-
-    found = F.filter(F.transform(parts, to_section), lambda s: s["content"] != "")
-    plain_text = ws_trim(text) if strip_plain else text
-    plain = F.array(F.struct(F.lit("").alias("heading"), plain_text.alias("content")))
+    parts = f"split(regexp_replace({md}, r'{HEADING}', '{MARK}$0'), '{MARK}')"
+    title = f"if(i = 0, {lit(preamble)}, {ws_trim(f'''regexp_extract(p, r'{HEADING}', 2)''')})"
+    found = f"filter(transform(parts, (p, i) -> struct({title} AS heading, {ws_trim('p')} AS content)), s -> s.content <> '')"
+    plain = f"array(struct('' AS heading, {ws_trim(md) if strip_plain else md} AS content))"
     if strip_plain:
-        plain = F.filter(plain, lambda s: s["content"] != "")
-    return F.when(F.size(parts) == 1, plain).otherwise(found)
+        plain = f"filter({plain}, s -> s.content <> '')"
+    return let("parts", parts, f"if(size(parts) = 1, {plain}, {found})")
 
 
-def pack_paragraphs(content: ColumnLike, max_chars: int) -> Column:
+def pack_paragraphs(content: str, max_chars: int) -> str:
     """Greedy packing of paragraphs; a paragraph is never split.
 
     The accumulator keeps only where the open chunk starts and its length, so a long section costs one pass.
     """
-    paras = F.split(_c(content), r"\n\n+")
-
-    def step(acc: Column, size_i: Column) -> Column:
-        full = (acc["len"] + size_i + 2 > max_chars) & (acc["pos"] > acc["start"])
-        return F.struct(
-            F.when(
-                full,
-                F.concat(
-                    acc["done"],
-                    F.array(F.struct(acc["start"].alias("start"), (acc["pos"] - acc["start"]).alias("n"))),
-                ),
-            ).otherwise(acc["done"]).alias("done"),
-            F.when(full, acc["pos"]).otherwise(acc["start"]).alias("start"),
-            (F.when(full, F.lit(0)).otherwise(acc["len"]) + size_i + 2).alias("len"),
-            (acc["pos"] + 1).alias("pos"),
-        )
-
-    def bind(ps: Column) -> Column:
-        zero = F.struct(
-            F.array().cast("array<struct<start:int,n:int>>").alias("done"),
-            F.lit(1).alias("start"), F.lit(0).alias("len"), F.lit(1).alias("pos"),
-        )
-        spans = F.aggregate(
-            F.transform(ps, F.length), zero, step,
-            lambda acc: F.concat(
-                acc["done"],
-                F.array(F.struct(acc["start"].alias("start"), (acc["pos"] - acc["start"]).alias("n"))),
-            ),
-        )
-        return F.transform(spans, lambda s: F.array_join(F.slice(ps, s["start"], s["n"]), "\n\n"))
-
-    return F.transform(F.array(paras), bind)[0]
-
-
-def chunks(markdown: ColumnLike, max_chars: int = 6000) -> Column:
-    """Section-aware chunks as an array of (heading, content); the position is the chunk index."""
+    span = "array(struct(acc.start AS start, acc.pos - acc.start AS n))"
+    full = f"(acc.len + n + 2 > {max_chars} AND acc.pos > acc.start)"
+    zero = "struct(cast(array() AS array<struct<start:int,n:int>>) AS done, 1 AS start, 0 AS len, 1 AS pos)"
+    step = (
+        f"struct(if({full}, concat(acc.done, {span}), acc.done) AS done, if({full}, acc.pos, acc.start) AS start, "
+        f"if({full}, 0, acc.len) + n + 2 AS len, acc.pos + 1 AS pos)"
+    )
+    spans = f"aggregate(transform(ps, t -> length(t)), {zero}, (acc, n) -> {step}, acc -> concat(acc.done, {span}))"
+    return let("ps", f"split({content}, r'\\n\\n+')", f"transform({spans}, s -> array_join(slice(ps, s.start, s.n), '\\n\\n'))")
 
-    def split_section(s: Column) -> Column:
-        whole = F.array(s["content"])
-        return F.transform(
-            F.when(F.length(s["content"]) <= max_chars, whole).otherwise(pack_paragraphs(s["content"], max_chars)),
-            lambda t: F.struct(s["heading"].alias("heading"), t.alias("content")),
-        )
 
-    text = _c(markdown)
-    return F.when(
-        ws_trim(text) == "", F.array().cast("array<struct<heading:string,content:string>>")
-    ).otherwise(F.flatten(F.transform(sections(text), split_section)))
+def chunks(md: str, max_chars: int = 6000) -> str:
+    """Section-aware chunks as an array of (heading, content); the position is the chunk index."""
+    texts = f"if(length(sec.content) <= {max_chars}, array(sec.content), {pack_paragraphs('sec.content', max_chars)})"
+    split_all = f"flatten(transform({sections(md)}, sec -> transform({texts}, t -> struct(sec.heading AS heading, t AS content))))"
+    return f"if({ws_trim(md)} = '', cast(array() AS array<struct<heading:string,content:string>>), {split_all})"
 
 
-def stable_hash(content: ColumnLike) -> Column:
+def stable_hash(content: str) -> str:
     """Hash of a page without its ``last_updated:`` and ``last_projected:`` lines."""
-    lines = F.filter(
-        F.split(F.regexp_replace(_c(content), r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r"),
-        lambda x: ~ws_trim(x).rlike(r"^last_(updated|projected):"),
-    )
-    return F.sha2(F.array_join(lines, "\n").cast("binary"), 256)
+    lines = f"split(regexp_replace({content}, r'(\\r\\n|\\n|\\r)$', ''), r'\\r\\n|\\n|\\r')"
+    return f"sha2(array_join(filter({lines}, x -> NOT {ws_trim('x')} RLIKE '^last_(updated|projected):'), '\\n'), 256)"
 
 
-def html_to_markdown(html: ColumnLike) -> Column:
+def html_to_markdown(html: str) -> str:
     """Readable text of an HTML page with ``#`` headings, list items and blank lines between blocks."""
-    text = F.regexp_replace(_c(html), r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", "")
+    hidden = "|".join(rf"<{tag}\b.*?</{tag}\s*>" for tag in ("script", "style", "head"))
+    t = f"regexp_replace({html}, r'(?is){hidden}|<!--.*?-->', '')"
     for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
-    text = F.regexp_replace(text, r"(?i)<li\b[^>]*>", "\n- ")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, r"(?i)</?(p|div|h[1-6]|ul|ol|table|tr|article|section|nav|footer)\b[^>]*>", "\n\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
+        t = f"regexp_replace({t}, r'(?i)<h{level}\\b[^>]*>', '\\n\\n{'#' * level} ')"
+    t = f"regexp_replace({t}, r'(?i)<li\\b[^>]*>', '\\n- ')"
+    t = f"regexp_replace({t}, r'(?i)<br\\s*/?>', '\\n')"
+    t = f"regexp_replace({t}, r'(?i)</?(p|div|h[1-6]|ul|ol|table|tr|article|section|nav|footer)\\b[^>]*>', '\\n\\n')"
+    t = f"regexp_replace({t}, r'<[^>]*>', '')"
     # The character references of markup itself.
     for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(ref), F.lit(char))
-    return ws_trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+        t = f"replace({t}, {lit(ref)}, {lit(char)})"
+    return ws_trim(f"regexp_replace({t}, r'\\n{{3,}}', '\\n\\n')")

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Topic -> keywords, matched as substrings of the lower-cased claim text.
 TOPIC_KEYWORDS = {
     "trade-compliance": ["trade", "customs", "import", "export", "tariff", "duty"],
@@ -20,12 +15,11 @@ TOPIC_KEYWORDS = {
 FALLBACK_TOPIC = "general"
 
 
-def keyword_topics(text: Column, table: dict[str, list[str]] | None = None) -> Column:
+def keyword_topics(text: str, table: dict[str, list[str]] | None = None) -> str:
     """Every topic one of whose keywords occurs in the text, in table order; ``general`` when none does."""
-    low = F.lower(text)
-    hits = [
-        F.when(reduce(lambda a, b: a | b, [low.contains(k) for k in keywords]), F.lit(topic))
-        for topic, keywords in (table or TOPIC_KEYWORDS).items()
-    ]
-    found = F.array_compact(F.array(*hits))
-    return F.when(F.size(found) == 0, F.array(F.lit(FALLBACK_TOPIC))).otherwise(found)
+    hits = []
+    for topic, keywords in (table or TOPIC_KEYWORDS).items():
+        test = " OR ".join(f"contains(low, '{k}')" for k in keywords)
+        hits.append(f"if({test}, '{topic}', null)")
+    found = f"transform(array(lower({text})), low -> array_compact(array({', '.join(hits)})))[0]"
+    return f"transform(array({found}), t -> if(size(t) = 0, array('{FALLBACK_TOPIC}'), t))[0]"

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from attesta import schema as S
 from attesta.functions.score import clamp01
+from attesta.plans.sqlrun import run_sql
 
 DEFAULT_TOPIC = "_default"
 
@@ -14,23 +14,20 @@ DEFAULT_TOPIC = "_default"
 def lookup(df: DataFrame, registry: DataFrame, source: str, topic: str | None = None, out: str = "source_authority") -> DataFrame:
     """Weight of ``source`` for ``topic``: exact topic, else the source's default, else 0.5.
 
-    Both registry sides have one row per source, so the row count never grows; no side is broadcast by hand, the
+    Both registry sides have one row per key, so the row count never grows. Neither is broadcast by hand; the
     optimizer does so when the registry's size allows.
     """
-    base = registry.where(F.col("topic") == DEFAULT_TOPIC).select(
-        F.col("source").alias("_src"), F.col("weight").alias("_base")
-    )
-    out_df = df.join(base, F.col(source) == F.col("_src"), "left").drop("_src")
-    weight = F.coalesce("_base", F.lit(S.DEFAULT_AUTHORITY))
+    exact, exact_join = "null", ""
     if topic is not None:
-        by_topic = registry.where(F.col("topic") != DEFAULT_TOPIC).select(
-            F.col("source").alias("_src"), F.col("topic").alias("_top"), F.col("weight").alias("_exact")
-        )
-        out_df = out_df.join(
-            by_topic, (F.col(source) == F.col("_src")) & (F.col(topic) == F.col("_top")), "left"
-        ).drop("_src", "_top")
-        weight = F.coalesce("_exact", weight)
-    return out_df.withColumn(out, weight).drop("_base", "_exact")
+        exact = "t.weight"
+        exact_join = f"LEFT JOIN (SELECT * FROM @registry WHERE topic <> '{DEFAULT_TOPIC}') t ON d.{source} = t.source AND d.{topic} = t.topic"
+    return run_sql(
+        f"""
+        SELECT d.*, coalesce({exact}, b.weight, {S.DEFAULT_AUTHORITY}D) AS {out} FROM @df d
+        LEFT JOIN (SELECT * FROM @registry WHERE topic = '{DEFAULT_TOPIC}') b ON d.{source} = b.source {exact_join}
+        """,
+        df=df, registry=registry,
+    )
 
 
 def stamp(claims: DataFrame, registry: DataFrame) -> DataFrame:
@@ -39,43 +36,48 @@ def stamp(claims: DataFrame, registry: DataFrame) -> DataFrame:
     Evidence without an author keeps its weight.
     """
     found = lookup(claims, registry, "author", out="_weight")
-    return found.withColumn(
-        "evidence",
-        F.transform(
-            "evidence",
-            lambda e: e.withField(
-                "source_authority",
-                F.when(F.coalesce(e["author"], F.lit("")) != "", F.col("_weight")).otherwise(e["source_authority"]),
-            ),
-        ),
-    ).drop("_weight")
+    fields = ", ".join(
+        f"'{f}', if(coalesce(e.author, '') <> '', _weight, e.{f})" if f == "source_authority" else f"'{f}', e.{f}"
+        for f in S.EVIDENCE.fieldNames()
+    )
+    return run_sql(
+        f"SELECT * EXCEPT (evidence, _weight), transform(evidence, e -> named_struct({fields})) AS evidence FROM @found", found=found
+    )
 
 
 def set_weights(registry: DataFrame, changes: DataFrame) -> DataFrame:
     """Upsert (source, topic, weight) rows; weights are clamped to 0..1. A flat weight is topic ``_default``."""
-    new = changes.select("source", F.coalesce("topic", F.lit(DEFAULT_TOPIC)).alias("topic"), clamp01(F.col("weight")).alias("weight"))
-    return registry.join(new, ["source", "topic"], "left_anti").unionByName(new)
+    return run_sql(
+        f"""
+        WITH new AS (SELECT source, coalesce(topic, '{DEFAULT_TOPIC}') AS topic, {clamp01('weight')} AS weight FROM @changes)
+        SELECT r.source, r.topic, r.weight FROM @registry r LEFT ANTI JOIN new n ON r.source = n.source AND r.topic = n.topic
+        UNION ALL SELECT * FROM new
+        """,
+        registry=registry, changes=changes,
+    )
 
 
 def remove(registry: DataFrame, source: str, topic: str | None = None) -> DataFrame:
     """Drop a source, or one of its topics."""
-    hit = F.col("source") == source
-    if topic is not None:
-        hit = hit & (F.col("topic") == topic)
-    return registry.where(~hit)
+    hit = registry["source"] == source
+    return registry.where(~(hit if topic is None else hit & (registry["topic"] == topic)))
 
 
 def topics_of(registry: DataFrame) -> DataFrame:
     """Configured topics per source, sorted, without the default."""
-    return (
-        registry.where(F.col("topic") != DEFAULT_TOPIC)
-        .groupBy("source").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+    return run_sql(
+        f"SELECT source, array_sort(collect_set(topic)) AS topics FROM @registry WHERE topic <> '{DEFAULT_TOPIC}' GROUP BY source",
+        registry=registry,
     )
 
 
 def from_json_text(df: DataFrame, column: str = "value") -> DataFrame:
     """Rows of a registry file: each value is a number (flat) or an object of topic -> number."""
-    entries = df.select(F.explode(F.from_json(column, "map<string,string>")).alias("source", "raw"))
-    topical = F.when(F.col("raw").startswith("{"), F.from_json("raw", "map<string,double>"))
-    flat = F.create_map(F.lit(DEFAULT_TOPIC), F.expr("try_cast(raw AS DOUBLE)"))
-    return entries.select("source", F.explode(F.coalesce(topical, flat)).alias("topic", "weight"))
+    return run_sql(
+        f"""
+        SELECT source, explode(if(startswith(raw, '{{'), from_json(raw, 'map<string,double>'), map('{DEFAULT_TOPIC}', try_cast(raw AS DOUBLE))))
+          AS (topic, weight)
+        FROM (SELECT explode(from_json({column}, 'map<string,string>')) AS (source, raw) FROM @df)
+        """,
+        df=df,
+    )

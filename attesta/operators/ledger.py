@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from attesta import schema as S
 from attesta.functions import score as SC
+from attesta.functions.score import ts
 from attesta.plans import skew
+from attesta.plans.sqlrun import run_sql
+from attesta.session import cut_lineage
 
 CLAIM_FIELDS = [
     "seq", "claim_id", "subject", "predicate", "object", "natural_language", "confidence", "authority", "recency",
@@ -24,6 +25,7 @@ CLAIM_FIELDS = [
 ]
 OWN_FIELDS = ["own_sup", "own_ref", "own_auth", "own_sources", "own_first_sup", "own_first_ref"]
 EVIDENCE_FIELDS = ["supports", "source_authority", "source_artifact", "author", "source_span", "recorded_at"]
+INACTIVE = "('superseded', 'rejected')"
 
 # A refuting source multiplies the score by 0.7; after 64 of them no score can reach a threshold (0.7^64 < 1e-9).
 MAX_REFUTERS = 64
@@ -38,111 +40,107 @@ class Promotion:
 
 def arrivals(claims: DataFrame, merge_key: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
     """Split arriving claims (short nested evidence) into claim rows with own counts and evidence rows."""
-    ids = F.transform("evidence", lambda e: e["artifact_id"])
-    firsts = F.filter("evidence", lambda e, i: F.array_position(ids, e["artifact_id"]) == i + 1)
-    own = SC.evidence_counts(F.col("evidence"))
-    cols = set(claims.columns)
-    for missing in ("superseded_by", "supersedes"):
-        if missing not in cols:
-            claims = claims.withColumn(missing, F.lit(None).cast("string"))
-    rows = claims.select(
-        F.col(merge_key).alias("merge_key"), *CLAIM_FIELDS,
-        own["n_supporting"].alias("own_sup"), own["n_refuting"].alias("own_ref"),
-        own["max_authority"].alias("own_auth"), own["n_sources"].alias("own_sources"),
-        F.size(F.filter(firsts, lambda e: e["supports"])).cast("long").alias("own_first_sup"),
-        F.size(F.filter(firsts, lambda e: ~e["supports"])).cast("long").alias("own_first_ref"),
+    own = SC.evidence_counts("evidence")
+    firsts = "filter(evidence, (e, i) -> array_position(transform(evidence, x -> x.artifact_id), e.artifact_id) = i + 1)"
+    rows = run_sql(
+        f"""
+        SELECT {merge_key} AS merge_key, {', '.join(CLAIM_FIELDS)}, {own['n_supporting']} AS own_sup, {own['n_refuting']} AS own_ref,
+          {own['max_authority']} AS own_auth, {own['n_sources']} AS own_sources,
+          cast(size(filter({firsts}, e -> e.supports)) AS BIGINT) AS own_first_sup,
+          cast(size(filter({firsts}, e -> NOT e.supports)) AS BIGINT) AS own_first_ref
+        FROM @claims
+        """,
+        claims=claims,
+    )
+    evidence = run_sql(
+        f"""
+        SELECT merge_key, seq, claim_id, pos, e.artifact_id, {', '.join('e.' + f for f in EVIDENCE_FIELDS)}
+        FROM (SELECT {merge_key} AS merge_key, seq, claim_id, posexplode(evidence) AS (pos, e) FROM @claims)
+        """,
+        claims=claims,
     )
-    evidence = claims.select(
-        F.col(merge_key).alias("merge_key"), "seq", "claim_id", F.posexplode("evidence").alias("pos", "e")
-    ).select("merge_key", "seq", "claim_id", "pos", F.col("e.artifact_id").alias("artifact_id"), *[f"e.{c}" for c in EVIDENCE_FIELDS])
     return rows, evidence
 
 
 def as_base(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A stored ledger as the first part of the next merge: its evidence counts as each claim's own."""
-    rows = claims.select("merge_key", *CLAIM_FIELDS, *OWN_FIELDS)
-    oldest = F.lit(-(2**63)).cast("long")
-    return rows, evidence.select(
-        "merge_key", oldest.alias("seq"), "claim_id", "pos", "artifact_id", *EVIDENCE_FIELDS
+    oldest = "cast(-9223372036854775808 AS BIGINT) AS seq"
+    return claims.select("merge_key", *CLAIM_FIELDS, *OWN_FIELDS), evidence.selectExpr(
+        "merge_key", oldest, "claim_id", "pos", "artifact_id", *EVIDENCE_FIELDS
     )
 
 
-def merge(rows: DataFrame, evidence: DataFrame, as_of: Column | str, rule: Promotion = Promotion()) -> tuple[DataFrame, DataFrame]:
+def merge(rows: DataFrame, evidence: DataFrame, as_of: str, rule: Promotion = Promotion()) -> tuple[DataFrame, DataFrame]:
     """Fold claims with one ``merge_key`` into the earliest, as if added one by one in ``seq`` order.
 
     Evidence of a later claim is kept when its artifact is new to the group; confidence is the maximum; the last merge
     sets the confirmation time; the status is promoted after every addition. Returns (claims, evidence).
     """
-    now = SC.as_ts(as_of)
-    groups = rows.groupBy("merge_key").agg(
-        F.min_by(F.struct(*CLAIM_FIELDS, *OWN_FIELDS), "seq").alias("r"),
-        F.max_by(F.struct("last_confirmed_at"), "seq").alias("last"),
-        F.max("seq").alias("last_seq"),
-        F.max("confidence").alias("max_conf"),
-        F.count("*").alias("n_claims"),
-    )
-    first = evidence.groupBy("merge_key", "artifact_id").agg(
-        F.min_by(F.struct("claim_id", "pos", *EVIDENCE_FIELDS), F.struct("seq", "pos")).alias("f"),
-        F.min("seq").alias("seq0"),
-    )
-    sup = F.col("f.supports")
-    per_claim = first.groupBy("merge_key", "seq0").agg(
-        F.count_if(sup).alias("sup"), F.count_if(~sup).alias("ref"),
-        F.max(F.when(sup, F.col("f.source_authority"))).alias("auth"),
-    )
-    totals = per_claim.groupBy("merge_key").agg(
-        F.sum("sup").alias("first_sup"), F.sum("ref").alias("first_ref"), F.max("auth").alias("first_auth"),
-        F.max_by("sup", "seq0").alias("newest_sup"), F.max("seq0").alias("newest_seq"), F.min("seq0").alias("oldest_seq"),
-    )
-    zero = F.lit(0).cast("long")
-    merged = groups.join(totals, "merge_key", "left").select(
-        "merge_key", "n_claims", "last_seq", "last", "newest_seq", "oldest_seq", "r",
-        *[F.col(f"r.{c}").alias(c) for c in CLAIM_FIELDS if c not in ("confidence", "status", "last_confirmed_at")],
-        F.col("max_conf").alias("confidence"),
-        F.col("r.status").alias("old_status"),
-        F.coalesce("newest_sup", zero).alias("newest_sup"),
-        F.coalesce("first_sup", zero).alias("first_sup"),
-        F.coalesce("first_ref", zero).alias("first_ref"),
-        (F.col("r.own_sup") + F.coalesce("first_sup", zero) - F.col("r.own_first_sup")).alias("n_supporting"),
-        (F.col("r.own_ref") + F.coalesce("first_ref", zero) - F.col("r.own_first_ref")).alias("n_refuting"),
-        (F.col("r.own_sources") + F.coalesce("first_sup", zero) - F.col("r.own_first_sup")).alias("n_sources"),
-        F.greatest("r.own_auth", "first_auth").alias("max_authority"),
-    ).withColumn("truth_score", SC.ledger_score())
-
-    corroborated = F.col("old_status").isin("candidate", "unverified") & (F.col("n_sources") >= rule.sources)
-    by_end = (F.col("max_authority") >= rule.authority) | (F.col("truth_score") >= rule.score)
-    # The score can pass the threshold and fall again once refuting evidence arrives.
-    open_case = (
-        ~corroborated & (F.col("old_status") == "candidate") & ~F.coalesce(by_end, F.lit(False)) & (F.col("n_claims") > 1)
+    first = run_sql(
+        f"""
+        SELECT merge_key, artifact_id, f.*, seq0 FROM (
+          SELECT merge_key, artifact_id, min_by(struct(claim_id, pos, {', '.join(EVIDENCE_FIELDS)}), struct(seq, pos)) AS f, min(seq) AS seq0
+          FROM @evidence GROUP BY merge_key, artifact_id)
+        """,
+        evidence=evidence,
     )
-    passed = passed_earlier(merged.where(open_case), rows, first, rule)
-    status = (
-        F.when(corroborated, F.lit("corroborated"))
-        .when((F.col("old_status") == "candidate") & (by_end | F.coalesce("passed", F.lit(False))), F.lit("unverified"))
-        .otherwise(F.col("old_status"))
-    )
-    # The step to corroborated stamps the time too; a merge stamps the newcomer's time, else now.
-    at_last = (F.col("newest_seq") == F.col("last_seq")) & (F.col("n_sources") - F.col("newest_sup") < rule.sources)
-    confirmed = (
-        F.when(corroborated & ((F.col("n_claims") == 1) | at_last), now)
-        .when(F.col("n_claims") > 1, F.coalesce(F.col("last.last_confirmed_at"), now))
-        .otherwise(F.col("r.last_confirmed_at"))
-    )
-    claims = (
-        merged.join(passed, "merge_key", "left")
-        .withColumn("status", status)
-        .withColumn("last_confirmed_at", confirmed)
-        .select(
-            "merge_key", *CLAIM_FIELDS, "n_claims", "n_supporting", "n_refuting", "n_sources", "max_authority", "truth_score",
-            F.col("n_supporting").alias("own_sup"), F.col("n_refuting").alias("own_ref"),
-            F.col("max_authority").alias("own_auth"), F.col("n_sources").alias("own_sources"),
-            F.col("first_sup").alias("own_first_sup"), F.col("first_ref").alias("own_first_ref"),
+    kept_fields = ", ".join(f"r.{c}" for c in CLAIM_FIELDS if c not in ("confidence", "status", "last_confirmed_at"))
+    merged = cut_lineage(run_sql(
+        f"""
+        WITH per_claim AS (
+          SELECT merge_key, seq0, count_if(supports) AS sup, count_if(NOT supports) AS ref, max(if(supports, source_authority, null)) AS auth
+          FROM @first GROUP BY merge_key, seq0),
+        totals AS (
+          SELECT merge_key, sum(sup) AS first_sup, sum(ref) AS first_ref, max(auth) AS first_auth,
+            max_by(sup, seq0) AS newest_sup, max(seq0) AS newest_seq, min(seq0) AS oldest_seq
+          FROM per_claim GROUP BY merge_key),
+        grouped AS (
+          SELECT merge_key, min_by(struct({', '.join(CLAIM_FIELDS + OWN_FIELDS)}), seq) AS r,
+            max_by(struct(last_confirmed_at), seq).last_confirmed_at AS last_time,
+            max(seq) AS last_seq, max(confidence) AS max_conf, count(*) AS n_claims
+          FROM @rows GROUP BY merge_key),
+        joined AS (
+          SELECT g.merge_key, {kept_fields}, max_conf AS confidence, r.status AS old_status, r.last_confirmed_at AS root_time,
+            r.own_sup AS root_sup, r.own_ref AS root_ref, r.own_auth AS root_auth,
+            n_claims, last_time, last_seq, newest_seq, oldest_seq, coalesce(newest_sup, 0L) AS newest_sup,
+            coalesce(first_sup, 0L) AS first_sup, coalesce(first_ref, 0L) AS first_ref,
+            r.own_sup + coalesce(first_sup, 0L) - r.own_first_sup AS n_supporting,
+            r.own_ref + coalesce(first_ref, 0L) - r.own_first_ref AS n_refuting,
+            r.own_sources + coalesce(first_sup, 0L) - r.own_first_sup AS n_sources,
+            greatest(r.own_auth, first_auth) AS max_authority
+          FROM grouped g LEFT JOIN totals t ON g.merge_key = t.merge_key),
+        scored AS (SELECT *, {SC.LEDGER_SCORE} AS truth_score FROM joined)
+        SELECT *, old_status IN ('candidate', 'unverified') AND n_sources >= {rule.sources} AS corroborated,
+          coalesce(max_authority >= {rule.authority}D, false) OR truth_score >= {rule.score}D AS lifted
+        FROM scored
+        """,
+        rows=rows, first=first,
+    ))
+    # The score can pass the threshold and fall again once refuting evidence arrives: look at earlier moments too.
+    open_groups = merged.where("NOT corroborated AND old_status = 'candidate' AND NOT lifted AND n_claims > 1")
+    if open_groups.isEmpty():
+        judged = merged.selectExpr("*", "false AS passed")
+    else:
+        passed = passed_earlier(open_groups, rows, first, rule)
+        judged = run_sql(
+            "SELECT m.*, p.passed FROM @merged m LEFT JOIN @passed p ON m.merge_key = p.merge_key", merged=merged, passed=passed
         )
+    names = [c for c in CLAIM_FIELDS if c not in ("status", "last_confirmed_at")]
+    claims = run_sql(
+        f"""
+        SELECT merge_key, {', '.join(names)}, n_claims, n_supporting, n_refuting, n_sources, max_authority, truth_score,
+          CASE WHEN corroborated THEN 'corroborated'
+               WHEN old_status = 'candidate' AND (lifted OR coalesce(passed, false)) THEN 'unverified' ELSE old_status END AS status,
+          -- the step to corroborated stamps the time too; a merge stamps the newcomer's time, else now
+          CASE WHEN corroborated AND (n_claims = 1 OR (newest_seq = last_seq AND n_sources - newest_sup < {rule.sources})) THEN {ts(as_of)}
+               WHEN n_claims > 1 THEN coalesce(last_time, {ts(as_of)}) ELSE root_time END AS last_confirmed_at,
+          n_supporting AS own_sup, n_refuting AS own_ref, max_authority AS own_auth, n_sources AS own_sources,
+          first_sup AS own_first_sup, first_ref AS own_first_ref
+        FROM @judged
+        """,
+        judged=judged,
     )
-    kept = first.select(
-        "merge_key", "artifact_id", F.col("seq0").alias("seq"), "f.*"
-    )
-    return claims, kept
+    return claims, first.withColumnRenamed("seq0", "seq")
 
 
 def passed_earlier(open_groups: DataFrame, rows: DataFrame, first: DataFrame, rule: Promotion) -> DataFrame:
@@ -150,61 +148,52 @@ def passed_earlier(open_groups: DataFrame, rows: DataFrame, first: DataFrame, ru
 
     Between two refuting pieces of evidence the score only grows, so the end of each such segment decides. The first
     ``MAX_REFUTERS`` refuting rows per group bound the segments: the ranked filter keeps that many rows per key before
-    the shuffle. No window ever spans a whole group; a window over the segments sees at most 66 rows.
+    the shuffle. No window ever spans a whole group; the window over the segments sees at most 66 rows.
     """
-    in_order = W.partitionBy("merge_key").orderBy("seq0")
-    bounds = (
-        first.where(~F.col("f.supports"))
-        .select("merge_key", "seq0")
-        .withColumn("rank", F.row_number().over(in_order))
-        .where(F.col("rank") <= MAX_REFUTERS)
-        .groupBy("merge_key").agg(F.collect_list("seq0").alias("bounds"))
+    lookup = run_sql(
+        f"""
+        WITH ranked AS (
+          SELECT merge_key, seq0, row_number() OVER (PARTITION BY merge_key ORDER BY seq0) AS rank FROM @first WHERE NOT supports),
+        bounds AS (
+          SELECT merge_key, collect_list(seq0) AS bounds FROM ranked WHERE rank <= {MAX_REFUTERS} GROUP BY merge_key)
+        SELECT o.merge_key, n_claims, authority, recency, n_conflicts, oldest_seq, seq AS root_seq, root_sup, root_ref, root_auth, bounds
+        FROM @open o LEFT JOIN bounds b ON o.merge_key = b.merge_key
+        """,
+        first=first, open=open_groups,
     )
-    lookup = open_groups.select(
-        "merge_key", "n_claims", "authority", "recency", "n_conflicts", "oldest_seq",
-        F.col("seq").alias("root_seq"), F.col("r.own_sup").alias("own_sup"),
-        F.col("r.own_ref").alias("own_ref"), F.col("r.own_auth").alias("own_auth"),
-    ).join(bounds, "merge_key", "left")
-    later = F.coalesce(
-        F.size(F.filter("bounds", lambda b: (b > F.col("root_seq")) & (b <= F.col("seq")))), F.lit(0)
-    )
-    segment = F.when(F.col("oldest_seq").isNull() | (F.col("seq") < F.col("oldest_seq")), -1).otherwise(later)
-    nothing = F.lit(None).cast("double")
-    events = rows.select("merge_key", "seq", "confidence", F.lit(0).alias("sup"), nothing.alias("auth")).unionByName(
-        first.where("f.supports").select(
-            "merge_key", F.col("seq0").alias("seq"), nothing.alias("confidence"), F.lit(1).alias("sup"),
-            F.col("f.source_authority").alias("auth"),
-        )
+    events = run_sql(
+        """
+        SELECT merge_key, seq, confidence, 0 AS sup, cast(null AS DOUBLE) AS auth FROM @rows
+        UNION ALL SELECT merge_key, seq0, null, 1, source_authority FROM @first WHERE supports
+        """,
+        rows=rows, first=first,
     )
-    placed = skew.salted_lookup(events, lookup, "merge_key", "n_claims", "seq").withColumn("segment", segment)
-    added = F.col("seq") > F.col("root_seq")
-    keys = ["merge_key", "segment"]
-    constants = ["authority", "recency", "n_conflicts", "own_sup", "own_ref", "own_auth"]
-    per_segment = placed.groupBy(*keys).agg(
-        F.max("confidence").alias("conf"),
-        F.sum(F.when(added, F.col("sup")).otherwise(0)).alias("sup"),
-        F.max(F.when(added, F.col("auth"))).alias("auth"),
-        *[F.max(c).alias(c) for c in constants],
-    )
-    so_far = W.partitionBy("merge_key").orderBy("segment").rowsBetween(W.unboundedPreceding, W.currentRow)
-    has_evidence = F.col("segment") >= 0
-    zero = F.lit(0).cast("long")
+    placed = skew.salted_lookup(events, lookup, "merge_key", "n_claims", "seq")
     score = SC.truth_score_from_counts(
-        F.max("conf").over(so_far),
-        F.when(has_evidence, F.greatest("own_auth", F.max("auth").over(so_far))),
-        F.col("authority"), F.col("recency"),
-        F.when(has_evidence, F.col("own_sup") + F.sum("sup").over(so_far)).otherwise(zero),
-        F.when(has_evidence, F.col("own_ref") + F.col("segment")).otherwise(zero),
-        F.col("n_conflicts"),
+        "conf", "if(segment >= 0, greatest(root_auth, auth), null)", "authority", "recency",
+        "if(segment >= 0, root_sup + sup, 0L)", "if(segment >= 0, root_ref + segment, 0L)", "n_conflicts",
     )
-    return (
-        per_segment.withColumn("score", score)
-        .groupBy("merge_key").agg(F.max(F.col("score") >= rule.score).alias("passed"))
+    constants = ["authority", "recency", "n_conflicts", "root_sup", "root_ref", "root_auth"]
+    return run_sql(
+        f"""
+        WITH located AS (
+          SELECT *, CASE WHEN oldest_seq IS NULL OR seq < oldest_seq THEN -1
+                    ELSE coalesce(size(filter(bounds, b -> b > root_seq AND b <= seq)), 0) END AS segment FROM @placed),
+        segments AS (
+          SELECT merge_key, segment, max(confidence) AS conf, sum(if(seq > root_seq, sup, 0)) AS sup,
+            max(if(seq > root_seq, auth, null)) AS auth, {', '.join(f'max({c}) AS {c}' for c in constants)}
+          FROM located GROUP BY merge_key, segment),
+        so_far AS (
+          SELECT merge_key, segment, max(conf) OVER w AS conf, sum(sup) OVER w AS sup, max(auth) OVER w AS auth, {', '.join(constants)}
+          FROM segments WINDOW w AS (PARTITION BY merge_key ORDER BY segment ROWS UNBOUNDED PRECEDING))
+        SELECT merge_key, max({score} >= {rule.score}D) AS passed FROM so_far GROUP BY merge_key
+        """,
+        placed=placed,
     )
 
 
 def add_claims(
-    incoming: DataFrame, as_of: Column | str, base: tuple[DataFrame, DataFrame] | None = None,
+    incoming: DataFrame, as_of: str, base: tuple[DataFrame, DataFrame] | None = None,
     rule: Promotion = Promotion(), merge_key: str = "fingerprint",
 ) -> tuple[DataFrame, DataFrame]:
     """Add arriving claims to a ledger (or to an empty one)."""
@@ -215,146 +204,156 @@ def add_claims(
     return merge(rows, evidence, as_of, rule)
 
 
-def decay(claims: DataFrame, as_of: Column | str) -> DataFrame:
-    """Age the recency of active claims; adds ``decayed``. A change of 0.001 or less is not written."""
-    since = F.coalesce("last_confirmed_at", "created_at")
-    fresh = F.pow(SC.decay_rate(F.col("knowledge_class")), SC.days_between(since, SC.as_ts(as_of)))
-    hit = ~F.col("status").isin(*S.INACTIVE) & (F.abs(fresh - F.col("recency")) > S.DECAY_WRITE_THRESHOLD)
-    out = claims.withColumn("decayed", hit).withColumn("recency", F.when(hit, F.round(fresh, 4)).otherwise(F.col("recency")))
-    return out.withColumn("truth_score", SC.ledger_score())
+def rescored(df: DataFrame) -> DataFrame:
+    return run_sql(f"SELECT * EXCEPT (truth_score), {SC.LEDGER_SCORE} AS truth_score FROM @df", df=df)
 
 
-def promote_all(claims: DataFrame, as_of: Column | str, rule: Promotion = Promotion()) -> DataFrame:
+def decay(claims: DataFrame, as_of: str) -> DataFrame:
+    """Age the recency of active claims; adds ``decayed``. A change of 0.001 or less is not written."""
+    days = SC.days_between("coalesce(last_confirmed_at, created_at)", ts(as_of))
+    return rescored(run_sql(
+        f"""
+        SELECT * EXCEPT (recency, fresh), if(decayed, round(fresh, 4), recency) AS recency FROM (
+          SELECT *, status NOT IN {INACTIVE} AND abs(fresh - recency) > {S.DECAY_WRITE_THRESHOLD} AS decayed
+          FROM (SELECT *, pow({SC.decay_rate('knowledge_class')}, {days}) AS fresh FROM @claims))
+        """,
+        claims=claims,
+    ))
+
+
+def promote_all(claims: DataFrame, as_of: str, rule: Promotion = Promotion()) -> DataFrame:
     """One promotion pass over stored claims; adds ``promoted``."""
-    corroborated = F.col("status").isin("candidate", "unverified") & (F.col("n_sources") >= rule.sources)
-    lifted = (F.col("status") == "candidate") & (
-        (F.coalesce("max_authority", F.lit(0.0)) >= rule.authority) | (SC.ledger_score() >= rule.score)
-    )
-    new = F.when(corroborated, "corroborated").when(lifted, "unverified").otherwise(F.col("status"))
-    return (
-        claims.withColumn("promoted", new != F.col("status"))
-        .withColumn("last_confirmed_at", F.when(corroborated, SC.as_ts(as_of)).otherwise(F.col("last_confirmed_at")))
-        .withColumn("status", new)
+    return run_sql(
+        f"""
+        SELECT * EXCEPT (status, last_confirmed_at, new), new AS status, new <> status AS promoted,
+          if(new <> status AND new = 'corroborated', {ts(as_of)}, last_confirmed_at) AS last_confirmed_at
+        FROM (SELECT *, CASE WHEN status IN ('candidate', 'unverified') AND n_sources >= {rule.sources} THEN 'corroborated'
+                WHEN status = 'candidate' AND (coalesce(max_authority, 0D) >= {rule.authority}D OR {SC.LEDGER_SCORE} >= {rule.score}D)
+                THEN 'unverified' ELSE status END AS new FROM @claims)
+        """,
+        claims=claims,
     )
 
 
-def set_status(claims: DataFrame, changes: DataFrame, as_of: Column | str) -> DataFrame:
+def set_status(claims: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
     """Manual status changes (claim_id, new_status); confirmation stamps the time."""
-    confirmed = F.col("new_status").isin("owner_confirmed", "canonical")
-    return (
-        claims.join(changes.select("claim_id", "new_status"), "claim_id", "left")
-        .withColumn("last_confirmed_at", F.when(confirmed, SC.as_ts(as_of)).otherwise(F.col("last_confirmed_at")))
-        .withColumn("status", F.coalesce("new_status", "status"))
-        .drop("new_status")
+    return run_sql(
+        f"""
+        SELECT c.* EXCEPT (status, last_confirmed_at), coalesce(new_status, status) AS status,
+          if(new_status IN ('owner_confirmed', 'canonical'), {ts(as_of)}, last_confirmed_at) AS last_confirmed_at
+        FROM @claims c LEFT JOIN @changes n ON c.claim_id = n.claim_id
+        """,
+        claims=claims, changes=changes,
     )
 
 
-def known_pairs(claims: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs whose two ids are both in the ledger."""
-    ids = claims.select(F.col("claim_id").alias("_id"))
-    return pairs.join(ids, F.col(a) == F.col("_id"), "left_semi").join(ids, F.col(b) == F.col("_id"), "left_semi")
-
-
 def supersede(claims: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Apply (old_id, new_id, ord): the old claim is superseded, both sides get the link; the last pair wins."""
-    ok = known_pairs(claims, pairs, "old_id", "new_id")
-    down = ok.groupBy(F.col("old_id").alias("claim_id")).agg(F.max_by("new_id", "ord").alias("_by"))
-    up = ok.groupBy(F.col("new_id").alias("claim_id")).agg(F.max_by("old_id", "ord").alias("_old"))
-    return (
-        claims.join(down, "claim_id", "left").join(up, "claim_id", "left")
-        .withColumn("status", F.when(F.col("_by").isNotNull(), "superseded").otherwise(F.col("status")))
-        .withColumn("superseded_by", F.coalesce("_by", "superseded_by"))
-        .withColumn("supersedes", F.coalesce("_old", "supersedes"))
-        .drop("_by", "_old")
+    """Apply (old_id, new_id, ord): the old claim is superseded, both sides get the link; the last pair wins.
+
+    A pair that names an unknown claim does nothing.
+    """
+    return run_sql(
+        """
+        WITH ok AS (
+          SELECT p.* FROM @pairs p LEFT SEMI JOIN @claims a ON p.old_id = a.claim_id LEFT SEMI JOIN @claims b ON p.new_id = b.claim_id),
+        down AS (SELECT old_id, max_by(new_id, ord) AS by_id FROM ok GROUP BY old_id),
+        up AS (SELECT new_id, max_by(old_id, ord) AS prev_id FROM ok GROUP BY new_id)
+        SELECT c.* EXCEPT (status, superseded_by, supersedes), if(by_id IS NULL, status, 'superseded') AS status,
+          coalesce(by_id, superseded_by) AS superseded_by, coalesce(prev_id, supersedes) AS supersedes
+        FROM @claims c LEFT JOIN down ON c.claim_id = old_id LEFT JOIN up ON c.claim_id = new_id
+        """,
+        claims=claims, pairs=pairs,
     )
 
 
-def conflict_links(claims: DataFrame, pairs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Symmetric, distinct conflict links (claim_id, other_id) from pairs (a_id, b_id)."""
-    ok = known_pairs(claims, pairs, "a_id", "b_id")
-    both = ok.select(F.explode(F.array(
-        F.struct(F.col("a_id").alias("claim_id"), F.col("b_id").alias("other_id")),
-        F.struct(F.col("b_id").alias("claim_id"), F.col("a_id").alias("other_id")),
-    )).alias("l")).select("l.*")
-    if existing is not None:
-        both = both.unionByName(existing.select("claim_id", "other_id"))
-    return both.distinct()
+def conflict_links(claims: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Symmetric, distinct conflict links (claim_id, other_id) from pairs (a_id, b_id) of known claims."""
+    return run_sql(
+        """
+        WITH ok AS (
+          SELECT p.* FROM @pairs p LEFT SEMI JOIN @claims a ON p.a_id = a.claim_id LEFT SEMI JOIN @claims b ON p.b_id = b.claim_id)
+        SELECT DISTINCT l.* FROM (SELECT explode(array(
+          named_struct('claim_id', a_id, 'other_id', b_id), named_struct('claim_id', b_id, 'other_id', a_id))) AS l FROM ok)
+        """,
+        claims=claims, pairs=pairs,
+    )
 
 
 def with_conflict_counts(claims: DataFrame, links: DataFrame) -> DataFrame:
     """Set ``n_conflicts`` from the link table and rescore."""
-    n = links.groupBy("claim_id").agg(F.count("*").alias("_n"))
-    out = claims.drop("n_conflicts").join(n, "claim_id", "left")
-    out = out.withColumn("n_conflicts", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
-    return out.withColumn("truth_score", SC.ledger_score())
+    return rescored(run_sql(
+        """
+        SELECT c.* EXCEPT (n_conflicts), coalesce(n, 0L) AS n_conflicts FROM @claims c
+        LEFT JOIN (SELECT claim_id, count(*) AS n FROM @links GROUP BY claim_id) l ON c.claim_id = l.claim_id
+        """,
+        claims=claims, links=links,
+    ))
 
 
 def retract(claims: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Evidence of the given artifacts (artifact_id) stops supporting; adds ``retracted`` to the evidence rows.
+    """Evidence of the given artifacts (artifact_id) stops supporting; the evidence rows get ``retracted``.
 
-    Counts are taken anew only for claims that lost support.
+    Returns (claims, evidence). The number of retracted evidence rows is what a caller reports.
     """
-    gone = artifacts.select("artifact_id").distinct().withColumn("_gone", F.lit(True))
-    flipped = (
-        evidence.join(gone, "artifact_id", "left")
-        .withColumn("retracted", F.coalesce("_gone", F.lit(False)) & F.col("supports"))
-        .withColumn("supports", F.col("supports") & ~F.col("retracted"))
-        .drop("_gone")
+    flipped = run_sql(
+        """
+        SELECT e.* EXCEPT (supports), supports AND g.artifact_id IS NULL AS supports, supports AND g.artifact_id IS NOT NULL AS retracted
+        FROM @evidence e LEFT JOIN (SELECT DISTINCT artifact_id FROM @artifacts) g ON e.artifact_id = g.artifact_id
+        """,
+        evidence=evidence, artifacts=artifacts,
     )
-    sup = F.col("supports")
-    fresh = flipped.groupBy("merge_key").agg(
-        F.count_if("retracted").alias("_lost"), F.max(F.when(sup, F.col("source_authority"))).alias("_auth")
-    ).where("_lost > 0")
-    lost = F.coalesce("_lost", F.lit(0).cast("long"))
-    hit = F.col("_lost").isNotNull()
-    out = (
-        claims.join(fresh, "merge_key", "left")
-        .withColumn("n_supporting", F.col("n_supporting") - lost)
-        .withColumn("n_sources", F.col("n_sources") - lost)
-        .withColumn("n_refuting", F.col("n_refuting") + lost)
-        .withColumn("max_authority", F.when(hit, F.col("_auth")).otherwise(F.col("max_authority")))
-        .drop("_lost", "_auth")
+    changed = ["n_supporting", "n_refuting", "n_sources", "max_authority", *OWN_FIELDS[:4]]
+    out = run_sql(
+        f"""
+        WITH fresh AS (
+          SELECT merge_key, count_if(retracted) AS lost, max(if(supports, source_authority, null)) AS auth
+          FROM @flipped GROUP BY merge_key HAVING count_if(retracted) > 0),
+        counted AS (
+          SELECT c.* EXCEPT ({', '.join(changed)}), n_supporting - coalesce(lost, 0L) AS n_supporting,
+            n_refuting + coalesce(lost, 0L) AS n_refuting, n_sources - coalesce(lost, 0L) AS n_sources,
+            if(lost IS NULL, max_authority, auth) AS max_authority
+          FROM @claims c LEFT JOIN fresh f ON c.merge_key = f.merge_key)
+        SELECT *, n_supporting AS own_sup, n_refuting AS own_ref, max_authority AS own_auth, n_sources AS own_sources FROM counted
+        """,
+        flipped=flipped, claims=claims,
     )
-    for own, total in (("own_sup", "n_supporting"), ("own_ref", "n_refuting"), ("own_auth", "max_authority"), ("own_sources", "n_sources")):
-        out = out.withColumn(own, F.col(total))
-    return out.withColumn("truth_score", SC.ledger_score()), flipped
+    return rescored(out), flipped
 
 
 def list_claims(
     claims: DataFrame, status: str | None = None, group_id: str | None = None, limit: int | None = 50,
-    as_of_valid: Column | str | None = None, as_of_transaction: Column | str | None = None,
+    as_of_valid: str | None = None, as_of_transaction: str | None = None,
 ) -> DataFrame:
     """Best claims first, earlier ones first among equals; filters reach the scan, the limit is a top-k."""
-    if status is not None:
-        if status not in S.STATUSES:
-            raise ValueError(f"Unknown status: {status}. Valid: {list(S.STATUSES)}")
-        claims = claims.where(F.col("status") == status)
-    if group_id is not None:
-        claims = claims.where(F.col("group_id") == group_id)
+    if status is not None and status not in S.STATUSES:
+        raise ValueError(f"Unknown status: {status}. Valid: {list(S.STATUSES)}")
+    tests = {"status": status, "group_id": group_id}
+    for column, value in tests.items():
+        if value is not None:
+            claims = claims.where(claims[column] == value)
     if as_of_valid is not None:
-        t = SC.as_ts(as_of_valid)
-        claims = claims.where((F.col("valid_from").isNull() | (F.col("valid_from") <= t)) & (F.col("valid_until").isNull() | (F.col("valid_until") >= t)))
+        t = ts(as_of_valid)
+        claims = claims.where(f"(valid_from IS NULL OR valid_from <= {t}) AND (valid_until IS NULL OR valid_until >= {t})")
     if as_of_transaction is not None:
-        claims = claims.where(F.col("created_at") <= SC.as_ts(as_of_transaction))
-    out = claims.orderBy(F.desc("truth_score"), F.asc("seq"))
+        claims = claims.where(f"created_at <= {ts(as_of_transaction)}")
+    out = claims.orderBy(claims["truth_score"].desc(), claims["seq"].asc())
     return out if limit is None else out.limit(limit)
 
 
 def active(claims: DataFrame) -> DataFrame:
-    return claims.where(~F.col("status").isin(*S.INACTIVE))
+    return claims.where(f"status NOT IN {INACTIVE}")
 
 
 def get_claim(claims: DataFrame, claim_id: str) -> DataFrame:
-    return claims.where(F.col("claim_id") == claim_id)
+    return claims.where(claims["claim_id"] == claim_id)
 
 
 def counts_by(claims: DataFrame, column: str) -> DataFrame:
-    return claims.groupBy(column).agg(F.count("*").alias("n"))
+    return run_sql(f"SELECT {column}, count(*) AS n FROM @claims GROUP BY {column}", claims=claims)
 
 
 def stats(claims: DataFrame) -> DataFrame:
     """One row: claims and their average score (0 for an empty ledger)."""
-    return claims.agg(
-        F.count("*").alias("total_claims"),
-        F.round(F.coalesce(F.avg("truth_score"), F.lit(0.0)), 3).alias("avg_truth_score"),
+    return run_sql(
+        "SELECT count(*) AS total_claims, round(coalesce(avg(truth_score), 0D), 3) AS avg_truth_score FROM @claims", claims=claims
     )

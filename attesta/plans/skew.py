@@ -4,32 +4,69 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HOT_SHARE = 1000      # a key is hot when it holds more than 1/1000 of the rows: at most 1000 keys can be
-HOT_MIN_ROWS = 100_000  # and only when splitting it pays
+from attesta.plans.sqlrun import run_sql
+
+MAX_HOT = 1000          # a key past the thousandth largest holds less than 1/1000 of all rows
+HOT_MIN_ROWS = 100_000  # smaller groups are no burden for one task
 SALTS = 32
 
 
-def hot_keys(counts: DataFrame, key: str, weight: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys with more than 1/1000 of the total weight: never more than 1000 rows, so safe to broadcast."""
-    total = counts.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar()
-    return counts.where((F.col(weight) >= min_rows) & (F.col(weight) * HOT_SHARE > total)).select(key)
+def hot_keys(counts: DataFrame, key: str, weight: str, min_rows: int | None = None) -> DataFrame | None:
+    """The at most 1000 largest keys (key, n) with ``min_rows`` rows or more; None when there is none.
+
+    The list is read to the driver, which its fixed limit allows; without hot keys a plain join can follow.
+    """
+    least = HOT_MIN_ROWS if min_rows is None else min_rows
+    top = counts.where(F.col(weight) >= least).orderBy(F.desc(weight)).limit(MAX_HOT)
+    found = top.select(F.col(key), F.col(weight).cast("long").alias("hot_n")).collect()
+    if not found:
+        return None
+    schema = T.StructType([T.StructField(key, counts.schema[key].dataType), T.StructField("hot_n", T.LongType())])
+    return F.broadcast(counts.sparkSession.createDataFrame(found, schema))
 
 
 def salted_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str,
-    min_rows: int = HOT_MIN_ROWS, salts: int = SALTS,
+    rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str, min_rows: int | None = None, salts: int = SALTS
 ) -> DataFrame:
     """Inner join of ``rows`` with ``lookup`` (one row per key; ``weight`` = rows of that key).
 
     Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread`` and meet copies of its one lookup row.
     """
-    hot = F.broadcast(hot_keys(lookup, key, weight, min_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(lookup, key, weight, min_rows)
+    if hot is None:
+        return rows.join(lookup, key)
+    is_hot = F.col("hot_n").isNotNull()
     left = rows.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
+        "_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    ).drop("hot_n")
     right = lookup.join(hot, key, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop("_hot")
+        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    ).drop("hot_n")
     return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def split_pairs(
+    left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, min_rows: int | None = None, block: int = 5000
+) -> tuple[DataFrame, DataFrame]:
+    """Give both sides of a many-to-many equi join two cell columns that spread hot keys.
+
+    A row of a hot key goes to its own block on one axis and to every block on the other, so each pair of rows meets in
+    exactly one cell and a hot key becomes a grid of tasks. Join on (key, _ci, _cj). Other keys have one cell.
+    """
+    counts = run_sql(
+        f"SELECT {key}, count(*) AS n FROM (SELECT {key} FROM @left UNION ALL SELECT {key} FROM @right) GROUP BY {key}",
+        left=left, right=right,
+    )
+    hot = hot_keys(counts, key, "n", min_rows)
+
+    def cells(df: DataFrame, row_id: str, own: str, every: str) -> DataFrame:
+        if hot is None:
+            return df.selectExpr("*", f"0 AS {own}", f"0 AS {every}")
+        blocks = f"cast(least(256, ceil(coalesce(hot_n, 1) / {block})) AS INT)"
+        return df.join(hot, key, "left").selectExpr(
+            "*", f"cast(pmod(xxhash64({row_id}), {blocks}) AS INT) AS {own}", f"explode(sequence(0, {blocks} - 1)) AS {every}"
+        ).drop("hot_n")
+
+    return cells(left, left_id, "_ci", "_cj"), cells(right, right_id, "_cj", "_ci")

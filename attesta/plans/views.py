@@ -1,15 +1,15 @@
 """Claim views over the operational tables: the deterministic stand-in for model-based extraction.
 
-Each view has the columns the operators expect. ``seq`` gives the order of arrival; where no single column does,
-it is a struct of the columns that do.
+Each view has the columns the operators expect. ``seq`` gives the order of arrival; where no single column does, it is
+a struct of the columns that do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from attesta.functions import text as X
+from attesta.plans.sqlrun import run_sql
 
 AS_OF = "2002-01-01 00:00:00"
 
@@ -17,12 +17,11 @@ AS_OF = "2002-01-01 00:00:00"
 PRIORITY_WEIGHT = {"1-URGENT": 0.9, "2-HIGH": 0.8, "3-MEDIUM": 0.6, "5-LOW": 0.3}
 # Topic weights of the same registry.
 PRIORITY_TOPIC_WEIGHT = {("1-URGENT", "BUILDING"): 0.95, ("2-HIGH", "MACHINERY"): 0.4, ("5-LOW", "BUILDING"): 0.7}
-# Market segment -> knowledge class; part type -> knowledge class.
+# Market segment -> knowledge class; part type -> knowledge class; event type -> change type.
 SEGMENT_CLASS = {
     "BUILDING": "stable", "AUTOMOBILE": "process", "MACHINERY": "tacit", "FURNITURE": "stateful", "HOUSEHOLD": "process",
 }
-TYPE_CLASS = {"ECONOMY": "stable", "SMALL": "process", "MEDIUM": "tacit", "PROMO": "stateful", "STANDARD": "process", "LARGE": "process"}
-# Event type -> change type.
+TYPE_CLASS = {"ECONOMY": "stable", "SMALL": "process", "MEDIUM": "tacit", "PROMO": "stateful", "STANDARD": "process"}
 EVENT_CHANGE = {
     "signup": "document_added", "view": "claim_added", "click": "claim_merged", "purchase": "claim_promoted",
     "error": "conflict_detected",
@@ -33,11 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(col: Column, mapping: dict[str, object], default: object) -> Column:
-    out = F.lit(default)
-    for key, value in mapping.items():
-        out = F.when(col == key, F.lit(value)).otherwise(out)
-    return out
+def pick(x: str, mapping: dict[str, str], default: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {x} {cases} ELSE '{default}' END"
 
 
 def authority_registry(spark: SparkSession) -> DataFrame:
@@ -48,145 +45,121 @@ def authority_registry(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(source, topic, weight)")
 
 
-def _evidence(artifact: Column, supports: Column, source: Column, author: Column, authority: Column, span: Column, at: Column) -> Column:
-    return F.array(F.struct(
-        artifact.alias("artifact_id"), F.lit("").alias("episode_id"), supports.alias("supports"),
-        span.alias("source_span"), source.alias("source_artifact"), author.alias("author"),
-        F.lit("").alias("author_role"), authority.alias("source_authority"), at.alias("recorded_at"),
-    ))
+# Columns a freshly extracted claim starts with.
+NEW_CLAIM = f"""
+    {X.fingerprint('subject', 'predicate', 'object')} AS fingerprint,
+    0.5D AS authority, 1.0D AS recency, 0.5D AS specificity, 'candidate' AS status, 'default' AS group_id,
+    cast(null AS TIMESTAMP_NTZ) AS last_confirmed_at, 0L AS n_conflicts,
+    cast(null AS STRING) AS superseded_by, cast(null AS STRING) AS supersedes"""
 
 
-def _claim(df: DataFrame, **cols: Column) -> DataFrame:
-    defaults = {
-        "authority": F.lit(0.5), "recency": F.lit(1.0), "specificity": F.lit(0.5), "status": F.lit("candidate"),
-        "valid_from": F.lit(None).cast("timestamp_ntz"), "valid_until": F.lit(None).cast("timestamp_ntz"),
-        "last_confirmed_at": F.lit(None).cast("timestamp_ntz"), "group_id": F.lit("default"),
-        "n_conflicts": F.lit(0).cast("long"),
-    }
-    out = df.select(*[c.alias(n) for n, c in {**defaults, **cols}.items()])
-    return out.withColumn("fingerprint", X.fingerprint("subject", "predicate", "object"))
+def one_evidence(artifact: str, supports: str, source: str, author: str, authority: str, span: str, at: str) -> str:
+    return (
+        f"array(named_struct('artifact_id', {artifact}, 'episode_id', '', 'supports', {supports}, 'source_span', {span}, "
+        f"'source_artifact', {source}, 'author', {author}, 'author_role', '', 'source_authority', {authority}, 'recorded_at', {at}))"
+    )
 
 
 def customer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1, one claim per order: <customer> 'has order status' <status>. Case and spaces vary with the order key."""
-    o = table(spark, sf_dir, "orders")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    j = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    k = F.col("o_orderkey")
-    name = F.col("c_name")
-    subject = F.when(k % 3 == 0, name).when(k % 3 == 1, F.upper(name)).otherwise(
-        F.concat(F.lit("  "), F.lower(name), F.lit(" "))
+    ev = one_evidence(
+        "cast(o_orderkey AS STRING)", "true", "concat('orders-', year(o_orderdate))", "o_orderpriority", "0.5D", "''", "o_orderdate"
     )
-    return _claim(
-        j,
-        seq=k, claim_id=F.concat(F.lit("c1-"), k.cast("string")),
-        subject=subject, predicate=F.lit("has order status"), object=F.col("o_orderstatus"),
-        natural_language=F.concat(name, F.lit(" has order status "), F.col("o_orderstatus")),
-        confidence=F.least(F.lit(0.95), 0.2 + F.col("o_totalprice") / 500000.0),
-        knowledge_class=pick(F.col("c_mktsegment"), SEGMENT_CLASS, "process"),
-        created_at=F.col("o_orderdate"),
-        evidence=_evidence(
-            k.cast("string"), F.lit(True), F.concat(F.lit("orders-"), F.year("o_orderdate").cast("string")),
-            F.col("o_orderpriority"), F.lit(0.5), F.lit(""), F.col("o_orderdate"),
-        ),
-        author=F.col("o_orderpriority"), segment=F.col("c_mktsegment"),
+    return run_sql(
+        f"""
+        SELECT *, {NEW_CLAIM}, created_at AS valid_from, cast(null AS TIMESTAMP_NTZ) AS valid_until FROM (
+          SELECT o_orderkey AS seq, concat('c1-', o_orderkey) AS claim_id,
+            CASE o_orderkey % 3 WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) ELSE concat('  ', lower(c_name), ' ') END AS subject,
+            'has order status' AS predicate, o_orderstatus AS object,
+            concat(c_name, ' has order status ', o_orderstatus) AS natural_language,
+            least(0.95D, 0.2D + o_totalprice / 500000D) AS confidence,
+            {pick('c_mktsegment', SEGMENT_CLASS, 'process')} AS knowledge_class,
+            o_orderdate AS created_at, {ev} AS evidence, o_orderpriority AS author, c_mktsegment AS segment
+          FROM @orders JOIN @customer ON o_custkey = c_custkey)
+        """,
+        orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"),
     )
 
 
-PART_SUPPLIER_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+PART_SUPPLIER_ORDER = "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate)"
 
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2, one claim per line item: part 'supplied by' supplier; a returned line refutes it."""
-    l = table(spark, sf_dir, "lineitem")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    j = l.join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
-    part = F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))
-    supplier = F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string"))
-    shipped = F.col("l_shipdate")
-    return _claim(
-        j,
-        seq=F.struct(*PART_SUPPLIER_ORDER),
-        claim_id=F.concat_ws(
-            "-", F.lit("c2"), *[F.col(c).cast("string") for c in PART_SUPPLIER_ORDER[:4]], F.date_format(shipped, "yyyyMMdd")
-        ),
-        subject=part, predicate=F.lit("supplied by"), object=supplier,
-        natural_language=F.concat(part, F.lit(" is supplied by "), supplier),
-        confidence=0.3 + F.col("l_discount") * 5,
-        knowledge_class=pick(F.col("p_type"), TYPE_CLASS, "process"),
-        created_at=shipped,
-        valid_from=shipped,
-        valid_until=F.when(F.col("l_linestatus") == "F", shipped + F.make_dt_interval(days=F.col("l_quantity").cast("int"))),
-        evidence=_evidence(
-            F.col("l_orderkey").cast("string"), F.col("l_returnflag") != "R", F.lit(""), supplier,
-            0.3 + F.col("l_tax") * 7, F.lit(""), shipped,
-        ),
-        supplier_key=F.col("l_suppkey"),
+    ev = one_evidence(
+        "cast(l_orderkey AS STRING)", "l_returnflag <> 'R'", "''", "concat('supplier:', l_suppkey)", "0.3D + l_tax * 7", "''", "l_shipdate"
+    )
+    return run_sql(
+        f"""
+        SELECT *, {NEW_CLAIM}, concat(subject, ' is supplied by ', object) AS natural_language FROM (
+          SELECT {PART_SUPPLIER_ORDER} AS seq,
+            concat_ws('-', 'c2', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd')) AS claim_id,
+            concat('part:', l_partkey) AS subject, 'supplied by' AS predicate, concat('supplier:', l_suppkey) AS object,
+            0.3D + l_discount * 5 AS confidence, {pick('p_type', TYPE_CLASS, 'process')} AS knowledge_class,
+            l_shipdate AS created_at, l_shipdate AS valid_from,
+            if(l_linestatus = 'F', l_shipdate + make_dt_interval(cast(l_quantity AS INT)), null) AS valid_until,
+            {ev} AS evidence, l_suppkey AS supplier_key
+          FROM @lineitem LEFT JOIN @part ON l_partkey = p_partkey)
+        """,
+        lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"),
     )
 
 
 def doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3, one claim per document: the text's hash 'appears in' a language; documents are the evidence.
+    """C3, one claim per document: the hash of its text 'appears in' a language; documents are the evidence.
 
     Copies of a text are one claim with many sources; a toxic label refutes.
     """
-    d = table(spark, sf_dir, "documents")
-    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("lab_id"), "toxic")
-    j = d.join(lab, F.col("doc_id") == F.col("lab_id"), "left")
-    h = X.sha_prefix("text")
-    return _claim(
-        j,
-        seq=F.col("doc_id"), claim_id=F.concat(F.lit("c3-"), F.col("doc_id").cast("string")),
-        subject=F.concat(F.lit("passage:"), h), predicate=F.lit("appears in"), object=F.col("lang"),
-        natural_language=F.concat(F.lit("Passage "), h, F.lit(" appears in "), F.col("lang")),
-        confidence=F.least(F.lit(0.95), 0.2 + F.col("n_chars") / 5000.0),
-        knowledge_class=F.when(F.col("n_chars") > 2000, "stable").otherwise("process"),
-        created_at=F.lit("2001-01-01").cast("timestamp_ntz"),
-        evidence=_evidence(
-            F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), F.coalesce(F.col("toxic"), F.lit(0)) == 0,
-            F.col("source"), F.lit(""), F.lit(0.5), F.substring("text", 1, 200), F.lit("2001-01-01").cast("timestamp_ntz"),
-        ),
-        source=F.col("source"), artifact=F.concat(F.lit("doc-"), F.col("doc_id").cast("string")),
+    ev = one_evidence(
+        "artifact", "coalesce(toxic, 0) = 0", "source", "''", "0.5D", "left(text, 200)", "TIMESTAMP_NTZ '2001-01-01'"
+    )
+    return run_sql(
+        f"""
+        SELECT * EXCEPT (text, toxic), {NEW_CLAIM}, concat('Passage ', h, ' appears in ', object) AS natural_language,
+          {ev} AS evidence, created_at AS valid_from, cast(null AS TIMESTAMP_NTZ) AS valid_until
+        FROM (
+          SELECT *, concat('passage:', h) AS subject, 'appears in' AS predicate FROM (
+            SELECT doc_id AS seq, concat('c3-', doc_id) AS claim_id, {X.sha_prefix('text')} AS h, lang AS object,
+              least(0.95D, 0.2D + n_chars / 5000D) AS confidence, if(n_chars > 2000, 'stable', 'process') AS knowledge_class,
+              TIMESTAMP_NTZ '2001-01-01' AS created_at, source, concat('doc-', doc_id) AS artifact, text, toxic
+            FROM @documents LEFT JOIN (SELECT doc_id AS labelled, toxic FROM @labels) ON doc_id = labelled))
+        """,
+        documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"),
     )
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: documents, pages and conversation turns as one artifact table."""
-    d = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("artifact_id"), F.lit("document").alias("source_type"),
-        F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_uri"),
-        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
-        F.col("text").alias("body"), F.col("source").alias("author"),
+    return run_sql(
+        """
+        SELECT concat('document-', doc_id) AS artifact_id, 'document' AS source_type, concat('doc://', source, '/', doc_id) AS source_uri,
+          concat('Document ', doc_id) AS title, text AS body, source AS author FROM @documents
+        UNION ALL
+        SELECT concat('web_page-', page_id), 'web_page', url, concat('Page ', page_id), html, '' FROM @pages
+        UNION ALL
+        SELECT concat_ws('-', 'slack_message', conv_id, turn), 'slack_message', concat('chat://', conv_id, '-', turn),
+          concat('Message ', conv_id, '-', turn), text, role FROM @conversations
+        """,
+        documents=table(spark, sf_dir, "documents"), pages=table(spark, sf_dir, "pages"),
+        conversations=table(spark, sf_dir, "conversations"),
     )
-    p = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("web_page-"), F.col("page_id").cast("string")).alias("artifact_id"), F.lit("web_page").alias("source_type"),
-        F.col("url").alias("source_uri"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
-        F.col("html").alias("body"), F.lit("").alias("author"),
-    )
-    turn = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    m = table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("slack_message-"), turn).alias("artifact_id"), F.lit("slack_message").alias("source_type"),
-        F.concat(F.lit("chat://"), turn).alias("source_uri"), F.concat(F.lit("Message "), turn).alias("title"),
-        F.col("text").alias("body"), F.col("role").alias("author"),
-    )
-    return d.unionByName(p).unionByName(m)
 
 
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1: the event stream as change log; parents form a forest of bounded depth."""
-    e = table(spark, sf_dir, "events")
-    j = F.get_json_object("props", "$.k").cast("long") % 7
-    parent = F.when((j > 0) & (F.col("event_id") % 50 - j >= 0), F.col("event_id") - j)
-    return e.select(
-        F.col("event_id"), F.col("event_id").alias("seq"),
-        pick(F.col("event_type"), EVENT_CHANGE, "gap_detected").alias("change_type"),
-        F.col("ts"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("entity_id"),
-        F.concat(F.lit("app://"), "event_type").alias("source_uri"),
-        F.col("props").alias("payload"), parent.alias("triggered_by"), F.lit("app").alias("agent"), F.col("value"),
+    return run_sql(
+        f"""
+        SELECT event_id, event_id AS seq, {pick('event_type', EVENT_CHANGE, 'gap_detected')} AS change_type, ts,
+          concat('user-', user_id) AS entity_id, concat('app://', event_type) AS source_uri, props AS payload,
+          if(j > 0 AND event_id % 50 - j >= 0, event_id - j, null) AS triggered_by, 'app' AS agent, value
+        FROM (SELECT *, cast(get_json_object(props, '$.k') AS BIGINT) % 7 AS j FROM @events)
+        """,
+        events=table(spark, sf_dir, "events"),
     )
 
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as Markdown: the sectioned text the chunk and diff operators work on."""
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.col("url").alias("source_uri"), X.html_to_markdown("html").alias("markdown"))
+    return table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "url AS source_uri", f"{X.html_to_markdown('html')} AS markdown"
+    )

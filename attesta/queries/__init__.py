@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "ledger_queries",
+    "conflict_queries",
 )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.operators import authority, ledger
 from attesta.plans import views as V
+from attesta.session import cut_lineage
 
 
 def stamped_c1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,6 @@ def stamped_c1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_c1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1 merged, promoted, decayed and scored."""
+    """C1 merged, promoted, decayed and scored: written once, then read like a stored ledger."""
     claims, _ = ledger.add_claims(stamped_c1(spark, sf_dir), V.AS_OF)
-    return ledger.decay(claims, V.AS_OF)
+    return cut_lineage(ledger.decay(claims, V.AS_OF))
