@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "ledger_queries",
     "conflict_queries",
+    "document_queries",
 )
 
 

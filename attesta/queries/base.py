@@ -74,3 +74,40 @@ c2 AS (
     CAST(l_orderkey AS VARCHAR) AS artifact_id, l_returnflag <> 'R' AS supports, 0.3::DOUBLE + l_tax * 7 AS weight, l_suppkey AS supplier_key,
     l_partkey || '|' || l_suppkey AS fp
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)"""
+
+# White space characters as text for trim(x, WS).
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
+
+A1 = """
+a1 AS (
+  SELECT 'document-' || doc_id AS artifact_id, 'document' AS source_type, 'doc://' || source || '/' || doc_id AS source_uri, 'Document ' || doc_id AS title, text AS body, source AS author FROM documents
+  UNION ALL SELECT 'web_page-' || page_id, 'web_page', url, 'Page ' || page_id, html, '' FROM pages
+  UNION ALL SELECT 'slack_message-' || conv_id || '-' || turn, 'slack_message', 'chat://' || conv_id || '-' || turn, 'Message ' || conv_id || '-' || turn, text, role FROM conversations)"""
+
+
+def _pages_markdown() -> str:
+    t = "regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>|<!--.*?-->', '', 'g')"
+    for level in range(1, 7):
+        t = f"regexp_replace({t}, '(?i)<h{level}\\b[^>]*>', chr(10) || chr(10) || '{'#' * level} ', 'g')"
+    t = f"regexp_replace({t}, '(?i)<li\\b[^>]*>', chr(10) || '- ', 'g')"
+    t = f"regexp_replace({t}, '(?i)<br\\s*/?>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '(?i)</?(p|div|h[1-6]|ul|ol|table|tr|article|section|nav|footer)\\b[^>]*>', chr(10) || chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        t = f"replace({t}, '{ref}', '{char}')"
+    return f"trim(regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g'), {WS})"
+
+
+PAGES_MD = f"md AS (SELECT page_id, url AS source_uri, {_pages_markdown()} AS markdown FROM pages)"
+MARKED = "string_split(regexp_replace({0}, '(?m)^(#{{1,4}})\\s+(.+)$', chr(57344) || '\\0', 'g'), chr(57344))"
+
+
+def sections_sql(table: str, key: str, text: str, preamble: str, name: str) -> str:
+    """CTE of sections (key, pos, heading, content) of ``table``."""
+    return f"""
+{name}_parts AS (
+  SELECT {key}, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos, len(parts) AS n
+  FROM (SELECT {key}, {MARKED.format(text)} AS parts FROM {table})),
+{name} AS (
+  SELECT {key}, pos, CASE WHEN n = 1 THEN '' WHEN pos = 0 THEN '{preamble}' ELSE trim(regexp_extract(part, '(?m)^(#{{1,4}})\\s+(.+)$', 2), {WS}) END AS heading,
+    trim(part, {WS}) AS content FROM {name}_parts WHERE trim(part, {WS}) <> '')"""
