@@ -8,6 +8,8 @@ MODULES = (
     "ledger_queries",
     "conflict_queries",
     "document_queries",
+    "search_queries",
+    "page_queries",
 )
 
 
