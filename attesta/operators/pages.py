@@ -80,8 +80,13 @@ def _stamp(as_of: str) -> str:
 LINE = "path, section, k1, k2, k3, line"
 
 
-def entity_lines(pc: DataFrame, evidence: DataFrame, relations: DataFrame | None, as_of: str, title_sources: int = 10) -> DataFrame:
-    """Lines of entity pages without topics: header, facts by score, related entities, sources."""
+def entity_lines(
+    pc: DataFrame, evidence: DataFrame, relations: DataFrame | None, as_of: str, topic_claims: DataFrame | None = None, title_sources: int = 10
+) -> DataFrame:
+    """Lines of entity pages: header, facts by score (under their topics when given), related entities, sources.
+
+    Subjects that differ only in case or spaces have one path, hence one page, and its lines are those of all of them.
+    """
     src = run_sql(
         f"""
         SELECT DISTINCT subject, source FROM (
@@ -91,10 +96,12 @@ def entity_lines(pc: DataFrame, evidence: DataFrame, relations: DataFrame | None
         p=pc, e=evidence,
     )
     head = R.frontmatter([
-        ("entity", "subject"), ("claim_count", "claim_count"), ("avg_truth_score", "avg_truth_score"), ("", "'topics:\\n  - general'"),
+        ("entity", "subject"), ("claim_count", "claim_count"), ("avg_truth_score", "avg_truth_score"), ("", R.list_field("topics", "topics")),
         ("", R.list_field("sources", "coalesce(sources, array())")), ("last_updated", _stamp(as_of)),
     ])
     path = f"concat('entities/', {X.slugify('subject')}, '.md')"
+    facts = pc.selectExpr("*", "'' AS topic") if topic_claims is None else topic_claims
+    summaries = entity_summary(pc, facts.selectExpr("subject", "coalesce(nullif(topic, ''), 'general') AS topic"))
     top_sources = run_sql(
         f"""
         SELECT subject, array_sort(collect_list(source)) AS sources FROM (
@@ -108,10 +115,10 @@ def entity_lines(pc: DataFrame, evidence: DataFrame, relations: DataFrame | None
             SELECT {path} AS path, 1 AS section, subject AS k1, 0D AS k2, 0L AS k3, concat({head}, '\\n\\n# ', subject, '\\n\\n## Facts\\n') AS line
             FROM @h h JOIN @t t USING (subject)
             """,
-            h=entity_summary(pc), t=top_sources,
+            h=summaries, t=top_sources,
         ),
-        pc.selectExpr(
-            f"{path} AS path", "2 AS section", "subject AS k1", "-truth_score AS k2", "seq AS k3",
+        facts.selectExpr(
+            f"{path} AS path", "2 AS section", "topic AS k1", "-truth_score AS k2", "seq AS k3",
             f"{R.claim_bullet('status', 'natural_language', 'truth_score', 'source', 'span')} AS line",
         ),
         run_sql(
@@ -120,8 +127,13 @@ def entity_lines(pc: DataFrame, evidence: DataFrame, relations: DataFrame | None
         src.selectExpr(
             f"{path} AS path", "5 AS section", "source AS k1", "0D AS k2", "0L AS k3",
             f"concat('- [', source, '](../sources/', {X.slugify('source')}, '.md)') AS line",
-        ),
+        ).distinct(),
     ]
+    if topic_claims is not None:
+        parts.append(facts.selectExpr(
+            f"{path} AS path", "2 AS section", "topic AS k1", "double('-Infinity') AS k2", "0L AS k3",
+            f"concat('\\n### [', topic, '](../topics/', {X.slugify('topic')}, '.md)\\n') AS line",
+        ).distinct())
     if relations is not None:
         parts.append(relations.selectExpr(
             f"concat('entities/', {X.slugify('entity')}, '.md') AS path", "3 AS section", "related AS k1", "0D AS k2", "0L AS k3",

@@ -10,6 +10,7 @@ MODULES = (
     "document_queries",
     "search_queries",
     "page_queries",
+    "stream_queries",
 )
 
 

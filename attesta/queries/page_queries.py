@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attesta.functions import render as R
 from attesta.functions import text as X
-from attesta.functions import topics as TP
-from attesta.operators import conflicts, emission, ledger, pages
+from attesta.operators import conflicts, emission, extraction, ledger, pages
 from attesta.plans import views as V
+from attesta.plans.ordered import ordered_index
 from attesta.plans.sqlrun import run_sql
 from attesta.queries.base import LEDGER1, query
 from attesta.queries.common import ledger_c1, stamped_c1
@@ -61,9 +62,8 @@ def source_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOPIC_OF_SEGMENT = "CASE WHEN segment IN ('BUILDING', 'FURNITURE') THEN 'premises' WHEN segment = 'HOUSEHOLD' THEN 'home' ELSE 'industry' END"
 
 
-def _topic_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page claims with the topics of their customer's market segment."""
-    pc, _ = _page_claims(spark, sf_dir)
+def _with_topics(spark: SparkSession, sf_dir: str, pc: DataFrame) -> DataFrame:
+    """Page claims with the topic of their customer's market segment."""
     seg = V.table(spark, sf_dir, "customer").selectExpr("lower(c_name) AS name", "c_mktsegment AS segment")
     return run_sql(
         f"SELECT p.*, {TOPIC_OF_SEGMENT} AS topic FROM @p p JOIN @s s ON {X.norm('p.subject')} = s.name", p=pc, s=seg
@@ -74,7 +74,7 @@ def _topic_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {LEDGER1}
 SELECT {TOPIC_OF_SEGMENT} AS topic, count(*) AS claim_count, count(DISTINCT subject) AS n_entities, min(subject) AS first_entity FROM ledger1 GROUP BY 1""")
 def topic_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.topic_summary(_topic_claims(spark, sf_dir))
+    return pages.topic_summary(_with_topics(spark, sf_dir, _page_claims(spark, sf_dir)[0]))
 
 
 @query("index_summary", f"""
@@ -103,25 +103,25 @@ WITH {LEDGER1}
 SELECT first_source AS source, row_number() OVER (PARTITION BY first_source ORDER BY truth_score DESC, seq) AS no, claim_id FROM ledger1""")
 def source_page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of each claim on its source page."""
-    from pyspark.sql import functions as F
-
-    from attesta.plans.ordered import ordered_index
-
     pc, _ = _page_claims(spark, sf_dir)
     numbered = ordered_index(pc.select("source", "claim_id", "truth_score", "seq"), ["source"], [F.desc("truth_score"), F.asc("seq")], "no")
     return numbered.select("source", "no", "claim_id")
 
 
 @query("entity_pages", f"""
-WITH {LEDGER1}, s AS (SELECT DISTINCT l.subject, c.source_artifact AS source FROM ledger1 l JOIN c1 c USING (fp))
-SELECT 'entities/' || {SLUG.format('subject')} || '.md' AS path, count(*) AS n_bullets, (SELECT count(*) FROM s WHERE s.subject = any_value(l.subject)) AS n_source_links
-FROM ledger1 l GROUP BY subject""".replace("'entities/'", "'entities/'"))
+WITH {LEDGER1}, s AS (SELECT {SLUG.format('l.subject')} AS slug, count(DISTINCT c.source_artifact) AS n FROM ledger1 l JOIN c1 c USING (fp) GROUP BY 1)
+SELECT 'entities/' || slug || '.md' AS path, b.n AS n_bullets, s.n AS n_source_links, b.n_topics
+FROM (SELECT {SLUG.format('subject')} AS slug, count(*) AS n, count(DISTINCT {TOPIC_OF_SEGMENT}) AS n_topics FROM ledger1 GROUP BY 1) b JOIN s USING (slug)""")
 def entity_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity pages rendered whole; checked by their claims and source links."""
+    """Entity pages rendered whole; checked by their claims, topic headings and source links."""
     pc, evidence = _page_claims(spark, sf_dir)
-    lines = pages.entity_lines(pc.withColumn("subject", pc["subject"]), evidence, None, V.AS_OF)
+    lines = pages.entity_lines(pc, evidence, None, V.AS_OF, _with_topics(spark, sf_dir, pc))
     return run_sql(
-        "SELECT path, count_if(section = 2) AS n_bullets, count_if(section = 5) AS n_source_links FROM @l GROUP BY path, if(section = 5, '', '')", l=lines
+        """
+        SELECT path, count_if(section = 2 AND NOT isnan(k2) AND k2 > double('-Infinity')) AS n_bullets, count_if(section = 5) AS n_source_links,
+          count_if(section = 2 AND k2 = double('-Infinity')) AS n_topics FROM @l GROUP BY path
+        """,
+        l=lines,
     )
 
 
@@ -129,8 +129,9 @@ def entity_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as parts with their stable hashes."""
     pc, evidence = _page_claims(spark, sf_dir)
+    topical = _with_topics(spark, sf_dir, pc)
     lines = pages.union_lines([
-        pages.entity_lines(pc, evidence, None, V.AS_OF), pages.source_lines(pc, V.AS_OF), pages.topic_lines(_topic_claims(spark, sf_dir), V.AS_OF),
+        pages.entity_lines(pc, evidence, None, V.AS_OF, topical), pages.source_lines(pc, V.AS_OF), pages.topic_lines(topical, V.AS_OF),
         pages.conflict_lines(pc, V.AS_OF), pages.index_lines(pc, V.AS_OF),
     ])
     return pages.to_parts(lines).selectExpr("path", "part", "content_hash", "cast(length(content) AS BIGINT) AS n_chars")
@@ -191,11 +192,6 @@ def manifest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emission.next_manifest(emission.full(rendered, manifest), manifest)
 
 
-STABLE = """
-pages_v AS (SELECT doc_id, '---' || chr(10) || 'title: x' || chr(10) || '  last_updated: today' || chr(10) || '---' || chr(10) || replace(text, chr(13), ' ') AS local,
-  '---' || chr(10) || 'title: x' || chr(10) || 'last_updated: long ago' || chr(10) || '---' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE replace(text, chr(13), ' ') END AS remote FROM documents)"""
-
-
 @query("sync_actions", """
 SELECT 'pages/' || doc_id || '.md' AS path, CASE WHEN doc_id % 9 = 0 THEN 'create' WHEN doc_id % 5 = 0 THEN 'update' ELSE 'unchanged' END AS action FROM documents WHERE doc_id % 4 <> 0
 UNION ALL SELECT 'pages/' || doc_id || '.md', 'delete' FROM documents WHERE doc_id % 4 = 0 AND doc_id % 9 <> 0""")
@@ -237,18 +233,12 @@ def commit_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emission.auto_message(V.table(spark, sf_dir, "customer").selectExpr("c_name AS subject"), 0)
 
 
-ALIAS_SQL = """
-SELECT n_name AS subject, CASE WHEN k = 0 THEN 'is located in' ELSE 'is alias of' END AS predicate, CASE WHEN k = 0 THEN r_name ELSE n_name END AS object, k FROM nation"""
-
-
 @query("alias_explode", """
 SELECT c_name AS subject, 'buys in segment' AS predicate, c_mktsegment AS object, 0.7::DOUBLE AS confidence, 'process' AS knowledge_class FROM customer
 UNION ALL SELECT 'cust-' || c_custkey, 'is alias of', c_name, 0.95::DOUBLE, 'stable' FROM customer
 UNION ALL SELECT '#' || c_custkey, 'is alias of', c_name, 0.95::DOUBLE, 'stable' FROM customer WHERE c_custkey % 2 = 0""")
 def alias_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction results (JSON, as a model returns them) parsed into claims; every alias is a claim of its own."""
-    from attesta.operators import extraction
-
     raw = V.table(spark, sf_dir, "customer").selectExpr(
         "cast(c_custkey AS STRING) AS artifact_id", "'customers' AS source_artifact", "'' AS author",
         """to_json(named_struct('claims', array(named_struct('subject', c_name, 'predicate', 'buys in segment', 'object', c_mktsegment,
