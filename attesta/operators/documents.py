@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta.functions import render as R
 from attesta.functions import text as X
@@ -105,7 +106,7 @@ def section_diff(old: DataFrame, new: DataFrame, source: str = "source_uri", tex
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def diff_text(old: pd.Series, new: pd.Series) -> pd.Series:
     """The first 20 lines of a unified diff with one line of context."""
     def one(a: str, b: str) -> str:

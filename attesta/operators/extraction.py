@@ -126,7 +126,7 @@ def sentence_extractor(prompt: str) -> str:
     import json
     import re
 
-    body = prompt.split("Content:\n", 1)[-1]
+    body = re.sub(r"(?m)^#{1,6}\s.*$", "", prompt.split("Content:\n", 1)[-1])
     found = []
     for sentence in re.split(r"(?<=[.!?])\s+", body):
         m = re.match(r"^\s*(.{2,80}?)\s+(is|are|owns|uses|requires|supports|has)\s+(.{1,200}?)[.!?]?\s*$", sentence, re.S)
@@ -146,8 +146,12 @@ def claims_from(parsed: DataFrame, as_of: str) -> DataFrame:
 
     ev = one_evidence("artifact_id", "true", "source_artifact", "author", "0.5D", "source_span", f"TIMESTAMP_NTZ '{as_of}'")
     order = [F.col(c) for c in ("artifact_id", "subject", "predicate", "object", "natural_language")]
-    return assign_seq(parsed, order).selectExpr(
-        "seq", "left(sha2(concat_ws('|', artifact_id, seq, subject, predicate, object), 256), 32) AS claim_id", "subject", "predicate", "object",
-        "natural_language", "confidence", "knowledge_class", "valid_from", "valid_until", f"TIMESTAMP_NTZ '{as_of}' AS created_at",
-        f"{ev} AS evidence", "author", "source_artifact", NEW_CLAIM.strip(),
+    return run_sql(
+        f"""
+        SELECT seq, left(sha2(concat_ws('|', artifact_id, seq, subject, predicate, object), 256), 32) AS claim_id, subject, predicate, object,
+          natural_language, confidence, knowledge_class, valid_from, valid_until, TIMESTAMP_NTZ '{as_of}' AS created_at, {ev} AS evidence,
+          author, source_artifact, {NEW_CLAIM}
+        FROM @p
+        """,
+        p=assign_seq(parsed, order),
     )

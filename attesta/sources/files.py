@@ -46,8 +46,8 @@ def artifacts_of(files: DataFrame, root: str) -> DataFrame:
     rel = f"substring(path, instr(path, {X.lit(base)}) + {len(base)})"
     return files.where(f"{SUFFIX} IN {_in(SCAN_EXTENSIONS)} AND NOT endswith(path, '/{STATE_FILE}')").selectExpr(
         f"left(sha2(concat(path, sha2(content, 256)), 256), 32) AS artifact_id", "'local_file' AS source_type", "path AS source_uri",
-        f"{rel} AS title", "decode(content, 'UTF-8') AS body", "'' AS author", "cast(modificationTime AS TIMESTAMP_NTZ) AS content_created_at",
-        f"left(sha2(decode(content, 'UTF-8'), 256), 16) AS content_hash", "length AS file_size",
+        f"{rel} AS title", "make_valid_utf8(cast(content AS STRING)) AS body", "'' AS author", "cast(modificationTime AS TIMESTAMP_NTZ) AS content_created_at",
+        f"left(sha2(make_valid_utf8(cast(content AS STRING)), 256), 16) AS content_hash", "length AS file_size",
         f"CASE {SUFFIX} {types} ELSE 'text/plain' END AS mime_type", f"{SUFFIX} AS suffix",
     )
 
