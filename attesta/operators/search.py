@@ -89,18 +89,22 @@ def claims_block(ranked: DataFrame, max_claims: int = 50) -> DataFrame:
 def mentions(claims: DataFrame) -> DataFrame:
     """Relations (entity, related): another claim's subject occurs in a claim's object, in either direction.
 
-    Substring search as an equi join: every distinct object gives its substrings of the lengths subjects have, which
-    meet the subjects by value. Each hit is a true one; no pair of subject and object is tried in vain.
+    Substring search as an equi join: a subject is filed under its first 1, 2, 4, 8, 16 or 32 characters, whichever is
+    the most it has, and every distinct object gives its pieces of those lengths. Candidates are then compared whole.
     """
     return run_sql(
         """
-        WITH names AS (SELECT subject AS name, lower(subject) AS low FROM @c WHERE subject <> '' GROUP BY subject),
-        lengths AS (SELECT collect_set(length(low)) AS ls FROM names),
-        objects AS (SELECT obj, (SELECT ls FROM lengths) AS ls FROM (SELECT DISTINCT lower(object) AS obj FROM @c)),
+        WITH names AS (
+          SELECT subject AS name, lower(subject) AS low, left(lower(subject), k) AS piece, k FROM (
+            SELECT subject, cast(least(32, pow(2, floor(log2(length(lower(subject)))))) AS INT) AS k FROM @c WHERE subject <> '' GROUP BY subject)),
+        sizes AS (SELECT collect_set(k) AS ks FROM names),
+        objects AS (SELECT DISTINCT lower(object) AS obj FROM @c),
         pieces AS (
-          SELECT obj, explode(array_distinct(flatten(transform(filter(ls, l -> l <= length(obj)),
-            l -> transform(sequence(1, length(obj) - l + 1), i -> substring(obj, i, l)))))) AS piece FROM objects),
-        hits AS (SELECT obj, name FROM pieces JOIN names ON piece = low),
+          SELECT obj_id, explode(flatten(transform(filter(ks, k -> k <= n), k -> array_distinct(
+            transform(sequence(1, n - k + 1), i -> array_join(slice(chars, i, k), '')))))) AS piece
+          FROM (SELECT xxhash64(obj) AS obj_id, length(obj) AS n, split(obj, '') AS chars, (SELECT ks FROM sizes) AS ks FROM objects)),
+        candidates AS (SELECT DISTINCT obj_id, name, low FROM pieces JOIN names USING (piece)),
+        hits AS (SELECT obj, name FROM candidates JOIN objects ON obj_id = xxhash64(obj) WHERE contains(obj, low)),
         pairs AS (
           SELECT DISTINCT c.subject, h.name FROM (SELECT DISTINCT subject, lower(object) AS obj FROM @c) c JOIN hits h ON c.obj = h.obj
           WHERE c.subject <> h.name)
