@@ -90,15 +90,14 @@ def table_markers(x: str) -> str:
 
 def quality_score(md: str, tables: str) -> str:
     """Heuristic 0..1 score of a parse: length, tables and structure, less for noise."""
-    wc = word_count(md)
     marks = f"(regexp_count({md}, r'(?mdU)^#{{1,6}}\\s') + regexp_count({md}, r'(?mdU)^[-*]\\s'))"
-    noisy = f"length(regexp_replace({md}, r'[\\x00-\\x7F]', '')) / length({md}) > 0.1 AND {wc} > 0"
+    noisy = f"length(regexp_replace({md}, r'[\\x00-\\x7F]', '')) / length({md}) > 0.1 AND wc > 0"
     lines = f"filter(split({md}, r'{ANY_LINE_END}'), x -> {ws_trim('x')} <> '')"
-    short = f"coalesce(try_divide(aggregate({lines}, 0L, (acc, x) -> acc + length(x)), size({lines})) < 10, false)"
+    short = let("ls", lines, "coalesce(try_divide(aggregate(ls, 0L, (acc, x) -> acc + length(x)), size(ls)) < 10, false)")
     control = f"length(regexp_replace(left({md}, 500), r'[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ''))"
-    base = f"(least({wc} / 500D, 0.3D) + if({tables} > 0, 0.15D, 0D) + least({marks} / 20D, 0.2D))"
+    base = f"(least(wc / 500D, 0.3D) + if({tables} > 0, 0.15D, 0D) + least({marks} / 20D, 0.2D))"
     score = f"{base} * if({noisy}, 0.7D, 1D) * if({short}, 0.5D, 1D) * if({control} > 10, 0.1D, 1D)"
-    return f"if(coalesce(length({md}), 0) = 0, 0D, least({score}, 1D))"
+    return f"if(coalesce(length({md}), 0) = 0, 0D, least({let('wc', word_count(md), score)}, 1D))"
 
 
 def let(name: str, value: str, body: str) -> str:

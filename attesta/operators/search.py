@@ -8,6 +8,7 @@ from attesta.functions import render as R
 from attesta.functions import text as X
 from attesta.operators.ledger import list_claims
 from attesta.plans.sqlrun import run_sql
+from attesta.session import cut_lineage
 
 
 def contains_any(needle: str, *columns: str) -> str:
@@ -146,6 +147,12 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], limit: int | No
     terms = list(dict.fromkeys(t.lower() for t in terms))
     tokens = "filter(split(lower({0}), r'[^\\p{{L}}\\p{{N}}]+'), w -> w <> '')".format(text)
     tfs = ", ".join(f"size(filter(ws, w -> w = {X.lit(t)})) AS tf{i}" for i, t in enumerate(terms))
+    names = ", ".join(f"tf{i}" for i in range(len(terms)))
+    # one pass over the texts; ranking then reads only a few numbers per document
+    counts = cut_lineage(run_sql(
+        f"SELECT {key}, dl, {names} FROM @docs LATERAL VIEW inline(transform(array({tokens}), ws -> struct(size(ws) AS dl, {tfs}))) t AS dl, {names}",
+        docs=docs,
+    ))
     dfs = ", ".join(f"count_if(tf{i} > 0) AS df{i}" for i in range(len(terms)))
     parts = " + ".join(
         f"ln(1 + (st.n - st.df{i} + 0.5D) / (st.df{i} + 0.5D)) * tf{i} * {k1 + 1}D / (tf{i} + {k1}D * ({1 - b}D + {b}D * dl / st.avgdl))"
@@ -154,11 +161,10 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], limit: int | No
     found = " + ".join(f"tf{i}" for i in range(len(terms)))
     ranked = run_sql(
         f"""
-        WITH d AS (SELECT {key}, size(ws) AS dl, {tfs} FROM (SELECT {key}, {tokens} AS ws FROM @docs))
         SELECT {key}, {parts} AS score FROM (
-          SELECT *, (SELECT struct(count(*) AS n, avg(dl) AS avgdl, {dfs}) FROM d) AS st FROM d WHERE {found} > 0)
+          SELECT *, (SELECT struct(count(*) AS n, avg(dl) AS avgdl, {dfs}) FROM @d) AS st FROM @d WHERE {found} > 0)
         """,
-        docs=docs,
+        d=counts,
     )
     out = ranked.orderBy(ranked["score"].desc(), ranked[key].asc())
     return out if limit is None else out.limit(limit)

@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly expressions over a small table: a scan with fewer splits than cores is dealt out.
+
+    A table of any size has more splits than that and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(x: str, mapping: dict[str, str], default: str) -> str:
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
     return f"CASE {x} {cases} ELSE '{default}' END"
@@ -101,7 +110,7 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
             {ev} AS evidence, l_suppkey AS supplier_key
           FROM @lineitem LEFT JOIN @part ON l_partkey = p_partkey)
         """,
-        lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"),
+        lineitem=spread(table(spark, sf_dir, "lineitem")), part=table(spark, sf_dir, "part"),
     )
 
 
@@ -160,6 +169,6 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as Markdown: the sectioned text the chunk and diff operators work on."""
-    return table(spark, sf_dir, "pages").selectExpr(
+    return spread(table(spark, sf_dir, "pages")).selectExpr(
         "page_id", "url AS source_uri", f"{X.html_to_markdown('html')} AS markdown"
     )

@@ -60,7 +60,7 @@ freq AS (SELECT doc_id, b, count(*) AS n FROM bare WHERE b <> '' AND length(b) <
 
 @query("line_frequency", f"WITH {LINES} SELECT doc_id, b AS line, n FROM freq WHERE n >= 2")
 def line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.line_frequency(V.table(spark, sf_dir, "documents"), "doc_id", "text", least=2)
+    return D.line_frequency(V.spread(V.table(spark, sf_dir, "documents")), "doc_id", "text", least=2)
 
 
 @query("boilerplate_strip", f"""
@@ -77,7 +77,7 @@ def boilerplate_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
           {X.sha_prefix('body')} AS text_hash
         FROM (SELECT doc_id, text, size(split(text, '\\n')) AS n_before, {X.strip_boilerplate('text')} AS body FROM @d)
         """,
-        d=V.table(spark, sf_dir, "documents"),
+        d=V.spread(V.table(spark, sf_dir, "documents")),
     )
 
 
@@ -242,7 +242,7 @@ PREPARED = f"""*, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <>
 WITH p AS (SELECT {PREPARED} FROM (SELECT doc_id, text AS t, 0 AS tables FROM documents))
 SELECT doc_id, wc AS word_count, round({QUALITY_SQL} + 1e-9, 6) AS quality FROM p""")
 def parse_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").selectExpr(
+    return V.spread(V.table(spark, sf_dir, "documents")).selectExpr(
         "doc_id", f"{X.word_count('text')} AS word_count", f"round({X.quality_score('text', '0')} + 1e-9D, 6) AS quality"
     )
 
@@ -274,7 +274,7 @@ def _topic_cases(text: str) -> str:
 
 @query("topic_keyword", f"SELECT doc_id, {_topic_cases('lower(text)')} AS topics FROM documents")
 def topic_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").selectExpr("doc_id", f"array_join({TP.keyword_topics('text')}, ',') AS topics")
+    return V.spread(V.table(spark, sf_dir, "documents")).selectExpr("doc_id", f"array_join({TP.keyword_topics('text')}, ',') AS topics")
 
 
 @query("topic_counts", f"""
@@ -283,5 +283,5 @@ SELECT topic, count(*) AS n, count(DISTINCT source) AS n_sources FROM (
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(
         f"SELECT topic, count(*) AS n, count(DISTINCT source) AS n_sources FROM (SELECT source, explode({TP.keyword_topics('text')}) AS topic FROM @d) GROUP BY topic",
-        d=V.table(spark, sf_dir, "documents"),
+        d=V.spread(V.table(spark, sf_dir, "documents")),
     )

@@ -56,7 +56,7 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT item_id AS a_id, doc_id AS b_id, round({X.token_overlap('lower(a.text)', 'lower(b.text)')}, 6) AS overlap
         FROM @a a JOIN @b b ON a.item_id = b.doc_id % 40
         """,
-        a=V.table(spark, sf_dir, "benchmark"), b=V.table(spark, sf_dir, "documents"),
+        a=V.table(spark, sf_dir, "benchmark"), b=V.spread(V.table(spark, sf_dir, "documents")),
     )
 
 
@@ -165,14 +165,14 @@ FROM t, st WHERE tf0 + tf1 + tf2 > 0"""
 @query("search_bm25", BM25_SQL)
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over whole documents for three words."""
-    ranked = search.bm25(V.table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "elle", "sch"], limit=None)
+    ranked = search.bm25(V.spread(V.table(spark, sf_dir, "documents")), "doc_id", "text", ["the", "elle", "sch"], limit=None)
     return ranked.selectExpr("doc_id", "round(score, 6) AS score")
 
 
 @query("hybrid_search_bm25")
 def hybrid_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector ranking fused: documents by BM25, and those whose vector is nearest to the first vector."""
-    words = search.bm25(V.table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "elle"], limit=50)
+    words = search.bm25(V.spread(V.table(spark, sf_dir, "documents")), "doc_id", "text", ["the", "elle"], limit=50)
     by_words = run_sql("SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM @w", w=words)
     e = V.table(spark, sf_dir, "embeddings")
     near = run_sql(
@@ -340,7 +340,7 @@ def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT count(*) AS total, count_if(size(embedding) > 0) AS embedded, round(100D * count_if(size(embedding) > 0) / count(*), 1) AS coverage_pct
         FROM @d d LEFT JOIN @e e ON d.doc_id = e.vec_id
         """,
-        d=V.table(spark, sf_dir, "documents"), e=V.table(spark, sf_dir, "embeddings"),
+        d=V.spread(V.table(spark, sf_dir, "documents")), e=V.table(spark, sf_dir, "embeddings"),
     )
 
 
@@ -349,7 +349,7 @@ def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("slugify", f"""
 SELECT doc_id, coalesce(nullif(left(regexp_replace(replace(lower(trim(text, {WS})), ' ', '-'), '[^\\p{{L}}\\p{{N}}_-]', '', 'g'), 80), ''), 'unnamed') AS slug FROM documents""")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").selectExpr("doc_id", f"{X.slugify('text')} AS slug")
+    return V.spread(V.table(spark, sf_dir, "documents")).selectExpr("doc_id", f"{X.slugify('text')} AS slug")
 
 
 @query("date_parse", """
