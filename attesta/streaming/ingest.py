@@ -39,7 +39,8 @@ def event_windows(events: DataFrame, size: str = "1 day", delay: str = "10 minut
 def ledger_sink(spark: SparkSession, store: Snapshots, as_of: str, rule: ledger.Promotion = ledger.Promotion()) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch of arriving claims into the stored ledger.
 
-    The batch number is kept with the ledger, so a batch that is delivered again changes nothing.
+    The batch number is recorded last. A recorded batch that is delivered again changes nothing; one that was cut off
+    before is merged again, and evidence of artifacts the ledger already has is not added twice.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         done = store.read("batches")
