@@ -1,0 +1,25 @@
+"""One query per operator over its whole table, and the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from attesta.llm import suffix_array
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op9_suffix_array_dedup": suffix_array_dedup,
+}
+ORACLES: dict[str, str] = {}
