@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import suffix_array
+from attesta.llm import bpe, phrases, simhash, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def bpe_encode(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_simhash_near_dedup": simhash_near_dedup,
+    "op3_bpe": bpe_encode,
+    "op10_substring_dedup": phrase_dedup,
     "op9_suffix_array_dedup": suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {}
