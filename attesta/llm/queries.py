@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, phrases, simhash, suffix_array
+from attesta.llm import bpe, line_dedup, ngram_lm, phrases, sharding, simhash, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,14 @@ def bpe_encode(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = No
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+
+
+def score_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -34,9 +46,12 @@ def phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": dedup_lines,
     "op2_simhash_near_dedup": simhash_near_dedup,
     "op3_bpe": bpe_encode,
+    "op4_sharding": shard_groups,
+    "op7_lm_scoring": score_language,
     "op10_substring_dedup": phrase_dedup,
     "op9_suffix_array_dedup": suffix_array_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
