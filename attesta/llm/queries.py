@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, line_dedup, ngram_lm, phrases, sharding, simhash, suffix_array
+from attesta.llm import bpe, decontaminate, line_dedup, ngram_lm, phrases, quality, sharding, simhash, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def shard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def decontaminate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def judge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def score_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,9 @@ QUERIES: dict[str, Query] = {
     "op2_simhash_near_dedup": simhash_near_dedup,
     "op3_bpe": bpe_encode,
     "op4_sharding": shard_groups,
+    "op5_decontamination": decontaminate_documents,
     "op7_lm_scoring": score_language,
+    "op8_quality_rules": judge_quality,
     "op10_substring_dedup": phrase_dedup,
     "op9_suffix_array_dedup": suffix_array_dedup,
 }
