@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.text import mix, prefix_sums, span_hashes, tiles, words
@@ -133,10 +133,14 @@ def bloom_words(keys: DataFrame, column: str, rows: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``text_hash``, ``text``: the id and a hash of the text name a row, so equal ids with other texts stay apart."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``id``, ``text_hash``, ``text`` and ``more``: the id and a hash of the text name a row, so equal ids with other texts stay apart.
+
+    Ids are as good as unique, so 32 bits tell the texts of one id apart; rows without an id need 64.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    text_hash = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
+    return docs.select(F.col(id_col).alias("id"), text_hash.alias("text_hash"), text.alias("text"), *more)
 
 
 def recurring(docs: DataFrame, make: Callable, window: int, gram: int) -> DataFrame:

@@ -150,7 +150,6 @@ def contaminated(
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(item_type)
-    blocks = 1 + (tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
 
     def searching(block):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,15 +166,33 @@ def contaminated(
         return search
 
     found = None
-    for k in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about block_bytes of text
-        shared = spark.sparkContext.broadcast([(r.item_id, normal(r.text)) for r in block])
+    for shared in item_blocks(tests, block_bytes):
         part = rows.mapInArrow(searching(shared), f"id {id_type.simpleString()}, item_id {item_type.simpleString()}, distance int")
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("id").alias(id_col), F.col("item_id").alias(item_id_col), "distance")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item; ids name rows, and rows without an id stay."""
-    leaks = contaminated(docs, items, id_col, text_col).select(F.col(id_col).alias("_leak_id")).distinct()
-    return docs.join(leaks, docs[id_col] == leaks["_leak_id"], "left_anti")
+def item_blocks(tests: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcast lists of (item_id, normalised text), each of about ``block_bytes``; at least one."""
+    blocks = 1 + (tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes
+    for k in range(blocks):
+        block = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about block_bytes of text
+        yield tests.sparkSession.sparkContext.broadcast([(r.item_id, normal(r.text)) for r in block])
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = BUDGET_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; each block of items sifts what the one before has left."""
+    tests = items.where(F.col(item_text_col).isNotNull()).select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
+
+    def sifting(block):
+        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block.value, share)
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col))
+                yield batch.filter(pa.array([not matcher.distances(normal(t.as_py())) for t in texts], pa.bool_()))
+
+        return sift
+
+    for shared in item_blocks(tests, block_bytes):
+        docs = docs.mapInArrow(sifting(shared), docs.schema)
+    return docs

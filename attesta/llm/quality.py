@@ -217,3 +217,23 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = statistics.mapInArrow(score, f"id {id_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", quality double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return scored.select(F.col("id").alias(id_col), *COUNTS, failed.alias("base_failed"), (~failed & (F.col("quality") >= keep_from)).alias("kept"), "quality")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns. Rows are judged where they are read: nothing is joined or shuffled.
+
+    The trees are fitted from at most ``SAMPLE_ROWS`` labelled documents.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").withColumnRenamed("_id", id_col)
+    trees = fit(*labelled_sample(cut_lineage(document_statistics(sample, id_col, "text")), labels, id_col, label_col), list(STATISTICS.values()))
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in tiles(batches, text_col):
+            counts, matrix = counts_and_statistics(data, offsets)
+            failed = (counts[0] < MIN_WORDS) | (100 * counts[4] > REPEAT_PERCENT * counts[0])
+            yield rows.filter(pa.array(~failed & (shared.value.probability(matrix) >= keep_from)))
+
+    return docs.mapInArrow(sift, docs.schema)

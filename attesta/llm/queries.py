@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, decontaminate, line_dedup, ngram_lm, phrases, quality, sharding, simhash, suffix_array
+from attesta.llm import bpe, decontaminate, html_text, line_dedup, ngram_lm, phrases, quality, sharding, simhash, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def judge_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def score_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": bpe_encode,
     "op4_sharding": shard_groups,
     "op5_decontamination": decontaminate_documents,
+    "op6_html_extraction": extract_html,
     "op7_lm_scoring": score_language,
     "op8_quality_rules": judge_quality,
     "op10_substring_dedup": phrase_dedup,

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.anchors import keyed
 from attesta.llm.text import LOWER, tiles, words
 from attesta.session import cut_lineage
 
@@ -31,7 +32,7 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id`` and ``fingerprint`` of the rows of (id, text)."""
+    """``id``, ``text_hash`` and ``fingerprint`` of the rows of (id, text_hash, text)."""
     for rows, data, offsets in tiles(batches, "text"):
         data = LOWER[data]
         starts, ends, word_offsets = words(data, offsets)
@@ -56,7 +57,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             votes = np.add.reduceat(bits, edge[:-1], axis=0, dtype=np.int32)
             packed = np.packbits(votes * 2 > n[full][:, None], axis=1, bitorder="little")
             prints[full] = packed.view(np.uint64).ravel()
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(prints.view(np.int64))], ["id", "fingerprint"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(prints.view(np.int64))], ["id", "text_hash", "fingerprint"])
 
 
 def _mask(blocks: tuple[int, ...]) -> int:
@@ -154,6 +155,15 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """``id``, ``text_hash``, ``fingerprint`` and ``root`` (one fingerprint of the component) of rows from ``keyed``."""
+    id_type = rows.schema["id"].dataType.simpleString()
+    printed = cut_lineage(rows.mapInArrow(fingerprints, f"id {id_type}, text_hash long, fingerprint long"))
+    star = components(fingerprint_links(printed.select("fingerprint").distinct()))
+    rooted = printed.join(star, printed.fingerprint == star.node, "left")
+    return rooted.select("id", "text_hash", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest id reachable over close fingerprints.
 
@@ -161,21 +171,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words or a null text has fingerprint zero and is linked like any other. Repeated rows come out as often as they went in. A component in which
     no row has an id has a null ``component_id``. An empty table gives no rows. Other columns are left out.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    printed = cut_lineage(rows.mapInArrow(fingerprints, f"id {id_type}, fingerprint long"))
-    nodes = printed.groupBy("fingerprint").agg(F.min("id").alias("least"))
-    star = components(fingerprint_links(nodes.select("fingerprint")))
-    nodes = nodes.join(star, nodes.fingerprint == star.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(smallest, "root").select("fingerprint", "component_id")
-    return printed.join(named, "fingerprint").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rooted = _rooted(keyed(docs, id_col, text_col))
+    smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(smallest, "root").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component (the smallest id), with all their columns; rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    stays = docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
-    return stays.unionByName(docs.where(docs[id_col].isNull()))
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id (rows without an id last), then of the smallest text hash."""
+    others = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
+    rows = keyed(docs, id_col, text_col, others)
+    first = _rooted(rows.drop("whole")).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")).select("first.id", "first.text_hash")
+    d, f = rows.select("id", "text_hash", "whole").alias("d"), first.alias("f")
+    same = F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
+    one = d.join(f, same, "left_semi").dropDuplicates(["id", "text_hash"])
+    return one.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
