@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,12 +74,12 @@ class Page:
 
     def __init__(self, source: str, forms: bool = False):
         self.parent, self.tag, self.dropped = [-1], ["html"], [False]
+        self._links, self._articles = [0], [0]  # open links and article containers at each element
+        self._open: Counter[str] = Counter()
         self.blocks: list[tuple[int, str, int]] = []
         self._text: list[str] = []
         self._linked = 0
         stack = [0]  # open elements
-        links = 0
-        articles = 0
         at = 0
         while True:
             found = _TAG.search(source, at)
@@ -87,7 +88,7 @@ class Page:
                 if text:
                     text = html.unescape(text) if "&" in text else text
                     self._text.append(text)
-                    if links:
+                    if self._links[stack[-1]]:
                         self._linked += len(text)
             if not found:
                 break
@@ -105,32 +106,36 @@ class Page:
                         self._close(stack, ENDS[tag])
                 if tag in VOID:
                     continue
-                links = sum(self.tag[e] == "a" for e in stack)
-                articles = any(self.tag[e] in CONTAINERS for e in stack)
-                drop = self.dropped[stack[-1]] or (_unwanted(tag, attributes, articles) and not (forms and tag == "form"))
+                above = stack[-1]
+                drop = self.dropped[above] or (_unwanted(tag, attributes, self._articles[above] > 0) and not (forms and tag == "form"))
                 if not attributes.endswith("/") or tag in BLOCK or tag in _RAW:
-                    self.parent.append(stack[-1])
+                    self.parent.append(above)
                     self.tag.append(tag)
                     self.dropped.append(drop)
+                    self._links.append(self._links[above] + (tag == "a"))
+                    self._articles.append(self._articles[above] + (tag in CONTAINERS))
+                    self._open[tag] += 1
                     stack.append(len(self.tag) - 1)
-                    links += tag == "a"
                 if tag in _RAW:
                     close = _RAW[tag].search(source, at)
                     at = close.end() if close else len(source)
+                    self._open[tag] -= 1
                     stack.pop()
             elif end:
                 end = end.lower()
                 if end in BLOCK:
                     self._flush(stack[-1])
                 self._close(stack, (end,))
-                links = sum(self.tag[e] == "a" for e in stack)
         self._flush(stack[-1])
 
     def _close(self, stack: list[int], tags: tuple[str, ...]) -> None:
         """End the innermost open element of ``tags``; a paragraph or item only up to the container around it."""
+        if not any(self._open[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
             if tag in tags:
+                self._open.subtract([self.tag[e] for e in stack[k:]])
                 del stack[k:]
                 return
             if tag in SCOPE and tags[0] not in SCOPE:
