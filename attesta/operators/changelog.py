@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from attesta.functions import text as X
@@ -87,22 +90,26 @@ def route(events: DataFrame, handlers: DataFrame) -> DataFrame:
     )
 
 
-def handle(deliveries: DataFrame, has_token: bool = True, has_resolver: bool = True) -> DataFrame:
-    """What the built-in handlers do with a delivery: (handler_name, event_id, success, action_taken, details)."""
-    token, resolver = str(has_token).lower(), str(has_resolver).lower()
-    return run_sql(
-        f"""
-        SELECT handler_name, event_id, NOT (handler_name = 'gitlab_mr' AND NOT {token}) AS success,
-          CASE handler_name WHEN 'audit_log' THEN 'logged'
-            WHEN 'gitlab_mr' THEN if(NOT {token} OR get_json_object(payload, '$.resolution') = 'auto', 'skipped', 'mr_created')
-            WHEN 'conflict_escalation' THEN if({resolver}, 'escalated', 'skipped') ELSE 'skipped' END AS action_taken,
-          CASE WHEN handler_name = 'gitlab_mr' AND NOT {token} THEN 'No GitLab token configured'
-            WHEN handler_name = 'gitlab_mr' AND get_json_object(payload, '$.resolution') = 'auto' THEN 'Auto-resolved, no MR needed'
-            WHEN handler_name = 'conflict_escalation' AND NOT {resolver} THEN 'no resolver configured' ELSE '' END AS details
-        FROM @d
-        """.replace("get_json_object(payload, '$.resolution') = 'auto'", "coalesce(get_json_object(payload, '$.resolution'), '') = 'auto'"),
-        d=deliveries,
-    )
+def dispatch(deliveries: DataFrame, handlers: dict[str, Callable[[dict], str]]) -> DataFrame:
+    """Run registered callbacks: adds (success, action_taken, details) to each delivery.
+
+    A callback gets the delivery as a dict and returns what it did; an exception is kept as a result and stops nothing.
+    Deliveries without a callback are skipped. Results are written before they are used, so that reading them again
+    calls nobody; a task that is run again calls again, as callbacks outside Spark must expect.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                call = handlers.get(row["handler_name"])
+                try:
+                    out.append((call is not None, "skipped" if call is None else str(call(row)), ""))
+                except Exception as ex:  # noqa: BLE001 - callbacks may raise anything
+                    out.append((False, "failed", str(ex)[:500]))
+            yield pdf.assign(**{c: [o[k] for o in out] for k, c in enumerate(("success", "action_taken", "details"))})
+
+    fields = deliveries.schema.simpleString()[len("struct<"):-1] + ",success:boolean,action_taken:string,details:string"
+    return cut_lineage(deliveries.mapInPandas(run, fields))
 
 
 def claim_events(claims: DataFrame, as_of: str) -> DataFrame:

@@ -108,10 +108,10 @@ def section_diff(old: DataFrame, new: DataFrame, source: str = "source_uri", tex
 
 @F.pandas_udf(T.StringType())
 def diff_text(old: pd.Series, new: pd.Series) -> pd.Series:
-    """The first 20 lines of a unified diff with one line of context."""
+    """A unified diff with one line of context, whole; a display may shorten it."""
     def one(a: str, b: str) -> str:
         lines = difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="", n=1)
-        return "\n".join(line for line, _ in zip(lines, range(20)))
+        return "\n".join(lines)
 
     return pd.Series([one(a, b) for a, b in zip(old, new)], index=old.index)
 
@@ -177,7 +177,7 @@ def parse_best(candidates: DataFrame, key: str) -> DataFrame:
 
 
 def cached_split(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks found in the extraction cache (chunk_hash, claims), and distinct chunk hashes still to extract."""
+    """Chunks found in the extraction cache (chunk_hash, response), and all chunks still to extract."""
     hits = chunks.join(cache, "chunk_hash", "inner")
     misses = chunks.join(cache.select("chunk_hash"), "chunk_hash", "left_anti")
     return hits, misses

@@ -32,9 +32,9 @@ def page_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def entity_summary(pc: DataFrame, topics: DataFrame | None = None) -> DataFrame:
-    """Per subject: claims, average score, number of sources, and topics."""
+    """Per subject: claims, average score (a decimal sum, so that the order of addition does not matter), number of sources, and topics."""
     base = run_sql(
-        "SELECT subject, count(*) AS claim_count, round(avg(truth_score), 3) AS avg_truth_score, count(DISTINCT source) AS n_sources FROM @p GROUP BY subject",
+        "SELECT subject, count(*) AS claim_count, round(cast(sum(cast(round(truth_score, 9) AS DECIMAL(28,9))) AS DOUBLE) / count(*), 3) AS avg_truth_score, count(DISTINCT source) AS n_sources FROM @p GROUP BY subject",
         p=pc,
     )
     if topics is None:

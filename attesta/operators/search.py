@@ -16,10 +16,9 @@ def contains_any(needle: str, *columns: str) -> str:
     return "(" + " OR ".join(f"contains(lower({c}), {low})" for c in columns) + ")"
 
 
-def search_claims(claims: DataFrame, query: str, limit: int = 20, window: int = 200) -> DataFrame:
-    """Best ``limit`` hits among the ``window`` best claims; text, subject and object are searched, the predicate is not."""
-    best = list_claims(claims, limit=window)
-    return list_claims(best.where(contains_any(query, "natural_language", "subject", "object")), limit=limit)
+def search_claims(claims: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Best ``limit`` hits in the whole ledger; text, subject and object are searched, the predicate is not."""
+    return list_claims(claims.where(contains_any(query, "natural_language", "subject", "object")), limit=limit)
 
 
 def claims_by_entity(claims: DataFrame, name: str) -> DataFrame:
@@ -171,7 +170,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], limit: int | No
 
 
 def fuse(rankings: list[DataFrame], key: str, limit: int = 10, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of short ranked lists (key, rank)."""
+    """Reciprocal rank fusion of whole rankings (key, rank): one grouped sum, then the best ``limit``."""
     both = rankings[0].select(key, "rank")
     for r in rankings[1:]:
         both = both.unionByName(r.select(key, "rank"))

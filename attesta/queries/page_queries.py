@@ -45,7 +45,7 @@ def flagship_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("entity_page_summary", f"""
 WITH {LEDGER1}
-SELECT subject, count(*) AS claim_count, round(avg(truth_score), 3) AS avg_truth_score, count(DISTINCT first_source) AS n_sources FROM ledger1 GROUP BY subject""")
+SELECT subject, count(*) AS claim_count, round(sum(round(truth_score, 9)::DECIMAL(28,9))::DOUBLE / count(*), 3) AS avg_truth_score, count(DISTINCT first_source) AS n_sources FROM ledger1 GROUP BY subject""")
 def entity_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pc, _ = _page_claims(spark, sf_dir)
     return pages.entity_summary(pc)
@@ -212,10 +212,10 @@ def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stable_hash", """
 WITH lines AS (SELECT doc_id, unnest(arr) AS line, generate_subscripts(arr, 1) AS pos FROM (
   SELECT doc_id, string_split_regex(regexp_replace('last_updated: now' || chr(10) || text, '(\\r\\n|\\n|\\r)$', ''), '\\r\\n|\\n|\\r') AS arr FROM documents))
-SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY pos)) AS hash FROM lines WHERE NOT regexp_matches(trim(line), '^last_(updated|projected):') GROUP BY doc_id""")
+SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT regexp_matches(trim(line), '^last_(updated|projected):')), '')) AS hash FROM lines GROUP BY doc_id""")
 def stable_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = "concat('last_updated: now\\n', text)"
-    return V.table(spark, sf_dir, "documents").where("text <> ''").selectExpr("doc_id", f"{X.stable_hash(page)} AS hash")
+    return V.table(spark, sf_dir, "documents").selectExpr("doc_id", f"{X.stable_hash(page)} AS hash")
 
 
 @query("commit_batches", f"""

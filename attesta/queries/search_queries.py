@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attesta.functions import dates
 from attesta.functions import render as R
@@ -11,18 +12,19 @@ from attesta.functions import text as X
 from attesta.operators import changelog as CL
 from attesta.operators import ledger, search, semantic
 from attesta.plans import views as V
+from attesta.plans.ordered import ordered_index
 from attesta.plans.sqlrun import run_sql
 from attesta.queries.base import C2, LEDGER1, WS, query
 from attesta.queries.common import ledger_c1, stamped_c1
 
 
 @query("claim_search", f"""
-WITH {LEDGER1}, best AS (SELECT * FROM ledger1 ORDER BY truth_score DESC, seq LIMIT 200)
-SELECT claim_id, natural_language, round(truth_score, 3) AS truth_score, status, knowledge_class, n_supporting AS evidence_count FROM best
-WHERE contains(lower(natural_language), '1') AND (contains(lower(natural_language), 'status f') OR contains(lower(subject), 'status f') OR contains(lower(object), 'status f'))
-ORDER BY best.truth_score DESC, seq LIMIT 20""".replace("contains(lower(natural_language), '1') AND ", ""))
+WITH {LEDGER1}
+SELECT claim_id, natural_language, round(truth_score, 3) AS truth_score, status, knowledge_class, n_supporting AS evidence_count FROM ledger1
+WHERE (contains(lower(natural_language), 'status f') OR contains(lower(subject), 'status f') OR contains(lower(object), 'status f'))
+ORDER BY ledger1.truth_score DESC, seq LIMIT 20""")
 def claim_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-stage search: the 200 best claims, then the 20 best hits among them."""
+    """The 20 best hits in the whole ledger."""
     hits = search.search_claims(ledger_c1(spark, sf_dir), "Status F", limit=20)
     return hits.selectExpr(
         "claim_id", "natural_language", "round(truth_score, 3) AS truth_score", "status", "knowledge_class", "n_supporting AS evidence_count"
@@ -47,16 +49,17 @@ def similar_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_overlap", """
 WITH t AS (SELECT a.item_id AS a_id, b.doc_id AS b_id, list_distinct(list_filter(string_split_regex(lower(a.text), '\\s+'), lambda w: w <> '')) AS ta,
-    list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda w: w <> '')) AS tb FROM benchmark a JOIN documents b ON a.item_id = b.doc_id % 40)
+    list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda w: w <> '')) AS tb FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS no, count(*) OVER () AS items FROM benchmark) a JOIN documents b ON a.no = b.doc_id % a.items)
 SELECT a_id, b_id, round(len(list_intersect(ta, tb)) / CAST(greatest(len(ta), len(tb)) AS DOUBLE), 6) AS overlap FROM t""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token overlap of each document with one benchmark item."""
+    """Token overlap of each document with one benchmark item, all items in turn."""
+    items = ordered_index(V.table(spark, sf_dir, "benchmark"), [], [F.col("item_id")], "no")
     return run_sql(
         f"""
         SELECT item_id AS a_id, doc_id AS b_id, round({X.token_overlap('lower(a.text)', 'lower(b.text)')}, 6) AS overlap
-        FROM @a a JOIN @b b ON a.item_id = b.doc_id % 40
+        FROM @a a JOIN (SELECT *, doc_id % (SELECT count(*) FROM @a) + 1 AS item_no FROM @b) b ON a.no = b.item_no
         """,
-        a=V.table(spark, sf_dir, "benchmark"), b=V.spread(V.table(spark, sf_dir, "documents")),
+        a=items, b=V.spread(V.table(spark, sf_dir, "documents")),
     )
 
 
@@ -169,21 +172,31 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.selectExpr("doc_id", "round(score, 6) AS score")
 
 
-@query("hybrid_search_bm25")
+HYBRID_SQL = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
+t AS (SELECT doc_id, len(ws) AS dl, len(list_filter(ws, lambda w: w = 'the')) AS tf0, len(list_filter(ws, lambda w: w = 'elle')) AS tf1 FROM d),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count_if(tf0 > 0) AS df0, count_if(tf1 > 0) AS df1 FROM t),
+b AS (SELECT doc_id, round(ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+  + ln(1 + (n - df1 + 0.5) / (df1 + 0.5)) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM t, st WHERE tf0 + tf1 > 0),
+q AS (SELECT arg_min(embedding, vec_id) AS q FROM embeddings),
+e AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT q FROM q)::DOUBLE[]) AS sim FROM embeddings),
+ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b
+  UNION ALL SELECT doc_id, row_number() OVER (ORDER BY round(sim, 6) DESC, doc_id) FROM e)
+SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ranks GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query("hybrid_search_bm25", HYBRID_SQL)
 def hybrid_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword and vector ranking fused: documents by BM25, and those whose vector is nearest to the first vector."""
-    words = search.bm25(V.spread(V.table(spark, sf_dir, "documents")), "doc_id", "text", ["the", "elle"], limit=50)
-    by_words = run_sql("SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM @w", w=words)
+    """Keyword and vector ranking fused: all documents with a hit by BM25, and all vectors by their nearness to the first vector."""
+    words = search.bm25(V.spread(V.table(spark, sf_dir, "documents")), "doc_id", "text", ["the", "elle"], limit=None)
+    by_words = ordered_index(words.selectExpr("doc_id", "round(score, 6) AS score"), [], [F.desc("score"), F.col("doc_id")], "rank")
     e = V.table(spark, sf_dir, "embeddings")
     near = run_sql(
-        f"""
-        SELECT vec_id AS doc_id, {SC.cosine('embedding', 'q')} AS sim FROM (SELECT *, (SELECT min_by(embedding, vec_id) FROM @e) AS q FROM @e)
-        ORDER BY sim DESC, vec_id LIMIT 50
-        """,
-        e=e,
+        f"SELECT vec_id AS doc_id, round({SC.cosine('embedding', 'q')}, 6) AS sim FROM (SELECT *, (SELECT min_by(embedding, vec_id) FROM @e) AS q FROM @e)", e=e
     )
-    by_vector = run_sql("SELECT doc_id, row_number() OVER (ORDER BY sim DESC, doc_id) AS rank FROM @n", n=near)
-    return search.fuse([by_words, by_vector], "doc_id", limit=20)
+    by_vector = ordered_index(near, [], [F.desc("sim"), F.col("doc_id")], "rank")
+    return search.fuse([by_words, by_vector], "doc_id", limit=20).selectExpr("doc_id", "round(score, 9) AS score")
 
 
 # --- change log ---
@@ -264,13 +277,18 @@ def event_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _escalate(delivery: dict) -> str:
+    return f"escalated {delivery['change_type']}"
+
+
 @query("event_handling", f"""
 WITH {E1}
-SELECT h.handler_name, TRUE AS success, CASE h.handler_name WHEN 'audit_log' THEN 'logged' WHEN 'gitlab_mr' THEN 'mr_created' WHEN 'conflict_escalation' THEN 'escalated' ELSE 'skipped' END AS action_taken, count(*) AS n
+SELECT h.handler_name, h.handler_name IN ('audit_log', 'conflict_escalation') AS success, CASE h.handler_name WHEN 'audit_log' THEN 'logged' WHEN 'conflict_escalation' THEN 'escalated ' || e.change_type ELSE 'skipped' END AS action_taken, count(*) AS n
 FROM e1 e JOIN {HANDLERS} ON (h.change_type IS NULL OR h.change_type = e.change_type) WHERE h.only_type IS NULL OR h.only_type = e.change_type GROUP BY ALL""")
 def event_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    handlers = spark.sql(f"SELECT * FROM {HANDLERS}")
-    done = CL.handle(CL.route(V.change_events(spark, sf_dir), handlers))
+    """Callbacks registered for two of the handlers, run for every delivery."""
+    routed = CL.route(V.change_events(spark, sf_dir), spark.sql(f"SELECT * FROM {HANDLERS}"))
+    done = CL.dispatch(routed, {"audit_log": lambda delivery: "logged", "conflict_escalation": _escalate})
     return run_sql("SELECT handler_name, success, action_taken, count(*) AS n FROM @d GROUP BY ALL", d=done)
 
 
