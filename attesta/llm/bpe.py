@@ -3,7 +3,8 @@
 Words are runs between ASCII white space. Spark counts them over all texts; the most frequent ones (a bounded number) get their ids on the
 driver and are compiled into a minimal acyclic automaton: common suffixes are shared, and adding up the counts along a
 path gives the number of the word, which points to its ids. The automaton lies in the shared folder as sorted arrays that
-every worker maps into memory. A task walks it for all new words at once, one byte a step; words that are not in it are merged exactly.
+every worker maps into memory. A task walks it for all new words at once, one byte a step; words that are not in it are merged exactly,
+in numpy, each round merging the best pair of every word.
 
 The scheme is the one of a tokenizer file with NFC, lower case, a word pattern, byte-level characters and an end-of-word
 mark; other schemes are refused.
@@ -27,10 +28,13 @@ from tokenizers import Tokenizer
 
 from attesta.llm.files import map_arrays, save_arrays, shared_folder
 from attesta.llm.text import ragged, tiles
+from attesta.session import cut_lineage
 
 LEXICON_WORDS = 1 << 18
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 19
 LONGEST_LEXICON_WORD = 64
+LONGEST_IN_STEP = 40
+NO_RANK = np.int32(2**31 - 1)
 #: Fixed value: the word pattern and the normalisation of the tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -58,6 +62,11 @@ class Merger:
         self.words = regex.compile(PATTERN)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.size = 1 + max(self.ids.values())
+        pairs = [(self.ids[a] * self.size + self.ids[b], rank, self.ids[a + b]) for (a, b), rank in self.ranks.items()]
+        self.pair, self.pair_rank, self.pair_id = (np.array(x, t) for x, t in zip(zip(*sorted(pairs), strict=True), (np.int64, np.int32, np.int32), strict=True))
+        self.first_ids = {c: self.ids[c] for c in self.characters}
+        self.last_ids = {c: self.ids[c + self.end] for c in self.characters}
         whole = Tokenizer.from_str(json.dumps(spec))
         self.newer = (whole.normalizer, whole.pre_tokenizer)
         self.tokens = {**{i: t for t, i in self.ids.items()}, **{i: t for t, i in self.special.items()}}
@@ -86,17 +95,70 @@ class Merger:
                     heapq.heappush(queue, (ranks[parts[a], parts[b]], a, (parts[a], parts[b])))
         return [self.ids[p] for p in parts if p]
 
-    def encode(self, run: str) -> list[int]:
-        """The ids of a run of text; special tokens in it count as such."""
-        out: list[int] = []
-        for part in self.specials.split(run) if self.specials else [run]:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            for word in self.split(part):
-                out += self.merge(word)
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the merge of each pair of ids; negative ids have none."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = (self.pair[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.pair_rank[at], NO_RANK), self.pair_id[at]
+
+    def merge_many(self, words: list[str]) -> list[list[int]]:
+        """``merge`` for many words: those of one length are a matrix, and each round merges the best pair of every row, leftmost first."""
+        out: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            if len(word) > LONGEST_IN_STEP:
+                out[k] = self.merge(word)
+            else:
+                by_length.setdefault(len(word), []).append(k)
+        first, last = self.first_ids, self.last_ids
+        for length, members in by_length.items():
+            ids = np.array([[*map(first.__getitem__, words[k][:-1]), last[words[k][-1]]] for k in members], np.int32)
+            rows = np.array(members)
+            column = np.arange(length)
+            rank, into = self._rank(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                best = rank.argmin(axis=1) if length > 1 else np.zeros(len(rows), int)
+                going = rank[np.arange(len(rows)), best] < NO_RANK if length > 1 else np.zeros(len(rows), bool)
+                for k, found in zip(rows[~going].tolist(), ids[~going].tolist(), strict=True):
+                    out[k] = found[: found.index(-1)] if found[-1] < 0 else found
+                rows, ids, rank, into, best = rows[going], ids[going], rank[going], into[going], best[going]
+                if not len(rows):
+                    break
+                at = np.arange(len(rows))
+                ids[at, best] = into[at, best]
+                # what stands to the right of the pair moves up by one
+                source = np.minimum(column + (column > best[:, None]), length - 1)
+                ids = np.take_along_axis(ids, source, axis=1)
+                ids[:, -1] = -1
+                source = source[:, : length - 1]
+                source = np.minimum(source, length - 2)
+                rank, into = np.take_along_axis(rank, source, axis=1), np.take_along_axis(into, source, axis=1)
+                rank[:, -1] = NO_RANK
+                for k in (best - 1, best):
+                    inside = (k >= 0) & (k < length - 1)
+                    row, k = at[inside], k[inside]
+                    rank[row, k], into[row, k] = self._rank(ids[row, k], ids[row, k + 1])
         return out
 
+    def encode_many(self, runs: list[str]) -> list[list[int]]:
+        """The ids of each run of text; special tokens in it count as such."""
+        words: dict[str, int] = {}
+        parts: list[list[int]] = []
+        for run in runs:
+            mine: list[int] = []
+            for part in self.specials.split(run) if self.specials and "<" in run else (run,):
+                if part in self.special:
+                    mine.append(-1 - self.special[part])
+                elif part:
+                    mine += [words.setdefault(w, len(words)) for w in self.split(part)]
+            parts.append(mine)
+        ids = self.merge_many(list(words))
+        return [ids[mine[0]] if len(mine) == 1 and mine[0] >= 0 else [i for k in mine for i in (ids[k] if k >= 0 else (-1 - k,))] for mine in parts]
+
+    def encode(self, run: str) -> list[int]:
+        return self.encode_many([run])[0]
+
     def split(self, text: str) -> list[str]:
         """The words of the pattern in byte-level characters."""
         if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
@@ -104,7 +166,9 @@ class Merger:
             return [word for word, _ in self.newer[1].pre_tokenize_str(self.newer[0].normalize_str(text))]
         # each character is lower-cased by itself: no final sigma
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return ["".join([self.characters[b] for b in word.encode()]) for word in self.words.findall(text)]
+        characters = self.characters
+        found = (text,) if text.isalpha() else self.words.findall(text)
+        return [word if word.isascii() and word.isprintable() else "".join([characters[b] for b in word.encode()]) for word in found]
 
 
 def compile_lexicon(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -196,11 +260,18 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_lexicon(texts: DataFrame, merger: Merger, size: int = LEXICON_WORDS) -> str:
-    """Count the words of ``texts`` (column text), compile the ``size`` most frequent ones, return the folder of the arrays."""
-    counted = texts.select("text").mapInArrow(_counting, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
-    words = sorted(top.column("word").to_pylist())
-    ids = [merger.encode(w.decode()) for w in words]
+    """Count the words of ``texts`` (column text), compile the most frequent ones, at most ``size``, return the folder of the arrays."""
+    counted = texts.select("text").mapInArrow(_counting, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = cut_lineage(counted.withColumn("grade", F.floor(F.log2("n") * 8)))
+    # grades of frequency, a few hundred rows: the lowest from which on all words fit
+    grade, room = 1 << 30, size
+    for row in counted.groupBy("grade").agg(F.count("*").alias("words")).orderBy(F.desc("grade")).collect():
+        room -= row.words
+        if room < 0:
+            break
+        grade = row.grade
+    words = sorted(counted.where(F.col("grade") >= grade).select("word").toArrow().column("word").to_pylist())
+    ids = merger.encode_many([w.decode() for w in words])
     folder = shared_folder(texts.sparkSession, "lexicon")
     arrays = compile_lexicon(words)
     save_arrays(folder, **arrays, ids=np.array([i for x in ids for i in x], np.uint32), ids_at=np.cumsum([0, *map(len, ids)]))
@@ -226,12 +297,15 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         numbers = walk(*self.automaton, words)
+        others = np.flatnonzero(numbers < 0).tolist()
+        merged = dict(zip(others, self.merger.encode_many([words[k].decode() for k in others]), strict=True))
+        known, strings = self.known, self.strings
         ids, texts = [], []
-        for word, number in zip(words, numbers.tolist(), strict=True):
-            self.known[word] = len(self.known)
-            mine = self.ids[self.ids_at[number] : self.ids_at[number + 1]].tolist() if number >= 0 else self.merger.encode(word.decode())
+        for k, (word, number) in enumerate(zip(words, numbers.tolist(), strict=True)):
+            known[word] = len(known)
+            mine = self.ids[self.ids_at[number] : self.ids_at[number + 1]].tolist() if number >= 0 else merged[k]
             ids.append(mine)
-            texts.append(b"".join([self.strings[i] for i in mine]))
+            texts.append(b"".join([strings[i] for i in mine]))
         self.id_count = np.append(self.id_count, [len(x) for x in ids])
         self.text_size = np.append(self.text_size, [len(x) for x in texts])
         self.flat_ids = np.append(self.flat_ids, np.array([i for x in ids for i in x], np.uint32))
