@@ -10,6 +10,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attesta import schema as S
 from attesta.config import Settings
@@ -76,20 +77,20 @@ class Brain:
                               "regexp_extract(source_uri, r'([^/]+)$', 1) AS source_artifact"),
             ["artifact_id", "source_uri", "source_type", "title", "author", "dated", "source_artifact"], "markdown", self.settings.chunk_size,
         ))
-        cache = self._table("extractions", "chunk_hash string, response string")
+        cache = self._table("extractions", "chunk_hash string, part int, response string")
         hits, misses = documents.cached_split(chunks, cache)
-        answers = extraction.call_extractor(
-            extraction.prompts(misses), self.extract, self.settings.llm_max_concurrent, self.settings.llm_rate_limit_rpm,
-            self.settings.llm_retry_max, timeout=self.settings.llm_request_timeout,
-        )
-        fresh = run_sql("SELECT chunk_hash, min(response) AS response FROM @a WHERE error IS NULL GROUP BY chunk_hash", a=answers)
+        # one call for each different chunk, however many files hold it
+        once = misses.dropDuplicates(["chunk_hash"])
+        answers = self._call(extraction.prompts(once))
+        answered = answers.where("error IS NULL").select("chunk_hash", "part", "response")
+        fresh = cut_lineage(answered.join(answers.where("error IS NOT NULL").select("chunk_hash"), "chunk_hash", "left_anti"))
         columns = ["artifact_id", "source_uri", "source_artifact", "author", "response"]
-        parsed_claims = extraction.parse_responses(answers.select(*columns).unionByName(hits.select(*columns)))
+        parsed_claims = extraction.parse_responses(misses.join(answered, "chunk_hash").select(*columns).unionByName(hits.select(*columns)))
         claims = extraction.claims_from(parsed_claims, now)
         n_claims = self._add(claims, now)
         claim_events = changelog.claim_events(claims.selectExpr("subject", "predicate", "object", "source_artifact AS source_uri"), now)
         n_events = self._emit(doc_events.unionByName(claim_events.selectExpr(*EVENT_COLUMNS.split(", "))))
-        n_hits = hits.count()
+        n_hits = hits.select("artifact_id", "chunk_hash").distinct().count()
         self.store.upsert("extractions", fresh, ["chunk_hash"])
         self.store.upsert("documents", parsed.select("source_uri", "markdown", "content_hash"), ["source_uri"])
         self.store.write("file_state", cut_lineage(state))
@@ -103,9 +104,15 @@ class Brain:
         art = files.manual_text(self.spark, title, body, author).selectExpr(
             "*", "body AS content", f"'{now}' AS dated", "title AS source_artifact"
         )
-        answers = extraction.call_extractor(extraction.prompts(art), self.extract, tasks=1)
+        answers = self._call(extraction.prompts(art))
         return {"artifacts": 1, "claims": self._add(extraction.claims_from(extraction.parse_responses(answers), now), now)}
 
+    def _call(self, prompts: DataFrame) -> DataFrame:
+        """Answers of the extractor; only an outside service is paced."""
+        s = self.settings
+        tasks = None if self.extract is extraction.sentence_extractor else 8
+        return extraction.call_extractor(prompts, self.extract, s.llm_max_concurrent, s.llm_rate_limit_rpm, s.llm_retry_max, timeout=s.llm_request_timeout, tasks=tasks)
+
     def _add(self, claims: DataFrame, now: str) -> int:
         """Stamp authority, merge (by meaning too when an embedder is given), decay and store. Returns arriving claims."""
         stamped = cut_lineage(authority.stamp(claims, self.authority()))
@@ -139,8 +146,6 @@ class Brain:
 
     def _emit(self, events: DataFrame) -> int:
         """Append events with ids and numbers that continue those of the log."""
-        from pyspark.sql import functions as F
-
         log = self.store.read("events")
         start = 0 if log is None else (log.agg({"seq": "max"}).collect()[0][0] or 0) + 1
         rows = assign_seq(events, [F.col(c) for c in ("ts", "change_type", "source_uri", "entity_id", "payload")]).selectExpr(
@@ -267,6 +272,6 @@ class Brain:
         return {name: self._table(name, "x int").count() for name in ("documents", "extractions")}
 
     def clear_cache(self) -> int:
-        n = self._table("extractions", "chunk_hash string, response string").count()
-        self.store.write("extractions", self.spark.createDataFrame([], "chunk_hash string, response string"))
+        n = self._table("extractions", "chunk_hash string, part int, response string").count()
+        self.store.write("extractions", self.spark.createDataFrame([], "chunk_hash string, part int, response string"))
         return n

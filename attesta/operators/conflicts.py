@@ -79,6 +79,39 @@ def conflict_counts(claims: DataFrame, similarity: float = S.CONFLICT_SIMILARITY
     )
 
 
+# strategy -> what the winner of a group has most of; among equals the earliest wins.
+_ORDER = {"authority_wins": "best_authority", "recency_wins": "created_at", "majority_wins": "n_supporting", "higher_score": "truth_score"}
+
+
+def winners(claims: DataFrame, strategy: str = "authority_wins", similarity: float = S.CONFLICT_SIMILARITY, auto_delta: float = S.AUTO_RESOLVE_DELTA) -> DataFrame:
+    """Conflicts as groups: one row for each claim that contradicts the winner of its (subject, predicate).
+
+    Every strategy is an order, so the winner is a maximum and the result is linear in the claims: a subject with a million
+    values is a million rows, spread over tasks by its size, where pairs would be 5 x 10^11. ``detect_within`` lists the pairs
+    for subjects somebody asks for.
+    """
+    if strategy not in _ORDER:
+        raise ValueError(f"Unknown strategy: {strategy}. Valid: {list(_ORDER)}")
+    keyed = _keyed(claims)
+    best = run_sql(
+        f"""
+        SELECT ck, n, w.* FROM (
+          SELECT ck, count(*) AS n, min(value) <> max(value) AS differ,
+            max_by(struct(claim_id AS winner_id, value AS winner_value, truth_score AS winner_score), struct({_ORDER[strategy]}, -seq)) AS w
+          FROM @k GROUP BY ck) WHERE differ
+        """,
+        k=keyed,
+    )
+    met = skew.salted_lookup(keyed, best, "ck", "n", "claim_id")
+    return run_sql(
+        f"""
+        SELECT ck, winner_id, claim_id AS loser_id, abs(truth_score - winner_score) AS confidence, abs(truth_score - winner_score) >= {auto_delta}D AS auto
+        FROM @m WHERE value <> winner_value AND {X.token_overlap('value', 'winner_value')} < {similarity}D
+        """,
+        m=met,
+    )
+
+
 # strategy -> (a wins, rationale of the winner w over the loser l); a tie goes to a.
 _RULES = {
     "authority_wins": (

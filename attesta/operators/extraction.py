@@ -7,9 +7,10 @@ a lost executor never pays twice for a finished partition.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, wait
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from attesta.functions import text as X
 from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
 
-BODY_LIMIT = 8000
+PROMPT_CHARS = 8000  # what one call reads; longer content becomes several prompts
 # Texts in an error that make it worth another try.
 TRANSIENT = ("429", "rate_limit", "500", "502", "503", "timeout")
 
@@ -32,12 +33,18 @@ RESPONSE = (
 )
 
 
-def prompts(chunks: DataFrame, limit: int = BODY_LIMIT) -> DataFrame:
-    """The prompt of each chunk (source_type, title, author, source_artifact, dated, content); the service reads ``limit`` characters."""
-    return chunks.where(f"{X.ws_trim('content')} <> ''").selectExpr(
-        "*",
+def prompts(chunks: DataFrame, limit: int = PROMPT_CHARS) -> DataFrame:
+    """The prompts of each chunk (source_type, title, author, source_artifact, dated, content), numbered by ``part``.
+
+    A prompt has at most ``limit`` characters of content. Longer content is split where white space allows, and nothing is left out
+    but the white space at a split; a run of ``limit`` characters without any is cut there.
+    """
+    parts = f"regexp_extract_all(content, '(?s)(?:.{{1,{limit}}}(?=\\\\s|$)|.{{1,{limit}}})', 0)"
+    split = chunks.where(f"{X.ws_trim('content')} <> ''").selectExpr("*", f"posexplode({parts}) AS (part, _piece)")
+    return split.where(f"{X.ws_trim('_piece')} <> ''").selectExpr(
+        *chunks.columns, "part",
         f"""concat('Source: ', source_type, '\\nTitle: ', title, '\\nAuthor: ', author, '\\nFilename: ', source_artifact, '\\nDate: ', dated,
-            '\\n\\nContent:\\n', left(content, {limit})) AS prompt""",
+            '\\n\\nContent:\\n', _piece) AS prompt""",
     )
 
 
@@ -47,43 +54,76 @@ def is_transient(error: str) -> bool:
 
 
 def call_extractor(
-    prompts_df: DataFrame, extract: Callable[[str], str], max_concurrent: int = 8, rate_per_minute: int = 500, retries: int = 3,
-    backoff: float = 1.0, timeout: float = 30.0, tasks: int = 8,
+    prompts_df: DataFrame, extract: Callable[[str], str], max_concurrent: int = 8, rate_per_minute: int | None = 500, retries: int = 3,
+    backoff: float = 1.0, timeout: float = 30.0, tasks: int | None = 8,
 ) -> DataFrame:
-    """Add (response, error, latency_ms) to prompts. The rate limit is shared out over ``tasks`` partitions."""
-    interval = 60.0 * tasks / max(rate_per_minute, 1)
-    width = max(1, max_concurrent // tasks)
+    """Add (response, error, latency_ms) to prompts.
+
+    ``max_concurrent`` calls and ``rate_per_minute`` are shared out over ``tasks`` partitions; with ``tasks`` None (a rule that runs in the
+    task itself) the partitions stay as they are and nothing is paced. A task keeps its share of calls in flight; a call that has
+    not answered in time is given up, and those that wait behind it go on in a new thread.
+    """
+    paced = tasks is not None and rate_per_minute is not None
+    interval = 60.0 * tasks / max(rate_per_minute, 1) if paced else 0.0
+    width = max(1, -(-max_concurrent // (tasks or 1))) if tasks else 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(width) as pool:
-            for pdf in batches:
-                rows = []
-                for start in range(0, len(pdf), width):
-                    part = list(pdf["prompt"].iloc[start:start + width])
-                    for text in part:
-                        rows.append(attempt(pool, text))
-                out = pd.DataFrame(rows, columns=["response", "error", "latency_ms"], index=pdf.index)
-                yield pdf.assign(**{c: out[c].astype(object) for c in out})
-
-    def attempt(pool: ThreadPoolExecutor, text: str) -> tuple[str | None, str | None, int]:
-        for n in range(retries + 1):
-            began = time.monotonic()
-            try:
-                answer = pool.submit(extract, text).result(timeout=timeout)
-                spent = time.monotonic() - began
-                time.sleep(max(0.0, interval - spent))
-                return answer, None, int(spent * 1000)
-            except TimeoutError:
-                error, again = f"Timeout after {n + 1} attempts", True
-            except Exception as ex:  # noqa: BLE001 - the service decides what it raises
-                error, again = str(ex)[:500], is_transient(str(ex))
-            if not again or n == retries:
-                return None, error, int((time.monotonic() - began) * 1000)
-            time.sleep(backoff * 2 ** n)
-        return None, "Exhausted retries", 0
+        for pdf in batches:
+            rows = answer_all(list(pdf["prompt"])) if tasks else [direct(text) for text in pdf["prompt"]]
+            out = pd.DataFrame(rows, columns=["response", "error", "latency_ms"], index=pdf.index)
+            yield pdf.assign(**{c: out[c].astype(object) for c in out})
+
+    def direct(text: str) -> tuple[str | None, str | None, int]:
+        try:
+            return extract(text), None, 0
+        except Exception as ex:  # noqa: BLE001 - the rule decides what it raises
+            return None, str(ex)[:500], 0
+
+    def answer_all(texts: list[str]) -> list[tuple[str | None, str | None, int]]:
+        """Each call has a thread and a deadline of its own; at most ``width`` are in flight."""
+        results: list = [None] * len(texts)
+        due = [(0.0, k, 0) for k in range(len(texts))]  # earliest start, text, tries so far
+        flying: dict[Future, tuple[int, int, float]] = {}
+        next_start = 0.0
+        while due or flying:
+            now = time.monotonic()
+            ready = min(due, default=None)
+            if ready and len(flying) < width and max(ready[0], next_start) <= now:
+                due.remove(ready)
+                future: Future = Future()
+                threading.Thread(target=call, args=(future, texts[ready[1]]), daemon=True).start()
+                flying[future] = (ready[1], ready[2], now)
+                next_start = now + interval
+                continue
+            ends = [began + timeout for _, _, began in flying.values()]
+            if ready and len(flying) < width:
+                ends.append(max(ready[0], next_start))
+            wait(flying, timeout=max(0.0, min(ends) - now), return_when=FIRST_COMPLETED) if flying else time.sleep(max(0.0, min(ends) - now))
+            now = time.monotonic()
+            for future, (k, tries, began) in list(flying.items()):
+                late = now - began >= timeout
+                if not future.done() and not late:
+                    continue
+                del flying[future]
+                if future.done() and future.exception() is None:
+                    results[k] = (future.result(), None, int((now - began) * 1000))
+                    continue
+                error = f"Timeout after {tries + 1} attempts" if not future.done() else str(future.exception())[:500]
+                if tries < retries and (not future.done() or is_transient(error)):
+                    due.append((now + backoff * 2 ** tries, k, tries + 1))
+                else:
+                    results[k] = (None, error, int((now - began) * 1000))
+        return results
+
+    def call(future: Future, text: str) -> None:
+        try:
+            future.set_result(extract(text))
+        except Exception as ex:  # noqa: BLE001 - the service decides what it raises
+            future.set_exception(ex)
 
     fields = prompts_df.schema.simpleString()[len("struct<"):-1] + ",response:string,error:string,latency_ms:int"
-    return cut_lineage(prompts_df.repartition(tasks).mapInPandas(run, fields))
+    dealt = prompts_df.repartition(tasks) if tasks else prompts_df
+    return cut_lineage(dealt.mapInPandas(run, fields))
 
 
 def call_stats(results: DataFrame) -> DataFrame:

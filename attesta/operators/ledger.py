@@ -7,6 +7,8 @@ many evidence rows, never one giant array. All counts are partial aggregates, so
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,16 +29,17 @@ OWN_FIELDS = ["own_sup", "own_ref", "own_auth", "own_sources", "own_first_sup",
 EVIDENCE_FIELDS = ["supports", "source_authority", "source_artifact", "author", "source_span", "recorded_at"]
 INACTIVE = "('superseded', 'rejected')"
 
-# A refuting source multiplies the score by 0.7; after 64 of them no score can reach a threshold (0.7^64 < 1e-9).
-MAX_REFUTERS = 64
-
-
 @dataclass(frozen=True)
 class Promotion:
     score: float = S.PROMOTE_SCORE
     authority: float = S.PROMOTE_AUTHORITY
     sources: int = S.PROMOTE_SOURCES
 
+    @property
+    def refuters(self) -> int:
+        """A refuting source multiplies the score by 0.7: after so many no score can reach the threshold."""
+        return math.floor(math.log(min(self.score, 1.0)) / math.log(0.7)) + 1 if self.score > 0 else 0
+
 
 def arrivals(claims: DataFrame, merge_key: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
     """Split arriving claims (short nested evidence) into claim rows with own counts and evidence rows."""
@@ -147,15 +150,15 @@ def passed_earlier(open_groups: DataFrame, rows: DataFrame, first: DataFrame, ru
     """Groups (merge_key, passed) whose score reached the threshold at some point before the last addition.
 
     Between two refuting pieces of evidence the score only grows, so the end of each such segment decides. The first
-    ``MAX_REFUTERS`` refuting rows per group bound the segments: the ranked filter keeps that many rows per key before
-    the shuffle. No window ever spans a whole group; the window over the segments sees at most 66 rows.
+    ``rule.refuters`` refuting rows per group bound the segments, since after them no score reaches the threshold: the ranked
+    filter keeps that many rows per key before the shuffle. No window ever spans a whole group, only its few segments.
     """
     lookup = run_sql(
         f"""
         WITH ranked AS (
           SELECT merge_key, seq0, row_number() OVER (PARTITION BY merge_key ORDER BY seq0) AS rank FROM @first WHERE NOT supports),
         bounds AS (
-          SELECT merge_key, collect_list(seq0) AS bounds FROM ranked WHERE rank <= {MAX_REFUTERS} GROUP BY merge_key)
+          SELECT merge_key, collect_list(seq0) AS bounds FROM ranked WHERE rank <= {rule.refuters} GROUP BY merge_key)
         SELECT o.merge_key, n_claims, authority, recency, n_conflicts, oldest_seq, seq AS root_seq, root_sup, root_ref, root_auth, bounds
         FROM @open o LEFT JOIN bounds b ON o.merge_key = b.merge_key
         """,

@@ -271,7 +271,10 @@ def page_hashes(parts: DataFrame) -> DataFrame:
 
 
 def claim_files(claims: DataFrame) -> DataFrame:
-    """One file per active claim, claims/<class>/<slug>.md, with its front matter (path, claim_id, content)."""
+    """One file per active claim, claims/<class>/<slug>.md, with its front matter (path, claim_id, content).
+
+    Where several claims have one slug (case, punctuation, a long common beginning), each path gets a short hash of the whole key.
+    """
     fields = R.frontmatter([
         ("claim_id", "claim_id"), ("subject", "subject"), ("predicate", "predicate"), ("object", "object"), ("status", "status"),
         ("truth_score", "round(truth_score, 3)"), ("confidence", "confidence"), ("knowledge_class", "knowledge_class"),
@@ -280,6 +283,13 @@ def claim_files(claims: DataFrame) -> DataFrame:
     ])
     slug = X.slugify("concat_ws('-', subject, predicate, object)")
     body = "concat('# ', natural_language, '\\n\\n**Subject:** ', subject, '  \\n**Predicate:** ', predicate, '  \\n**Object:** ', object, '  \\n')"
-    return claims.where("status NOT IN ('superseded', 'rejected')").selectExpr(
-        f"concat('claims/', knowledge_class, '/', {slug}, '.md') AS path", "claim_id", f"concat({fields}, '\\n\\n', {body}) AS content"
+    files = claims.where("status NOT IN ('superseded', 'rejected')").selectExpr(
+        f"concat('claims/', knowledge_class, '/', {slug}) AS stem", "left(sha2(concat_ws('|', subject, predicate, object, claim_id), 256), 8) AS tag", "claim_id", f"concat({fields}, '\\n\\n', {body}) AS content"
+    )
+    return run_sql(
+        """
+        SELECT concat(f.stem, if(s.stem IS NULL, '', concat('-', tag)), '.md') AS path, claim_id, content
+        FROM @f f LEFT JOIN (SELECT stem FROM @f GROUP BY stem HAVING count(*) > 1) s ON f.stem = s.stem
+        """,
+        f=files,
     )

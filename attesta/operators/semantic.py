@@ -30,7 +30,7 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _usable(df: DataFrame, dim: int) -> DataFrame:
-    """Vectors that can be similar to anything: of the common length and not zero."""
+    """Vectors that can be similar to anything: of one length and not zero."""
     return df.where(f"size(embedding) = {dim} AND exists(embedding, v -> v <> 0)")
 
 
@@ -82,11 +82,16 @@ def matches(new: DataFrame, existing: DataFrame, theta: float, earlier_only: boo
     Only leaders can be the best match; among equals the earliest wins. ``open_before`` tells whether a similar one
     that is no leader comes earlier. With ``earlier_only`` later vectors are not looked at. Unmatched ones are left out.
     """
-    first = existing.select(F.size("embedding")).where("size(embedding) > 0").limit(1).collect()
+    # vectors of different lengths are never similar: each length is a search of its own
+    dims = [r[0] for r in existing.select(F.size("embedding").alias("d")).where("d > 0").distinct().orderBy("d").collect()]
+    found = new.sparkSession.createDataFrame([], MATCH)
+    for dim in dims:
+        found = found.unionByName(_matches_of_length(new, existing, dim, theta, earlier_only))
+    return found
+
+
+def _matches_of_length(new: DataFrame, existing: DataFrame, dim: int, theta: float, earlier_only: bool) -> DataFrame:
     spark = new.sparkSession
-    if not first:
-        return spark.createDataFrame([], MATCH)
-    dim = first[0][0]
     new, existing = _usable(new, dim), _usable(existing, dim)
     pivots = _pivots(existing)
     if pivots is None:

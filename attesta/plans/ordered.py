@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,16 +32,19 @@ def ordered_index(df: DataFrame, keys: list[str], order: list[Column], name: str
     if keys:
         ends = runs.groupBy("_part").agg(F.min(F.struct(*keys)).alias("lo"), F.max(F.struct(*keys)).alias("hi"))
         edge = ends.select(F.explode(F.array("lo", "hi")).alias("k")).select("k.*").distinct()
-        border = runs.join(F.broadcast(edge), keys, "left_semi").groupBy(*run).agg(F.count("*").alias("_n"))
+        # null keys are keys too
+        at_edge = reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys])
+        border = runs.alias("r").join(F.broadcast(edge).alias("e"), at_edge, "left_semi").groupBy(*run).agg(F.count("*").alias("_n"))
         before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     else:
         border = runs.groupBy("_part").agg(F.count("*").alias("_n"))
         before = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carry = border.select(*run, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = W.partitionBy(*run).orderBy("_row")
+    same_run = reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in run])
     return (
         runs.withColumn("_in_run", F.row_number().over(within))
-        .join(F.broadcast(carry), run, "left")
+        .alias("r").join(F.broadcast(carry).alias("c"), same_run, "left").select("r.*", "c._before")
         .withColumn(name, (F.col("_in_run") + F.coalesce("_before", F.lit(0))).cast("long"))
         .drop("_part", "_row", "_in_run", "_before")
     )

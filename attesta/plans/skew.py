@@ -1,72 +1,53 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins that stay even when one key holds a large share of the rows.
+
+How far a key is spread follows from its own rows, and no key is left out: the keys to spread are a table that is joined like any other, so
+Spark ships it whole or shuffles it by its size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from attesta.plans.sqlrun import run_sql
+from attesta.session import cut_lineage
 
-MAX_HOT = 1000          # a key past the thousandth largest holds less than 1/1000 of all rows
-HOT_MIN_ROWS = 100_000  # smaller groups are no burden for one task
-SALTS = 32
-
-
-def hot_keys(counts: DataFrame, key: str, weight: str, min_rows: int | None = None) -> DataFrame | None:
-    """The at most 1000 largest keys (key, n) with ``min_rows`` rows or more; None when there is none.
-
-    The list is read to the driver, which its fixed limit allows; without hot keys a plain join can follow.
-    """
-    least = HOT_MIN_ROWS if min_rows is None else min_rows
-    top = counts.where(F.col(weight) >= least).orderBy(F.desc(weight)).limit(MAX_HOT)
-    found = top.select(F.col(key), F.col(weight).cast("long").alias("hot_n")).collect()
-    if not found:
-        return None
-    schema = T.StructType([T.StructField(key, counts.schema[key].dataType), T.StructField("hot_n", T.LongType())])
-    return F.broadcast(counts.sparkSession.createDataFrame(found, schema))
+ROWS_PER_TASK = 100_000  # rows of one key that one task takes in a lookup
+BLOCK = 5_000            # rows of one key on each side of a cell of pairs
 
 
-def salted_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str, min_rows: int | None = None, salts: int = SALTS
-) -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Inner join of ``rows`` with ``lookup`` (one row per key; ``weight`` = rows of that key).
 
-    Rows of a hot key are spread over ``salts`` tasks by a hash of ``spread`` and meet copies of its one lookup row.
+    Rows of a key are spread over as many tasks as its weight asks for by a hash of ``spread``, and meet copies of its one lookup row.
     """
-    hot = hot_keys(lookup, key, weight, min_rows)
-    if hot is None:
-        return rows.join(lookup, key)
-    is_hot = F.col("hot_n").isNotNull()
-    left = rows.join(hot, key, "left").withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).drop("hot_n")
-    right = lookup.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("hot_n")
+    salts = F.ceil(F.col("_n") / rows_per_task).cast("int")
+    large = cut_lineage(lookup.select(F.col(key), F.col(weight).cast("long").alias("_n")).where(F.col("_n") > rows_per_task))
+    left = rows.join(large, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), salts), F.lit(0)).cast("int")).drop("_n")
+    copies = F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)
+    right = lookup.join(large, key, "left").withColumn("_salt", F.explode(copies)).drop("_n")
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def split_pairs(
-    left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, min_rows: int | None = None, block: int = 5000
-) -> tuple[DataFrame, DataFrame]:
-    """Give both sides of a many-to-many equi join two cell columns that spread hot keys.
+def split_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Give both sides of a many-to-many equi join two cell columns that spread large keys.
 
-    A row of a hot key goes to its own block on one axis and to every block on the other, so each pair of rows meets in
-    exactly one cell and a hot key becomes a grid of tasks. Join on (key, _ci, _cj). Other keys have one cell.
+    The rows of a key on either side form blocks of about ``block``. A row goes to its own block on one axis and to every
+    block on the other, so each pair of rows meets in exactly one cell, and a cell has about block x block pairs. Join on
+    (key, _ci, _cj). Keys with no more pairs than that have one cell.
     """
     counts = run_sql(
-        f"SELECT {key}, count(*) AS n FROM (SELECT {key} FROM @left UNION ALL SELECT {key} FROM @right) GROUP BY {key}",
+        f"""
+        SELECT {key}, sum(l) AS nl, sum(r) AS nr FROM (SELECT {key}, 1L AS l, 0L AS r FROM @left UNION ALL SELECT {key}, 0L, 1L FROM @right)
+        GROUP BY {key} HAVING sum(l) * sum(r) > {block * block}L
+        """,
         left=left, right=right,
     )
-    hot = hot_keys(counts, key, "n", min_rows)
+    large = cut_lineage(counts.selectExpr(key, f"cast(ceil(nl / {block}) AS INT) AS _bl", f"cast(ceil(nr / {block}) AS INT) AS _br"))
 
-    def cells(df: DataFrame, row_id: str, own: str, every: str) -> DataFrame:
-        if hot is None:
-            return df.selectExpr("*", f"0 AS {own}", f"0 AS {every}")
-        blocks = f"cast(least(256, ceil(coalesce(hot_n, 1) / {block})) AS INT)"
-        return df.join(hot, key, "left").selectExpr(
-            "*", f"cast(pmod(xxhash64({row_id}), {blocks}) AS INT) AS {own}", f"explode(sequence(0, {blocks} - 1)) AS {every}"
-        ).drop("hot_n")
+    def cells(df: DataFrame, row_id: str, own: str, own_blocks: str, every: str, every_blocks: str) -> DataFrame:
+        return df.join(large, key, "left").selectExpr(
+            "*", f"cast(pmod(xxhash64({row_id}), coalesce({own_blocks}, 1)) AS INT) AS {own}", f"explode(sequence(0, coalesce({every_blocks}, 1) - 1)) AS {every}"
+        ).drop("_bl", "_br")
 
-    return cells(left, left_id, "_ci", "_cj"), cells(right, right_id, "_cj", "_ci")
+    return cells(left, left_id, "_ci", "_bl", "_cj", "_br"), cells(right, right_id, "_cj", "_br", "_ci", "_bl")

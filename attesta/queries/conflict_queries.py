@@ -49,6 +49,25 @@ def conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.conflict_counts(ledger_c1(spark, sf_dir)).selectExpr("ck", "n_claims", "n_objects", "round(best_score, 6) AS best_score")
 
 
+def _register_winners(short: str, strategy: str, order: str) -> None:
+    @query(f"conflict_winners_{short}", f"""
+WITH {LEDGER1},
+k AS (SELECT *, lower(trim(subject)) || '|' || predicate AS ck, lower(object) AS value FROM ledger1),
+w AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY {order} DESC, seq) AS no FROM k WHERE ck IN (SELECT ck FROM k GROUP BY ck HAVING count(DISTINCT value) > 1))
+SELECT l.ck, w.claim_id AS winner_id, l.claim_id AS loser_id, round(abs(l.truth_score - w.truth_score), 6) AS confidence, abs(l.truth_score - w.truth_score) >= 0.3 AS auto
+FROM w l JOIN w ON l.ck = w.ck AND w.no = 1 WHERE l.value <> w.value""")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = conflicts.winners(ledger_c1(spark, sf_dir), strategy)
+        return found.selectExpr("ck", "winner_id", "loser_id", "round(confidence, 6) AS confidence", "auto")
+
+
+for _args in (
+    ("authority", "authority_wins", "max_authority"), ("recency", "recency_wins", "created_at"),
+    ("majority", "majority_wins", "n_supporting"), ("score", "higher_score", "truth_score"),
+):
+    _register_winners(*_args)
+
+
 def _resolve_sql(strategy: str, a_wins: str) -> str:
     return f"""
 WITH {PAIRS_SQL}

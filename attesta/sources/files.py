@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta import schema as S
 from attesta.functions import text as X
@@ -97,8 +98,18 @@ def manual_text(spark: SparkSession, title: str, body: str, author: str = "") ->
 
 
 def json_table(spark: SparkSession, path: str, schema: object) -> DataFrame:
-    """A JSON array file (ledger, change log, resolutions) with a fixed schema; a broken file reads as empty."""
-    return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    """A JSON array file (ledger, change log, resolutions) with a fixed schema.
+
+    Rows that cannot be read keep their text in ``_corrupt_record``; ``unreadable`` counts them.
+    """
+    fields = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    # object by object, so that one bad object costs no other; a file that is no array is one bad row
+    objects = spark.read.text(path, wholetext=True).selectExpr("explode(coalesce(from_json(value, 'array<string>'), array(value))) AS o")
+    return objects.select(F.from_json("o", fields, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+
+
+def unreadable(table: DataFrame) -> int:
+    return table.where("_corrupt_record IS NOT NULL").count()
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
@@ -106,5 +117,32 @@ def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
 
 
 def claims_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Claims of a ledger file in the array-of-objects JSON layout; ``seq`` is the position in the file."""
-    return json_table(spark, path, S.CLAIM).withColumn("seq", F.monotonically_increasing_id())
+    """Claims of a ledger file: a JSON array of objects with ``id`` and times in ISO form; ``seq`` is the position in the file."""
+    def wire(field: T.DataType) -> T.DataType:
+        if isinstance(field, T.StructType):
+            return T.StructType([T.StructField(f.name, wire(f.dataType)) for f in field.fields])
+        if isinstance(field, T.ArrayType):
+            return T.ArrayType(wire(field.elementType))
+        return T.StringType() if isinstance(field, T.TimestampNTZType) else field
+
+    plain = T.StructType([T.StructField("id", T.StringType()), *[f for f in wire(S.CLAIM).fields if f.name != "seq"]])
+    raw = json_table(spark, path, plain).where("_corrupt_record IS NULL")
+    # a zone is honoured, then dropped: times are UTC
+    ntz = "cast(cast({0} AS TIMESTAMP) AS TIMESTAMP_NTZ)"
+    inner = ", ".join(f"'{f.name}', " + (ntz.format(f"e.{f.name}") if isinstance(f.dataType, T.TimestampNTZType) else f"e.{f.name}") for f in S.EVIDENCE.fields)
+    columns = []
+    for f in S.CLAIM.fields:
+        if f.name == "seq":
+            columns.append("monotonically_increasing_id() AS seq")
+        elif f.name == "claim_id":
+            columns.append("coalesce(claim_id, id) AS claim_id")
+        elif f.name == "evidence":
+            columns.append(f"transform(evidence, e -> named_struct({inner})) AS evidence")
+        else:
+            columns.append(f"{ntz.format(f.name)} AS {f.name}" if isinstance(f.dataType, T.TimestampNTZType) else f.name)
+    return raw.selectExpr(*columns)
+
+
+def claims_to_json(claims: DataFrame, path: str) -> None:
+    """Claims as JSON lines in the same layout, one part per task."""
+    claims.drop("seq").withColumnRenamed("claim_id", "id").write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").json(path)

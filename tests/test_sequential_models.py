@@ -167,3 +167,23 @@ def test_resolution_in_order_equals_loop(spark, monkeypatch):
     scores = {i: r["confidence"] * 0.79 for i, r in enumerate(rows)}
     got = {(r.a_seq, r.b_seq): (None if r.winner_id is None else int(r.winner_id[1:]), round(r.confidence, 9)) for r in conflicts.resolve_in_order(pairs, NOW, "higher_score", 0.2).collect()}
     assert got == loop_resolve(ids, scores, 0.2)
+
+
+def test_row_numbers_with_null_keys_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from attesta.plans.ordered import ordered_index
+
+    df = spark.range(4000).selectExpr("id", "if(id % 10 < 8, null, id % 3) AS k").repartition(7)
+    got = ordered_index(df, ["k"], [F.col("id")], "no").collect()
+    for key in (None, 0, 1, 2):
+        mine = sorted((r.id, r.no) for r in got if r.k == key)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+
+
+def test_vectors_of_other_lengths_are_compared_among_themselves(spark):
+    from attesta.operators import semantic
+
+    old = spark.createDataFrame([("o2", 1, [1.0, 0.0]), ("o3", 2, [0.0, 1.0, 0.0]), ("o0", 3, [])], "id string, seq long, embedding array<double>")
+    new = spark.createDataFrame([("n2", 10, [2.0, 0.1]), ("n3", 11, [0.0, 3.0, 0.1]), ("n4", 12, [1.0] * 4)], "id string, seq long, embedding array<double>")
+    assert {(r.id, r.best_id) for r in semantic.best_match(new, old).collect()} == {("n2", "o2"), ("n3", "o3")}

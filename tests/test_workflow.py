@@ -80,8 +80,8 @@ def test_semantic_merge_at_ingest(spark, tmp_path):
 
 
 def test_settings_from_environment():
-    s = Settings.load({"ATTESTA_CHUNK_SIZE": "100", "ATTESTA_ENABLE_QA_AGENT": "true", "OTHER": "1"}, env_file=None)
-    assert (s.chunk_size, s.enable_qa_agent, s.promote_threshold) == (100, True, 0.15)
+    s = Settings.load({"ATTESTA_CHUNK_SIZE": "100", "ATTESTA_ENABLE_CONFLICT_RESOLUTION": "true", "OTHER": "1"}, env_file=None)
+    assert (s.chunk_size, s.enable_conflict_resolution, s.promote_threshold) == (100, True, 0.15)
 
 
 def test_extractor_retries_and_errors(spark, tmp_path):
@@ -124,3 +124,75 @@ def test_snapshots(spark, tmp_path):
     assert sorted(tuple(r) for r in s.read("t").collect()) == [(1, "a"), (2, "B"), (3, "c")]
     s.delete("t", spark.createDataFrame([(1,)], "k int"))
     assert s.read("t").count() == 2 and s.read("t", 1).count() == 2 and s.versions("t") == [1, 2, 3]
+
+
+def test_calls_overlap_and_hung_calls_do_not_block(spark):
+    import time
+
+    def slow(prompt: str) -> str:
+        time.sleep(4.0 if prompt == "hang" else 0.5)
+        return prompt
+
+    df = spark.createDataFrame([(f"p{k}",) for k in range(8)], "prompt string").coalesce(1)
+    extraction.call_extractor(df.limit(1), slow, rate_per_minute=10**6, tasks=1).count()  # starts the Python worker
+    began = time.monotonic()
+    assert extraction.call_extractor(df, slow, rate_per_minute=10**6, tasks=1).where("response = prompt").count() == 8
+    assert time.monotonic() - began < 3.0  # one after the other: 4 s
+    hung = spark.createDataFrame([("hang",), ("a",), ("b",)], "prompt string").coalesce(1)
+    out = {r.prompt: r.error for r in extraction.call_extractor(hung, slow, max_concurrent=1, rate_per_minute=10**6, retries=0, timeout=1.0, tasks=1).collect()}
+    assert out == {"hang": "Timeout after 1 attempts", "a": None, "b": None}
+
+
+def test_long_texts_are_read_whole(spark, tmp_path):
+    b = Brain(spark, str(tmp_path))
+    b.add_text("long", "Nothing to see.\n" * 3200 + "Zoe owns the last sentence.", "", NOW)
+    assert b.claims().where("subject = 'Zoe' AND object = 'the last sentence'").count() == 1
+    parts = extraction.prompts(spark.createDataFrame([("s", "t", "a", "f", "d", "x" * 25 + " yy\n" + "z" * 12)], "source_type string, title string, author string, source_artifact string, dated string, content string"), 10)
+    bodies = [r.prompt.split("Content:\n")[1] for r in parts.orderBy("part").collect()]
+    assert all(len(x) <= 10 for x in bodies) and "".join("".join(bodies).split()) == "x" * 25 + "yy" + "z" * 12
+
+
+def test_copies_cause_one_call(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    box = tmp_path / "inbox"
+    box.mkdir()
+    for k in range(12):
+        (box / f"copy{k}.md").write_text(DOC)
+
+    def counted(prompt: str) -> str:
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text("")
+        return extraction.sentence_extractor(prompt)
+
+    b = Brain(spark, str(tmp_path / "brain"), Settings(llm_rate_limit_rpm=10**6), extract=counted)
+    assert b.ingest(str(box), NOW)["claims"] == 36
+    assert len(list(calls.iterdir())) == 2  # two sections
+
+
+def test_ledger_files_round_trip(spark, tmp_path):
+    source = tmp_path / "ledger.json"
+    source.write_text("""[{"id": "c1", "subject": "A", "predicate": "is", "object": "B", "confidence": 0.6, "status": "candidate", "created_at": "2024-05-01T10:00:00Z",
+      "evidence": [{"artifact_id": "x", "supports": true, "recorded_at": "2024-05-01T12:00:00+02:00"}], "conflicts_with": ["c2"]},
+      {"id": "c2", "subject": "A", "confidence": "many"}]""")
+    rows = files.claims_from_json(spark, str(source)).collect()
+    assert [(r.claim_id, r.subject, str(r.created_at)) for r in rows] == [("c1", "A", "2024-05-01 10:00:00")]
+    assert str(rows[0].evidence[0].recorded_at) == "2024-05-01 10:00:00" and rows[0].conflicts_with == ["c2"]
+    plain = spark.createDataFrame([], "id string, confidence double").schema
+    assert files.unreadable(files.json_table(spark, str(source), plain)) == 1
+    files.claims_to_json(files.claims_from_json(spark, str(source)), str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out")).collect()
+    assert back[0].id == "c1" and back[0].created_at.startswith("2024-05-01T10:00:00")
+
+
+def test_claim_files_never_share_a_path(spark):
+    from attesta.operators import pages
+
+    long = "x" * 100
+    claims = spark.createDataFrame(
+        [(f"c{k}", long, "is", o, "candidate", "stable", 0.1, 0.2, 1, 0) for k, o in enumerate(("a", "b"))] + [("c9", "Short", "is", "o", "candidate", "stable", 0.1, 0.2, 1, 0)],
+        "claim_id string, subject string, predicate string, object string, status string, knowledge_class string, truth_score double, confidence double, n_supporting long, n_refuting long",
+    ).selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS created_at", "cast(null AS TIMESTAMP_NTZ) AS last_confirmed_at", "'text' AS natural_language")
+    paths = [r.path for r in pages.claim_files(claims).collect()]
+    assert len(set(paths)) == 3 and "claims/stable/short-is-o.md" in paths
