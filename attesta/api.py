@@ -228,16 +228,24 @@ class Brain:
         return conflicts.detect_within(self._ledger()[0], self.settings.conflict_similarity_threshold)
 
     def resolve_conflicts(self, as_of: str | None = None) -> dict[str, int]:
-        """Resolve all conflicts in order, apply the automatic ones and record everything."""
+        """Resolve the conflicts between active claims that no resolution names yet, in order; apply the automatic ones and record everything.
+
+        Links are stored and only grow, so a second run finds nothing to do and leaves ledger, links and resolutions as they are.
+        """
         now = as_of or utc_now()
-        pairs = cut_lineage(self.detect_conflicts())
+        claims = self._ledger()[0]
+        known = self.resolutions().select("conflict_id").distinct()
+        found = conflicts.detect_within(ledger.active(claims), self.settings.conflict_similarity_threshold)
+        pairs = cut_lineage(found.join(known, "conflict_id", "left_anti"))
         if pairs.isEmpty():
             return {"total": 0, "auto": 0, "pending": 0}
         res = cut_lineage(conflicts.resolve_in_order(pairs, now, self.settings.resolve_strategy, self.settings.auto_resolve_threshold))
         links, supersede = conflicts.effects(res)
-        claims = self._ledger()[0]
+        stored = self._table("links", "a_id string, b_id string")
+        links = cut_lineage(stored.unionByName(links).distinct())
         linked = ledger.with_conflict_counts(claims, ledger.conflict_links(claims, links))
         self.store.write("claims", cut_lineage(ledger.supersede(linked, supersede)))
+        self.store.write("links", links)
         self.store.append("resolutions", res.select("a_seq", "conflict_id", "winner_id", "loser_id", "strategy_used", "confidence", "resolved_by", "resolved_at", "rationale").withColumnRenamed("a_seq", "seq"))
         self._emit(conflicts.resolution_events(res).selectExpr(*EVENT_COLUMNS.split(", ")))
         auto = res.where("auto").count()

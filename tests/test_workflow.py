@@ -63,6 +63,9 @@ def test_conflicts_authority_and_text(brain):
     assert {(r.a_object, r.b_object) for r in found} >= {("the billing service", "the old gateway")}
     res = b.resolve_conflicts(NOW)
     assert res["total"] == len(found) and b.resolutions().count() == len(found)
+    before = [sorted(map(str, df.collect())) for df in (b.claims(), b.resolutions(), b.events())]
+    assert b.resolve_conflicts(NOW)["total"] == 0
+    assert [sorted(map(str, df.collect())) for df in (b.claims(), b.resolutions(), b.events())] == before
     assert b.promote_all(NOW) >= 0
     b.remove_authority("boss")
     assert b.authority().count() == 0
