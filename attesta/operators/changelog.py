@@ -44,7 +44,8 @@ def lineage(events: DataFrame) -> DataFrame:
     """For every event: the root that set it off, its depth and the path of ids from the root.
 
     Pointer doubling: each round joins events with their current ancestor and so doubles the distance covered; a chain
-    of depth d needs log2(d) rounds. Events that reached their root leave the loop.
+    of depth d needs log2(d) rounds. Events that reached their root leave the loop, and so do events whose path would
+    meet itself: on a cycle it ends before the first id that comes again.
     """
     running = cut_lineage(events.selectExpr(
         "event_id", "triggered_by AS above", "if(triggered_by IS NULL, 0, 1) AS depth", "array(event_id) AS path"
@@ -55,8 +56,10 @@ def lineage(events: DataFrame) -> DataFrame:
     while not running.isEmpty():
         joined = cut_lineage(run_sql(
             """
-            SELECT r.event_id, a.above, r.depth + coalesce(a.depth, 0) AS depth, concat(coalesce(a.path, array(r.above)), r.path) AS path
-            FROM @r r LEFT JOIN @t a ON r.above = a.event_id
+            SELECT event_id, if(closed, null, above) AS above, if(closed, depth, further) AS depth, if(closed, path, longer) AS path FROM (
+              SELECT r.event_id, a.above, r.depth, r.path, r.depth + coalesce(a.depth, 0) AS further, concat(coalesce(a.path, array(r.above)), r.path) AS longer,
+                array_contains(r.path, r.above) OR coalesce(arrays_overlap(a.path, r.path), false) AS closed
+              FROM @r r LEFT JOIN @t a ON r.above = a.event_id)
             """,
             r=running, t=table,
         ))

@@ -41,6 +41,17 @@ def claim_diff(old: DataFrame, new: DataFrame, confidence_step: float = 0.05) ->
     )
 
 
+def affected_subjects(diff: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Subjects (subject, n) whose pages a diff touches: those of added, removed and modified claims, in their new form if there is one."""
+    return run_sql(
+        """
+        SELECT subject, count(*) AS n FROM (SELECT coalesce(new_id, old_id) AS claim_id FROM @d WHERE change <> 'unchanged') d
+        JOIN (SELECT claim_id, subject FROM @old UNION SELECT claim_id, subject FROM @new) c ON d.claim_id = c.claim_id GROUP BY subject
+        """,
+        d=diff, old=old, new=new,
+    )
+
+
 DIFF_SUMMARY = R.counted([("+", "n_added", " new"), ("-", "n_removed", " removed"), ("~", "n_modified", " modified")], "no changes")
 
 

@@ -199,9 +199,20 @@ kinds AS (SELECT *, CASE WHEN is_added THEN 'added' WHEN is_removed THEN 'remove
 """
 
 
-def _claim_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = V.customer_status(spark, sf_dir)
-    return D.claim_diff(c.where("created_at < TIMESTAMP_NTZ '1998-07-01'"), c.where("created_at >= TIMESTAMP_NTZ '1998-07-01'"))
+    return c.where("created_at < TIMESTAMP_NTZ '1998-07-01'"), c.where("created_at >= TIMESTAMP_NTZ '1998-07-01'")
+
+
+def _claim_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.claim_diff(*_sides(spark, sf_dir))
+
+
+@query("affected_subjects", DIFF_SQL + """
+SELECT subject, count(*) AS n FROM kinds JOIN c1 ON claim_id = coalesce(new_id, old_id) WHERE change <> 'unchanged' GROUP BY subject""")
+def affected_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = _sides(spark, sf_dir)
+    return D.affected_subjects(D.claim_diff(*sides), *sides)
 
 
 @query("claim_diff", DIFF_SQL + "SELECT fingerprint, old_id, new_id, change, changed_fields FROM kinds")

@@ -90,14 +90,9 @@ WHERE valid_from <= TIMESTAMP '{AS_OF_VALID}' AND (valid_until IS NULL OR valid_
 GROUP BY ALL""")
 def claims_as_of_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that hold at a point in valid time."""
-    t = SC.ts(AS_OF_VALID)
-    return run_sql(
-        f"""
-        SELECT knowledge_class, supplier_key % 10 AS supplier_group, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM @c
-        WHERE (valid_from IS NULL OR valid_from <= {t}) AND (valid_until IS NULL OR valid_until >= {t}) GROUP BY ALL
-        """,
-        c=V.part_supplier(spark, sf_dir),
-    )
+    c = V.part_supplier(spark, sf_dir).selectExpr("*", "confidence AS truth_score")
+    held = ledger.list_claims(c, limit=None, as_of_valid=AS_OF_VALID)
+    return run_sql("SELECT knowledge_class, supplier_key % 10 AS supplier_group, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM @c GROUP BY ALL", c=held)
 
 
 @query("claims_as_of_transaction", f"""
@@ -105,8 +100,8 @@ WITH {C2}
 SELECT claim_id, subject, object, round(confidence, 6) AS confidence FROM c2 WHERE created_at <= TIMESTAMP '1996-03-01'""")
 def claims_as_of_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims the system knew at a point in transaction time."""
-    c = V.part_supplier(spark, sf_dir).where("created_at <= TIMESTAMP_NTZ '1996-03-01'")
-    return c.selectExpr("claim_id", "subject", "object", "round(confidence, 6) AS confidence")
+    c = V.part_supplier(spark, sf_dir).selectExpr("*", "confidence AS truth_score")
+    return ledger.list_claims(c, limit=None, as_of_transaction="1996-03-01 00:00:00").selectExpr("claim_id", "subject", "object", "round(confidence, 6) AS confidence")
 
 
 @query("claims_by_status_topk", f"""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
@@ -41,6 +44,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_run_folders: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this driver below the checkpoint folder; it is removed when the driver ends."""
+    base = checkpoint_dir(spark)
+    if base not in _run_folders:
+        if not _run_folders:
+            atexit.register(_remove_run_folders)
+        _run_folders[base] = f"{base}/attesta-run-{uuid.uuid4().hex}"
+    return _run_folders[base]
+
+
+def _remove_run_folders() -> None:
+    for path in _run_folders.values():
+        with contextlib.suppress(Exception):  # a store that is gone by then, or that only Spark reaches
+            fs, inner = FileSystem.from_uri(path if ":" in path else f"file://{path}")
+            fs.delete_dir(inner)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
@@ -48,6 +71,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     what follows reads only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/attesta-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

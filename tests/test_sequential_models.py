@@ -187,3 +187,14 @@ def test_vectors_of_other_lengths_are_compared_among_themselves(spark):
     old = spark.createDataFrame([("o2", 1, [1.0, 0.0]), ("o3", 2, [0.0, 1.0, 0.0]), ("o0", 3, [])], "id string, seq long, embedding array<double>")
     new = spark.createDataFrame([("n2", 10, [2.0, 0.1]), ("n3", 11, [0.0, 3.0, 0.1]), ("n4", 12, [1.0] * 4)], "id string, seq long, embedding array<double>")
     assert {(r.id, r.best_id) for r in semantic.best_match(new, old).collect()} == {("n2", "o2"), ("n3", "o3")}
+
+
+def test_lineage_ends_on_cycles(spark):
+    from attesta.operators import changelog
+
+    rows = [(1, None), (2, 1), (3, 2), (10, 12), (11, 10), (12, 11), (13, 12), (20, 20), (30, 99)]
+    events = spark.createDataFrame(rows, "event_id long, triggered_by long")
+    got = {r.event_id: r for r in changelog.lineage(events).collect()}
+    assert set(got) == {e for e, _ in rows}
+    assert list(got[3].path) == [1, 2, 3] and list(got[20].path) == [20]
+    assert all(len(set(r.path)) == len(r.path) for r in got.values())
