@@ -21,7 +21,7 @@ from attesta.plans.ordered import assign_seq
 from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
 from attesta.sources import files
-from attesta.sources.publish import write_pages
+from attesta.sources.publish import delete_pages, write_pages
 from attesta.sources.snapshots import Snapshots
 
 EVENT_COLUMNS = "change_type, ts, entity_id, source_uri, payload, agent"
@@ -270,6 +270,9 @@ class Brain:
         hashes = pages.page_hashes(parts).select("path", "content_hash")
         plan = cut_lineage(emission.full(hashes, self.spark.createDataFrame([], manifest.schema) if force_full else manifest))
         todo = parts.join(plan.where("action IN ('create', 'update')").select("path"), "path", "left_semi")
+        # old files of changed and orphaned pages go first: a page that shrank leaves no parts behind
+        stale = plan.where("action IN ('update', 'delete')").select("path")
+        delete_pages(stale, folder).write.format("noop").mode("overwrite").save()
         write_pages(todo, folder).write.format("noop").mode("overwrite").save()
         self.store.write("manifest", cut_lineage(emission.next_manifest(plan, manifest)))
         return {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}

@@ -52,6 +52,7 @@ def test_project_writes_only_what_changed(brain):
     b.set_status(b.claims().where("subject = 'PortNet'").collect()[0].claim_id, "rejected", NOW)
     plan = b.project(str(out), "2024-06-04 00:00:00")
     assert plan["delete"] >= 1 and plan["update"] >= 1
+    assert not (out / "entities" / "portnet.md").exists() and (out / "entities" / "jane.md").exists()
 
 
 def test_conflicts_authority_and_text(brain):
