@@ -16,11 +16,12 @@ ROWS_PER_TASK = 100_000  # rows of one key that one task takes in a lookup
 BLOCK = 5_000            # rows of one key on each side of a cell of pairs
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str, rows_per_task: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``lookup`` (one row per key; ``weight`` = rows of that key).
 
     Rows of a key are spread over as many tasks as its weight asks for by a hash of ``spread``, and meet copies of its one lookup row.
     """
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     salts = F.ceil(F.col("_n") / rows_per_task).cast("int")
     large = cut_lineage(lookup.select(F.col(key), F.col(weight).cast("long").alias("_n")).where(F.col("_n") > rows_per_task))
     left = rows.join(large, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), salts), F.lit(0)).cast("int")).drop("_n")
@@ -29,13 +30,14 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spr
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
-def split_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def split_pairs(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Give both sides of a many-to-many equi join two cell columns that spread large keys.
 
     The rows of a key on either side form blocks of about ``block``. A row goes to its own block on one axis and to every
     block on the other, so each pair of rows meets in exactly one cell, and a cell has about block x block pairs. Join on
     (key, _ci, _cj). Keys with no more pairs than that have one cell.
     """
+    block = block or BLOCK
     counts = run_sql(
         f"""
         SELECT {key}, sum(l) AS nl, sum(r) AS nr FROM (SELECT {key}, 1L AS l, 0L AS r FROM @left UNION ALL SELECT {key}, 0L, 1L FROM @right)

@@ -74,7 +74,7 @@ def want(out):
 @pytest.mark.parametrize("seed,sources,hot", [(1, 4, None), (2, 2, 1), (3, 6, 1), (4, 9, None)])
 def test_ledger_equals_loop(spark, monkeypatch, seed, sources, hot):
     if hot:
-        monkeypatch.setattr(skew, "HOT_MIN_ROWS", hot)
+        monkeypatch.setattr(skew, "ROWS_PER_TASK", hot)
     rows = random_rows(random.Random(seed), 140)
     led, _ = ledger.add_claims(claims(spark, rows), NOW, rule=ledger.Promotion(sources=sources))
     assert facts(led) == want(loop_ledger(rows, sources))
@@ -157,7 +157,7 @@ def loop_resolve(pairs, scores, delta):
 
 
 def test_resolution_in_order_equals_loop(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 5)
+    monkeypatch.setattr(skew, "BLOCK", 2)
     rng = random.Random(5)
     rows = [dict(subject=f"s{i % 4}", object=f"o{i}", confidence=round(rng.random(), 2), evidence=[ev(f"x{i}{j}", True, 0.79) for j in range(4)]) for i in range(22)]
     led, _ = ledger.add_claims(claims(spark, rows), NOW)
