@@ -24,6 +24,9 @@ from attesta.llm.text import mix, prefix_sums, span_hashes, tiles, words
 from attesta.session import cut_lineage
 
 BLOCK = 1 << 17
+#: Anchors are counted by so many leading bits of their hash; the Bloom filter takes its two places from these.
+COUNTED_BITS = 40
+BLOOM_SHIFTS = (0, 13)
 BLOOM_MAX_BITS = 1 << 27
 _LOW = np.uint64((1 << 20) - 1)
 _GRAM = np.uint64(0xD1B54A32D192ED03)
@@ -84,11 +87,15 @@ def own_anchors(grams: np.ndarray, offsets: np.ndarray, window: int, gram: int)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _lead(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - COUNTED_BITS)
+
+
 def _counting(make: Callable, window: int, gram: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in tiles(batches, "text"):
             grams, rows, _ = make(data, offsets, gram)
-            hashes, n = np.unique(grams[own_anchors(grams, rows, window, gram)[0]], return_counts=True)
+            hashes, n = np.unique(_lead(grams[own_anchors(grams, rows, window, gram)[0]]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
     return count
@@ -103,8 +110,9 @@ def _pieces(make: Callable, window: int, gram: int, bloom):
             anchor, first, last = own_anchors(grams, unit_offsets, window, gram)
             hashes = grams[anchor]
             keep = np.ones(len(hashes), bool)
-            for shift in (0, 32):
-                bit = (hashes >> np.uint64(shift)) & mask
+            lead = _lead(hashes)
+            for shift in BLOOM_SHIFTS:
+                bit = (lead >> np.uint64(shift)) & mask
                 keep &= (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
             anchor, first, last, hashes = anchor[keep], first[keep], last[keep], hashes[keep]
             row = np.searchsorted(unit_offsets, first, side="right") - 1
@@ -125,7 +133,7 @@ def bloom_words(keys: DataFrame, column: str, rows: int) -> np.ndarray:
     bits = 1 << 16
     while bits < min(12 * rows, BLOOM_MAX_BITS):
         bits *= 2
-    at = F.explode(F.array(F.col(column).bitwiseAND(bits - 1), F.shiftrightunsigned(column, 32).bitwiseAND(bits - 1)))
+    at = F.explode(F.array(*[F.shiftright(column, shift).bitwiseAND(bits - 1) for shift in BLOOM_SHIFTS]))
     words_ = keys.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
     table = words_.toArrow()
     out = np.zeros(bits // 64, np.int64)
@@ -143,19 +151,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(F.col(id_col).alias("id"), text_hash.alias("text_hash"), text.alias("text"), *more)
 
 
-def recurring(docs: DataFrame, make: Callable, window: int, gram: int) -> DataFrame:
-    """Occurrences (anchor, piece, id, text_hash, at, n) of all pieces whose anchor may occur elsewhere.
+def recurring(docs: DataFrame, make: Callable, window: int, gram: int, often: int) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (anchor, piece, id, text_hash, at, n) of all pieces whose anchor may occur elsewhere, and the anchors that occur more than ``often`` times.
 
     ``docs`` comes from ``keyed``. ``piece`` is a hash of the piece, ``at`` its first unit in the row, ``n`` its number of
-    windows. The rows are written to the shared folder once; everything later reads them there.
+    windows. The rows are not computed yet: a caller that reads them more than once cuts their lineage or shuffles them once. Anchors are counted by
+    their leading ``COUNTED_BITS``; where two share these, a row too many passes or an anchor counts as frequent, which changes no result.
     """
     spark = docs.sparkSession
     id_type = docs.schema["id"].dataType.simpleString()
     counted = docs.select("text").mapInArrow(_counting(make, window, gram), "anchor long, n long")
-    anchors = cut_lineage(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
+    anchors = cut_lineage(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"))
     bloom = spark.sparkContext.broadcast(bloom_words(anchors, "anchor", anchors.count()))
     rows = docs.mapInArrow(_pieces(make, window, gram, bloom), f"anchor long, piece long, id {id_type}, text_hash long, at long, n int")
-    return cut_lineage(rows)
+    frequent = cut_lineage(anchors.where(F.col("n") > often).select(F.col("anchor").alias("lead")))
+    return rows, frequent
 
 
 def with_text(docs: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ them into an Aho-Corasick automaton, and streams its pieces, which together hold
 anchor that was seen twice, through it to locate each occurrence. A word of the vocabulary of a shard is one character
 of the automaton, so matches are whole words, compared exactly.
 
-A shard holds whole groups of pieces up to a bounded number of words. Anchors with more than ``HEAVY`` different pieces
-(a common phrase within many contexts) are cut into single phrases that Spark groups by their text.
+A shard holds whole groups of pieces up to a bounded number of words. The pieces of anchors that occur more than ``HEAVY`` times are salted by document,
+and cut into single phrases that Spark groups by their text.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.anchors import keyed, recurring, with_text, word_units
+from attesta.llm.anchors import COUNTED_BITS, keyed, recurring, with_text, word_units
 from attesta.llm.text import ragged, tiles, words
 
 WINDOW = 13
-GRAM = 6
+GRAM = 5
 HEAVY = 4096
+SALTS = 16
 SHARD_WORDS = 1 << 17
 
 
@@ -38,6 +39,8 @@ def _cutting(window: int, singly: bool):
             starts, ends, word_offsets = words(data, offsets)
             item = lists.flatten()
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            mine = item.field("heavy").to_numpy(zero_copy_only=False) == singly
+            item, owner = item.filter(pa.array(mine)), owner[mine]
             at, n = word_offsets[owner] + item.field("at").to_numpy(), item.field("n").to_numpy().astype(np.int64)
             taken = np.arange(len(n))
             lo = np.zeros(len(n), np.int64)
@@ -46,7 +49,7 @@ def _cutting(window: int, singly: bool):
                 taken, lo = np.repeat(taken, n), ragged(np.zeros(len(n), np.int64), n)
                 at, length = at[taken] + lo, np.full(len(taken), window)
             text = spaced(data, starts, ends, ragged(at, length), np.concatenate([[0], np.cumsum(length)]))
-            names = ["anchor", "piece", "first", "last", "nulls"]
+            names = ["anchor", "piece", "first", "several"]
             yield pa.RecordBatch.from_arrays([item.field(c).take(pa.array(taken)) for c in names] + [pa.array(lo), pa.array(text, pa.binary())], [*names, "lo", "text"])
 
     return cut
@@ -64,23 +67,25 @@ def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chosen: np.nd
     return [flat_[a : b - 1] if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def recurring_phrases(coded: list[str], first: list, last: list, nulls: list, window: int) -> ahocorasick.Automaton | None:
-    """Phrases of ``window`` characters that occur in two or more documents, with the first document of each, as an automaton."""
+def recurring_phrases(coded: list[str], first: list, several: list, window: int) -> ahocorasick.Automaton | None:
+    """Phrases of ``window`` characters that occur in two or more documents, with the first document of each, as an automaton.
+
+    ``several`` says whether a piece of text occurs in more documents than its first.
+    """
     seen: dict[str, list] = {}
-    for text, lo, hi, none in zip(coded, first, last, nulls, strict=True):
+    for text, lo, more in zip(coded, first, several, strict=True):
         for k in range(len(text) - window + 1):
             phrase = text[k : k + window]
             known = seen.get(phrase)
             if known is None:
-                seen[phrase] = [lo, hi, none]
+                seen[phrase] = [lo, more]
             else:
-                if lo is not None:
-                    known[0] = lo if known[0] is None else min(known[0], lo)
-                    known[1] = hi if known[1] is None else max(known[1], hi)
-                known[2] += none
+                known[1] |= more or lo != known[0]
+                if lo is not None and (known[0] is None or lo < known[0]):
+                    known[0] = lo
     automaton = ahocorasick.Automaton()
-    for phrase, (lo, hi, none) in seen.items():
-        if lo is not None and (lo < hi or none):
+    for phrase, (lo, more) in seen.items():
+        if lo is not None and more:
             automaton.add_word(phrase, lo)
     if not len(automaton):
         return None
@@ -104,8 +109,8 @@ def _code(texts: list[bytes]) -> list[str]:
 
 def _scanning(window: int, id_type: pa.DataType):
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        coded = _code([r[5] for r in rows])
-        automaton = recurring_phrases(coded, [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], window)
+        coded = _code([r[4] for r in rows])
+        automaton = recurring_phrases(coded, [r[2] for r in rows], [r[3] for r in rows], window)
         out: tuple[list, ...] = ([], [], [], [], [])
         for row, text in zip(rows, coded, strict=True) if automaton else ():
             at, length, was = -1, 0, None
@@ -133,7 +138,7 @@ def _scanning(window: int, id_type: pa.DataType):
                     yield shard(held)
                     held, size = [], 0
                 held.append(row)
-                size += row[5].count(b" ") + 1
+                size += row[4].count(b" ") + 1
         if held:
             yield shard(held)
 
@@ -144,36 +149,47 @@ def earlier_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hea
     """``id``, ``text_hash`` and ``spans`` (list of lo, len: starts of phrases that an earlier document has) per row with any."""
     id_field = docs.schema["id"]
     id_type = id_field.dataType.simpleString()
-    found = recurring(docs, word_units, window, gram)
-    pieces = found.groupBy("anchor", "piece").agg(
-        F.min("id").alias("first"), F.max("id").alias("last"), (F.count("*") - F.count("id")).alias("nulls"), F.min(F.struct("id", "text_hash", "at", "n")).alias("r")
-    )
-    groups = (
-        pieces.groupBy("anchor")
-        .agg(F.count("*").alias("variants"), F.min("first").alias("_lo"), F.max("last").alias("_hi"), F.sum("nulls").alias("_nulls"))
-        .where("_lo < _hi OR (_nulls > 0 AND _lo IS NOT NULL)")
-        .select("anchor", "variants")
+    found, frequent = recurring(docs, word_units, window, gram, heavy)
+    found = found.select(F.shiftrightunsigned("anchor", 64 - COUNTED_BITS).alias("lead"), "anchor", "piece", "id", "text_hash", (F.shiftleft("at", 8) + F.col("n")).alias("place"))
+    # one shuffle of the occurrences serves both to count pieces and to hand out what was found in them; frequent anchors are
+    # salted. The filter says what the join below would otherwise say on one side only.
+    salt = F.when(F.col("often").isNotNull(), F.pmod(F.hash("id", "text_hash"), F.lit(SALTS))).otherwise(-1).cast("int")
+    dealt = (
+        found.join(frequent.select("lead", F.lit(True).alias("often")), "lead", "left")
+        .select("anchor", "piece", salt.alias("salt"), "id", "text_hash", "place")
+        .where("anchor IS NOT NULL AND piece IS NOT NULL AND salt IS NOT NULL AND text_hash IS NOT NULL")
+        .repartition("anchor", "piece", "salt")
     )
-    wanted = pieces.join(groups, "anchor").select("anchor", "piece", "first", "last", "nulls", "variants", "r.*")
-    wanted = wanted.groupBy("id", "text_hash").agg(
-        *[F.collect_list(F.when(test, F.struct("anchor", "piece", "first", "last", "nulls", "at", "n"))).alias(name) for name, test in (("light", F.col("variants") <= heavy), ("heavy", F.col("variants") > heavy))]
+    # ids first: the least struct is the first document with one, and null only if there is none
+    parts = dealt.groupBy("anchor", "piece", "salt").agg(
+        F.max("id").alias("last"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "place")).alias("r"), F.max(F.col("id").isNull()).alias("nulls"), F.max("salt").alias("_salt")
     )
-    texts = with_text(docs, wanted)
-    schema = f"anchor long, piece long, first {id_type}, last {id_type}, nulls long, lo long, text binary"
-    light, single = (texts.where(F.size(name) > 0).select("text", F.col(name).alias("found")).mapInArrow(_cutting(window, name == "heavy"), schema) for name in ("light", "heavy"))
+    rare = parts.where("_salt < 0").select("anchor", "piece", "last", "r", "nulls", F.lit(False).alias("heavy"))
+    often = parts.where("_salt >= 0").groupBy("anchor", "piece").agg(F.max("last").alias("last"), F.min("r").alias("r"), F.max("nulls").alias("nulls"), F.lit(True).alias("heavy"))
+    pieces = rare.unionByName(often)
+    more = F.col("nulls") | F.coalesce(F.col("last") > F.col("r.id"), F.lit(False))
+    item = F.struct("anchor", "piece", F.col("r.id").alias("first"), more.alias("several"), F.shiftright("r.place", 8).alias("at"), F.col("r.place").bitwiseAND(255).alias("n"), "heavy")
+    wanted = pieces.groupBy(F.col("r.id").alias("id"), F.col("r.text_hash").alias("text_hash")).agg(F.collect_list(item).alias("found"))
+    texts = with_text(docs, wanted).where("found IS NOT NULL").select("text", "found")
+    schema = f"anchor long, piece long, first {id_type}, several boolean, lo long, text binary"
     from pyspark.sql.pandas.types import to_arrow_type
 
     scanned = (
-        light.select("anchor", "piece", "first", "last", "nulls", "text").repartition("anchor").sortWithinPartitions("anchor", "piece")
+        texts.mapInArrow(_cutting(window, False), schema).drop("lo").repartition("anchor").sortWithinPartitions("anchor", "piece")
         .mapInArrow(_scanning(window, to_arrow_type(id_field.dataType)), f"anchor long, piece long, lo long, len long, before {id_type}")
     )
+    single = texts.mapInArrow(_cutting(window, True), schema)
     phrases = single.groupBy("text").agg(F.min("first").alias("before"))
-    singly = single.join(phrases, "text").select("anchor", "piece", "lo", F.lit(1).cast("long").alias("len"), "before")
+    run = F.struct("lo", "len", "before")
+    singly = single.join(phrases, "text").withColumn("len", F.lit(1).cast("long")).groupBy("anchor", "piece").agg(F.collect_list(run).alias("runs"))
+    runs = scanned.select("anchor", "piece", F.lit(-1).alias("salt"), F.array(run).alias("runs"))
+    runs = runs.unionByName(singly.select("anchor", "piece", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "runs"))
     return (
-        found.join(scanned.unionByName(singly), ["anchor", "piece"])
+        dealt.join(runs, ["anchor", "piece", "salt"])
+        .select("id", "text_hash", "place", F.inline("runs"))
         .where("before IS NOT NULL AND (id IS NULL OR before < id)")
         .groupBy("id", "text_hash")
-        .agg(F.collect_list(F.struct((F.col("at") + F.col("lo")).alias("lo"), "len")).alias("spans"))
+        .agg(F.collect_list(F.struct((F.shiftright("place", 8) + F.col("lo")).alias("lo"), "len")).alias("spans"))
     )
 
 

@@ -8,7 +8,8 @@ and leaves the later passes. Blocks that are left after the last pass are the re
 shards are never sorted against each other.
 
 Spark brings together what can match (``anchors``): the pieces of one anchor are dealt over the shards of one merge.
-A batch of merges has a bounded number of bytes.
+A batch of merges has a bounded number of bytes. Anchors with more than ``HEAVY`` different pieces (a passage at which
+very many texts meet) are cut into single strings, which Spark groups by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.anchors import byte_units, keyed, recurring, with_text
-from attesta.llm.text import ragged, tiles
+from attesta.llm.text import mix, prefix_sums, ragged, span_hashes, tiles
+from attesta.session import cut_lineage
 
 WINDOW = 200
 GRAM = 32
 SYMBOL = 8
 SHARDS = 8
 MERGE_BYTES = 1 << 19
+HEAVY = 4096
+_SECOND = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
 
 
 def _stable(values: np.ndarray) -> np.ndarray:
@@ -154,14 +158,22 @@ def _merging(window: int):
     return merging
 
 
-def _cutting(window: int):
+def _cutting(window: int, singly: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The texts of the representatives of pieces."""
+        """The texts of the representatives of pieces, or two hashes of each string of them."""
         for rows, data, offsets in tiles(batches, "text"):
             lists = rows.column(rows.schema.get_field_index("found"))
             item = lists.flatten()
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             at, n = item.field("at").to_numpy(), item.field("n").to_numpy()
+            if singly:
+                n = n.astype(np.int64)
+                taken, lo = np.repeat(np.arange(len(n)), n), ragged(np.zeros(len(n), np.int64), n)
+                start = (offsets[owner] + at)[taken] + lo
+                hashes = [pa.array(span_hashes(prefix_sums(values), start, start + window).view(np.int64)) for values in (data, _SECOND[data])]
+                names = ["anchor", "piece", "count"]
+                yield pa.RecordBatch.from_arrays([item.field(c).take(pa.array(taken)) for c in names] + [pa.array(lo), *hashes], [*names, "lo", "h1", "h2"])
+                continue
             length = n.astype(np.int64) + window - 1
             body = data[ragged(offsets[owner] + at, length)]
             text = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.py_buffer(body.tobytes())])
@@ -170,21 +182,29 @@ def _cutting(window: int):
     return cut
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """``id``, ``text_hash`` and ``spans`` (list of lo, len: where strings of ``window`` bytes start that occur elsewhere) per row with any.
 
     ``docs`` comes from ``keyed``.
     """
-    found = recurring(docs, byte_units, window, gram)
+    found = cut_lineage(recurring(docs, byte_units, window, gram, heavy)[0])
     pieces = found.groupBy("anchor", "piece").agg(F.count("*").alias("count"), F.min(F.struct("id", "text_hash", "at", "n")).alias("r"))
     groups = pieces.groupBy("anchor").agg(F.count("*").alias("variants"))
     pieces = pieces.join(groups, "anchor").where("variants > 1 OR count > 1").select("anchor", "piece", "count", "variants", "r.*")
     # one text in all places: every string of the piece occurs as often as the piece
     same = pieces.where("variants = 1").select("anchor", "piece", F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("len"))
-    wanted = pieces.where("variants > 1").groupBy("id", "text_hash").agg(F.collect_list(F.struct("anchor", "piece", "count", "at", "n")).alias("found"))
-    texts = with_text(docs, wanted).where("found IS NOT NULL").select("text", "found").mapInArrow(_cutting(window), "anchor long, piece long, count long, text binary")
-    merged = texts.repartition("anchor").sortWithinPartitions("anchor", "piece").mapInArrow(_merging(window), "anchor long, piece long, lo long, len long")
-    runs = same.unionByName(merged)
+    wanted = pieces.where("variants > 1").groupBy("id", "text_hash").agg(
+        *[F.collect_list(F.when(test, F.struct("anchor", "piece", "count", "at", "n"))).alias(name) for name, test in (("light", F.col("variants") <= heavy), ("heavy", F.col("variants") > heavy))]
+    )
+    texts = with_text(docs, wanted)
+    light, single = (
+        texts.where(F.size(name) > 0).select("text", F.col(name).alias("found")).mapInArrow(_cutting(window, name == "heavy"), f"anchor long, piece long, count long, {rest}")
+        for name, rest in (("light", "text binary"), ("heavy", "lo long, h1 long, h2 long"))
+    )
+    merged = light.repartition("anchor").sortWithinPartitions("anchor", "piece").mapInArrow(_merging(window), "anchor long, piece long, lo long, len long")
+    often = single.groupBy("h1", "h2").agg(F.sum("count").alias("n")).where("n > 1")
+    singly = single.join(often, ["h1", "h2"], "left_semi").select("anchor", "piece", "lo", F.lit(1).cast("long").alias("len"))
+    runs = same.unionByName(merged).unionByName(singly)
     return (
         found.join(runs, ["anchor", "piece"])
         .groupBy("id", "text_hash")
@@ -222,7 +242,7 @@ def _removing(window: int, keep_text: bool):
     return remove
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, heavy: int = HEAVY) -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked, ``kept`` (binary; a cut may split a character).
 
     Every byte covered by a ``window``-byte string that also starts anywhere else in the table is removed, the same row included;
@@ -231,6 +251,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
-    joined = with_text(rows, repeats(rows, window, gram)).select("id", "spans", "text")
+    joined = with_text(rows, repeats(rows, window, gram, heavy)).select("id", "spans", "text")
     schema = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return joined.mapInArrow(_removing(window, keep_text), schema).withColumnRenamed("id", id_col)
