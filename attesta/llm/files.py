@@ -9,15 +9,15 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 from pyspark.sql import SparkSession
 
-from attesta.session import checkpoint_dir
+from attesta.session import run_folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, as a path that the driver and all workers can open.
+    """A new folder below that of this driver in the shared checkpoint folder, as a path that the driver and all workers can open.
 
     Memory-mapped models need a folder that is mounted on all machines; other stores are refused.
     """
-    at = urlparse(checkpoint_dir(spark))
+    at = urlparse(run_folder(spark))
     if at.scheme not in ("", "file"):
         raise ValueError(f"memory-mapped models need a mounted spark.checkpoint.dir, not {at.scheme}:")
     path = f"{unquote(at.path)}/{name}-{uuid.uuid4().hex}"
