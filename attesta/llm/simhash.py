@@ -10,7 +10,7 @@ Equal fingerprints are one node, however many rows have them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -176,11 +176,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rooted.join(smallest, "root").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: that of the smallest id (rows without an id last), then of the smallest text hash."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rooted: Callable[[DataFrame], DataFrame] = _rooted) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id (rows without an id last), then of the smallest text hash.
+
+    ``rooted`` gives the ``root`` of each ``id`` and ``text_hash``: by close fingerprints, or that of ``resemblance``.
+    """
     others = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
     rows = keyed(docs, id_col, text_col, others)
-    first = _rooted(rows.drop("whole")).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")).select("first.id", "first.text_hash")
+    first = rooted(rows.drop("whole")).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")).select("first.id", "first.text_hash")
     d, f = rows.select("id", "text_hash", "whole").alias("d"), first.alias("f")
     same = F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.text_hash") == F.col("f.text_hash"))
     one = d.join(f, same, "left_semi").dropDuplicates(["id", "text_hash"])
