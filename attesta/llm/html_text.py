@@ -3,7 +3,8 @@
 A page is read once into elements and blocks (runs of text between block-level tags). Blocks in menus, headers, footers, side
 bars, notices, adverts, forms, scripts, styles and reader comments are left out. Each remaining block of ``LEAST_CHARS`` or more passes points for its length and its
 commas to the elements around it: all to the nearest container, half to the next, less above. Scores are discounted by the
-share of text in links. The best container is kept, up to the article or main element it stands in, with those of its siblings that score well or are plain paragraphs.
+share of text in links. The best container is kept, up to the article or main element it stands in, with what stands beside it or beside the elements around
+it, holds few links, and holds paragraphs or headings or scores well.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 LEAST_CHARS = 25
 SIBLING_SHARE = 0.2
-PARAGRAPH_CHARS = 80
+#: What stands beside the best container and has this share of its text in links, or more, is a list of links.
+LINK_SHARE = 0.25
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s>/]*+)[^>]*>|<([a-zA-Z][^\s>/]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s>/]*+)([^>]*)>", re.DOTALL
 )
@@ -185,12 +187,18 @@ class Page:
             at = self.parent[at]
         keep = {best}
         if self.tag[best] not in CONTAINERS and best:
-            enough = max(10.0, SIBLING_SHARE * final[best])
+            holds = [False] * n  # paragraphs or headings
+            for element, _, _ in self.blocks:
+                holds[element] = self.tag[element] in PARAGRAPHS
+            for e in range(n - 1, 0, -1):
+                holds[self.parent[e]] |= holds[e]
+            above, at = {best}, best
+            while at > 0:
+                at = self.parent[at]
+                above.add(at)
             for e in range(1, n):
-                if self.parent[e] == self.parent[best] and e != best and chars[e]:
-                    plain = self.tag[e] == "p" and density[e] < 0.25 and chars[e] >= PARAGRAPH_CHARS
-                    title = self.tag[e] in ("h1", "h2") and e < best and density[e] == 0
-                    if final[e] >= enough or plain or title:
+                if self.parent[e] in above and self.parent[e] != best and e not in above and chars[e] and density[e] < LINK_SHARE:
+                    if holds[e] or final[e] >= SIBLING_SHARE * final[best]:
                         keep.add(e)
         inside = [False] * n
         for e in range(n):

@@ -165,6 +165,15 @@ def test_main_text_of_pages():
     assert html_text.main_text(deep) == "words in a deep place, quite long"
 
 
+def test_an_article_split_over_siblings_without_article_or_main():
+    long = "A long story, with commas, and words that go on, and on, and on, so that it scores well, as stories do. " * 4
+    page = f"""<body><div class="menu"><p>Menu words</p></div><h1>Title</h1><div><div class="wrap"><div><div>{f"<p>{long}</p>" * 6}</div></div>
+    <div><h3>Short part</h3><p>One paragraph of about sixty characters, in its own short div</p></div><div><div><p>Nested.</p></div></div><p>Brief end.</p>
+    <div><p><a href=1>More to read, here</a> <a href=2>and there</a></p></div><div class="sidebar"><p>Side text, with commas, and words.</p></div></div></div><footer><p>Foot</p></footer></body>"""
+    want = ["Title", *[long.strip()] * 6, "Short part", "One paragraph of about sixty characters, in its own short div", "Nested.", "Brief end."]
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
 def test_quality_counts():
     rng = random.Random(4)
     texts = ["", " ", "a\na\na", "x y z x y z x", "#$% | é\n\n\nb", "a b c\nd\n"] + ["".join(rng.choice("ab #\n\té") for _ in range(rng.randint(0, 80))) for _ in range(300)]
