@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, decontaminate, html_text, line_dedup, ngram_lm, phrases, quality, sharding, simhash, suffix_array
+from attesta.llm import bpe, decontaminate, embedding_dedup, html_text, line_dedup, ngram_lm, phrases, prefix_trie, quality, sharding, simhash, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,14 @@ def phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_phrases(_table(spark, sf_dir, "documents"))
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": dedup_lines,
     "op2_simhash_near_dedup": simhash_near_dedup,
@@ -68,5 +76,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": judge_quality,
     "op10_substring_dedup": phrase_dedup,
     "op9_suffix_array_dedup": suffix_array_dedup,
+    "op12_embedding_near_dedup": embedding_near_dedup,
+    "op13_conversation_prefix_trie": conversation_trie,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op12_embedding_near_dedup": embedding_dedup.ORACLE, "op13_conversation_prefix_trie": prefix_trie.ORACLE}
