@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, decontaminate, embedding_dedup, html_text, line_dedup, ngram_lm, phrases, prefix_trie, quality, sharding, simhash, suffix_array
+from attesta.llm import bpe, collocations, decontaminate, embedding_dedup, html_text, line_dedup, ngram_lm, phrases, prefix_trie, quality, sharding, simhash, suffix_array
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_phrases(_table(spark, sf_dir, "documents"))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -76,7 +80,13 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": judge_quality,
     "op10_substring_dedup": phrase_dedup,
     "op9_suffix_array_dedup": suffix_array_dedup,
+    "op11_phrase_collocation_mining": phrase_collocations,
     "op12_embedding_near_dedup": embedding_near_dedup,
     "op13_conversation_prefix_trie": conversation_trie,
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op12_embedding_near_dedup": embedding_dedup.ORACLE, "op13_conversation_prefix_trie": prefix_trie.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op11_phrase_collocation_mining": collocations.oracle(),
+    "op12_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op13_conversation_prefix_trie": prefix_trie.ORACLE,
+}
