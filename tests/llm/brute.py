@@ -77,30 +77,37 @@ def near_components(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     return [(i, f"{prints[k]:016x}", least.get(find(k)), find(k)) for k, (i, _) in enumerate(rows)]
 
 
-def deduped_lines(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
-    cut = []
-    for i, text in rows:
-        lines, chunks, h = (text or "").split("\n"), [], [0, 0]
-        open_ = []
-        for line in lines:
-            h.append(int(hashlib.md5(line.encode()).hexdigest()[:7], 16))
-            open_.append(line)
-            if (h[-1] + 31 * h[-2] + 961 * h[-3]) % 4 == 0:
-                chunks.append(open_)
-                open_ = []
-        cut.append((i, text, chunks + [open_] * bool(open_)))
-    first: dict[str, tuple] = {}
-    for i, text, chunks in cut:
-        for no, c in enumerate(chunks):
-            place = (i is not None, i or 0, no, text)
-            key = "\n".join(c)
-            if len(c) > 1 and (key not in first or place < first[key]):
+def deduped_lines(rows: list[tuple[int | None, str | None]], window: int = 2) -> list[tuple]:
+    cut = [(i, text, (text or "").split("\n")) for i, text in rows]
+    first: dict[tuple, tuple] = {}
+    for i, text, lines in cut:
+        for no in range(len(lines) - window + 1):
+            key, place = tuple(lines[no : no + window]), (i is not None, i or 0, no, text)
+            if key not in first or place < first[key]:
                 first[key] = place
     out = []
-    for i, text, chunks in cut:
-        kept = [c for no, c in enumerate(chunks) if len(c) == 1 or first["\n".join(c)] == (i is not None, i or 0, no, text)]
-        n = sum(map(len, chunks))
-        out.append((i, n, n - sum(map(len, kept)), sha("\n".join("\n".join(c) for c in kept).encode())))
+    for i, text, lines in cut:
+        gone = {no + k for no in range(len(lines) - window + 1) if first[tuple(lines[no : no + window])] != (i is not None, i or 0, no, text) for k in range(window)}
+        kept = "\n".join(x for no, x in enumerate(lines) if no not in gone)
+        out.append((i, len(lines), len(gone), sha(kept.encode())))
+    return out
+
+
+def chunked_lines_removed(texts: list[str], modulus: int, window: int, least: int) -> list[set[int]]:
+    """Numbers of the lines that boundaries at lines whose rolling hash is a multiple of ``modulus`` would remove; for the figures in the README."""
+    seen, out = set(), []
+    for text in texts:
+        lines, gone, open_, h = text.split("\n"), set(), [], [0] * window
+        for no, line in enumerate(lines):
+            h.append(int(hashlib.md5(line.encode()).hexdigest()[:7], 16))
+            open_.append(no)
+            if sum(31**k * h[-1 - k] for k in range(window)) % modulus == 0 or no == len(lines) - 1:
+                key = tuple(lines[k] for k in open_)
+                if len(open_) >= least and key in seen:
+                    gone.update(open_)
+                seen.add(key)
+                open_ = []
+        out.append(gone)
     return out
 
 

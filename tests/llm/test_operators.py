@@ -112,12 +112,29 @@ def test_lines(docs, rows):
     same([(r.doc_id, brute.sha(r.text.encode())) for r in whole.collect()], [(w[0], w[3]) for w in want])
 
 
-def test_line_boundaries_resist_shifts(spark):
+def test_repeated_runs_in_other_texts_go(spark):
     rng = random.Random(8)
-    lines = ["".join(rng.choice("abc ") for _ in range(20)) for _ in range(400)]
-    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["new line"] + lines[:200] + ["other"] + lines[200:]))], "doc_id long, text string")
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
-    assert got[1].n_removed == 0 and got[2].n_removed > 330
+
+    def fresh(n: int) -> list[str]:
+        return ["".join(rng.choice("abcdefgh ") for _ in range(20)) for _ in range(n)]
+
+    runs = [fresh(n) for n in (2, 3, 4, 5, 6, 20) for _ in range(5)]
+    rows = [(k, "\n".join(fresh(3) + run + fresh(4))) for k, run in enumerate(runs + runs)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[k] for k in range(len(rows))] == [0] * len(runs) + [len(run) for run in runs]
+
+
+def test_lines_resist_shifts_and_long_texts(spark):
+    rng = random.Random(8)
+    lines = [f"{k} {rng.random()}" for k in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["new line"] + lines[:9000] + ["other"] + lines[9000:])), (3, "\n".join(["same"] * 5000))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 20_000, 3: 4999}
+
+
+@pytest.mark.parametrize("window", [1, 3])
+def test_lines_of_other_windows(docs, rows, window):
+    same([(r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.dedup_lines(docs, window=window).collect()], brute.deduped_lines(rows, window))
 
 
 def test_encoding(docs, rows):
