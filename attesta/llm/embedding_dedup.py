@@ -35,6 +35,7 @@ THRESHOLD = 0.95
 BLOCK = 2048
 #: Blocks that one row of tile work compares with the first one.
 TILES_A_ROW = 8
+MOST_TASKS = 20_000
 #: Rounding of sums in double precision, added to the bound.
 SLACK = 1e-9
 _EXACT = 1040
@@ -190,8 +191,9 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     blocks = cut_lineage(dealt.mapInArrow(_storing(folder), "dim int, block long"))
     many = blocks.groupBy("dim").agg(F.max("block").alias("top"))
     work = blocks.join(many, "dim").select("dim", "block", F.explode(F.sequence("block", "top", F.lit(TILES_A_ROW).cast("long"))).alias("first"), "top")
-    work = work.select("dim", "block", "first", F.least(F.col("first") + TILES_A_ROW - 1, "top").alias("last"))
-    found = cut_lineage(work.repartition("dim", "block", "first").mapInArrow(_tiling(folder, threshold), "u long, v long, n long"))
+    work = cut_lineage(work.select("dim", "block", "first", F.least(F.col("first") + TILES_A_ROW - 1, "top").alias("last")))
+    tasks = max(1, min(work.count(), MOST_TASKS))  # rows are few bytes and much work: their size says nothing
+    found = cut_lineage(work.repartition(tasks, "dim", "block", "first").mapInArrow(_tiling(folder, threshold), "u long, v long, n long"))
     count = found.where("n IS NOT NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     star = components(found.where("v IS NOT NULL").select("u", "v").distinct())
     rooted = numbered.select("node", "key", "copies", "least").join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
