@@ -3,7 +3,8 @@
 A page is read once into elements and blocks (runs of text between block-level tags). Blocks in menus, headers, footers, side
 bars, notices, adverts, forms, scripts, styles and reader comments are left out. Each remaining block of ``LEAST_CHARS`` or more passes points for its length and its
 commas to the elements around it: all to the nearest container, half to the next, less above. Scores are discounted by the
-share of text in links. The best container is kept, up to the article or main element it stands in, with what stands beside it or beside the elements around
+share of text in links. Words in class or id only make an element suspect: it is left out, unless it holds most of the text of the page and little stands outside
+suspect elements. The best container is kept, up to the article or main element it stands in, with what stands beside it or beside the elements around
 it, holds few links, and holds paragraphs or headings or scores well.
 """
 
@@ -43,6 +44,11 @@ NEVER = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion comment comments commentlist disqus replies reply respond menu menus nav navbar navigation breadcrumb breadcrumbs sidebar "
     "sidebars aside footer foot masthead topbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login pagination pager toolbar skiplink social sharing".split()
 )
+#: A class that holds one of these tells a state ("no-sidebar", "comments-open") and marks nothing; one with a word of the second list and an article word is a frame.
+STATES = frozenset("no has have with without hide hides show shows is not open opened closed enabled disabled on off supports".split())
+FRAMES = frozenset("wrap wrapper wrapped container inner outer holder layout grid row columns".split())
+#: A suspect element is no longer one with more than this share of the text, if all that stands outside suspect elements is less than the second share of its text.
+MOST, LITTLE = 0.5, 0.25
 #: These count only where no word of the second list stands beside them.
 PERHAPS = frozenset("header banner notice notices alert warning share related recommended recommendations widget widgets search form hidden rail meta tags".split())
 ARTICLE_WORDS = frozenset("article content post entry main story body text page".split())
@@ -50,32 +56,40 @@ CONTAINERS = frozenset(("article", "main"))
 PARAGRAPHS = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
+def _marked(value: str) -> bool:
+    """Whether a class or id says that the element is no part of an article."""
     words: set[str] = set()
+    for name in value.split():
+        own = {w.lower() for w in _WORD.findall(name)}
+        if not (own & STATES or (own & FRAMES and own & ARTICLE_WORDS)):
+            words |= own
+    return bool(words & NEVER) or bool(words & PERHAPS and not words & ARTICLE_WORDS)
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is left out for what it is, and whether its class or id makes it suspect."""
+    if tag in DROPPED or (tag == "header" and not in_article):
+        return True, False
+    if not attributes or tag in ("html", "body", "main"):
+        return False, False
+    named = []
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORD.findall(value))
-        elif name == "role" and value.lower() in ROLES:
-            return True
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return bool(words & NEVER) or bool(words & PERHAPS and not words & ARTICLE_WORDS)
+            named.append(value)
+        elif (
+            (name == "role" and value.lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true")
+            or (name == "style" and "display:none" in value.replace(" ", "").lower())
+        ):
+            return True, False
+    return False, _marked(" ".join(named))
 
 
 class Page:
     """Elements (parent, tag, whether dropped) and blocks (element, text, characters in links) of a page."""
 
     def __init__(self, source: str, forms: bool = False):
-        self.parent, self.tag, self.dropped = [-1], ["html"], [False]
+        self.parent, self.tag, self.dropped, self.suspect = [-1], ["html"], [False], [False]
         self._links, self._articles = [0], [0]  # open links and article containers at each element
         self._open: Counter[str] = Counter()
         self.blocks: list[tuple[int, str, int]] = []
@@ -109,11 +123,13 @@ class Page:
                 if tag in VOID:
                     continue
                 above = stack[-1]
-                drop = self.dropped[above] or (_unwanted(tag, attributes, self._articles[above] > 0) and not (forms and tag == "form"))
+                drop, suspect = _unwanted(tag, attributes, self._articles[above] > 0) if not self.dropped[above] else (True, False)
+                drop = drop and not (forms and tag == "form" and not self.dropped[above])
                 if not attributes.endswith("/") or tag in BLOCK or tag in _RAW:
                     self.parent.append(above)
                     self.tag.append(tag)
                     self.dropped.append(drop)
+                    self.suspect.append(suspect)
                     self._links.append(self._links[above] + (tag == "a"))
                     self._articles.append(self._articles[above] + (tag in CONTAINERS))
                     self._open[tag] += 1
@@ -152,8 +168,30 @@ class Page:
                 self.blocks.append((element, text, min(self._linked, len(text))))
             self._text, self._linked = [], 0
 
+    def clear_suspects(self) -> None:
+        """Trust suspect elements that must hold the article, from the outside in, and forget the blocks in the others."""
+        chars = [0] * len(self.tag)
+        for element, text, _ in self.blocks:
+            chars[element] += len(text)
+        for e in range(len(chars) - 1, 0, -1):
+            chars[self.parent[e]] += chars[e]
+        while True:
+            top, outer = [-1] * len(chars), []  # the outermost suspect element around each element
+            for e in range(1, len(chars)):
+                top[e] = top[self.parent[e]]
+                if top[e] < 0 and self.suspect[e]:
+                    top[e] = e
+                    outer.append(e)
+            largest = max(outer, key=lambda e: chars[e], default=0)
+            free = chars[0] - sum(chars[e] for e in outer)
+            if not largest or chars[largest] <= MOST * chars[0] or free >= LITTLE * chars[largest]:
+                break
+            self.suspect[largest] = False
+        self.blocks = [b for b in self.blocks if top[b[0]] < 0]
+
     def main_blocks(self) -> list[str]:
         """The texts of the blocks that are kept."""
+        self.clear_suspects()
         if not self.blocks:
             return []
         n = len(self.tag)
