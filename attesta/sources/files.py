@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from attesta import schema as S
 from attesta.functions import text as X
 from attesta.operators.documents import changed_since
+from attesta.plans.ordered import assign_seq
 from attesta.plans.sqlrun import run_sql
+from attesta.sources.json_arrays import read_objects, write_objects
 
 # Extensions a scan takes up, and those read as plain text.
 SCAN_EXTENSIONS = (
@@ -97,15 +99,12 @@ def manual_text(spark: SparkSession, title: str, body: str, author: str = "") ->
     )
 
 
-def json_table(spark: SparkSession, path: str, schema: object) -> DataFrame:
-    """A JSON array file (ledger, change log, resolutions) with a fixed schema.
+def json_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON array files, or JSON lines (ledger, change log, resolutions), with a fixed schema.
 
     Rows that cannot be read keep their text in ``_corrupt_record``; ``unreadable`` counts them.
     """
-    fields = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    # object by object, so that one bad object costs no other; a file that is no array is one bad row
-    objects = spark.read.text(path, wholetext=True).selectExpr("explode(coalesce(from_json(value, 'array<string>'), array(value))) AS o")
-    return objects.select(F.from_json("o", fields, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    return read_objects(spark, path, schema).withColumnRenamed("_corrupt", "_corrupt_record").drop("_path", "_at")
 
 
 def unreadable(table: DataFrame) -> int:
@@ -116,33 +115,34 @@ def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Readable rows; ``seq`` follows their place in the file, files by name."""
+    return assign_seq(rows.where("_corrupt IS NULL").drop("seq", "_corrupt"), [F.col("_path"), F.col("_at")])
+
+
 def claims_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Claims of a ledger file: a JSON array of objects with ``id`` and times in ISO form; ``seq`` is the position in the file."""
-    def wire(field: T.DataType) -> T.DataType:
-        if isinstance(field, T.StructType):
-            return T.StructType([T.StructField(f.name, wire(f.dataType)) for f in field.fields])
-        if isinstance(field, T.ArrayType):
-            return T.ArrayType(wire(field.elementType))
-        return T.StringType() if isinstance(field, T.TimestampNTZType) else field
-
-    plain = T.StructType([T.StructField("id", T.StringType()), *[f for f in wire(S.CLAIM).fields if f.name != "seq"]])
-    raw = json_table(spark, path, plain).where("_corrupt_record IS NULL")
-    # a zone is honoured, then dropped: times are UTC
-    ntz = "cast(cast({0} AS TIMESTAMP) AS TIMESTAMP_NTZ)"
-    inner = ", ".join(f"'{f.name}', " + (ntz.format(f"e.{f.name}") if isinstance(f.dataType, T.TimestampNTZType) else f"e.{f.name}") for f in S.EVIDENCE.fields)
-    columns = []
-    for f in S.CLAIM.fields:
-        if f.name == "seq":
-            columns.append("monotonically_increasing_id() AS seq")
-        elif f.name == "claim_id":
-            columns.append("coalesce(claim_id, id) AS claim_id")
-        elif f.name == "evidence":
-            columns.append(f"transform(evidence, e -> named_struct({inner})) AS evidence")
-        else:
-            columns.append(f"{ntz.format(f.name)} AS {f.name}" if isinstance(f.dataType, T.TimestampNTZType) else f.name)
-    return raw.selectExpr(*columns)
+    """Claims of ledger files: JSON arrays of objects with ``id`` and times in ISO form; ``seq`` is the order in the files."""
+    return _in_order(read_objects(spark, path, S.CLAIM, {"claim_id": "id"})).select(*S.CLAIM.names)
 
 
 def claims_to_json(claims: DataFrame, path: str) -> None:
-    """Claims as JSON lines in the same layout, one part per task."""
-    claims.drop("seq").withColumnRenamed("claim_id", "id").write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").json(path)
+    """Claims as JSON array files in the layout that ``claims_from_json`` reads, in the order of ``seq``."""
+    write_objects(claims.orderBy("seq").drop("seq").withColumnRenamed("claim_id", "id"), path)
+
+
+def events_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """Change log files: arrays of objects with ``id`` and ``timestamp``; a payload that is an object is kept as its text."""
+    return _in_order(read_objects(spark, path, S.EVENT, {"event_id": "id", "ts": "timestamp"})).select(*S.EVENT.names)
+
+
+def events_to_json(events: DataFrame, path: str) -> None:
+    named = events.orderBy("seq").drop("seq").withColumnsRenamed({"event_id": "id", "ts": "timestamp"})
+    write_objects(named, path)
+
+
+def resolutions_from_json(spark: SparkSession, path: str) -> DataFrame:
+    return _in_order(read_objects(spark, path, S.RESOLUTION)).select(*S.RESOLUTION.names)
+
+
+def resolutions_to_json(resolutions: DataFrame, path: str) -> None:
+    write_objects(resolutions.orderBy("seq").drop("seq"), path)
