@@ -20,9 +20,9 @@ from attesta.operators import authority, changelog, conflicts, documents, emissi
 from attesta.plans.ordered import assign_seq
 from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
-from attesta.sources import files
+from attesta.sources import files, ledger_store
 from attesta.sources.publish import delete_pages, write_pages
-from attesta.sources.snapshots import Snapshots
+from attesta.sources.snapshots import Snapshots, Transaction
 
 EVENT_COLUMNS = "change_type, ts, entity_id, source_uri, payload, agent"
 
@@ -87,13 +87,15 @@ class Brain:
         columns = ["artifact_id", "source_uri", "source_artifact", "author", "response"]
         parsed_claims = extraction.parse_responses(misses.join(answered, "chunk_hash").select(*columns).unionByName(hits.select(*columns)))
         claims = extraction.claims_from(parsed_claims, now)
-        n_claims = self._add(claims, now)
         claim_events = changelog.claim_events(claims.selectExpr("subject", "predicate", "object", "source_artifact AS source_uri"), now)
-        n_events = self._emit(doc_events.unionByName(claim_events.selectExpr(*EVENT_COLUMNS.split(", "))))
         n_hits = hits.select("artifact_id", "chunk_hash").distinct().count()
-        self.store.upsert("extractions", fresh, ["chunk_hash"])
-        self.store.upsert("documents", parsed.select("source_uri", "markdown", "content_hash"), ["source_uri"])
-        self.store.write("file_state", cut_lineage(state))
+        # one commit: a run that is cut off leaves everything as it was
+        with self.store.transaction() as tx:
+            n_claims = self._add(claims, now, tx)
+            n_events = self._emit(doc_events.unionByName(claim_events.selectExpr(*EVENT_COLUMNS.split(", "))), tx)
+            tx.upsert("extractions", fresh, ["chunk_hash"])
+            tx.upsert("documents", parsed.select("source_uri", "markdown", "content_hash"), ["source_uri"])
+            tx.write("file_state", state)
         if self.settings.enable_conflict_resolution:
             self.resolve_conflicts(as_of=now)
         return {"artifacts": n_arts, "claims": n_claims, "cached_chunks": n_hits, "events": n_events}
@@ -105,7 +107,8 @@ class Brain:
             "*", "body AS content", f"'{now}' AS dated", "title AS source_artifact"
         )
         answers = self._call(extraction.prompts(art))
-        return {"artifacts": 1, "claims": self._add(extraction.claims_from(extraction.parse_responses(answers), now), now)}
+        with self.store.transaction() as tx:
+            return {"artifacts": 1, "claims": self._add(extraction.claims_from(extraction.parse_responses(answers), now), now, tx)}
 
     def _call(self, prompts: DataFrame) -> DataFrame:
         """Answers of the extractor; only an outside service is paced."""
@@ -113,7 +116,7 @@ class Brain:
         tasks = None if self.extract is extraction.sentence_extractor else 8
         return extraction.call_extractor(prompts, self.extract, s.llm_max_concurrent, s.llm_rate_limit_rpm, s.llm_retry_max, timeout=s.llm_request_timeout, tasks=tasks)
 
-    def _add(self, claims: DataFrame, now: str) -> int:
+    def _add(self, claims: DataFrame, now: str, tx: Transaction) -> int:
         """Stamp authority, merge (by meaning too when an embedder is given), decay and store. Returns arriving claims."""
         stamped = cut_lineage(authority.stamp(claims, self.authority()))
         base = None
@@ -124,9 +127,7 @@ class Brain:
         key = "fingerprint"
         if self.embed is not None and self.settings.enable_ingestion_embeddings:
             stamped, key = self._with_meaning(stamped, base), "merge_to"
-        new_claims, new_evidence = ledger.add_claims(stamped, now, base, self.rule, key)
-        self.store.write("evidence", new_evidence)
-        self.store.write("claims", ledger.decay(new_claims, now).drop("decayed"))
+        ledger_store.merge_in(tx, stamped, now, self.rule, key, decay=True)
         return stamped.count()
 
     def _with_meaning(self, stamped: DataFrame, base: tuple[DataFrame, DataFrame] | None) -> DataFrame:
@@ -144,7 +145,7 @@ class Brain:
             s=stamped, f=found, v=vectors.select("id", "fingerprint"),
         )
 
-    def _emit(self, events: DataFrame) -> int:
+    def _emit(self, events: DataFrame, tx: Transaction) -> int:
         """Append events with ids and numbers that continue those of the log."""
         log = self.store.read("events")
         start = 0 if log is None else (log.agg({"seq": "max"}).collect()[0][0] or 0) + 1
@@ -152,7 +153,7 @@ class Brain:
             "left(sha2(concat_ws('|', seq, change_type, ts, entity_id, source_uri, payload), 256), 32) AS event_id", f"seq + {start}L AS seq",
             "change_type", "ts", "entity_id", "source_uri", "payload", "cast(null AS STRING) AS triggered_by", "agent",
         )
-        self.store.append("events", rows)
+        tx.append("events", rows)
         return rows.count()
 
     # --- reads ---
@@ -206,23 +207,23 @@ class Brain:
         self.store.write("authority", cut_lineage(authority.remove(self.authority(), source, topic)))
 
     def promote_all(self, as_of: str | None = None) -> int:
-        out = cut_lineage(ledger.promote_all(self._ledger()[0], as_of or utc_now(), self.rule))
-        self.store.write("claims", out.drop("promoted"))
-        return out.where("promoted").count()
+        claims = self._ledger()[0]
+        out = ledger.promote_all(claims, as_of or utc_now(), self.rule).where("promoted")
+        with self.store.transaction() as tx:
+            return ledger_store.change(tx, out.select(*claims.columns))
 
     def set_status(self, claim_id: str, status: str, as_of: str | None = None) -> None:
         if status not in S.STATUSES:
             raise ValueError(f"Unknown status: {status}. Valid: {list(S.STATUSES)}")
         change = self.spark.createDataFrame([(claim_id, status)], "claim_id string, new_status string")
-        self.store.write("claims", cut_lineage(ledger.set_status(self._ledger()[0], change, as_of or utc_now())))
+        claims = self._ledger()[0]
+        with self.store.transaction() as tx:
+            ledger_store.change(tx, ledger.set_status(claims.where(claims["claim_id"] == claim_id), change, as_of or utc_now()).select(*claims.columns))
 
     def retract(self, artifact_id: str) -> int:
         gone = self.spark.createDataFrame([(artifact_id,)], "artifact_id string")
-        claims, evidence = ledger.retract(*self._ledger(), gone)
-        claims, evidence = cut_lineage(claims), cut_lineage(evidence)
-        self.store.write("evidence", evidence.drop("retracted"))
-        self.store.write("claims", claims)
-        return evidence.where("retracted").count()
+        with self.store.transaction() as tx:
+            return ledger_store.retract(tx, gone)
 
     def detect_conflicts(self) -> DataFrame:
         return conflicts.detect_within(self._ledger()[0], self.settings.conflict_similarity_threshold)
@@ -244,10 +245,12 @@ class Brain:
         stored = self._table("links", "a_id string, b_id string")
         links = cut_lineage(stored.unionByName(links).distinct())
         linked = ledger.with_conflict_counts(claims, ledger.conflict_links(claims, links))
-        self.store.write("claims", cut_lineage(ledger.supersede(linked, supersede)))
-        self.store.write("links", links)
-        self.store.append("resolutions", res.select("a_seq", "conflict_id", "winner_id", "loser_id", "strategy_used", "confidence", "resolved_by", "resolved_at", "rationale").withColumnRenamed("a_seq", "seq"))
-        self._emit(conflicts.resolution_events(res).selectExpr(*EVENT_COLUMNS.split(", ")))
+        both = res.selectExpr("explode(array(a_claim_id, b_claim_id)) AS claim_id").distinct()
+        with self.store.transaction() as tx:
+            ledger_store.change(tx, ledger.supersede(linked, supersede).join(both, "claim_id", "left_semi").select(*claims.columns))
+            tx.write("links", links)
+            tx.append("resolutions", res.select("a_seq", "conflict_id", "winner_id", "loser_id", "strategy_used", "confidence", "resolved_by", "resolved_at", "rationale").withColumnRenamed("a_seq", "seq"))
+            self._emit(conflicts.resolution_events(res).selectExpr(*EVENT_COLUMNS.split(", ")), tx)
         auto = res.where("auto").count()
         total = res.count()
         return {"total": total, "auto": auto, "pending": total - auto}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from attesta.operators import ledger
+from attesta.sources import ledger_store
 from attesta.sources.files import artifacts_of
 from attesta.sources.snapshots import Snapshots
 
@@ -39,19 +40,15 @@ def event_windows(events: DataFrame, size: str = "1 day", delay: str = "10 minut
 def ledger_sink(spark: SparkSession, store: Snapshots, as_of: str, rule: ledger.Promotion = ledger.Promotion()) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch of arriving claims into the stored ledger.
 
-    The batch number is recorded last. A recorded batch that is delivered again changes nothing; one that was cut off
-    before is merged again, and evidence of artifacts the ledger already has is not added twice.
+    Claims, evidence and the batch number are one commit, and only the buckets of the arriving claims are written. A batch that is delivered again changes nothing.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         done = store.read("batches")
         if done is not None and not done.where(done["batch_id"] == batch_id).isEmpty():
             return
-        claims, evidence = store.read("claims"), store.read("evidence")
-        base = None if claims is None or evidence is None else (claims, evidence)
-        new_claims, new_evidence = ledger.add_claims(batch, as_of, base, rule)
-        store.write("evidence", new_evidence)
-        store.write("claims", new_claims)
-        store.append("batches", spark.range(1).selectExpr(f"cast({batch_id} AS BIGINT) AS batch_id"))
+        with store.transaction() as tx:
+            ledger_store.merge_in(tx, batch, as_of, rule)
+            tx.append("batches", spark.range(1).selectExpr(f"cast({batch_id} AS BIGINT) AS batch_id"))
 
     return merge
 
