@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.plans import views as V
 from attesta.plans.sqlrun import run_sql
-from attesta.queries.base import query
-from attesta.session import checkpoint_dir
+from attesta.queries.base import LEDGER1, query
+from attesta.queries.common import stamped_c1
+from attesta.session import checkpoint_dir, cut_lineage, run_folder
 from attesta.streaming import ingest
+from attesta.streaming.claim_state import claim_changes
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,3 +57,28 @@ def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(
         "SELECT event_type AS kind, count(*) AS n, round(sum(value), 2) AS total FROM @e GROUP BY event_type", e=_drain(raw, "append")
     )
+
+
+@query("stream_claim_promotions", f"""
+WITH {LEDGER1}
+SELECT fp AS fingerprint, status, n_supporting FROM ledger1 WHERE status <> 'candidate'""")
+def stream_claim_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the orders arrive in three parts; the state store holds what is known of each, and promotions come out.
+
+    The last promotion of a claim is its status, and a stored ledger of the same claims says how many sources it has in the end.
+    """
+    claims = cut_lineage(stamped_c1(spark, sf_dir))
+    inbox = f"{run_folder(spark)}/claims-{uuid.uuid4().hex}"
+    edges = claims.selectExpr("approx_percentile(seq, array(0.33, 0.66)) AS p").first().p or [0, 0]
+    for part in (f"seq <= {edges[0]}", f"seq > {edges[0]} AND seq <= {edges[1]}", f"seq > {edges[1]}"):
+        claims.where(part).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(claims.schema).parquet(inbox)
+    changes = _drain(claim_changes(stream), "append")
+    return run_sql(
+        """
+        WITH last AS (SELECT merge_key, max_by(new_status, seq) AS status FROM @c GROUP BY merge_key),
+        counted AS (SELECT fingerprint, count(DISTINCT artifact_id) AS n FROM (SELECT fingerprint, explode(evidence.artifact_id) AS artifact_id FROM @a) GROUP BY fingerprint)
+        SELECT fingerprint, status, n AS n_supporting FROM last JOIN counted ON merge_key = fingerprint
+        """,
+        c=changes, a=claims,
+    )
