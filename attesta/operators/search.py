@@ -86,32 +86,63 @@ def claims_block(ranked: DataFrame, max_claims: int = 50) -> DataFrame:
     )
 
 
+#: Lengths of the pieces under which names are filed: the longest one that a name has.
+PIECES = (1, 2, 4, 8, 16)
+
+
+def _pieces(chars: str, ks: str) -> str:
+    """The distinct 64-bit hashes of the pieces of the lengths ``ks`` (an array) of an array of characters."""
+    return (
+        f"aggregate({ks}, cast(array() AS ARRAY<BIGINT>), (all, k) -> if(size({chars}) < k, all, array_union(all, "
+        f"transform(sequence(1, size({chars}) - k + 1), i -> xxhash64(k, array_join(slice({chars}, i, k), ''))))))"
+    )
+
+
 def mentions(claims: DataFrame) -> DataFrame:
     """Relations (entity, related): another claim's subject occurs in a claim's object, in either direction.
 
-    Substring search as an equi join: a subject is filed under its first 1, 2, 4, 8, 16 or 32 characters, whichever is
-    the most it has, and every distinct object gives its pieces of those lengths. Candidates are then compared whole.
+    Substring search by an inverted index: the pieces of all distinct objects that some name has as well are counted, and each name is filed under
+    the rarest of its own, so names behind one common beginning meet only objects that hold what tells them apart. A name one of whose pieces
+    stands in no object is in none of them. Candidates are compared whole. Empty subjects are in nothing; claims without an object mention nobody.
     """
+    names = cut_lineage(run_sql(
+        f"""
+        SELECT name, low, {_pieces('chars', 'array(k)')} AS pieces FROM (
+          SELECT subject AS name, lower(subject) AS low, split(lower(subject), '') AS chars, array_max(filter(array({', '.join(map(str, PIECES))}), k -> k <= length(lower(subject)))) AS k
+          FROM @c WHERE subject <> '' GROUP BY subject)
+        """,
+        c=claims,
+    ))
+    # at most five lengths; objects shorter than a length have no piece of it
+    lengths = run_sql("SELECT array_sort(collect_set(array_max(filter(array(1, 2, 4, 8, 16), k -> k <= length(low))))) AS ks FROM @n", n=names)
+    held = cut_lineage(run_sql(
+        f"""
+        SELECT o.obj_id, o.piece FROM (
+          SELECT obj_id, explode({_pieces('chars', 'ks')}) AS piece FROM (
+            SELECT xxhash64(obj) AS obj_id, split(obj, '') AS chars FROM (SELECT DISTINCT lower(object) AS obj FROM @c WHERE object <> '')), @l) o
+        LEFT SEMI JOIN (SELECT DISTINCT explode(pieces) AS piece FROM @n) n ON o.piece = n.piece
+        """,
+        c=claims, n=names, l=lengths,
+    ))
+    filed = cut_lineage(run_sql(
+        """
+        WITH often AS (SELECT piece, count(*) AS n FROM @h GROUP BY piece)
+        SELECT name, first(low) AS low, min(struct(o.n, p.piece)).piece AS piece FROM (SELECT name, low, size(pieces) AS m, explode(pieces) AS piece FROM @n) p JOIN often o ON o.piece = p.piece
+        GROUP BY name HAVING count(*) = max(m)
+        """,
+        h=held, n=names,
+    ))
     return run_sql(
         """
-        WITH names AS (
-          SELECT subject AS name, lower(subject) AS low, left(lower(subject), k) AS piece, k FROM (
-            SELECT subject, cast(least(32, pow(2, floor(log2(length(lower(subject)))))) AS INT) AS k FROM @c WHERE subject <> '' GROUP BY subject)),
-        sizes AS (SELECT collect_set(k) AS ks FROM names),
-        objects AS (SELECT DISTINCT lower(object) AS obj FROM @c),
-        pieces AS (
-          SELECT obj_id, explode(flatten(transform(filter(ks, k -> k <= n), k -> array_distinct(
-            transform(sequence(1, n - k + 1), i -> array_join(slice(chars, i, k), '')))))) AS piece
-          FROM (SELECT xxhash64(obj) AS obj_id, length(obj) AS n, split(obj, '') AS chars, (SELECT ks FROM sizes) AS ks FROM objects)),
-        candidates AS (SELECT DISTINCT obj_id, name, low FROM pieces JOIN names USING (piece)),
-        hits AS (SELECT obj, name FROM candidates JOIN objects ON obj_id = xxhash64(obj) WHERE contains(obj, low)),
+        WITH candidates AS (SELECT h.obj_id, f.name, f.low FROM @h h JOIN @f f ON h.piece = f.piece),
+        hits AS (SELECT obj, name FROM candidates c JOIN (SELECT DISTINCT lower(object) AS obj FROM @c) o ON c.obj_id = xxhash64(o.obj) WHERE contains(obj, low)),
         pairs AS (
           SELECT DISTINCT c.subject, h.name FROM (SELECT DISTINCT subject, lower(object) AS obj FROM @c) c JOIN hits h ON c.obj = h.obj
           WHERE c.subject <> h.name)
-        SELECT DISTINCT explode(array(named_struct('entity', subject, 'related', name), named_struct('entity', name, 'related', subject))) AS r FROM pairs
+        SELECT DISTINCT r.* FROM (SELECT explode(array(named_struct('entity', subject, 'related', name), named_struct('entity', name, 'related', subject))) AS r FROM pairs)
         """,
-        c=claims,
-    ).select("r.*")
+        c=claims, h=held, f=filed,
+    )
 
 
 def shared_sources(evidence_of_claims: DataFrame) -> DataFrame:

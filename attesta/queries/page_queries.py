@@ -23,21 +23,19 @@ def _page_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 @query("flagship_entities", f"""
 WITH {LEDGER1},
-groups AS (SELECT lower(trim(subject)) AS k, count(DISTINCT lower(object)) AS n_objects FROM ledger1 GROUP BY 1)
+groups AS (SELECT lower(trim(subject)) AS s, lower(trim(predicate)) AS p, count(DISTINCT lower(object)) AS n_objects FROM ledger1 GROUP BY 1, 2)
 SELECT lower(trim(subject)) AS entity, count(*) AS claim_count, CAST(sum(n_supporting) AS BIGINT) AS n_evidence, count_if(status = 'corroborated') AS n_corroborated,
   round(avg(truth_score), 6) AS avg_truth_score, max(n_objects) AS n_values
-FROM ledger1 JOIN groups ON k = lower(trim(subject)) GROUP BY 1 ORDER BY avg(truth_score) DESC, 1 LIMIT 100""")
+FROM ledger1 JOIN groups ON s = lower(trim(subject)) AND p = lower(trim(predicate)) GROUP BY 1 ORDER BY avg(truth_score) DESC, 1 LIMIT 100""")
 def flagship_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merge, authority, promotion, decay, score and conflicts, then the 100 best supported entities."""
+    """Merge, authority, promotion, decay, score and conflicts, then the 100 best supported entities; ``n_values`` is the most that one of their predicates has."""
     c = ledger_c1(spark, sf_dir)
     return run_sql(
         f"""
-        SELECT entity, claim_count, n_evidence, n_corroborated, round(avg_score, 6) AS avg_truth_score, n_values FROM (
-          SELECT {X.norm('subject')} AS entity, count(*) AS claim_count, sum(n_supporting) AS n_evidence, count_if(status = 'corroborated') AS n_corroborated,
-            avg(truth_score) AS avg_score FROM @c GROUP BY 1) e
-        LEFT JOIN (SELECT substring_index(ck, '|', 1) AS name, n_objects AS many FROM @k) k ON e.entity = k.name
-        LATERAL VIEW explode(array(coalesce(many, 1L))) AS n_values
-        ORDER BY avg_score DESC, entity LIMIT 100
+        SELECT entity, count(*) AS claim_count, sum(n_supporting) AS n_evidence, count_if(status = 'corroborated') AS n_corroborated,
+          round(avg(truth_score), 6) AS avg_truth_score, max(coalesce(n_objects, 1L)) AS n_values
+        FROM (SELECT {X.norm('subject')} AS entity, {X.conflict_key('subject', 'predicate')} AS ck, n_supporting, status, truth_score FROM @c) e LEFT JOIN @k k ON e.ck = k.ck
+        GROUP BY entity ORDER BY avg(truth_score) DESC, entity LIMIT 100
         """,
         c=c, k=conflicts.conflict_counts(c),
     )

@@ -47,19 +47,29 @@ def similar_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.selectExpr("claim_id", "round(truth_score, 6) AS truth_score")
 
 
-@query("token_overlap", """
+LEAST_OVERLAP = 0.25
+
+
+@query("token_overlap", f"""
 WITH t AS (SELECT a.item_id AS a_id, b.doc_id AS b_id, list_distinct(list_filter(string_split_regex(lower(a.text), '\\s+'), lambda w: w <> '')) AS ta,
-    list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda w: w <> '')) AS tb FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS no, count(*) OVER () AS items FROM benchmark) a JOIN documents b ON a.no = b.doc_id % a.items)
-SELECT a_id, b_id, round(len(list_intersect(ta, tb)) / CAST(greatest(len(ta), len(tb)) AS DOUBLE), 6) AS overlap FROM t""")
+    list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda w: w <> '')) AS tb FROM benchmark a, documents b)
+SELECT a_id, b_id, round(len(list_intersect(ta, tb)) / CAST(greatest(len(ta), len(tb)) AS DOUBLE), 6) AS overlap FROM t
+WHERE len(list_intersect(ta, tb)) >= {LEAST_OVERLAP} * greatest(len(ta), len(tb)) AND len(list_intersect(ta, tb)) > 0""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token overlap of each document with one benchmark item, all items in turn."""
-    items = ordered_index(V.table(spark, sf_dir, "benchmark"), [], [F.col("item_id")], "no")
+    """Documents and benchmark items that share a quarter of the larger one's tokens or more: all items are asked for in all documents, through the tokens they share."""
+    docs = V.spread(V.table(spark, sf_dir, "documents"))
     return run_sql(
         f"""
-        SELECT item_id AS a_id, doc_id AS b_id, round({X.token_overlap('lower(a.text)', 'lower(b.text)')}, 6) AS overlap
-        FROM @a a JOIN (SELECT *, doc_id % (SELECT count(*) FROM @a) + 1 AS item_no FROM @b) b ON a.no = b.item_no
+        WITH asked AS (SELECT item_id, text, size(tokens) AS n, tokens FROM (SELECT item_id, text, array_distinct({X.words('lower(text)')}) AS tokens FROM @a)),
+        found AS (
+          SELECT item_id, doc_id, max(i.n) AS na, max(d.n) AS nb, count(*) AS shared
+          FROM (SELECT item_id, n, explode(tokens) AS token FROM asked) i
+          JOIN (SELECT doc_id, size(tokens) AS n, explode(tokens) AS token FROM (SELECT doc_id, array_distinct({X.words('lower(text)')}) AS tokens FROM @b)) d ON i.token = d.token
+          GROUP BY item_id, doc_id)
+        SELECT f.item_id AS a_id, f.doc_id AS b_id, round({X.token_overlap('lower(a.text)', 'lower(b.text)')}, 6) AS overlap
+        FROM found f JOIN @a a ON f.item_id = a.item_id JOIN @b b ON f.doc_id = b.doc_id WHERE shared >= {LEAST_OVERLAP}D * greatest(na, nb)
         """,
-        a=items, b=V.spread(V.table(spark, sf_dir, "documents")),
+        a=V.table(spark, sf_dir, "benchmark"), b=docs,
     )
 
 
