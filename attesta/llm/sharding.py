@@ -65,9 +65,12 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = units.orderBy(F.desc("bytes"), "unit", "key").toArrow().to_pydict()
     chosen = longest_first(table["bytes"], shards)
     placed = spark.createDataFrame([(None if k is None else bytearray(k), u, s) for k, u, s in zip(table["key"], table["unit"], chosen, strict=True)], "key binary, unit long, shard int")
-    whole = large.select("key").join(F.broadcast(placed.where("key IS NOT NULL").select("key", "shard")), "key")
+    # groups of their own are few and may hold any share of the rows: their shards go to the rows; only rows of small groups are shuffled
+    large_shards = placed.where("key IS NOT NULL").select("key", F.col("shard").alias("large_shard"))
+    met = rows.join(F.broadcast(large_shards), "key", "left")
     cut = small.join(F.broadcast(placed.where("unit IS NOT NULL").select("unit", "shard")), "unit").select("key", "shard")
-    sharded = rows.join(whole.unionByName(cut), "key").select("id", "size", "text_crc32", "shard")
+    columns = ["id", "size", "text_crc32"]
+    sharded = met.where("large_shard IS NULL").join(cut, "key").select(*columns, "shard").unionByName(met.where("large_shard IS NOT NULL").select(*columns, F.col("large_shard").alias("shard")))
     slotted = ordered_index(sharded, ["shard"], [F.col("id"), F.col("text_crc32"), F.col("size")], "slot")
     return slotted.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
