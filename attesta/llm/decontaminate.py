@@ -6,13 +6,15 @@ distance to the best substring, first for the two pieces that the hit is part of
 item (Navarro and Baeza-Yates 2001): parts of p pieces have a budget of p - 1, and if the whole is within its budget, so is all
 that stands above some exact piece. So chance hits cost a few dozen characters, and no occurrence is lost.
 
-Texts and items are compared in lower case, with every run of other than letters and digits read as one space. Items are taken in blocks of
+Texts and items are compared in lower case, with every run of other than letters and digits read as one space, and a space at both ends: an item that begins or
+ends inside a word of the text pays an edit for it, so short items are not found in longer words. Items are taken in blocks of
 bounded size (one pass over the documents each), so only a block is ever broadcast.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +29,20 @@ _OTHER = re.compile(r"[\W_]+")
 
 
 def normal(text: str | None) -> str:
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    """The words of a text with one space between and around them; empty if there are none."""
+    words = _OTHER.sub(" ", (text or "").lower()).strip()
+    return f" {words} " if words else ""
+
+
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(key: str, items: list[tuple[object, str]], share: float) -> Matcher:
+    """The matcher of a block of items, built once in a worker; a worker keeps the last one."""
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(items, share)
+    return _matchers[key]
 
 
 def pieces(length: int, budget: int) -> list[tuple[int, int]]:
@@ -152,8 +167,10 @@ def contaminated(
     arrow = to_arrow_type(item_type)
 
     def searching(block):
+        key = uuid.uuid4().hex
+
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block.value, share)
+            matcher = matcher_of(key, block.value, share)
             for batch in batches:
                 at, item, distance = [], [], []
                 for k, text in enumerate(batch.column(1)):
@@ -181,12 +198,17 @@ def item_blocks(tests: DataFrame, block_bytes: int) -> Iterator:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = BUDGET_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; each block of items sifts what the one before has left."""
+    """The rows of ``docs`` that hold no item, with all their columns; each block of items sifts what the one before has left.
+
+    Whole texts; rows with a null or empty text hold nothing and stay, as repeated rows do. Without items all rows stay, an empty table stays empty.
+    """
     tests = items.where(F.col(item_text_col).isNotNull()).select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
 
     def sifting(block):
+        key = uuid.uuid4().hex
+
         def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block.value, share)
+            matcher = matcher_of(key, block.value, share)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array([not matcher.distances(normal(t.as_py())) for t in texts], pa.bool_()))

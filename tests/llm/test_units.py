@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from attesta.llm import anchors, bpe, decontaminate, html_text, quality, sharding, simhash, suffix_array  # noqa: E402
+from attesta.llm import anchors, bpe, decontaminate, html_text, phrases, quality, sharding, simhash, suffix_array  # noqa: E402
 from attesta.llm.text import words  # noqa: E402
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -196,3 +196,16 @@ def test_trees_learn_and_keep_to_constraints():
             assert (sign * np.diff(trees.probability(line)) >= -1e-12).all()
     assert (quality.fit(x[:0], y[:0], [0, 0, 0]).probability(x[:3]) > 0.5).all()
     assert (quality.fit(x, np.ones(3000), [0, 0, 0]).probability(x[:3]) > 0.5).all()
+
+
+def test_items_are_not_found_inside_words():
+    items = [(1, decontaminate.normal("cat")), (2, decontaminate.normal("the end"))]
+    found = decontaminate.Matcher(items, 0.0)
+    assert found.distances(decontaminate.normal("We concatenate; breathe endlessly")) == {}
+    assert found.distances(decontaminate.normal("The end. A cat!")) == {0: 0, 1: 0}
+    assert decontaminate.normal(None) == decontaminate.normal(" -_!") == ""
+
+
+def test_long_windows_are_refused(spark):
+    with pytest.raises(ValueError):
+        phrases.remove_phrases(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), window=300)
