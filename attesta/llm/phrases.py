@@ -147,6 +147,8 @@ def _scanning(window: int, id_type: pa.DataType):
 
 def earlier_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """``id``, ``text_hash`` and ``spans`` (list of lo, len: starts of phrases that an earlier document has) per row with any."""
+    if window - gram + 1 > 255:
+        raise ValueError(f"a window has at most {254 + gram} words: the windows of a piece are counted in eight bits")
     id_field = docs.schema["id"]
     id_type = id_field.dataType.simpleString()
     found, frequent = recurring(docs, word_units, window, gram, heavy)

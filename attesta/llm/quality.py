@@ -192,8 +192,9 @@ def labelled_sample(statistics: DataFrame, labels: DataFrame, id_col: str = "doc
     """Statistics and labels of at most ``sample_rows`` labelled documents, chosen by a hash of the id. Null labels and ids are left out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    # in the order of ids: sums over the sample are then the same in every run
     # the broadcast side has at most sample_rows rows; ids that name several rows are cut back to the bound
-    table = statistics.join(F.broadcast(chosen), "id").select("label", *STATISTICS).limit(sample_rows).toArrow()
+    table = statistics.join(F.broadcast(chosen), "id").select("id", "label", *STATISTICS).orderBy("id", "label", *STATISTICS).limit(sample_rows).toArrow()
     return np.stack([table.column(c).to_numpy() for c in STATISTICS], axis=1).reshape(-1, len(STATISTICS)), table.column("label").to_numpy()
 
 
@@ -222,7 +223,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns. Rows are judged where they are read: nothing is joined or shuffled.
 
-    The trees are fitted from at most ``SAMPLE_ROWS`` labelled documents.
+    The trees are fitted from at most ``SAMPLE_ROWS`` labelled documents. Whole texts; a null or empty text has no words and goes. Repeated rows
+    stay or go together, an empty table stays empty.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)

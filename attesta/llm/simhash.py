@@ -179,7 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rooted: Callable[[DataFrame], DataFrame] = _rooted) -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: that of the smallest id (rows without an id last), then of the smallest text hash.
 
-    ``rooted`` gives the ``root`` of each ``id`` and ``text_hash``: by close fingerprints, or that of ``resemblance``.
+    ``rooted`` gives the ``root`` of each ``id`` and ``text_hash``: by close fingerprints, or that of ``resemblance``. Whole texts; null and empty texts are alike,
+    so one of them stays. Of repeated rows one stays, an empty table stays empty.
     """
     others = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
     rows = keyed(docs, id_col, text_col, others)
