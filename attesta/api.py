@@ -128,6 +128,7 @@ class Brain:
         if self.embed is not None and self.settings.enable_ingestion_embeddings:
             stamped, key = self._with_meaning(stamped, base), "merge_to"
         ledger_store.merge_in(tx, stamped, now, self.rule, key, decay=True)
+        ledger_store.note_groups(tx, stamped, key)
         return stamped.count()
 
     def _with_meaning(self, stamped: DataFrame, base: tuple[DataFrame, DataFrame] | None) -> DataFrame:
@@ -218,7 +219,9 @@ class Brain:
         change = self.spark.createDataFrame([(claim_id, status)], "claim_id string, new_status string")
         claims = self._ledger()[0]
         with self.store.transaction() as tx:
-            ledger_store.change(tx, ledger.set_status(claims.where(claims["claim_id"] == claim_id), change, as_of or utc_now()).select(*claims.columns))
+            one = cut_lineage(ledger.set_status(claims.where(claims["claim_id"] == claim_id), change, as_of or utc_now()).select(*claims.columns))
+            if ledger_store.change(tx, one):
+                ledger_store.note_groups(tx, one, ledger_store.KEY)
 
     def retract(self, artifact_id: str) -> int:
         gone = self.spark.createDataFrame([(artifact_id,)], "artifact_id string")
@@ -231,14 +234,20 @@ class Brain:
     def resolve_conflicts(self, as_of: str | None = None) -> dict[str, int]:
         """Resolve the conflicts between active claims that no resolution names yet, in order; apply the automatic ones and record everything.
 
-        Links are stored and only grow, so a second run finds nothing to do and leaves ledger, links and resolutions as they are.
+        Only groups (subject, predicate) that got claims since the last run are looked at, and only their buckets are read. Links are stored and only grow, so a second run
+        finds nothing to do and leaves ledger, links and resolutions as they are.
         """
         now = as_of or utc_now()
-        claims = self._ledger()[0]
+        claims = ledger_store.waiting_claims(self.store)
+        if claims is None:
+            return {"total": 0, "auto": 0, "pending": 0}
+        claims = cut_lineage(claims)
         known = self.resolutions().select("conflict_id").distinct()
         found = conflicts.detect_within(ledger.active(claims), self.settings.conflict_similarity_threshold)
         pairs = cut_lineage(found.join(known, "conflict_id", "left_anti"))
+        looked_at = self.spark.createDataFrame([], "ck string")
         if pairs.isEmpty():
+            self.store.write("open_groups", looked_at)
             return {"total": 0, "auto": 0, "pending": 0}
         res = cut_lineage(conflicts.resolve_in_order(pairs, now, self.settings.resolve_strategy, self.settings.auto_resolve_threshold))
         links, supersede = conflicts.effects(res)
@@ -249,6 +258,7 @@ class Brain:
         with self.store.transaction() as tx:
             ledger_store.change(tx, ledger.supersede(linked, supersede).join(both, "claim_id", "left_semi").select(*claims.columns))
             tx.write("links", links)
+            tx.write("open_groups", looked_at)
             tx.append("resolutions", res.select("a_seq", "conflict_id", "winner_id", "loser_id", "strategy_used", "confidence", "resolved_by", "resolved_at", "rationale").withColumnRenamed("a_seq", "seq"))
             self._emit(conflicts.resolution_events(res).selectExpr(*EVENT_COLUMNS.split(", ")), tx)
         auto = res.where("auto").count()

@@ -6,6 +6,9 @@ claim per distinct object), so that copies never form pairs; hot subjects are sp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from attesta import schema as S
@@ -112,7 +115,7 @@ def winners(claims: DataFrame, strategy: str = "authority_wins", similarity: flo
     )
 
 
-# strategy -> (a wins, rationale of the winner w over the loser l); a tie goes to a.
+# strategy -> (a wins, rationale of the winner w over the loser l); a tie goes to a. The texts of the rationales are fixed values.
 _RULES = {
     "authority_wins": (
         "a_best_authority >= b_best_authority",
@@ -160,54 +163,61 @@ def resolve(
     )
 
 
+_FOLD = "ck string, a_seq long, b_seq long, a_claim_id string, b_claim_id string, a_truth_score double, b_truth_score double"
+
+
+def _folding(auto_delta: float):
+    """Adds the links that both claims have before each pair, and whether the pair links them; rows come sorted by (ck, a_seq, b_seq).
+
+    What is remembered is one number for each linked claim of one group; pairs stream through.
+    """
+    power = [1.0]
+
+    def lowered(score: float | None, n: int) -> float | None:
+        while len(power) <= n:
+            power.append(S.CONFLICT_FACTOR ** len(power))
+        return None if score is None else score * power[n]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, links = None, {}
+        for batch in batches:
+            a_links, b_links = [], []
+            for ck, _, _, a, b, a_score, b_score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ck != group:
+                    group, links = ck, {}
+                m, n = links.get(a, 0), links.get(b, 0)
+                a_links.append(m)
+                b_links.append(n)
+                x, y = lowered(a_score, m), lowered(b_score, n)
+                if x is not None and y is not None and abs(x - y) >= auto_delta:
+                    links[a], links[b] = m + 1, n + 1
+            columns = [batch.column(k) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(a_links, pa.int32()), pa.array(b_links, pa.int32())], ["ck", "a_seq", "b_seq", "a_claim_id", "b_claim_id", "a_links", "b_links"])
+
+    return fold
+
+
 def resolve_in_order(
     pairs: DataFrame, as_of: str, strategy: str = "authority_wins", auto_delta: float = S.AUTO_RESOLVE_DELTA
 ) -> DataFrame:
-    """Resolve pairs in (a_seq, b_seq) order per subject, each decision seeing the conflict links of earlier ones.
+    """Resolve pairs in (a_seq, b_seq) order per (subject, predicate), each decision seeing the conflict links of earlier ones.
 
-    A round settles every pair that is the first open one of both its claims, so independent pairs go together and
-    each round is one join. The links of a claim lower its score by 0.9 each before later pairs look at it.
+    One pass: the pairs of a group are sorted on their way to one task and folded there; the links of a claim lower its score by 0.9 each before
+    later pairs look at it. Claims of other groups share no links, so groups do not wait for each other.
     """
-    ordered = cut_lineage(run_sql(
-        "SELECT *, struct(a_seq, b_seq) AS ord, 0 AS a_links, 0 AS b_links, false AS settled FROM @pairs", pairs=pairs
-    ))
-    done: DataFrame | None = None
-    while True:
-        step = run_sql(
-            """
-            WITH heads AS (
-              SELECT claim_id, min(ord) AS head FROM (SELECT explode(array(a_claim_id, b_claim_id)) AS claim_id, ord FROM @pairs)
-              GROUP BY claim_id)
-            SELECT p.* EXCEPT (settled), x.head = p.ord AND y.head = p.ord AS settled
-            FROM @pairs p JOIN heads x ON p.a_claim_id = x.claim_id JOIN heads y ON p.b_claim_id = y.claim_id
-            """,
-            pairs=ordered,
-        )
-        ready = run_sql(
-            f"""
-            SELECT * EXCEPT (a_truth_score, b_truth_score, score_delta, settled, ord, a_now, b_now), a_now AS a_truth_score, b_now AS b_truth_score,
-              abs(a_now - b_now) AS score_delta, abs(a_now - b_now) >= {auto_delta}D AS linked, a_links + b_links AS earlier
-            FROM (SELECT *, a_truth_score * pow({S.CONFLICT_FACTOR}D, a_links) AS a_now, b_truth_score * pow({S.CONFLICT_FACTOR}D, b_links) AS b_now
-                  FROM @step WHERE settled)
-            """,
-            step=step,
-        )
-        ready = cut_lineage(ready)
-        done = ready if done is None else done.unionByName(ready)
-        ordered = cut_lineage(run_sql(
-            """
-            WITH links AS (
-              SELECT claim_id, count(*) AS n FROM (SELECT explode(array(a_claim_id, b_claim_id)) AS claim_id FROM @ready WHERE linked)
-              GROUP BY claim_id)
-            SELECT s.* EXCEPT (a_links, b_links), s.a_links + cast(coalesce(x.n, 0) AS INT) AS a_links, s.b_links + cast(coalesce(y.n, 0) AS INT) AS b_links
-            FROM @step s LEFT JOIN links x ON s.a_claim_id = x.claim_id LEFT JOIN links y ON s.b_claim_id = y.claim_id
-            WHERE NOT s.settled
-            """,
-            step=step, ready=ready,
-        ))
-        if ordered.isEmpty():
-            break
-    out = resolve(done.drop("linked", "earlier"), as_of, strategy, auto_delta)
+    keyed = cut_lineage(run_sql(f"SELECT *, {X.conflict_key('a_subject', 'a_predicate')} AS ck FROM @pairs", pairs=pairs))
+    narrow = keyed.select([c.split()[0] for c in _FOLD.split(", ")]).repartition("ck").sortWithinPartitions("ck", "a_seq", "b_seq", "a_claim_id", "b_claim_id")
+    folded = narrow.mapInArrow(_folding(auto_delta), "ck string, a_seq long, b_seq long, a_claim_id string, b_claim_id string, a_links int, b_links int")
+    now = run_sql(
+        f"""
+        SELECT * EXCEPT (a_truth_score, b_truth_score, score_delta, a_now, b_now), a_now AS a_truth_score, b_now AS b_truth_score, abs(a_now - b_now) AS score_delta
+        FROM (
+          SELECT p.*, a_truth_score * pow({S.CONFLICT_FACTOR}D, a_links) AS a_now, b_truth_score * pow({S.CONFLICT_FACTOR}D, b_links) AS b_now
+          FROM @p p JOIN @f f ON p.a_claim_id = f.a_claim_id AND p.b_claim_id = f.b_claim_id)
+        """,
+        p=keyed.drop("ck"), f=folded.select("a_claim_id", "b_claim_id", "a_links", "b_links"),
+    )
+    out = resolve(now, as_of, strategy, auto_delta)
     # an automatic resolution is recorded after its own link lowered both scores
     return run_sql(
         f"SELECT * EXCEPT (confidence), if(auto, confidence * {S.CONFLICT_FACTOR}D, confidence) AS confidence FROM @out", out=out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from attesta.functions import text as X
 from attesta.operators import ledger
 from attesta.session import cut_lineage
 from attesta.sources.snapshots import Snapshots, Transaction
@@ -33,6 +34,27 @@ def merge_in(tx: Transaction, incoming: DataFrame, as_of: str, rule: ledger.Prom
     change(tx, ledger.decay(others, as_of).where("decayed").select(*columns))
 
 
+def note_groups(tx: Transaction, claims: DataFrame, merge_key: str = "fingerprint") -> None:
+    """Record which (subject, predicate) the claims belong to, in buckets of that key, and that these groups wait for a look at their conflicts."""
+    rows = cut_lineage(claims.selectExpr(f"{X.conflict_key('subject', 'predicate')} AS ck", f"{merge_key} AS {KEY}").distinct())
+    if tx.store.read("groups") is None:
+        tx.write("groups", rows, "ck")
+    else:
+        tx.upsert("groups", rows, ["ck", KEY])
+    tx.append("open_groups", rows.select("ck").distinct())
+
+
+def waiting_claims(store: Snapshots) -> DataFrame | None:
+    """The claims of the groups that wait, read from their buckets; None if no group waits."""
+    waiting = store.read("open_groups")
+    if waiting is None or waiting.isEmpty():
+        return None
+    waiting = cut_lineage(waiting.distinct())
+    members = store.read("groups", buckets=store.touched(waiting, "ck")).join(waiting, "ck", "left_semi").select(KEY).distinct()
+    members = cut_lineage(members)
+    return store.read("claims", buckets=store.touched(members, KEY)).join(members, KEY, "left_semi")
+
+
 def change(tx: Transaction, claims: DataFrame) -> int:
     """Put changed claims in the place of those with their merge keys; the number of changed claims."""
     claims = cut_lineage(claims)
