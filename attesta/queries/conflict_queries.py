@@ -13,7 +13,7 @@ from attesta.queries.common import ledger_c1, stamped_c1
 
 PAIRS_SQL = LEDGER1 + """,
 pairs AS (
-  SELECT a.claim_id AS a_id, b.claim_id AS b_id, a.subject AS a_subject, b.subject AS b_subject, a.object AS a_object, b.object AS b_object,
+  SELECT a.seq AS a_seq, b.seq AS b_seq, a.claim_id AS a_id, b.claim_id AS b_id, a.subject AS a_subject, b.subject AS b_subject, a.object AS a_object, b.object AS b_object,
     a.max_authority AS a_auth, b.max_authority AS b_auth, a.created_at AS a_at, b.created_at AS b_at,
     a.n_supporting AS a_n, b.n_supporting AS b_n, a.truth_score AS a_score, b.truth_score AS b_score,
     abs(a.truth_score - b.truth_score) AS delta, a.subject || ' ' || a.predicate || ': "' || a.object || '" vs "' || b.object || '"' AS description
@@ -105,9 +105,20 @@ def conflict_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("conflict_resolve_in_order")
+@query("conflict_resolve_in_order", f"""
+WITH RECURSIVE {PAIRS_SQL},
+numbered AS (SELECT *, lower(trim(a_subject)) AS g, row_number() OVER (PARTITION BY lower(trim(a_subject)) ORDER BY a_seq, b_seq) AS k FROM pairs),
+fold AS (
+  SELECT g, 0::BIGINT AS k, []::VARCHAR[] AS linked, NULL::VARCHAR AS a_id, NULL::VARCHAR AS b_id, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT g, k, CASE WHEN abs(x - y) >= 0.3 THEN list_concat(linked, [a_id, b_id]) ELSE linked END, a_id, b_id, x, y FROM (
+    SELECT n.g, n.k, f.linked, n.a_id, n.b_id, a_score * pow(0.9, len(list_filter(f.linked, lambda i: i = n.a_id))) AS x, b_score * pow(0.9, len(list_filter(f.linked, lambda i: i = n.b_id))) AS y
+    FROM fold f JOIN numbered n ON n.g = f.g AND n.k = f.k + 1))
+SELECT a_id, b_id, CASE WHEN abs(x - y) >= 0.3 THEN CASE WHEN x >= y THEN a_id ELSE b_id END END AS winner_id, CASE WHEN abs(x - y) >= 0.3 THEN CASE WHEN x >= y THEN b_id ELSE a_id END END AS loser_id,
+  CASE WHEN abs(x - y) >= 0.3 THEN 'auto:higher_score' ELSE 'manual:pending' END AS resolved_by, round(abs(x - y) * CASE WHEN abs(x - y) >= 0.3 THEN 0.9 ELSE 1 END, 6) AS confidence
+FROM fold WHERE k > 0""")
 def conflict_resolve_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential resolution: each decision sees the links of the ones before. Checked against a loop in the tests."""
+    """Sequential resolution: each decision sees the links of the ones before."""
     pairs = conflicts.detect_within(ledger_c1(spark, sf_dir))
     return conflicts.resolve_in_order(pairs, V.AS_OF, "higher_score").selectExpr(
         "a_claim_id AS a_id", "b_claim_id AS b_id", "winner_id", "loser_id", "resolved_by", "round(confidence, 6) AS confidence"
