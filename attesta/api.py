@@ -24,6 +24,8 @@ from attesta.sources import files, ledger_store
 from attesta.sources.publish import delete_pages, write_pages
 from attesta.sources.snapshots import Snapshots, Transaction
 
+#: Counted up when pages are laid out anew: the next projection then writes all of them.
+PAGE_LAYOUT = 1
 EVENT_COLUMNS = "change_type, ts, entity_id, source_uri, payload, agent"
 
 
@@ -268,28 +270,71 @@ class Brain:
     # --- projection ---
 
     def project(self, folder: str, as_of: str | None = None, force_full: bool = False) -> dict[str, int]:
-        """Write the pages that changed since the last projection; returns the number of pages per action."""
+        """Write the pages that changed since the last projection; returns the number of pages per action.
+
+        What pages showed of each claim is kept, so the claims that changed are known, and a table of claims and pages says which pages held them; those, the pages that hold them now,
+        the pages of entities whose relations changed and the index are rendered, no others. A full run renders everything: the first one, one that is asked for, and
+        one after a change of the layout of pages.
+        """
         now = as_of or utc_now()
         claims, evidence = self._ledger()
         pc = cut_lineage(pages.page_claims(claims, evidence))
         if pc.isEmpty():
             return {}
-        topical = pc.selectExpr("*", f"explode({TP.keyword_topics(X.claim_text('subject', 'predicate', 'object'))}) AS topic")
-        parts = cut_lineage(pages.to_parts(pages.union_lines([
-            pages.entity_lines(pc, evidence, search.mentions(pc), now, topical), pages.topic_lines(topical, now), pages.source_lines(pc, now),
-            pages.conflict_lines(pc, now), pages.index_lines(pc, now),
-        ])))
+        topical = cut_lineage(pc.selectExpr("*", f"explode({TP.keyword_topics(X.claim_text('subject', 'predicate', 'object'))}) AS topic"))
+        relations = cut_lineage(search.mentions(pc))
+        held, states = cut_lineage(pages.claim_paths(pc, topical)), cut_lineage(pages.shown_state(pc, topical))
         manifest = self._table("manifest", "path string, content_hash string")
-        hashes = pages.page_hashes(parts).select("path", "content_hash")
-        plan = cut_lineage(emission.full(hashes, self.spark.createDataFrame([], manifest.schema) if force_full else manifest))
+        layout = self.store.read("page_layout")
+        full = force_full or layout is None or layout.first().version != PAGE_LAYOUT or manifest.isEmpty()
+        if full:
+            parts = cut_lineage(pages.to_parts(pages.union_lines([
+                pages.entity_lines(pc, evidence, relations, now, topical), pages.topic_lines(topical, now), pages.source_lines(pc, now),
+                pages.conflict_lines(pc, now), pages.index_lines(pc, now, topical),
+            ])))
+            plan = cut_lineage(emission.full(pages.page_hashes(parts).select("path", "content_hash"), self.spark.createDataFrame([], manifest.schema) if force_full else manifest))
+        else:
+            parts, plan = self._changed_pages(pc, topical, evidence, relations, held, states, manifest, now)
         todo = parts.join(plan.where("action IN ('create', 'update')").select("path"), "path", "left_semi")
         # old files of changed and orphaned pages go first: a page that shrank leaves no parts behind
         stale = plan.where("action IN ('update', 'delete')").select("path")
         delete_pages(stale, folder).write.format("noop").mode("overwrite").save()
         write_pages(todo, folder).write.format("noop").mode("overwrite").save()
-        self.store.write("manifest", cut_lineage(emission.next_manifest(plan, manifest)))
+        with self.store.transaction() as tx:
+            tx.write("manifest", emission.next_manifest(plan, manifest))
+            tx.write("page_claims", held, "path")
+            tx.write("page_states", states, "claim_id")
+            tx.write("page_relations", relations)
+            tx.write("page_layout", self.spark.createDataFrame([(PAGE_LAYOUT,)], "version int"))
         return {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
 
+    def _changed_pages(
+        self, pc: DataFrame, topical: DataFrame, evidence: DataFrame, relations: DataFrame, held: DataFrame, states: DataFrame, manifest: DataFrame, now: str,
+    ) -> tuple[DataFrame, DataFrame]:
+        """The parts of the pages that may have changed, and the plan for them."""
+        old_states, old_held, old_relations = (self.store.read(t) for t in ("page_states", "page_claims", "page_relations"))
+        changed = cut_lineage(run_sql(
+            "SELECT coalesce(o.claim_id, n.claim_id) AS claim_id FROM @o o FULL JOIN @n n ON o.claim_id = n.claim_id WHERE NOT o.state <=> n.state", o=old_states, n=states
+        ))
+        entity = f"concat('entities/', {X.slugify('entity')}, '.md') AS path"
+        moved = relations.exceptAll(old_relations).unionByName(old_relations.exceptAll(relations)).selectExpr(entity)
+        look = cut_lineage(emission.files_for_claims(old_held, changed).unionByName(emission.files_for_claims(held, changed)).unionByName(moved).distinct())
+
+        def on(rows: DataFrame, kind: str, column: str) -> DataFrame:
+            """Rows whose page of that kind is looked at."""
+            return rows.selectExpr("*", f"concat('{kind}/', {X.slugify(column)}, '.md') AS path").join(look, "path", "left_semi").drop("path")
+
+        own = cut_lineage(on(pc, "entities", "subject"))
+        parts = cut_lineage(pages.to_parts(pages.union_lines([
+            pages.entity_lines(own, evidence.join(own.select("merge_key"), "merge_key", "left_semi"), on(relations, "entities", "entity"), now, on(topical, "entities", "subject")),
+            pages.topic_lines(on(topical, "topics", "topic"), now), pages.source_lines(on(pc.where("source IS NOT NULL"), "sources", "source"), now),
+            pages.conflict_lines(pc, now), pages.index_lines(pc, now, topical),
+        ])))
+        rendered = pages.page_hashes(parts).select("path", "content_hash")
+        plan = emission.incremental(rendered, manifest, old_held, changed, also=look)
+        gone = manifest.join(look, "path", "left_semi").join(rendered, "path", "left_anti").selectExpr("path", "content_hash", "'delete' AS action")
+        return parts, cut_lineage(plan.unionByName(gone))
+
     # --- caches and vectors ---
 
     def cache_stats(self) -> dict[str, int]:

@@ -24,11 +24,14 @@ def full(rendered: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def incremental(rendered: DataFrame, manifest: DataFrame, page_claims: DataFrame, changed: DataFrame) -> DataFrame:
+def incremental(rendered: DataFrame, manifest: DataFrame, page_claims: DataFrame, changed: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """Only new pages, and changed pages that hold a changed claim; the index is always looked at. Never deletes.
 
-    ``page_claims`` has the manifest's (path, claim_id) rows, ``changed`` the claim ids.
+    ``page_claims`` has the manifest's (path, claim_id) rows, ``changed`` the claim ids, ``also`` further paths to look at.
     """
+    if also is not None:
+        held = files_for_claims(page_claims, changed).unionByName(also.select("path"))
+        page_claims, changed = held.selectExpr("path", "'' AS claim_id"), changed.sparkSession.createDataFrame([("",)], "claim_id string")
     return run_sql(
         """
         WITH affected AS (

@@ -214,14 +214,14 @@ def conflict_lines(pc: DataFrame, as_of: str) -> DataFrame:
     ])
 
 
-def index_lines(pc: DataFrame, as_of: str) -> DataFrame:
-    """The index page: totals, counts per status, entities and sources with their counts."""
+def index_lines(pc: DataFrame, as_of: str, topical: DataFrame | None = None) -> DataFrame:
+    """The index page: totals, counts per status, entities, sources and, where given, topics with their counts."""
     head = R.frontmatter([("title", "'Index'"), ("total_claims", "total_claims"), ("entity_count", "entity_count"), ("source_count", "source_count"), ("last_projected", _stamp(as_of))])
     totals = "concat('- **Total active claims:** ', total_claims, '\\n- **Entities:** ', entity_count, '\\n- **Sources:** ', source_count)"
     at = "'index.md' AS path"
 
-    def listing(section: int, title: str, folder: str, column: str) -> list[DataFrame]:
-        counts = run_sql(f"SELECT {column} AS name, count(*) AS n FROM @p WHERE {column} IS NOT NULL GROUP BY {column}", p=pc)
+    def listing(section: int, title: str, folder: str, column: str, rows: DataFrame = pc) -> list[DataFrame]:
+        counts = run_sql(f"SELECT {column} AS name, count(*) AS n FROM @p WHERE {column} IS NOT NULL GROUP BY {column}", p=rows)
         return [
             run_sql(f"SELECT {at}, {section} AS section, '' AS k1, -1D AS k2, 0L AS k3, '\\n## {title}\\n' AS line FROM @c LIMIT 1", c=counts),
             counts.selectExpr(at, f"{section} AS section", "name AS k1", "0D AS k2", "0L AS k3", f"concat('- [', name, ']({folder}/', {X.slugify('name')}, '.md) (', n, ' claims)') AS line"),
@@ -232,9 +232,30 @@ def index_lines(pc: DataFrame, as_of: str) -> DataFrame:
         index_summary(pc).selectExpr(at, "1 AS section", "'' AS k1", "0D AS k2", "0L AS k3", f"concat({head}, '\\n\\n# Index\\n\\n## Summary\\n\\n', {totals}) AS line"),
         status.selectExpr(at, "2 AS section", "status AS k1", "0D AS k2", "0L AS k3", "concat('- ', status, ': ', n) AS line"),
         *listing(3, "Entities", "entities", "subject"), *listing(4, "Sources", "sources", "source"),
+        *(listing(5, "Topics", "topics", "topic", topical) if topical is not None else []),
     ])
 
 
+def claim_paths(pc: DataFrame, topical: DataFrame) -> DataFrame:
+    """(path, claim_id) of all pages that show a claim: its entity's, its source's, those of its topics, and the conflicts page if it has any."""
+    return run_sql(
+        f"""
+        SELECT concat('entities/', {X.slugify('subject')}, '.md') AS path, claim_id FROM @p
+        UNION SELECT concat('sources/', {X.slugify('source')}, '.md'), claim_id FROM @p WHERE source IS NOT NULL
+        UNION SELECT concat('topics/', {X.slugify('topic')}, '.md'), claim_id FROM @t
+        UNION SELECT 'conflicts/pending.md', claim_id FROM @p WHERE n_conflicts > 0
+        """,
+        p=pc, t=topical,
+    )
+
+
+def shown_state(pc: DataFrame, topical: DataFrame) -> DataFrame:
+    """(claim_id, state): a hash of all that pages show of a claim."""
+    topics = topical.groupBy("claim_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
+    columns = ["subject", "predicate", "object", "natural_language", "status", "truth_score", "source", "span", "n_conflicts", "n_supporting", "n_refuting", "n_sources", "seq", "topics"]
+    return pc.join(topics, "claim_id", "left").select("claim_id", F.xxhash64(*columns).alias("state"))
+
+
 def union_lines(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
