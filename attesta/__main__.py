@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("ingest", "folder")
+    command("watch", "folder", every=5, rounds=0)
     command("add", "title", "body", author="")
     command("search", "query", limit=10)
     command("search-claims", "query", limit=20)
@@ -54,6 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     brief = ["claim_id", "natural_language", "status", "knowledge_class", "truth_score"]
     run = {
         "ingest": lambda: brain.ingest(a.folder),
+        "watch": lambda: [print(counts, flush=True) for counts in brain.watch(a.folder, a.every, a.rounds or None)] and None,
         "add": lambda: brain.add_text(a.title, a.body, a.author),
         "search": lambda: brain.search(a.query, a.limit),
         "search-claims": lambda: brain.search_claims(a.query, a.limit).select(*brief),

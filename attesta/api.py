@@ -6,7 +6,9 @@ extractions, file_state and manifest. Methods return DataFrames, or small dicts
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+import time
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
 from attesta.sources import files, ledger_store
 from attesta.sources.publish import delete_pages, write_pages
-from attesta.sources.snapshots import Snapshots, Transaction
+from attesta.sources.snapshots import BUCKETS, Snapshots, Transaction
 
 #: Counted up when pages are laid out anew: the next projection then writes all of them.
 PAGE_LAYOUT = 1
@@ -37,13 +39,15 @@ class Brain:
     def __init__(
         self, spark: SparkSession, root: str, settings: Settings | None = None,
         extract: Callable[[str], str] = extraction.sentence_extractor, embed: Callable[[DataFrame], DataFrame] | None = None,
+        parsers: dict[str, list[files.Parser]] | None = None, buckets: int = BUCKETS,
     ) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.settings = settings or Settings()
-        self.store = Snapshots(spark, f"{self.root}/tables")
+        self.store = Snapshots(spark, f"{self.root}/tables", buckets)
         self.extract = extract
         self.embed = embed
+        self.parsers = parsers or {}
         self.rule = ledger.Promotion(
             self.settings.promote_threshold, self.settings.high_authority_threshold, self.settings.corroboration_count
         )
@@ -63,11 +67,15 @@ class Brain:
     def ingest(self, folder: str, as_of: str | None = None) -> dict[str, int]:
         """Files under ``folder`` into claims, pages and events; unchanged files and known chunks are skipped."""
         now = as_of or utc_now()
-        arts, state = files.scan(self.spark, folder, self._table("file_state", "source_uri string, content_hash string"))
-        parsed = cut_lineage(files.parse(arts).selectExpr("*", f"{X.strip_boilerplate('markdown')} AS body_text").drop("markdown").withColumnRenamed("body_text", "markdown"))
+        arts, state = files.scan(self.spark, folder, self._table("file_state", files.STATE))
+        arts = cut_lineage(arts)
+        parsed = cut_lineage(files.parse(arts, self.parsers).selectExpr("*", f"{X.strip_boilerplate('markdown')} AS body_text").drop("markdown").withColumnRenamed("body_text", "markdown"))
         n_arts = parsed.count()
+        skipped = arts.count() - n_arts
         if n_arts == 0:
-            return {"artifacts": 0, "claims": 0, "cached_chunks": 0, "events": 0}
+            if skipped:
+                self.store.write("file_state", state)
+            return {"artifacts": 0, "claims": 0, "cached_chunks": 0, "events": 0, "skipped": skipped}
         old_docs = self._table("documents", "source_uri string, markdown string, content_hash string")
         diff = documents.section_diff(old_docs, parsed)
         summaries = documents.change_summary(diff)
@@ -100,7 +108,18 @@ class Brain:
             tx.write("file_state", state)
         if self.settings.enable_conflict_resolution:
             self.resolve_conflicts(as_of=now)
-        return {"artifacts": n_arts, "claims": n_claims, "cached_chunks": n_hits, "events": n_events}
+        return {"artifacts": n_arts, "claims": n_claims, "cached_chunks": n_hits, "events": n_events, "skipped": skipped}
+
+    def watch(self, folder: str, every: float = 5.0, rounds: int | None = None) -> Iterator[dict[str, int]]:
+        """Ingest what is new or changed under ``folder`` again and again; yields the counts of each round that found files. A round without changes only lists the folder."""
+        for k in itertools.count():
+            if rounds is not None and k >= rounds:
+                return
+            if k:
+                time.sleep(every)
+            counts = self.ingest(folder)
+            if counts["artifacts"] or counts["skipped"]:
+                yield counts
 
     def add_text(self, title: str, body: str, author: str = "", as_of: str | None = None) -> dict[str, int]:
         """One text, extracted and added to the ledger without chunks, cache or events."""

@@ -25,7 +25,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[*b" \t\r\n,"]] = True
 
 
-def _open(path: str):
+def open_path(path: str):
+    """A file of a task, by the path that Spark gives it."""
     if path.startswith("file:"):
         return LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
     fs, inner = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
@@ -72,7 +73,7 @@ def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for path, first, last, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            with _open(path) as file:
+            with open_path(path) as file:
                 escaped = _escaped_before(file, first)
                 file.seek(0)
                 head = file.read(min(size, 4096)).lstrip(b"\xef\xbb\xbf \t\r\n")
@@ -98,7 +99,7 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``path``, ``at`` and ``object`` of the elements that begin in ranges (path, first, last, size, in_string, depth, base)."""
     for batch in batches:
         for path, first, last, size, in_string, depth, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            with _open(path) as file:
+            with open_path(path) as file:
                 escaped = _escaped_before(file, first)
                 file.seek(max(first - 1, 0))
                 before = file.read(min(first, 1))

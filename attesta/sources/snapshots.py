@@ -33,11 +33,13 @@ class CommitConflict(RuntimeError):
 
 class Snapshots:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.spark, self.root = spark, root.rstrip("/")
         if self.root.startswith("file:"):
             self.fs, self.base = LocalFileSystem(), "/" + self.root[5:].lstrip("/")
         else:
             self.fs, self.base = FileSystem.from_uri(self.root) if "://" in self.root else (LocalFileSystem(), self.root)
+        # rows were dealt by the number of the first commit: it stays
+        self.buckets = self.manifest().get("buckets", buckets)
 
     # --- manifests ---
 
@@ -215,7 +217,7 @@ class Transaction:
 
     def publish(self) -> None:
         if self.changed:
-            self.store._publish({"commit": self.last["commit"] + 1, "tables": self.last["tables"] | self.changed})
+            self.store._publish({"commit": self.last["commit"] + 1, "buckets": self.store.buckets, "tables": self.last["tables"] | self.changed})
 
 
 def upsert(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -45,6 +45,9 @@ def test_an_update_writes_only_its_buckets(spark, tmp_path):
     s.delete("t", spark.createDataFrame([(7,), (8,)], "k int"))
     assert s.read("t").count() == 198 and s.read("t", 1).where("v = 'old'").count() == 200
     assert s.versions("t") == [1, 2, 3]
+    again = Snapshots(spark, str(tmp_path), buckets=5)  # the number of the first commit stays
+    again.upsert("t", table(spark, [(9, "nine")]), ["k"])
+    assert again.buckets == 16 and again.read("t").where("k = 9").collect()[0].v == "nine" and again.read("t").count() == 198
     s.delete("t", spark.createDataFrame([(k,) for k in range(200)], "k int"))
     assert rows(s.read("t")) == [] and s.read("t").columns == ["k", "v"]
 
