@@ -129,7 +129,7 @@ def call_extractor(
 def call_stats(results: DataFrame) -> DataFrame:
     return run_sql(
         """
-        SELECT *, coalesce(try_divide(total_latency_ms, succeeded), 0) div 1 AS avg_latency_ms FROM (
+        SELECT *, coalesce(total_latency_ms div nullif(succeeded, 0L), 0L) AS avg_latency_ms FROM (
           SELECT count(*) AS total_jobs, count_if(error IS NULL) AS succeeded, count_if(error IS NOT NULL) AS failed,
             coalesce(sum(if(error IS NULL, latency_ms, 0)), 0L) AS total_latency_ms FROM @r)
         """,

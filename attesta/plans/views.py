@@ -114,29 +114,6 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3, one claim per document: the hash of its text 'appears in' a language; documents are the evidence.
-
-    Copies of a text are one claim with many sources; a toxic label refutes.
-    """
-    ev = one_evidence(
-        "artifact", "coalesce(toxic, 0) = 0", "source", "''", "0.5D", "left(text, 200)", "TIMESTAMP_NTZ '2001-01-01'"
-    )
-    return run_sql(
-        f"""
-        SELECT * EXCEPT (text, toxic), {NEW_CLAIM}, concat('Passage ', h, ' appears in ', object) AS natural_language,
-          {ev} AS evidence, created_at AS valid_from, cast(null AS TIMESTAMP_NTZ) AS valid_until
-        FROM (
-          SELECT *, concat('passage:', h) AS subject, 'appears in' AS predicate FROM (
-            SELECT doc_id AS seq, concat('c3-', doc_id) AS claim_id, {X.sha_prefix('text')} AS h, lang AS object,
-              least(0.95D, 0.2D + n_chars / 5000D) AS confidence, if(n_chars > 2000, 'stable', 'process') AS knowledge_class,
-              TIMESTAMP_NTZ '2001-01-01' AS created_at, source, concat('doc-', doc_id) AS artifact, text, toxic
-            FROM @documents LEFT JOIN (SELECT doc_id AS labelled, toxic FROM @labels) ON doc_id = labelled))
-        """,
-        documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"),
-    )
-
-
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: documents, pages and conversation turns as one artifact table."""
     return run_sql(

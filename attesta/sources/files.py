@@ -177,10 +177,6 @@ def unreadable(table: DataFrame) -> int:
     return table.where("_corrupt_record IS NOT NULL").count()
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def _in_order(rows: DataFrame) -> DataFrame:
     """Readable rows; ``seq`` follows their place in the file, files by name."""
     return assign_seq(rows.where("_corrupt IS NULL").drop("seq", "_corrupt"), [F.col("_path"), F.col("_at")])
