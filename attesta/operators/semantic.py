@@ -1,9 +1,12 @@
 """Vector similarity: best match against a set, and leader clustering of near-equal claims, both exact.
 
-Vectors are placed in the cell of their nearest pivot. A vector can only be similar to one in cell p when, for every
-other pivot q, it lies no further than r beyond the plane halfway between p and q (r: largest distance of a similar
-pair), so it is sent to just those cells. Cells are cut into blocks of bounded size on both sides; each block pair is
-one matrix product, and only the best match per vector and block leaves it. No list of similar pairs is ever built.
+Two levels of pivots. Vectors of the set lie in the cell of their nearest pivot; the number of pivots grows with the
+set. Cells that are neighbours are put together into bins of bounded size, a cell larger than that is several bins. A
+vector looks only into bins with a cell that can hold a similar one: no further than r (the largest distance of a
+similar pair) beyond the plane halfway to the cell's pivot, and no further than r outside the shell between the
+smallest and the largest distance of the cell's members from its pivot. So a vector is copied at most once for each bin,
+also where high dimensions leave nothing to prune. A bin and a block of vectors that look into it are one matrix
+product, and only the best match per vector and block leaves it. No list of similar pairs is ever built.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from attesta import schema as S
 from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
 
-PIVOTS = 64    # read to the driver: a fixed number of vectors
-BLOCK = 4096   # vectors per side of one matrix product
+BLOCK = 4096       # vectors per side of one matrix product
+PER_PIVOT = 512    # vectors of the set for each pivot
+MOST_PIVOTS = 1024  # read to the driver, and so are the sizes of their cells
 MATCH = "id string, best_sim double, best_seq long, best_id string, open_before boolean"
 
 
@@ -34,46 +38,74 @@ def _usable(df: DataFrame, dim: int) -> DataFrame:
     return df.where(f"size(embedding) = {dim} AND exists(embedding, v -> v <> 0)")
 
 
-def _pivots(existing: DataFrame) -> np.ndarray | None:
-    rows = existing.select("embedding").orderBy(F.xxhash64("id")).limit(PIVOTS).collect()
+def _pivots(existing: DataFrame, n: int) -> np.ndarray | None:
+    """Unit vectors of the set, chosen by the hash of their ids and put in a chain in which neighbours are near."""
+    rows = existing.select("embedding").orderBy(F.xxhash64("id")).limit(min(MOST_PIVOTS, -(-n // PER_PIVOT))).collect()
     if not rows:
         return None
-    m = np.array([r[0] for r in rows], dtype=np.float64)
-    return np.unique(m / np.linalg.norm(m, axis=1, keepdims=True), axis=0)
+    m = np.unique(_matrix(pd.Series([r[0] for r in rows])), axis=0)
+    dots, at, order = m @ m.T, 0, [0]
+    left = np.ones(len(m), dtype=bool)
+    left[0] = False
+    while left.any():
+        at = int(np.where(left, dots[at], -np.inf).argmax())
+        left[at] = False
+        order.append(at)
+    return m[order]
 
 
-def _place(df: DataFrame, pivots: np.ndarray, reach: float | None) -> DataFrame:
-    """Rows with ``cells``: the home cell, or with ``reach`` every cell that can hold a similar vector."""
-    gap = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    gap[gap == 0] = np.inf  # a pivot against itself
+def _chord(dots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * dots, 0))
 
+
+def _homes(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows with their ``cell`` and the distance ``away`` from its pivot."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                dots = _matrix(pdf["embedding"]) @ pivots.T
+                yield pdf.assign(cell=dots.argmax(axis=1), away=_chord(dots.max(axis=1)))
+
+    return df.mapInPandas(place, df.schema.simpleString()[len("struct<"):-1] + ",cell:int,away:double")
+
+
+def _bins(sizes: list[tuple[int, int, float, float]]) -> dict[int, tuple[int, int]]:
+    """First bin and number of bins of each cell (cell, rows, ...), in the order of the pivots."""
+    out: dict[int, tuple[int, int]] = {}
+    nxt, room = -1, 0
+    for cell, n, *_ in sizes:
+        if n > BLOCK:
+            width, room = -(-n // BLOCK), 0
+            out[cell], nxt = (nxt + 1, width), nxt + width
+            continue
+        if n > room:
+            nxt, room = nxt + 1, BLOCK
+        room -= n
+        out[cell] = (nxt, 1)
+    return out
+
+
+def _looks(df: DataFrame, pivots: np.ndarray, sizes: list[tuple[int, int, float, float]], bins: dict[int, tuple[int, int]], reach: float) -> DataFrame:
+    """Rows with the ``bins`` that can hold a similar vector."""
+    cells = np.array([c for c, *_ in sizes])
+    near, far = np.array([s[2] for s in sizes]), np.array([s[3] for s in sizes])
+    gap = _chord(pivots @ pivots[cells].T)
+    gap[gap < 1e-9] = np.inf  # a pivot against itself
+    spans = [np.arange(bins[c][0], sum(bins[c])) for c in cells]
+    slack = reach + 1e-6
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             dots = _matrix(pdf["embedding"]) @ pivots.T
-            if reach is None:
-                pdf["cells"] = [[int(c)] for c in dots.argmax(axis=1)]
-            else:
-                found = []
-                for row in dots:
-                    beyond = ((row[None, :] - row[:, None]) / gap).max(axis=1)
-                    found.append(np.flatnonzero(beyond <= reach + 1e-9).tolist())
-                pdf["cells"] = found
-            yield pdf
-
-    schema = df.schema.simpleString()[len("struct<"):-1] + ",cells:array<int>"
-    return df.mapInPandas(place, schema).withColumn("cell", F.explode("cells")).drop("cells")
-
-
-def _blocks(df: DataFrame) -> dict[int, int]:
-    """Blocks per cell; one row per pivot comes to the driver."""
-    return {r[0]: max(1, -(-r[1] // BLOCK)) for r in df.groupBy("cell").count().collect()}
+            own, to = dots.argmax(axis=1), dots[:, cells]
+            beyond = (dots.max(axis=1)[:, None] - to) / gap[own]
+            away = _chord(to)
+            open_cells = (beyond <= slack) & (away <= far + slack) & (away >= near - slack)
+            yield pdf.assign(bins=[np.unique(np.concatenate([spans[c] for c in np.flatnonzero(row)] or [[]])).astype(int).tolist() for row in open_cells])
 
-
-def _lookup(n: dict[int, int]) -> F.Column:
-    pairs = [F.lit(v) for kv in sorted(n.items()) for v in kv]
-    return F.coalesce(F.create_map(*pairs)[F.col("cell")], F.lit(1)) if pairs else F.lit(1)
+    return df.mapInPandas(look, df.schema.simpleString()[len("struct<"):-1] + ",bins:array<int>")
 
 
 def matches(new: DataFrame, existing: DataFrame, theta: float, earlier_only: bool = False) -> DataFrame:
@@ -83,51 +115,56 @@ def matches(new: DataFrame, existing: DataFrame, theta: float, earlier_only: boo
     that is no leader comes earlier. With ``earlier_only`` later vectors are not looked at. Unmatched ones are left out.
     """
     # vectors of different lengths are never similar: each length is a search of its own
-    dims = [r[0] for r in existing.select(F.size("embedding").alias("d")).where("d > 0").distinct().orderBy("d").collect()]
+    sizes = existing.groupBy(F.size("embedding").alias("d")).count().where("d > 0").orderBy("d").collect()
     found = new.sparkSession.createDataFrame([], MATCH)
-    for dim in dims:
-        found = found.unionByName(_matches_of_length(new, existing, dim, theta, earlier_only))
+    for dim, n in sizes:
+        found = found.unionByName(_matches_of_length(new, existing, dim, n, theta, earlier_only))
     return found
 
 
-def _matches_of_length(new: DataFrame, existing: DataFrame, dim: int, theta: float, earlier_only: bool) -> DataFrame:
+def _matches_of_length(new: DataFrame, existing: DataFrame, dim: int, n: int, theta: float, earlier_only: bool) -> DataFrame:
     spark = new.sparkSession
     new, existing = _usable(new, dim), _usable(existing, dim)
-    pivots = _pivots(existing)
+    pivots = _pivots(existing, n)
     if pivots is None:
         return spark.createDataFrame([], MATCH)
     reach = float(np.sqrt(max(0.0, 2 - 2 * theta)))
-    x = cut_lineage(_place(new.select("id", "seq", "embedding"), pivots, reach))
-    y = cut_lineage(_place(existing.select("id", "seq", "embedding", "is_leader"), pivots, None))
-    nx, ny = _lookup(_blocks(x)), _lookup(_blocks(y))
+    y = cut_lineage(_homes(existing.select("id", "seq", "embedding", "is_leader"), pivots))
+    sizes = [tuple(r) for r in y.groupBy("cell").agg(F.count("*"), F.min("away"), F.max("away")).orderBy("cell").collect()]
+    bins = _bins(sizes)
+    x = cut_lineage(_looks(new.select("id", "seq", "embedding"), pivots, sizes, bins, reach))
+    # how many blocks look into a bin: at most as many rows as there are bins, and a bin is BLOCK vectors of the set
+    looks = x.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nx"))
+    cells = spark.createDataFrame([(c, first, width) for c, (first, width) in bins.items()], "cell int, first int, width int")
     own = F.xxhash64("id")
-    xs = x.withColumn("xb", F.pmod(own, nx)).withColumn("yb", F.explode(F.sequence(F.lit(0).cast("long"), (ny - 1).cast("long"))))
-    ys = y.withColumn("yb", F.pmod(own, ny)).withColumn("xb", F.explode(F.sequence(F.lit(0).cast("long"), (nx - 1).cast("long"))))
+    ys = (
+        y.join(F.broadcast(cells), "cell").withColumn("bin", (F.col("first") + F.pmod(own, "width")).cast("int")).join(looks, "bin")
+        .withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).select("bin", "xb", "id", "seq", "embedding", "is_leader")
+    )
+    xs = x.withColumn("bin", F.explode("bins")).join(looks, "bin").withColumn("xb", F.pmod(own, "nx").cast("int")).select("bin", "xb", "id", "seq", "embedding")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "best_sim": [], "best_seq": [], "best_id": [], "open_before": []}
-        if len(a) and len(b):
-            b = b.sort_values("seq")
-            sims = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
-            a_seq, b_seq, lead = a["seq"].to_numpy(), b["seq"].to_numpy(), b["is_leader"].to_numpy()
-            a_id, b_id = a["id"].to_numpy(), b["id"].to_numpy()
-            ok = (sims >= theta) & (a_id[:, None] != b_id[None, :])
-            if earlier_only:
-                ok &= b_seq[None, :] < a_seq[:, None]
-            scores = np.where(ok & lead[None, :], sims, -2.0)
-            best = scores.argmax(axis=1)
-            waiting = (ok & ~lead[None, :]).any(axis=1)
-            for i in np.flatnonzero(ok.any(axis=1)):
-                j = best[i]
-                led = scores[i, j] > -2.0
-                out["id"].append(a_id[i])
-                out["best_sim"].append(float(scores[i, j]) if led else None)
-                out["best_seq"].append(int(b_seq[j]) if led else None)
-                out["best_id"].append(b_id[j] if led else None)
-                out["open_before"].append(bool(waiting[i]))
-        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in out.items()})
-
-    keys = ["cell", "yb", "xb"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({name: pd.Series([], dtype=object) for name in ("id", "best_sim", "best_seq", "best_id", "open_before")})
+        b = b.sort_values("seq")
+        sims = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
+        lead = b["is_leader"].to_numpy()
+        ok = (sims >= theta) & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
+        if earlier_only:
+            ok &= b["seq"].to_numpy()[None, :] < a["seq"].to_numpy()[:, None]
+        waiting = (ok & ~lead[None, :]).any(axis=1)
+        hit = ok.any(axis=1)
+        scores = np.where(ok & lead[None, :], sims, -2.0)[hit]
+        best = scores.argmax(axis=1)
+        top = scores[np.arange(len(best)), best]
+        led = top > -2.0
+        return pd.DataFrame({
+            "id": a["id"].to_numpy()[hit], "best_sim": pd.Series(top, dtype=object).where(led, None),
+            "best_seq": pd.Series(b["seq"].to_numpy()[best], dtype=object).where(led, None),
+            "best_id": pd.Series(b["id"].to_numpy()[best], dtype=object).where(led, None), "open_before": waiting[hit],
+        })
+
+    keys = ["bin", "xb"]
     local = xs.groupBy(*keys).cogroup(ys.groupBy(*keys)).applyInPandas(compare, MATCH)
     return run_sql(
         """
@@ -145,9 +182,11 @@ def best_match(new: DataFrame, existing: DataFrame, theta: float = S.SEMANTIC_TH
     return found.where("best_id IS NOT NULL").select("id", "best_id", "best_sim")
 
 
-def leaders(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD) -> DataFrame:
+def leaders(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD, stored: DataFrame | None = None) -> DataFrame:
     """Claims (id, seq, fingerprint, embedding) that stay when added in order: no earlier leader is equal or similar.
 
+    ``stored`` are leaders that are there already, with smaller numbers; they are part of the result.
+
     A claim with no earlier undecided neighbour is decided at once: a leader when no earlier leader is near, else not.
     Rounds repeat that on the shrinking rest; for arrivals in no special order a few rounds do. Copies (same text and
     vector) are one candidate, the first of them.
@@ -160,7 +199,7 @@ def leaders(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD) -> DataFrame
         c=claims,
     )
     open_set = cut_lineage(reps)
-    decided: DataFrame | None = None
+    decided = None if stored is None else stored.select("id", "seq", "fingerprint", "embedding")
     while not open_set.isEmpty():
         alive = open_set.withColumn("is_leader", F.lit(False))
         if decided is not None:
@@ -182,22 +221,24 @@ def leaders(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD) -> DataFrame
     return reps.limit(0) if decided is None else decided
 
 
-def cluster(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD) -> DataFrame:
+def cluster(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD, stored: DataFrame | None = None) -> DataFrame:
     """Every claim (id) with its ``leader_id`` and how it was found: 'new', 'exact' or 'semantic' (with the cosine).
 
+    ``stored`` (same columns, ids of its own) are claims that came before; each stays a leader, and none is in the result.
+
     An equal fingerprint has priority over similarity; a similar claim goes to the best leader that came before it.
     """
-    lead = leaders(claims, theta)
+    lead = leaders(claims, theta, stored)
     rest = claims.join(lead.select("id"), "id", "left_anti")
     near = matches(rest, lead.withColumn("is_leader", F.lit(True)), theta, earlier_only=True)
     return run_sql(
         """
-        SELECT id, id AS leader_id, 'new' AS how, cast(null AS DOUBLE) AS similarity FROM @lead
+        SELECT id, id AS leader_id, 'new' AS how, cast(null AS DOUBLE) AS similarity FROM @lead LEFT SEMI JOIN @claims c USING (id)
         UNION ALL
         SELECT r.id, coalesce(e.id, n.best_id), if(e.id IS NOT NULL, 'exact', 'semantic'), if(e.id IS NOT NULL, null, n.best_sim)
         FROM @rest r LEFT JOIN @lead e ON r.fingerprint = e.fingerprint AND e.seq < r.seq LEFT JOIN @near n ON r.id = n.id
         """,
-        lead=lead, rest=rest, near=near,
+        lead=lead, claims=claims.select("id"), rest=rest, near=near,
     )
 
 

@@ -339,14 +339,30 @@ def semantic_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("cast(id AS BIGINT) AS new_id", "cast(best_id AS BIGINT) AS best_id", "round(best_sim, 6) AS similarity")
 
 
-@query("semantic_dedup")
+# One step of the recursion for each vector in order: it leads unless a leader has its fingerprint or is similar.
+LED = f"""
+RECURSIVE {VEC},
+f AS (SELECT vec_id AS id, e, 'label-' || label || '-' || (vec_id % 170) AS fp, row_number() OVER (ORDER BY vec_id) AS n FROM v),
+s AS (SELECT a.id, b.id AS other, a.fp = b.fp AS same, list_cosine_similarity(a.e, b.e) AS sim FROM f a JOIN f b ON b.id < a.id AND (a.fp = b.fp OR list_cosine_similarity(a.e, b.e) >= 0.40)),
+near AS (SELECT f.n, f.id, coalesce(list(s.other) FILTER (s.other IS NOT NULL), []) AS others FROM f LEFT JOIN s ON f.id = s.id GROUP BY f.n, f.id),
+step AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS led UNION ALL
+  SELECT near.n, CASE WHEN list_has_any(led, others) THEN led ELSE list_append(led, near.id) END FROM step JOIN near ON near.n = step.n + 1),
+led AS (SELECT unnest(led) AS id FROM step WHERE n = (SELECT max(n) FROM step)),
+best AS (SELECT s.id, min(s.other) FILTER (same) AS equal, arg_max(s.other, sim) FILTER (sim >= 0.40) AS nearest, max(sim) FILTER (sim >= 0.40) AS sim FROM s JOIN led ON s.other = led.id GROUP BY s.id),
+clusters AS (
+  SELECT id, id AS leader_id, 'new' AS how, CAST(NULL AS DOUBLE) AS similarity FROM led UNION ALL
+  SELECT f.id, coalesce(equal, nearest), CASE WHEN equal IS NOT NULL THEN 'exact' ELSE 'semantic' END, CASE WHEN equal IS NULL THEN round(sim, 6) END
+  FROM f ANTI JOIN led ON f.id = led.id JOIN best ON f.id = best.id)"""
+
+
+@query("semantic_dedup", f"WITH {LED} SELECT * FROM clusters")
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leader clustering of all vectors in order of arrival; the tests compare it with a loop."""
+    """Leader clustering of all vectors in order of arrival."""
     c = semantic.cluster(_vectors(spark, sf_dir), 0.40)
     return c.selectExpr("cast(id AS BIGINT) AS id", "cast(leader_id AS BIGINT) AS leader_id", "how", "round(similarity, 6) AS similarity")
 
 
-@query("semantic_dedup_counts")
+@query("semantic_dedup_counts", f"WITH {LED} SELECT count(*) FILTER (how <> 'new') AS merged_count, count(*) FILTER (how = 'new') AS unique_count FROM clusters")
 def semantic_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.dedup_counts(semantic.cluster(_vectors(spark, sf_dir), 0.40))
 

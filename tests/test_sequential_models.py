@@ -120,7 +120,7 @@ def loop_cluster(rows, theta):
 @pytest.mark.parametrize("seed,theta", [(1, 0.75), (2, 0.92), (3, 0.5)])
 def test_cluster_equals_loop(spark, monkeypatch, seed, theta):
     monkeypatch.setattr(semantic, "BLOCK", 9)
-    monkeypatch.setattr(semantic, "PIVOTS", 6)
+    monkeypatch.setattr(semantic, "PER_PIVOT", 20)
     rng = random.Random(seed)
     centers = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(12)]
     rows = []
@@ -137,6 +137,26 @@ def test_cluster_equals_loop(spark, monkeypatch, seed, theta):
     assert got == loop_cluster(rows, theta)
 
 
+@pytest.mark.parametrize("seed,theta,cut", [(4, 0.75, 50), (5, 0.9, 1), (6, 0.6, 119)])
+def test_cluster_with_stored_leaders_equals_loop(spark, monkeypatch, seed, theta, cut):
+    monkeypatch.setattr(semantic, "BLOCK", 7)
+    monkeypatch.setattr(semantic, "PER_PIVOT", 10)
+    rng = random.Random(seed)
+    centers = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(10)]
+    rows = [(i, f"fp{rng.randrange(100)}", [x + rng.gauss(0, 0.3) for x in rng.choice(centers)]) for i in range(120)]
+    want = loop_cluster(rows, theta)
+    schema = "id string, seq long, fingerprint string, embedding array<double>"
+    stored = [(str(i), i, f, v) for i, f, v in rows if i < cut and want[i][1] == "new"]
+    arriving = [(str(i), i, f, v) for i, f, v in rows if i >= cut]
+    got = semantic.cluster(spark.createDataFrame(arriving, schema), theta, spark.createDataFrame(stored, schema)).collect()
+    assert {int(r.id): (int(r.leader_id), r.how) for r in got} == {i: w for i, w in want.items() if i >= cut}
+
+
+def test_bins_follow_the_chain_and_split_large_cells(monkeypatch):
+    monkeypatch.setattr(semantic, "BLOCK", 10)
+    assert semantic._bins([(0, 4, 0, 0), (1, 6, 0, 0), (2, 25, 0, 0), (3, 1, 0, 0)]) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1)}
+
+
 def test_best_match_edges(spark):
     new = spark.createDataFrame([("n1", 10, [1.0, 0.0]), ("n2", 11, [0.0, 1.0]), ("n3", 12, []), ("n4", 13, [1.0]), ("n5", 14, [0.0, 0.0])], "id string, seq long, embedding array<double>")
     old = spark.createDataFrame([("o1", 1, [2.0, 0.0]), ("o2", 2, [1.0, 0.0]), ("o3", 3, [0.0, 0.0])], "id string, seq long, embedding array<double>")
