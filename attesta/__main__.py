@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     command("promote")
     command("promote-claim", "claim_id", "status")
     command("retract", "artifact_id")
+    command("embedding-stats")
     command("cache-stats")
     command("cache-clear")
     return p
@@ -73,6 +74,7 @@ def main(argv: list[str] | None = None) -> None:
         "promote": lambda: {"promoted": brain.promote_all()},
         "promote-claim": lambda: brain.set_status(a.claim_id, a.status),
         "retract": lambda: {"retracted": brain.retract(a.artifact_id)},
+        "embedding-stats": lambda: brain.embedding_stats(),
         "cache-stats": lambda: brain.cache_stats(),
         "cache-clear": lambda: {"removed": brain.clear_cache()},
     }[a.command]

@@ -1,7 +1,7 @@
 """One object for the whole workflow: ingest, queries, truth maintenance, projection.
 
 Tables live below one folder as snapshots: claims, evidence, events, resolutions, authority, topics, documents,
-extractions, file_state and manifest. Methods return DataFrames, or small dicts of counts.
+extractions, embeddings, file_state and manifest. Methods return DataFrames, or small dicts of counts.
 """
 
 from __future__ import annotations
@@ -140,32 +140,49 @@ class Brain:
     def _add(self, claims: DataFrame, now: str, tx: Transaction) -> int:
         """Stamp authority, merge (by meaning too when an embedder is given), decay and store. Returns arriving claims."""
         stamped = cut_lineage(authority.stamp(claims, self.authority()))
-        base = None
         if self.store.read("claims") is not None:
-            base = self._ledger()
-            top = base[0].agg({"seq": "max"}).collect()[0][0] or 0
+            top = self._ledger()[0].agg({"seq": "max"}).collect()[0][0] or 0
             stamped = stamped.withColumn("seq", stamped["seq"] + (top + 1))
         key = "fingerprint"
         if self.embed is not None and self.settings.enable_ingestion_embeddings:
-            stamped, key = self._with_meaning(stamped, base), "merge_to"
+            stamped, key = self._with_meaning(stamped, tx), "merge_to"
         ledger_store.merge_in(tx, stamped, now, self.rule, key, decay=True)
         ledger_store.note_groups(tx, stamped, key)
         return stamped.count()
 
-    def _with_meaning(self, stamped: DataFrame, base: tuple[DataFrame, DataFrame] | None) -> DataFrame:
-        """Merge key of each arriving claim: the fingerprint of the claim it is equal or similar to."""
-        both = stamped.selectExpr("claim_id AS id", "seq", "fingerprint", "subject", "predicate", "object")
-        if base is not None:
-            both = base[0].selectExpr("claim_id AS id", "seq", "fingerprint", "subject", "predicate", "object").unionByName(both)
-        vectors = cut_lineage(self.embed(both.selectExpr("id", "seq", "fingerprint", f"{X.claim_text('subject', 'predicate', 'object')} AS text")))
-        found = semantic.cluster(vectors.select("id", "seq", "fingerprint", "embedding"), self.settings.semantic_dedup_threshold)
-        return run_sql(
+    def _with_meaning(self, stamped: DataFrame, tx: Transaction) -> DataFrame:
+        """Merge key of each arriving claim: the fingerprint of the claim it is equal or similar to. Only arriving claims are embedded; what is stored is matched by its stored vector."""
+        vectors = self._vectors_of(stamped)
+        stored = self.store.read("embeddings")
+        if stored is not None:
+            live = self._ledger()[0].select(ledger_store.KEY, "seq")
+            stored = stored.join(live, ledger_store.KEY).selectExpr(f"{ledger_store.KEY} AS id", "seq", f"{ledger_store.KEY} AS fingerprint", "embedding")
+        found = cut_lineage(semantic.cluster(vectors.select("id", "seq", "fingerprint", "embedding"), self.settings.semantic_dedup_threshold, stored))
+        # the id of a stored leader is its merge key already
+        keyed = cut_lineage(run_sql(
             """
-            SELECT s.*, coalesce(l.fingerprint, s.fingerprint) AS merge_to FROM @s s
+            SELECT s.*, coalesce(l.fingerprint, f.leader_id, s.fingerprint) AS merge_to FROM @s s
             LEFT JOIN @f f ON s.claim_id = f.id LEFT JOIN @v l ON f.leader_id = l.id
             """,
             s=stamped, f=found, v=vectors.select("id", "fingerprint"),
-        )
+        ))
+        lead = found.where("how = 'new'").select("id")
+        self._keep_vectors(tx, vectors.join(lead, "id", "left_semi").selectExpr(f"fingerprint AS {ledger_store.KEY}", "embedding"))
+        return keyed
+
+    def _vectors_of(self, claims: DataFrame) -> DataFrame:
+        """What the embedder gives for claims, written once: (id, seq, fingerprint, embedding)."""
+        if self.embed is None:
+            raise ValueError("this Brain has no embedder")
+        text = f"{X.claim_text('subject', 'predicate', 'object')} AS text"
+        return cut_lineage(self.embed(claims.selectExpr("claim_id AS id", "seq", "fingerprint", text)).select("id", "seq", "fingerprint", "embedding"))
+
+    def _keep_vectors(self, tx: Transaction, rows: DataFrame) -> None:
+        """Vectors by merge key, in the buckets of the claims they belong to."""
+        if self.store.read("embeddings") is None:
+            tx.write("embeddings", rows, ledger_store.KEY)
+        else:
+            tx.upsert("embeddings", rows, [ledger_store.KEY])
 
     def _emit(self, events: DataFrame, tx: Transaction) -> int:
         """Append events with ids and numbers that continue those of the log."""
@@ -359,6 +376,35 @@ class Brain:
     def cache_stats(self) -> dict[str, int]:
         return {name: self._table(name, "x int").count() for name in ("documents", "extractions")}
 
+    def _embedded(self) -> DataFrame:
+        """Merge keys of the stored vectors that can be compared."""
+        return self._table("embeddings", f"{ledger_store.KEY} string, embedding array<double>").where("size(embedding) > 0").select(ledger_store.KEY)
+
+    def unembedded(self) -> DataFrame:
+        """Claims without a stored vector."""
+        return self._ledger()[0].join(self._embedded(), ledger_store.KEY, "left_anti")
+
+    def embed_claims(self) -> int:
+        """Embed and store the vectors of claims that have none; the number of vectors that came. Stored claims are not merged with each other by it."""
+        missing = cut_lineage(self.unembedded().drop("fingerprint").withColumnRenamed(ledger_store.KEY, "fingerprint"))
+        if missing.isEmpty():
+            return 0
+        rows = cut_lineage(self._vectors_of(missing).where("size(embedding) > 0").selectExpr(f"fingerprint AS {ledger_store.KEY}", "embedding"))
+        with self.store.transaction() as tx:
+            self._keep_vectors(tx, rows)
+        return rows.count()
+
+    def embedding_stats(self) -> DataFrame:
+        """Claims, those with a stored vector, those without, and the share of the first in percent."""
+        return run_sql(
+            f"""
+            SELECT count(*) AS total, count(e.{ledger_store.KEY}) AS embedded, count(*) - count(e.{ledger_store.KEY}) AS missing,
+              if(count(*) = 0, 0D, round(100D * count(e.{ledger_store.KEY}) / count(*), 1)) AS coverage_pct
+            FROM @c c LEFT JOIN @e e ON c.{ledger_store.KEY} = e.{ledger_store.KEY}
+            """,
+            c=self._ledger()[0], e=self._embedded(),
+        )
+
     def clear_cache(self) -> int:
         n = self._table("extractions", "chunk_hash string, part int, response string").count()
         self.store.write("extractions", self.spark.createDataFrame([], "chunk_hash string, part int, response string"))

@@ -83,6 +83,29 @@ def test_semantic_merge_at_ingest(spark, tmp_path):
     assert r.object == "the billing service" and r.n_supporting == 2 and r.status == "corroborated"
 
 
+def test_vectors_are_stored_and_only_arriving_claims_embedded(spark, tmp_path):
+    seen = []
+
+    def embed(df):
+        seen.append(sorted(r.text for r in df.select("text").collect()))
+        return df.selectExpr("id", "seq", "fingerprint", "if(contains(text, 'billing'), array(1D, 0D), if(contains(text, 'gateway'), array(), array(0D, 1D))) AS embedding")
+
+    plain = Brain(spark, str(tmp_path), Settings(llm_rate_limit_rpm=100000))
+    plain.add_text("a", "Jane owns the billing service.", "", NOW)
+    assert tuple(plain.embedding_stats().first()) == (1, 0, 1, 0.0)
+    b = Brain(spark, str(tmp_path), Settings(llm_rate_limit_rpm=100000), embed=embed)
+    assert b.embed_claims() == 1 and len(seen.pop()) == 1
+    assert b.embed_claims() == 0 and not seen
+    b.add_text("b", "Jane owns the billing. Bob uses the gateway.", "", NOW)
+    assert len(seen) == 1 and all("service" not in t for t in seen[0])
+    claims = {r.object: r.n_supporting for r in b.claims().collect()}
+    assert claims == {"the billing service": 2, "the gateway": 1}
+    assert tuple(b.embedding_stats().first()) == (2, 1, 1, 50.0)
+    assert [r.object for r in b.unembedded().collect()] == ["the gateway"]
+    with pytest.raises(ValueError):
+        plain.embed_claims()
+
+
 def test_settings_from_environment():
     s = Settings.load({"ATTESTA_CHUNK_SIZE": "100", "ATTESTA_ENABLE_CONFLICT_RESOLUTION": "true", "OTHER": "1"}, env_file=None)
     assert (s.chunk_size, s.enable_conflict_resolution, s.promote_threshold) == (100, True, 0.15)
