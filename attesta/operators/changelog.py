@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from attesta.functions import text as X
 from attesta.functions.score import ts
+from attesta.plans.ordered import ordered_index
 from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
 
@@ -69,11 +71,94 @@ def lineage(events: DataFrame) -> DataFrame:
     return finished.selectExpr("event_id", "path[0] AS root_id", "depth", "path")
 
 
+def intervals(events: DataFrame) -> DataFrame:
+    """For every event: its root, depth and the interval (enter, leave) of numbers that holds the intervals of all it set off.
+
+    Each tree of triggers is walked once around: an event is entered, what it set off is walked in the order of ids, it is left. That walk is a list with two elements an event;
+    pointer doubling gives every element its distance from the end of the list and the balance of entered and left events up to there, which is the depth. No path is built: a
+    chain of n events is 2 n narrow rows in log2(2 n) rounds. Numbers count up to -1, where the root is left.
+
+    The first of several triggers of one id counts; rows without an id have no interval. A trigger that is not in the log is a root without a row. A cycle is opened above its smallest id.
+    """
+    kind = events.schema["event_id"].dataType.simpleString()
+    nodes = cut_lineage(run_sql(
+        f"""
+        WITH e AS (SELECT event_id, min(triggered_by) AS above FROM @e WHERE event_id IS NOT NULL GROUP BY event_id)
+        SELECT event_id, above, true AS logged FROM e
+        UNION ALL
+        SELECT DISTINCT a.above, cast(null AS {kind}), false FROM e a LEFT ANTI JOIN e b ON a.above = b.event_id WHERE a.above IS NOT NULL
+        """,
+        e=events,
+    ))
+    arcs, rest = _ranked(nodes, kind)
+    if not rest.isEmpty():
+        stuck = nodes.join(rest.select("event_id").distinct(), "event_id", "left_semi")
+        arcs = arcs.unionByName(_ranked(_opened(stuck), kind)[0])
+    return run_sql(
+        """
+        SELECT d.event_id, d.root_id, -d.balance AS depth, -d.rank AS enter, -u.rank AS leave FROM @d d JOIN @u u ON d.event_id = u.event_id
+        LEFT SEMI JOIN @n n ON d.event_id = n.event_id
+        """,
+        d=arcs.where("NOT up"), u=arcs.where("up"), n=nodes.where("logged"),
+    )
+
+
+def _ranked(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The elements of the walks that end, with rank, balance and root, and those of walks without an end."""
+    kids = cut_lineage(ordered_index(nodes.where("above IS NOT NULL").select("event_id", "above"), ["above"], [F.col("event_id")]))
+    table = cut_lineage(run_sql(
+        f"""
+        SELECT n.event_id, false AS up, coalesce(k.event_id, n.event_id) AS next_id, k.event_id IS NULL AS next_up, 1L AS rank, 1L AS balance, cast(null AS {kind}) AS root_id
+        FROM @n n LEFT JOIN @k k ON k.above = n.event_id AND k.ord = 1
+        UNION ALL
+        SELECT n.event_id, true, coalesce(s.event_id, n.above), s.event_id IS NULL, 1L, -1L, if(n.above IS NULL, n.event_id, null)
+        FROM @n n LEFT JOIN @k k ON n.event_id = k.event_id LEFT JOIN @k s ON s.above = k.above AND s.ord = k.ord + 1
+        """,
+        n=nodes, k=kids,
+    ))
+    finished, running = table.where("next_id IS NULL"), table.where("next_id IS NOT NULL")
+    for _ in range((2 * nodes.count()).bit_length() + 1):
+        if running.isEmpty():
+            break
+        joined = cut_lineage(run_sql(
+            """
+            SELECT r.event_id, r.up, t.next_id, t.next_up, r.rank + t.rank AS rank, r.balance + t.balance AS balance, t.root_id
+            FROM @r r JOIN @t t ON r.next_id = t.event_id AND r.next_up = t.up
+            """,
+            r=running, t=table,
+        ))
+        finished, running = finished.unionByName(joined.where("next_id IS NULL")), joined.where("next_id IS NOT NULL")
+        table = finished.unionByName(running)
+    return finished, running
+
+
+def _opened(stuck: DataFrame) -> DataFrame:
+    """Events that lead into cycles, with each cycle opened above its smallest id.
+
+    After as many steps up as there are events every event has come to a cycle, and an event on a cycle has been all around it.
+    """
+    steps = stuck.selectExpr("event_id", "above AS to", "event_id AS least")
+    for _ in range(stuck.count().bit_length()):
+        steps = cut_lineage(run_sql(
+            "SELECT a.event_id, b.to, least(a.least, b.least) AS least FROM @s a JOIN @s b ON a.to = b.event_id", s=steps
+        ))
+    heads = steps.where("event_id = least").join(steps.selectExpr("to AS event_id").distinct(), "event_id", "left_semi").selectExpr("event_id", "true AS head")
+    return cut_lineage(stuck.join(heads, "event_id", "left").selectExpr("event_id", "if(head, null, above) AS above"))
+
+
 def chain(events: DataFrame, event_id: int | str) -> DataFrame:
-    """What an event set off, directly and indirectly, in depth-first order: the paths in lexical order."""
+    """What an event set off, directly and indirectly, in depth-first order: the events whose interval lies in its own."""
     start = X.lit(event_id) if isinstance(event_id, str) else str(event_id)
-    found = lineage(events).where(f"array_contains(path, {start}) AND event_id <> {start}")
-    return found.orderBy("path")
+    spans = intervals(events)
+    return run_sql(
+        # the start is one row: ids are unique in ``spans``
+        f"""
+        SELECT /*+ BROADCAST(x) */ s.* FROM @s s JOIN (SELECT root_id, enter, leave FROM @s WHERE event_id = {start}) x
+          ON s.root_id = x.root_id AND s.enter > x.enter AND s.leave < x.leave
+        ORDER BY s.enter
+        """,
+        s=spans,
+    )
 
 
 def route(events: DataFrame, handlers: DataFrame) -> DataFrame:

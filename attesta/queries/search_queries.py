@@ -268,10 +268,21 @@ SELECT root_id, count(*) - 1 AS n_caused, CAST(max(depth) AS BIGINT) AS max_dept
 def causal_chain_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(
         "SELECT root_id, count(*) - 1 AS n_caused, cast(max(depth) AS BIGINT) AS max_depth FROM @l GROUP BY root_id",
-        l=CL.lineage(V.change_events(spark, sf_dir)),
+        l=CL.intervals(V.change_events(spark, sf_dir)),
     )
 
 
+@query("causal_descendants", f"""
+WITH RECURSIVE {E1},
+t AS (SELECT event_id, event_id AS root_id, 0 AS depth, [event_id] AS path FROM e1 WHERE triggered_by IS NULL
+      UNION ALL SELECT e.event_id, t.root_id, t.depth + 1, list_append(t.path, e.event_id) FROM e1 e JOIN t ON e.triggered_by = t.event_id),
+below AS (SELECT above, count(*) - 1 AS n FROM (SELECT unnest(path) AS above FROM t) GROUP BY above)
+SELECT t.event_id, root_id, CAST(depth AS BIGINT) AS depth, below.n AS n_below FROM t JOIN below ON t.event_id = below.above""")
+def causal_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much every event set off, directly and indirectly, from the width of its interval."""
+    return CL.intervals(V.change_events(spark, sf_dir)).selectExpr("event_id", "root_id", "depth", "cast((leave - enter - 1) / 2 AS BIGINT) AS n_below")
+
+
 HANDLERS = "(VALUES ('audit_log', NULL, NULL, 0), ('conflict_escalation', 'conflict_detected', 'conflict_detected', 0), ('gitlab_mr', 'conflict_detected', 'conflict_detected', 1), ('gitlab_mr', 'claim_added', 'conflict_detected', 0), ('mirror', 'document_added', NULL, 0)) h(handler_name, change_type, only_type, position)"
 
 
