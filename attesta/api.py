@@ -23,6 +23,7 @@ from attesta.plans.ordered import assign_seq
 from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
 from attesta.sources import files, ledger_store
+from attesta.sources.content_cache import ContentCache
 from attesta.sources.publish import delete_pages, write_pages
 from attesta.sources.snapshots import BUCKETS, Snapshots, Transaction
 
@@ -39,8 +40,9 @@ class Brain:
     def __init__(
         self, spark: SparkSession, root: str, settings: Settings | None = None,
         extract: Callable[[str], str] = extraction.sentence_extractor, embed: Callable[[DataFrame], DataFrame] | None = None,
-        parsers: dict[str, list[files.Parser]] | None = None, buckets: int = BUCKETS,
+        parsers: dict[str, list[files.Parser]] | None = None, buckets: int = BUCKETS, versions: dict[str, str] | None = None,
     ) -> None:
+        """``versions`` names the version of the parsers ('parse') and of the embedder ('embed'): a new one empties what is kept of their answers."""
         self.spark = spark
         self.root = root.rstrip("/")
         self.settings = settings or Settings()
@@ -48,6 +50,7 @@ class Brain:
         self.extract = extract
         self.embed = embed
         self.parsers = parsers or {}
+        self.answers = ContentCache(self.store, versions or {})
         self.rule = ledger.Promotion(
             self.settings.promote_threshold, self.settings.high_authority_threshold, self.settings.corroboration_count
         )
@@ -67,9 +70,11 @@ class Brain:
     def ingest(self, folder: str, as_of: str | None = None) -> dict[str, int]:
         """Files under ``folder`` into claims, pages and events; unchanged files and known chunks are skipped."""
         now = as_of or utc_now()
+        self.answers.check("embed")
         arts, state = files.scan(self.spark, folder, self._table("file_state", files.STATE))
         arts = cut_lineage(arts)
-        parsed = cut_lineage(files.parse(arts, self.parsers).selectExpr("*", f"{X.strip_boilerplate('markdown')} AS body_text").drop("markdown").withColumnRenamed("body_text", "markdown"))
+        known, fresh_parses = self._parses(arts)
+        parsed = cut_lineage(files.parse(arts, self.parsers, known).selectExpr("*", f"{X.strip_boilerplate('markdown')} AS body_text").drop("markdown").withColumnRenamed("body_text", "markdown"))
         n_arts = parsed.count()
         skipped = arts.count() - n_arts
         if n_arts == 0:
@@ -104,12 +109,26 @@ class Brain:
             n_claims = self._add(claims, now, tx)
             n_events = self._emit(doc_events.unionByName(claim_events.selectExpr(*EVENT_COLUMNS.split(", "))), tx)
             tx.upsert("extractions", fresh, ["chunk_hash"])
+            if fresh_parses is not None:
+                made = fresh_parses.join(parsed.selectExpr("artifact_id", "to_json(struct(backend, markdown)) AS value"), "artifact_id")
+                self.answers.keep(tx, "parse", made.select("cache_key", "value"))
             tx.upsert("documents", parsed.select("source_uri", "markdown", "content_hash"), ["source_uri"])
             tx.write("file_state", state)
         if self.settings.enable_conflict_resolution:
             self.resolve_conflicts(as_of=now)
         return {"artifacts": n_arts, "claims": n_claims, "cached_chunks": n_hits, "events": n_events, "skipped": skipped}
 
+    def _parses(self, arts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """What parsers made of the same bytes before (artifact_id, backend, markdown), and the keys (artifact_id, cache_key) of files no parser has seen. The key is suffix and bytes."""
+        if not self.parsers:
+            return None, None
+        asked = arts.where(arts["suffix"].isin(*self.parsers)).selectExpr(
+            "artifact_id", self.answers.key("parse", "concat(encode(suffix, 'UTF-8'), coalesce(content, encode(body, 'UTF-8')))") + " AS cache_key"
+        )
+        hits, misses = self.answers.find("parse", cut_lineage(asked))
+        read = hits.selectExpr("artifact_id", "from_json(value, 'backend string, markdown string') AS p").selectExpr("artifact_id", "p.backend", "p.markdown")
+        return cut_lineage(read), misses
+
     def watch(self, folder: str, every: float = 5.0, rounds: int | None = None) -> Iterator[dict[str, int]]:
         """Ingest what is new or changed under ``folder`` again and again; yields the counts of each round that found files. A round without changes only lists the folder."""
         for k in itertools.count():
@@ -128,6 +147,7 @@ class Brain:
             "*", "body AS content", f"'{now}' AS dated", "title AS source_artifact"
         )
         answers = self._call(extraction.prompts(art))
+        self.answers.check("embed")
         with self.store.transaction() as tx:
             return {"artifacts": 1, "claims": self._add(extraction.claims_from(extraction.parse_responses(answers), now), now, tx)}
 
@@ -152,7 +172,7 @@ class Brain:
 
     def _with_meaning(self, stamped: DataFrame, tx: Transaction) -> DataFrame:
         """Merge key of each arriving claim: the fingerprint of the claim it is equal or similar to. Only arriving claims are embedded; what is stored is matched by its stored vector."""
-        vectors = self._vectors_of(stamped)
+        vectors = self._vectors_of(stamped, tx)
         stored = self.store.read("embeddings")
         if stored is not None:
             live = self._ledger()[0].select(ledger_store.KEY, "seq")
@@ -170,12 +190,21 @@ class Brain:
         self._keep_vectors(tx, vectors.join(lead, "id", "left_semi").selectExpr(f"fingerprint AS {ledger_store.KEY}", "embedding"))
         return keyed
 
-    def _vectors_of(self, claims: DataFrame) -> DataFrame:
-        """What the embedder gives for claims, written once: (id, seq, fingerprint, embedding)."""
+    def _vectors_of(self, claims: DataFrame, tx: Transaction) -> DataFrame:
+        """Vectors of claims (id, seq, fingerprint, embedding): the embedder is asked once for each text it has not had."""
         if self.embed is None:
             raise ValueError("this Brain has no embedder")
-        text = f"{X.claim_text('subject', 'predicate', 'object')} AS text"
-        return cut_lineage(self.embed(claims.selectExpr("claim_id AS id", "seq", "fingerprint", text)).select("id", "seq", "fingerprint", "embedding"))
+        rows = cut_lineage(claims.selectExpr("claim_id AS id", "seq", "fingerprint", f"{X.claim_text('subject', 'predicate', 'object')} AS text").selectExpr(
+            "*", f"{self.answers.key('embed', 'text')} AS cache_key"
+        ))
+        hits, misses = self.answers.find("embed", rows)
+        once = run_sql("SELECT cache_key, r.* FROM (SELECT cache_key, min_by(struct(id, seq, fingerprint, text), id) AS r FROM @m GROUP BY cache_key)", m=misses)
+        new = cut_lineage(self.embed(once.drop("cache_key")).select("id", "embedding").join(once.select("id", "cache_key"), "id").select("cache_key", "embedding"))
+        self.answers.keep(tx, "embed", new.selectExpr("cache_key", "to_json(embedding) AS value"))
+        columns = ["id", "seq", "fingerprint", "embedding"]
+        told = hits.selectExpr("id", "seq", "fingerprint", "from_json(value, 'array<double>') AS embedding")
+        asked = misses.join(new.selectExpr("cache_key", "cast(embedding AS ARRAY<DOUBLE>) AS embedding"), "cache_key", "left")
+        return cut_lineage(told.select(columns).unionByName(asked.select(columns)))
 
     def _keep_vectors(self, tx: Transaction, rows: DataFrame) -> None:
         """Vectors by merge key, in the buckets of the claims they belong to."""
@@ -374,7 +403,7 @@ class Brain:
     # --- caches and vectors ---
 
     def cache_stats(self) -> dict[str, int]:
-        return {name: self._table(name, "x int").count() for name in ("documents", "extractions")}
+        return {name: self._table(name, "x int").count() for name in ("documents", "extractions")} | self.answers.counts()
 
     def _embedded(self) -> DataFrame:
         """Merge keys of the stored vectors that can be compared."""
@@ -386,11 +415,12 @@ class Brain:
 
     def embed_claims(self) -> int:
         """Embed and store the vectors of claims that have none; the number of vectors that came. Stored claims are not merged with each other by it."""
+        self.answers.check("embed")
         missing = cut_lineage(self.unembedded().drop("fingerprint").withColumnRenamed(ledger_store.KEY, "fingerprint"))
         if missing.isEmpty():
             return 0
-        rows = cut_lineage(self._vectors_of(missing).where("size(embedding) > 0").selectExpr(f"fingerprint AS {ledger_store.KEY}", "embedding"))
         with self.store.transaction() as tx:
+            rows = cut_lineage(self._vectors_of(missing, tx).where("size(embedding) > 0").selectExpr(f"fingerprint AS {ledger_store.KEY}", "embedding"))
             self._keep_vectors(tx, rows)
         return rows.count()
 
@@ -408,4 +438,4 @@ class Brain:
     def clear_cache(self) -> int:
         n = self._table("extractions", "chunk_hash string, part int, response string").count()
         self.store.write("extractions", self.spark.createDataFrame([], "chunk_hash string, part int, response string"))
-        return n
+        return n + self.answers.invalidate()

@@ -116,14 +116,17 @@ def _parsing(parsers: dict[str, list[Parser]], attempt: int):
     return run
 
 
-def parse(artifacts: DataFrame, parsers: dict[str, list[Parser]] | None = None) -> DataFrame:
+def parse(artifacts: DataFrame, parsers: dict[str, list[Parser]] | None = None, known_parses: DataFrame | None = None) -> DataFrame:
     """Markdown of each artifact: plain text as it is, HTML turned into Markdown, and what the ``parsers`` of a suffix make of its bytes.
 
     Adds (markdown, backend, source_format, word_count, tables_detected). The first parser of a type gets all its files, the next one only those without a parse or with
     one of a quality below ``GOOD_PARSE``; the better parse is kept, for files of text their plain reading too. Files that are no text and
-    have no parse are left out.
+    have no parse are left out. ``known_parses`` (artifact_id, backend, markdown) are taken as they are, without a call.
     """
     parsers = parsers or {}
+    whole = artifacts
+    if known_parses is not None:
+        artifacts = artifacts.join(known_parses.select("artifact_id"), "artifact_id", "left_anti")
     html = "suffix IN ('.html', '.htm')"
     plain = run_sql(
         f"""
@@ -148,12 +151,14 @@ def parse(artifacts: DataFrame, parsers: dict[str, list[Parser]] | None = None)
         asked = artifacts.where(f"suffix IN {known}").select("artifact_id")
         tried = made.unionByName(plain.join(asked, "artifact_id", "left_semi")).withColumn("tables", F.expr(X.table_markers("markdown")))
         best = parse_best(tried, "artifact_id").select("artifact_id", "backend", "markdown").unionByName(plain.join(asked, "artifact_id", "left_anti").select("artifact_id", "backend", "markdown"))
+    if known_parses is not None:
+        best = best.unionByName(known_parses.select("artifact_id", "backend", "markdown"))
     return run_sql(
         f"""
         SELECT a.*, b.markdown, b.backend, {X.word_count('b.markdown')} AS word_count, {X.table_markers('b.markdown')} AS tables_detected, substring(suffix, 2) AS source_format
         FROM @a a JOIN @b b ON a.artifact_id = b.artifact_id
         """,
-        a=artifacts.drop("content"), b=best,
+        a=whole.drop("content"), b=best,
     )
 
 
