@@ -12,6 +12,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from attesta import schema as S
 from attesta.functions import score as SC
@@ -28,6 +29,7 @@ CLAIM_FIELDS = [
 OWN_FIELDS = ["own_sup", "own_ref", "own_auth", "own_sources", "own_first_sup", "own_first_ref"]
 EVIDENCE_FIELDS = ["supports", "source_authority", "source_artifact", "author", "source_span", "recorded_at"]
 INACTIVE = "('superseded', 'rejected')"
+KEY_BUCKETS = 65_536  # hashes of merge keys that are counted to find large keys
 
 @dataclass(frozen=True)
 class Promotion:
@@ -41,20 +43,18 @@ class Promotion:
         return math.floor(math.log(min(self.score, 1.0)) / math.log(0.7)) + 1 if self.score > 0 else 0
 
 
-def arrivals(claims: DataFrame, merge_key: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
-    """Split arriving claims (short nested evidence) into claim rows with own counts and evidence rows."""
+def _own_counts() -> str:
     own = SC.evidence_counts("evidence")
     firsts = "filter(evidence, (e, i) -> array_position(transform(evidence, x -> x.artifact_id), e.artifact_id) = i + 1)"
-    rows = run_sql(
-        f"""
-        SELECT {merge_key} AS merge_key, {', '.join(CLAIM_FIELDS)}, {own['n_supporting']} AS own_sup, {own['n_refuting']} AS own_ref,
+    return f"""{own['n_supporting']} AS own_sup, {own['n_refuting']} AS own_ref,
           {own['max_authority']} AS own_auth, {own['n_sources']} AS own_sources,
           cast(size(filter({firsts}, e -> e.supports)) AS BIGINT) AS own_first_sup,
-          cast(size(filter({firsts}, e -> NOT e.supports)) AS BIGINT) AS own_first_ref
-        FROM @claims
-        """,
-        claims=claims,
-    )
+          cast(size(filter({firsts}, e -> NOT e.supports)) AS BIGINT) AS own_first_ref"""
+
+
+def arrivals(claims: DataFrame, merge_key: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
+    """Split arriving claims (short nested evidence) into claim rows with own counts and evidence rows."""
+    rows = run_sql(f"SELECT {merge_key} AS merge_key, {', '.join(CLAIM_FIELDS)}, {_own_counts()} FROM @claims", claims=claims)
     evidence = run_sql(
         f"""
         SELECT merge_key, seq, claim_id, pos, e.artifact_id, {', '.join('e.' + f for f in EVIDENCE_FIELDS)}
@@ -73,6 +73,13 @@ def as_base(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFram
     )
 
 
+def _steps(rule: Promotion) -> str:
+    return (
+        f"old_status IN ('candidate', 'unverified') AND n_sources >= {rule.sources} AS corroborated, "
+        f"coalesce(max_authority >= {rule.authority}D, false) OR truth_score >= {rule.score}D AS lifted"
+    )
+
+
 def merge(rows: DataFrame, evidence: DataFrame, as_of: str, rule: Promotion = Promotion()) -> tuple[DataFrame, DataFrame]:
     """Fold claims with one ``merge_key`` into the earliest, as if added one by one in ``seq`` order.
 
@@ -113,9 +120,7 @@ def merge(rows: DataFrame, evidence: DataFrame, as_of: str, rule: Promotion = Pr
             greatest(r.own_auth, first_auth) AS max_authority
           FROM grouped g LEFT JOIN totals t ON g.merge_key = t.merge_key),
         scored AS (SELECT *, {SC.LEDGER_SCORE} AS truth_score FROM joined)
-        SELECT *, old_status IN ('candidate', 'unverified') AND n_sources >= {rule.sources} AS corroborated,
-          coalesce(max_authority >= {rule.authority}D, false) OR truth_score >= {rule.score}D AS lifted
-        FROM scored
+        SELECT *, {_steps(rule)} FROM scored
         """,
         rows=rows, first=first,
     ))
@@ -128,14 +133,19 @@ def merge(rows: DataFrame, evidence: DataFrame, as_of: str, rule: Promotion = Pr
         judged = run_sql(
             "SELECT m.*, p.passed FROM @merged m LEFT JOIN @passed p ON m.merge_key = p.merge_key", merged=merged, passed=passed
         )
+    return _settled(judged.withColumn("newest_last", judged["newest_seq"] == judged["last_seq"]), as_of, rule), first.withColumnRenamed("seq0", "seq")
+
+
+def _settled(judged: DataFrame, as_of: str, rule: Promotion) -> DataFrame:
+    """Claim rows from groups whose counts, score and steps on the ladder are known."""
     names = [c for c in CLAIM_FIELDS if c not in ("status", "last_confirmed_at")]
-    claims = run_sql(
+    return run_sql(
         f"""
         SELECT merge_key, {', '.join(names)}, n_claims, n_supporting, n_refuting, n_sources, max_authority, truth_score,
           CASE WHEN corroborated THEN 'corroborated'
                WHEN old_status = 'candidate' AND (lifted OR coalesce(passed, false)) THEN 'unverified' ELSE old_status END AS status,
           -- the step to corroborated stamps the time too; a merge stamps the newcomer's time, else now
-          CASE WHEN corroborated AND (n_claims = 1 OR (newest_seq = last_seq AND n_sources - newest_sup < {rule.sources})) THEN {ts(as_of)}
+          CASE WHEN corroborated AND (n_claims = 1 OR (newest_last AND n_sources - newest_sup < {rule.sources})) THEN {ts(as_of)}
                WHEN n_claims > 1 THEN coalesce(last_time, {ts(as_of)}) ELSE root_time END AS last_confirmed_at,
           n_supporting AS own_sup, n_refuting AS own_ref, max_authority AS own_auth, n_sources AS own_sources,
           first_sup AS own_first_sup, first_ref AS own_first_ref
@@ -143,7 +153,6 @@ def merge(rows: DataFrame, evidence: DataFrame, as_of: str, rule: Promotion = Pr
         """,
         judged=judged,
     )
-    return claims, first.withColumnRenamed("seq0", "seq")
 
 
 def passed_earlier(open_groups: DataFrame, rows: DataFrame, first: DataFrame, rule: Promotion) -> DataFrame:
@@ -195,16 +204,91 @@ def passed_earlier(open_groups: DataFrame, rows: DataFrame, first: DataFrame, ru
     )
 
 
+def large_keys(claims: DataFrame) -> DataFrame | None:
+    """The merge keys (merge_key) with more than ``skew.ROWS_PER_TASK`` pieces of evidence; None if there is none.
+
+    Counted by ``KEY_BUCKETS`` hashes first, which moves next to nothing; only keys in heavy buckets are counted one by one.
+    """
+    bucket = f"pmod(xxhash64(merge_key), {KEY_BUCKETS})"
+    sized = claims.selectExpr("merge_key", f"{bucket} AS bucket", "greatest(coalesce(size(evidence), 0), 1) AS n")
+    heavy = cut_lineage(run_sql(f"SELECT bucket FROM @s GROUP BY bucket HAVING sum(n) > {skew.ROWS_PER_TASK}", s=sized))
+    if heavy.isEmpty():
+        return None
+    keys = cut_lineage(run_sql(
+        f"SELECT merge_key FROM @s s LEFT SEMI JOIN @h h ON s.bucket = h.bucket GROUP BY merge_key HAVING sum(n) > {skew.ROWS_PER_TASK}", s=sized, h=heavy
+    ))
+    return None if keys.isEmpty() else keys
+
+
+def merge_small(claims: DataFrame, as_of: str, rule: Promotion) -> tuple[DataFrame, DataFrame]:
+    """``merge`` of arriving claims whose keys have few pieces of evidence each: one shuffle by key, then windows in place.
+
+    Every column runs along with its row, so a reader that takes few columns shuffles only those.
+    """
+    own = _own_counts()
+    pieces = run_sql(
+        f"""
+        SELECT merge_key, {', '.join(CLAIM_FIELDS + OWN_FIELDS)}, pos, e.artifact_id, {', '.join('e.' + f for f in EVIDENCE_FIELDS)} FROM (
+          SELECT merge_key, {', '.join(CLAIM_FIELDS)}, {own}, posexplode_outer(evidence) AS (pos, e) FROM @claims)
+        """,
+        claims=claims,
+    ).repartition("merge_key")
+    marked = run_sql(
+        "SELECT *, pos IS NOT NULL AND row_number() OVER (PARTITION BY merge_key, pos IS NULL, artifact_id ORDER BY seq, pos) = 1 AS is_new FROM @p", p=pieces
+    )
+    score = SC.truth_score_from_counts("conf", "greatest(root_auth, auth)", "root_authority", "root_recency", "(root_sup + sup)", "(root_ref + ref)", "root_conflicts")
+    kept_fields = ", ".join(c for c in CLAIM_FIELDS if c not in ("confidence", "status", "last_confirmed_at"))
+    judged = run_sql(
+        f"""
+        WITH placed AS (
+          SELECT *, is_new AND supports AS new_sup, is_new AND NOT supports AS new_ref, rank() OVER w AS place, row_number() OVER w AS no,
+            max(seq) OVER (PARTITION BY merge_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_seq
+          FROM @m WINDOW w AS (PARTITION BY merge_key ORDER BY seq)),
+        running AS (
+          SELECT *, count_if(coalesce(pos, 0) = 0) OVER whole AS n_claims, max(confidence) OVER whole AS max_conf, last(last_confirmed_at) OVER whole AS last_time,
+            count_if(new_sup) OVER whole AS first_sup, count_if(new_ref) OVER whole AS first_ref, max(if(new_sup, source_authority, null)) OVER whole AS first_auth,
+            count_if(new_sup AND seq = last_seq) OVER whole AS newest_sup, max(is_new AND seq = last_seq) OVER whole AS newest_last,
+            -- what is known after each claim: rows of one seq are peers
+            max(confidence) OVER so_far AS conf, count_if(new_sup AND place > 1) OVER so_far AS sup, count_if(new_ref AND place > 1) OVER so_far AS ref,
+            max(if(new_sup AND place > 1, source_authority, null)) OVER so_far AS auth, first(own_sup) OVER so_far AS root_sup, first(own_ref) OVER so_far AS root_ref,
+            first(own_auth) OVER so_far AS root_auth, first(authority) OVER so_far AS root_authority, first(recency) OVER so_far AS root_recency, first(n_conflicts) OVER so_far AS root_conflicts
+          FROM placed WINDOW whole AS (PARTITION BY merge_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+            so_far AS (PARTITION BY merge_key ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        roots AS (
+          SELECT * FROM (
+            SELECT *, max({score} >= {rule.score}D) OVER (PARTITION BY merge_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS reached
+            FROM running) WHERE no = 1),
+        joined AS (
+          SELECT merge_key, {kept_fields}, max_conf AS confidence, status AS old_status, last_confirmed_at AS root_time, n_claims, last_time, newest_last, newest_sup,
+            first_sup, first_ref, own_sup + first_sup - own_first_sup AS n_supporting, own_ref + first_ref - own_first_ref AS n_refuting,
+            own_sources + first_sup - own_first_sup AS n_sources, greatest(own_auth, first_auth) AS max_authority, reached AND n_claims > 1 AS passed
+          FROM roots),
+        scored AS (SELECT *, {SC.LEDGER_SCORE} AS truth_score FROM joined)
+        SELECT *, {_steps(rule)} FROM scored
+        """,
+        m=marked,
+    )
+    evidence = run_sql(f"SELECT merge_key, artifact_id, claim_id, pos, {', '.join(EVIDENCE_FIELDS)}, seq FROM @m WHERE is_new", m=marked)
+    return _settled(judged, as_of, rule), evidence
+
+
 def add_claims(
     incoming: DataFrame, as_of: str, base: tuple[DataFrame, DataFrame] | None = None,
     rule: Promotion = Promotion(), merge_key: str = "fingerprint",
 ) -> tuple[DataFrame, DataFrame]:
     """Add arriving claims to a ledger (or to an empty one)."""
-    rows, evidence = arrivals(incoming, merge_key)
     if base is not None:
+        rows, evidence = arrivals(incoming, merge_key)
         old_rows, old_evidence = as_base(*base)
-        rows, evidence = old_rows.unionByName(rows), old_evidence.unionByName(evidence)
-    return merge(rows, evidence, as_of, rule)
+        return merge(old_rows.unionByName(rows), old_evidence.unionByName(evidence), as_of, rule)
+    keyed = incoming.selectExpr(f"{merge_key} AS merge_key", *CLAIM_FIELDS, "evidence")
+    large = large_keys(keyed)
+    if large is None:
+        return merge_small(keyed, as_of, rule)
+    same = F.col("k.merge_key").eqNullSafe(F.col("l.merge_key"))
+    small, big = (keyed.alias("k").join(large.alias("l"), same, how) for how in ("left_anti", "left_semi"))
+    parts = merge_small(small, as_of, rule), merge(*arrivals(big, "merge_key"), as_of, rule)
+    return parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1])
 
 
 def rescored(df: DataFrame) -> DataFrame:
@@ -296,7 +380,7 @@ def with_conflict_counts(claims: DataFrame, links: DataFrame) -> DataFrame:
 def retract(claims: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evidence of the given artifacts (artifact_id) stops supporting; the evidence rows get ``retracted``.
 
-    Returns (claims, evidence). The number of retracted evidence rows is what a caller reports.
+    Returns (claims, evidence). The number of retracted evidence rows is what a caller reports; claims have theirs as ``n_retracted``.
     """
     flipped = run_sql(
         """
@@ -314,7 +398,7 @@ def retract(claims: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> tup
         counted AS (
           SELECT c.* EXCEPT ({', '.join(changed)}), n_supporting - coalesce(lost, 0L) AS n_supporting,
             n_refuting + coalesce(lost, 0L) AS n_refuting, n_sources - coalesce(lost, 0L) AS n_sources,
-            if(lost IS NULL, max_authority, auth) AS max_authority
+            if(lost IS NULL, max_authority, auth) AS max_authority, coalesce(lost, 0L) AS n_retracted
           FROM @claims c LEFT JOIN fresh f ON c.merge_key = f.merge_key)
         SELECT *, n_supporting AS own_sup, n_refuting AS own_ref, max_authority AS own_auth, n_sources AS own_sources FROM counted
         """,
