@@ -22,7 +22,8 @@ from attesta import schema as S
 from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
 
-BLOCK = 4096       # vectors per side of one matrix product
+BLOCK = 8192       # vectors per side of a cell of pairs
+SIMS = 1 << 21     # numbers of a matrix product that are in memory at once
 PER_PIVOT = 512    # vectors of the set for each pivot
 MOST_PIVOTS = 1024  # read to the driver, and so are the sizes of their cells
 MATCH = "id string, best_sim double, best_seq long, best_id string, open_before boolean"
@@ -54,6 +55,14 @@ def _pivots(existing: DataFrame, n: int) -> np.ndarray | None:
     return m[order]
 
 
+def _slices(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Rows in parts whose products with ``width`` vectors fit: memory does not grow with the number of pivots."""
+    step = max(1, SIMS // width)
+    for pdf in batches:
+        for at in range(0, len(pdf), step):
+            yield pdf.iloc[at : at + step]
+
+
 def _chord(dots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * dots, 0))
 
@@ -61,10 +70,9 @@ def _chord(dots: np.ndarray) -> np.ndarray:
 def _homes(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Rows with their ``cell`` and the distance ``away`` from its pivot."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                dots = _matrix(pdf["embedding"]) @ pivots.T
-                yield pdf.assign(cell=dots.argmax(axis=1), away=_chord(dots.max(axis=1)))
+        for pdf in _slices(batches, len(pivots)):
+            dots = _matrix(pdf["embedding"]) @ pivots.T
+            yield pdf.assign(cell=dots.argmax(axis=1), away=_chord(dots.max(axis=1)))
 
     return df.mapInPandas(place, df.schema.simpleString()[len("struct<"):-1] + ",cell:int,away:double")
 
@@ -95,9 +103,7 @@ def _looks(df: DataFrame, pivots: np.ndarray, sizes: list[tuple[int, int, float,
     slack = reach + 1e-6
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
+        for pdf in _slices(batches, len(pivots)):
             dots = _matrix(pdf["embedding"]) @ pivots.T
             own, to = dots.argmax(axis=1), dots[:, cells]
             beyond = (dots.max(axis=1)[:, None] - to) / gap[own]
@@ -147,22 +153,27 @@ def _matches_of_length(new: DataFrame, existing: DataFrame, dim: int, n: int, th
         if not len(a) or not len(b):
             return pd.DataFrame({name: pd.Series([], dtype=object) for name in ("id", "best_sim", "best_seq", "best_id", "open_before")})
         b = b.sort_values("seq")
-        sims = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
-        lead = b["is_leader"].to_numpy()
-        ok = (sims >= theta) & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
-        if earlier_only:
-            ok &= b["seq"].to_numpy()[None, :] < a["seq"].to_numpy()[:, None]
-        waiting = (ok & ~lead[None, :]).any(axis=1)
-        hit = ok.any(axis=1)
-        scores = np.where(ok & lead[None, :], sims, -2.0)[hit]
-        best = scores.argmax(axis=1)
-        top = scores[np.arange(len(best)), best]
-        led = top > -2.0
-        return pd.DataFrame({
-            "id": a["id"].to_numpy()[hit], "best_sim": pd.Series(top, dtype=object).where(led, None),
-            "best_seq": pd.Series(b["seq"].to_numpy()[best], dtype=object).where(led, None),
-            "best_id": pd.Series(b["id"].to_numpy()[best], dtype=object).where(led, None), "open_before": waiting[hit],
-        })
+        right, lead = _matrix(b["embedding"]).T, b["is_leader"].to_numpy()
+        # numbers in place of ids: a comparison of texts for each pair costs more than its product
+        codes = pd.factorize(pd.concat([a["id"], b["id"]], ignore_index=True))[0]
+        a, others, found = a.assign(code=codes[: len(a)]), codes[len(a):], []
+        for part in _slices(iter([a]), len(b)):
+            sims = _matrix(part["embedding"]) @ right
+            ok = (sims >= theta) & (part["code"].to_numpy()[:, None] != others[None, :])
+            if earlier_only:
+                ok &= b["seq"].to_numpy()[None, :] < part["seq"].to_numpy()[:, None]
+            waiting = (ok & ~lead[None, :]).any(axis=1)
+            hit = ok.any(axis=1)
+            scores = np.where(ok & lead[None, :], sims, -2.0)[hit]
+            best = scores.argmax(axis=1)
+            top = scores[np.arange(len(best)), best]
+            led = top > -2.0
+            found.append(pd.DataFrame({
+                "id": part["id"].to_numpy()[hit], "best_sim": pd.Series(top, dtype=object).where(led, None),
+                "best_seq": pd.Series(b["seq"].to_numpy()[best], dtype=object).where(led, None),
+                "best_id": pd.Series(b["id"].to_numpy()[best], dtype=object).where(led, None), "open_before": waiting[hit],
+            }))
+        return pd.concat(found, ignore_index=True)
 
     keys = ["bin", "xb"]
     local = xs.groupBy(*keys).cogroup(ys.groupBy(*keys)).applyInPandas(compare, MATCH)
@@ -187,8 +198,8 @@ def leaders(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD, stored: Data
 
     ``stored`` are leaders that are there already, with smaller numbers; they are part of the result.
 
-    A claim with no earlier undecided neighbour is decided at once: a leader when no earlier leader is near, else not.
-    Rounds repeat that on the shrinking rest; for arrivals in no special order a few rounds do. Copies (same text and
+    The first ``2 * BLOCK`` claims are decided, those that come after meet the leaders found, and what is left goes on in the same way with four times as
+    many. So most claims are compared with leaders only, and the pairs follow the number of claims times that of leaders. Copies (same text and
     vector) are one candidate, the first of them.
     """
     reps = run_sql(
@@ -198,9 +209,36 @@ def leaders(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD, stored: Data
         """,
         c=claims,
     )
-    open_set = cut_lineage(reps)
     decided = None if stored is None else stored.select("id", "seq", "fingerprint", "embedding")
-    while not open_set.isEmpty():
+    rest = cut_lineage(reps if decided is None else _unled(reps, decided, theta))
+    size = 2 * BLOCK
+    while n := rest.count():
+        cut = rest.selectExpr(f"approx_percentile(seq, {size / n}D)").first()[0] if n > size else None
+        found = _decide(rest if cut is None else rest.where(f"coalesce(seq <= {cut}, true)"), theta)
+        decided = found if decided is None else decided.unionByName(found)
+        if cut is None:
+            break
+        rest, size = cut_lineage(_unled(rest.where(f"seq > {cut}"), found, theta)), 4 * size
+    return reps.limit(0) if decided is None else decided
+
+
+def _unled(claims: DataFrame, lead: DataFrame, theta: float) -> DataFrame:
+    """Claims that are neither equal nor similar to any of ``lead``, which all come before them."""
+    other = claims.join(lead.select("fingerprint").distinct(), "fingerprint", "left_anti").select("id", "seq", "fingerprint", "embedding")
+    return other.join(matches(other, lead.withColumn("is_leader", F.lit(True)), theta).select("id"), "id", "left_anti")
+
+
+def _decide(claims: DataFrame, theta: float) -> DataFrame:
+    """The leaders among claims that no earlier leader is near.
+
+    A claim with no earlier undecided neighbour is decided at once: a leader when no earlier leader is near, else not.
+    Rounds repeat that on the shrinking rest, until at most ``2 * BLOCK`` are left: one task takes these in order.
+    """
+    open_set, decided = claims, None
+    while n := open_set.count():
+        if n <= 2 * BLOCK:
+            last = cut_lineage(_in_order(open_set if decided is None else _unled(open_set, decided, theta), theta))
+            return last if decided is None else decided.unionByName(last)
         alive = open_set.withColumn("is_leader", F.lit(False))
         if decided is not None:
             alive = alive.unionByName(decided.withColumn("is_leader", F.lit(True)))
@@ -218,7 +256,29 @@ def leaders(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD, stored: Data
         chosen = step.where("state = 'leader'").drop("state")
         decided = chosen if decided is None else decided.unionByName(chosen)
         open_set = step.where("state = 'open'").drop("state")
-    return reps.limit(0) if decided is None else decided
+    return decided
+
+
+def _in_order(claims: DataFrame, theta: float) -> DataFrame:
+    """The leaders among a bounded number of claims, taken one by one."""
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        leading, texts, keep = {}, set(), []
+        for text, vector in zip(pdf["fingerprint"], pdf["embedding"], strict=True):
+            v = np.array([] if vector is None else vector, dtype=np.float64)
+            rows, k = leading.get(len(v), (None, 0))
+            v = v / np.linalg.norm(v) if v.any() else None
+            near = v is not None and k > 0 and bool((rows[:k] @ v >= theta).any())
+            keep.append(not near and (text is None or text not in texts))
+            if keep[-1]:
+                texts.add(text)
+                if v is not None:
+                    rows = np.empty((len(pdf), len(v))) if rows is None else rows
+                    rows[k] = v
+                    leading[len(v)] = rows, k + 1
+        return pdf[keep]
+
+    return claims.groupBy(F.pmod(F.xxhash64("id"), F.lit(1))).applyInPandas(lead, claims.schema)
 
 
 def cluster(claims: DataFrame, theta: float = S.SEMANTIC_THRESHOLD, stored: DataFrame | None = None) -> DataFrame:

@@ -336,7 +336,7 @@ VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddi
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "embeddings").selectExpr(
-        "cast(vec_id AS STRING) AS id", "vec_id AS seq", "cast(embedding AS ARRAY<DOUBLE>) AS embedding",
+        "cast(vec_id AS STRING) AS id", "vec_id AS seq", "embedding",
         "concat('label-', label, '-', vec_id % 170) AS fingerprint", "vec_id", "label",
     )
 
