@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from attesta.functions import render as R
@@ -86,16 +90,60 @@ def claims_block(ranked: DataFrame, max_claims: int = 50) -> DataFrame:
     )
 
 
-#: Lengths of the pieces under which names are filed: the longest one that a name has.
+#: Lengths in bytes of the pieces under which names are filed: the longest one that a name has.
 PIECES = (1, 2, 4, 8, 16)
-
-
-def _pieces(chars: str, ks: str) -> str:
-    """The distinct 64-bit hashes of the pieces of the lengths ``ks`` (an array) of an array of characters."""
-    return (
-        f"aggregate({ks}, cast(array() AS ARRAY<BIGINT>), (all, k) -> if(size({chars}) < k, all, array_union(all, "
-        f"transform(sequence(1, size({chars}) - k + 1), i -> xxhash64(k, array_join(slice({chars}, i, k), ''))))))"
-    )
+STEP = 1 << 20  # bytes of text that are looked at together
+#: Least and most words of 64 bits in the table that tells which pieces no name has; 64 bits for each piece in between.
+WORDS = (1 << 12, 1 << 22)
+
+
+def _hashes(texts: list[bytes], lengths: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length: hashes of all pieces of that length, and the numbers of the texts they stand in."""
+    sizes = np.array([len(t) for t in texts])
+    row = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(row))  # bytes up to the end of the text
+    h = (np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for p in PIECES:
+        if p > 1:  # two pieces of half the length
+            half = p // 2
+            h = h[:-half] * np.uint64(0xC2B2AE3D27D4EB4F) + h[half:]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x165667B19E3779F9)
+            h ^= h >> np.uint64(29)
+        if p in lengths:
+            whole = left[: len(h)] >= p
+            yield p, row[: len(h)][whole], h[whole].view(np.int64)
+        if p >= max(lengths) or len(h) <= p:
+            return
+
+
+def _segments(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts in groups of about ``STEP`` bytes, with their numbers; a longer text comes in parts that overlap by less than the longest piece."""
+    rows, parts, size = [], [], 0
+    for k, text in enumerate(texts):
+        for start in range(0, len(text), STEP):
+            part = text[start : start + STEP + PIECES[-1] - 1]
+            rows.append(k)
+            parts.append(part)
+            size += len(part)
+            if size >= STEP:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if parts:
+        yield rows, parts
+
+
+def _pieces_of_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, low in bytes) -> (name, k, m, piece): the m distinct pieces of each name, of the longest length k that it has."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for k, longer in zip(PIECES, [*PIECES[1:], None], strict=True):
+            at = [i for i, t in enumerate(texts) if len(t) >= k and (longer is None or len(t) < longer)]
+            for rows, parts in _segments([texts[i] for i in at]):
+                for _, row, h in _hashes(parts, {k}):
+                    of = np.array(at)[np.array(rows)[row]]
+                    found = np.unique(np.stack([of, h]), axis=1)
+                    m = np.bincount(found[0], minlength=len(texts))[found[0]]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[0])), pa.array(np.full(len(m), k)), pa.array(m), pa.array(found[1])], ["name", "k", "m", "piece"])
 
 
 def mentions(claims: DataFrame) -> DataFrame:
@@ -104,42 +152,49 @@ def mentions(claims: DataFrame) -> DataFrame:
     Substring search by an inverted index: the pieces of all distinct objects that some name has as well are counted, and each name is filed under
     the rarest of its own, so names behind one common beginning meet only objects that hold what tells them apart. A name one of whose pieces
     stands in no object is in none of them. Candidates are compared whole. Empty subjects are in nothing; claims without an object mention nobody.
+
+    Every object has a piece for each of its bytes and lengths, nearly all in no name: a table of bits, one place for each hash, tells tasks so before anything is shuffled. A
+    place that two hashes share lets a piece through that meets no name later.
     """
-    names = cut_lineage(run_sql(
-        f"""
-        SELECT name, low, {_pieces('chars', 'array(k)')} AS pieces FROM (
-          SELECT subject AS name, lower(subject) AS low, split(lower(subject), '') AS chars, array_max(filter(array({', '.join(map(str, PIECES))}), k -> k <= length(lower(subject)))) AS k
-          FROM @c WHERE subject <> '' GROUP BY subject)
-        """,
-        c=claims,
-    ))
-    # at most five lengths; objects shorter than a length have no piece of it
-    lengths = run_sql("SELECT array_sort(collect_set(array_max(filter(array(1, 2, 4, 8, 16), k -> k <= length(low))))) AS ks FROM @n", n=names)
-    held = cut_lineage(run_sql(
-        f"""
-        SELECT o.obj_id, o.piece FROM (
-          SELECT obj_id, explode({_pieces('chars', 'ks')}) AS piece FROM (
-            SELECT xxhash64(obj) AS obj_id, split(obj, '') AS chars FROM (SELECT DISTINCT lower(object) AS obj FROM @c WHERE object <> '')), @l) o
-        LEFT SEMI JOIN (SELECT DISTINCT explode(pieces) AS piece FROM @n) n ON o.piece = n.piece
-        """,
-        c=claims, n=names, l=lengths,
+    spark = claims.sparkSession
+    names = cut_lineage(run_sql("SELECT subject AS name, cast(lower(subject) AS BINARY) AS low FROM @c WHERE subject <> '' GROUP BY subject", c=claims).mapInArrow(
+        _pieces_of_names, "name string, k long, m long, piece long"
     ))
+    known = run_sql("SELECT count(*) AS n, collect_set(k) AS lengths FROM @n", n=names).first()
+    n_words, lengths = min(max(1 << known.n.bit_length(), WORDS[0]), WORDS[1]), set(known.lengths) or {1}
+    # at most ``WORDS[1]`` rows, whatever the number of names
+    words = run_sql(f"SELECT shiftright(piece, 6) & {n_words - 1}L AS word, bit_or(shiftleft(1L, cast(piece & 63 AS INT))) AS bits FROM @n GROUP BY 1", n=names).toArrow()
+    table = np.zeros(n_words, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def known_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for rows, parts in _segments(batch.column(1).to_pylist()):
+                for _, row, h in _hashes(parts, lengths):
+                    may = (bits[(h >> 6) & (len(bits) - 1)] >> (h & 63)) & 1 == 1
+                    found = np.unique(np.stack([np.array(rows)[row[may]], h[may]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1])], ["obj_id", "piece"])
+
+    objects = run_sql("SELECT xxhash64(obj) AS obj_id, cast(obj AS BINARY) AS obj FROM (SELECT DISTINCT lower(object) AS obj FROM @c WHERE object <> '')", c=claims)
+    held = cut_lineage(objects.mapInArrow(known_pieces, "obj_id long, piece long"))
     filed = cut_lineage(run_sql(
         """
         WITH often AS (SELECT piece, count(*) AS n FROM @h GROUP BY piece)
-        SELECT name, first(low) AS low, min(struct(o.n, p.piece)).piece AS piece FROM (SELECT name, low, size(pieces) AS m, explode(pieces) AS piece FROM @n) p JOIN often o ON o.piece = p.piece
-        GROUP BY name HAVING count(*) = max(m)
+        SELECT name, min(struct(o.n, p.piece)).piece AS piece FROM @n p JOIN often o ON o.piece = p.piece GROUP BY name HAVING count(*) = max(m)
         """,
         h=held, n=names,
     ))
+    # a pair is kept once, whichever of the two mentions the other
     return run_sql(
         """
-        WITH candidates AS (SELECT h.obj_id, f.name, f.low FROM @h h JOIN @f f ON h.piece = f.piece),
-        hits AS (SELECT obj, name FROM candidates c JOIN (SELECT DISTINCT lower(object) AS obj FROM @c) o ON c.obj_id = xxhash64(o.obj) WHERE contains(obj, low)),
+        WITH candidates AS (SELECT h.obj_id, f.name FROM @h h JOIN @f f ON h.piece = f.piece),
         pairs AS (
-          SELECT DISTINCT c.subject, h.name FROM (SELECT DISTINCT subject, lower(object) AS obj FROM @c) c JOIN hits h ON c.obj = h.obj
-          WHERE c.subject <> h.name)
-        SELECT DISTINCT r.* FROM (SELECT explode(array(named_struct('entity', subject, 'related', name), named_struct('entity', name, 'related', subject))) AS r FROM pairs)
+          SELECT DISTINCT least(c.subject, n.name) AS a, greatest(c.subject, n.name) AS b FROM candidates n JOIN (SELECT DISTINCT subject, lower(object) AS obj FROM @c WHERE object <> '') c ON n.obj_id = xxhash64(c.obj)
+          WHERE c.subject <> n.name AND contains(c.obj, lower(n.name)))
+        SELECT r.* FROM (SELECT explode(array(named_struct('entity', a, 'related', b), named_struct('entity', b, 'related', a))) AS r FROM pairs)
         """,
         c=claims, h=held, f=filed,
     )

@@ -40,3 +40,28 @@ def test_names_behind_one_beginning(spark):
     assert got == {p for s, o in rows for p in ((s, o[4:-9]), (o[4:-9], s))}
     assert took < 30, took
     print("seconds", took)
+
+
+def test_pieces_that_no_name_has_are_dropped_before_any_shuffle(spark, monkeypatch):
+    written = []
+    cut = search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df: (written.append((df, cut(df))), written[-1][1])[1])
+    rng = random.Random(5)
+    rows = [(f"name {k:04d}", "".join(rng.choices("bcdfghjklmpqrstvwxz", k=400)) + f" name {(k + 1) % 200:04d}") for k in range(200)]
+    assert {tuple(r) for r in search.mentions(table(spark, rows)).collect()} == plain(rows)
+    plan, held = next((df._jdf.queryExecution().optimizedPlan().toString(), out) for df, out in written if df.columns == ["obj_id", "piece"])
+    assert "Join" not in plan  # else all pieces meet the names' in a shuffle
+    assert held.count() < 5 * len(rows)
+
+
+def test_long_texts_and_characters_of_many_bytes(spark, monkeypatch):
+    rows = [("Öäé漢字", "x" * search.STEP + "öÄÉ漢字"), ("b", "öäé漢"), ("😀", "a😀b"), ("字", None)]
+    assert {tuple(r) for r in search.mentions(table(spark, rows)).collect()} == plain(rows)
+    monkeypatch.setattr(search, "STEP", 20)
+    texts = [bytes(random.Random(k).choices(b"abc", k=n)) for k, n in enumerate((0, 1, 19, 20, 21, 36, 90))]
+    for p in search.PIECES:
+        got = set()
+        for rows, parts in search._segments(texts):
+            assert max(map(len, parts)) < 20 + 16
+            got |= {(rows[r], h) for _, row, hashes in search._hashes(parts, {p}) for r, h in zip(row.tolist(), hashes.tolist(), strict=True)}
+        assert len(got) == len({(k, t[i : i + p]) for k, t in enumerate(texts) for i in range(len(t) - p + 1)})
