@@ -18,6 +18,10 @@ from attesta.plans.sqlrun import run_sql
 PART_LINES = 5000
 
 
+def active_claims(claims: DataFrame) -> DataFrame:
+    return claims.where("status NOT IN ('superseded', 'rejected')")
+
+
 def page_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Active claims with their first source: name and span of the earliest evidence."""
     return run_sql(
@@ -25,9 +29,9 @@ def page_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         WITH first_source AS (
           SELECT merge_key, min_by(struct({R.source_key('source_artifact', 'artifact_id')} AS source, source_span AS span), struct(seq, pos)) AS f
           FROM @e GROUP BY merge_key)
-        SELECT c.*, f.source, f.span FROM @c c LEFT JOIN first_source s ON c.merge_key = s.merge_key WHERE status NOT IN ('superseded', 'rejected')
+        SELECT c.*, f.source, f.span FROM @c c LEFT JOIN first_source s ON c.merge_key = s.merge_key
         """,
-        c=claims, e=evidence,
+        c=active_claims(claims), e=evidence,
     )
 
 

@@ -72,7 +72,9 @@ def _with_topics(spark: SparkSession, sf_dir: str, pc: DataFrame) -> DataFrame:
 WITH {LEDGER1}
 SELECT {TOPIC_OF_SEGMENT} AS topic, count(*) AS claim_count, count(DISTINCT subject) AS n_entities, min(subject) AS first_entity FROM ledger1 GROUP BY 1""")
 def topic_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.topic_summary(_with_topics(spark, sf_dir, _page_claims(spark, sf_dir)[0]))
+    """Claims are read once here, so they are not written; their sources play no part."""
+    claims, _ = ledger.add_claims(stamped_c1(spark, sf_dir), V.AS_OF)
+    return pages.topic_summary(_with_topics(spark, sf_dir, pages.active_claims(claims)))
 
 
 @query("index_summary", f"""

@@ -67,3 +67,10 @@ def test_a_new_layout_renders_everything(spark, tmp_path, monkeypatch):
     plain = pages.entity_lines
     monkeypatch.setattr(pages, "entity_lines", lambda pc, *a, **k: seen.append(pc.count()) or plain(pc, *a, **k))
     assert set(b.project(str(tmp_path / "pages"), NOW)) == {"unchanged"} and seen == [1]
+
+
+def test_topic_counts_shuffle_only_what_they_count(spark):
+    from attesta.queries import load
+
+    plan = load()[0]["topic_page_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1  # claims; no evidence, no file of claims between
