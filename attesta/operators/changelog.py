@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +79,8 @@ def intervals(events: DataFrame) -> DataFrame:
 
     Each tree of triggers is walked once around: an event is entered, what it set off is walked in the order of ids, it is left. That walk is a list with two elements an event;
     pointer doubling gives every element its distance from the end of the list and the balance of entered and left events up to there, which is the depth. No path is built: a
-    chain of n events is 2 n narrow rows in log2(2 n) rounds. Numbers count up to -1, where the root is left.
+    chain of n events is 2 n narrow rows in log2(2 n) rounds. Events set off others soon after, so elements are sorted by id first and walks shortened within
+    each batch of neighbours; rounds are for what leads out of a batch and move only that and the elements it leads to. Numbers count up to -1, where the root is left.
 
     The first of several triggers of one id counts; rows without an id have no interval. A trigger that is not in the log is a root without a row. A cycle is opened above its smallest id.
     """
@@ -103,10 +107,33 @@ def intervals(events: DataFrame) -> DataFrame:
     )
 
 
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements of walks, led on to the last element of their walk in the same batch; those that go round in the batch stay as they are."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        ids = pc.unique(t["event_id"])
+        code = pc.index_in(t["event_id"], ids).to_numpy() * 2 + t["up"].to_numpy()
+        to = pc.fill_null(pc.index_in(t["next_id"], ids, skip_nulls=True), -1).to_numpy()
+        place = np.full(2 * len(ids), -1)
+        place[code] = np.arange(len(code))
+        nxt = np.where(to < 0, -1, place[np.maximum(to, 0) * 2 + pc.fill_null(t["next_up"], False).to_numpy()])
+        end = np.where(nxt < 0, np.arange(len(nxt)), nxt)
+        rank, balance = t["rank"].to_numpy(), t["balance"].to_numpy()
+        steps, gained = np.where(nxt < 0, 0, rank), np.where(nxt < 0, 0, balance)
+        for _ in range(len(end).bit_length()):
+            steps, gained, end = steps + steps[end], gained + gained[end], end[end]
+        led = (nxt >= 0) & (nxt[end] < 0)
+        at = pa.array(np.where(led, end, np.arange(len(end))))
+        columns = {c: t[c].take(at) for c in ("next_id", "next_up", "root_id")}
+        columns["rank"] = pa.chunked_array([np.where(led, steps + rank[end], rank)])
+        columns["balance"] = pa.chunked_array([np.where(led, gained + balance[end], balance)])
+        yield from pa.table([columns.get(c, t[c]) for c in t.column_names], names=t.column_names).combine_chunks().to_batches()
+
+
 def _ranked(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """The elements of the walks that end, with rank, balance and root, and those of walks without an end."""
     kids = cut_lineage(ordered_index(nodes.where("above IS NOT NULL").select("event_id", "above"), ["above"], [F.col("event_id")]))
-    table = cut_lineage(run_sql(
+    elements = run_sql(
         f"""
         SELECT n.event_id, false AS up, coalesce(k.event_id, n.event_id) AS next_id, k.event_id IS NULL AS next_up, 1L AS rank, 1L AS balance, cast(null AS {kind}) AS root_id
         FROM @n n LEFT JOIN @k k ON k.above = n.event_id AND k.ord = 1
@@ -115,8 +142,12 @@ def _ranked(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
         FROM @n n LEFT JOIN @k k ON n.event_id = k.event_id LEFT JOIN @k s ON s.above = k.above AND s.ord = k.ord + 1
         """,
         n=nodes, k=kids,
-    ))
+    )
+    table = cut_lineage(elements.repartitionByRange("event_id").sortWithinPartitions("event_id").mapInArrow(_shortened, elements.schema))
     finished, running = table.where("next_id IS NULL"), table.where("next_id IS NOT NULL")
+    # what finished elements others lead to; those nobody leads to are done
+    met = cut_lineage(run_sql("SELECT f.* FROM @f f LEFT SEMI JOIN @r r ON f.event_id = r.next_id AND f.up = r.next_up", f=finished, r=running))
+    table = met.unionByName(running)
     for _ in range((2 * nodes.count()).bit_length() + 1):
         if running.isEmpty():
             break
@@ -127,8 +158,9 @@ def _ranked(nodes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
             """,
             r=running, t=table,
         ))
-        finished, running = finished.unionByName(joined.where("next_id IS NULL")), joined.where("next_id IS NOT NULL")
-        table = finished.unionByName(running)
+        done, running = joined.where("next_id IS NULL"), joined.where("next_id IS NOT NULL")
+        finished, met = finished.unionByName(done), met.unionByName(done)
+        table = met.unionByName(running)
     return finished, running
 
 

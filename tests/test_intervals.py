@@ -52,3 +52,25 @@ def test_cycles_are_opened_above_their_smallest_id(spark):
     got = {r.event_id: (r.root_id, r.depth) for r in changelog.intervals(events).collect()}
     # 2 set off 4, 4 set off 3, 3 set off 2 and 9
     assert got == {2: (2, 0), 4: (2, 1), 3: (2, 2), 9: (2, 3), 1: (2, 4), 7: (7, 0), 5: (5, 0), 6: (5, 1)}
+
+
+def test_rounds_move_only_what_leads_out_of_a_batch(spark, monkeypatch):
+    written = []
+    cut = changelog.cut_lineage
+    monkeypatch.setattr(changelog, "cut_lineage", lambda df: (written.append(cut(df)), written[-1])[1])
+    n = 30_000
+    events = spark.range(n).selectExpr("id AS event_id", "if(id % 50 = 0, null, id - 1 - id % 50 div 2) AS triggered_by")
+    want = walk([tuple(r) for r in events.collect()])
+    got = {r.event_id: r for r in changelog.intervals(events).collect()}
+    assert {i: (r.root_id, r.depth, (r.leave - r.enter) // 2) for i, r in got.items()} == {i: (root, depth, len(below)) for i, (root, depth, below) in want.items()}
+    moved = [df.count() for df in written if "next_id" in df.columns]
+    assert moved[0] == 2 * n and sum(moved[1:]) < n / 10, moved
+
+
+def test_ids_of_text_in_any_order(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(i) if i and rng.random() < 0.95 else None) for i in range(400)]
+    rng.shuffle(rows)
+    name = {i: f"{(i * 7919) % 997:03d}-é" for i, _ in rows} | {None: None}
+    got = {r.event_id: (r.root_id, r.depth, (r.leave - r.enter) // 2) for r in changelog.intervals(spark.createDataFrame([(name[i], name[t]) for i, t in rows], "event_id string, triggered_by string")).collect()}
+    assert got == {name[i]: (name[root], depth, len(below)) for i, (root, depth, below) in walk(rows).items()}
