@@ -160,9 +160,15 @@ def chunks(md: str, max_chars: int = 6000) -> str:
 
 
 def stable_hash(content: str) -> str:
-    """Hash of a page without its ``last_updated:`` and ``last_projected:`` lines."""
-    lines = f"split(regexp_replace({content}, r'(\\r\\n|\\n|\\r)$', ''), r'\\r\\n|\\n|\\r')"
-    return f"sha2(array_join(filter({lines}, x -> NOT {ws_trim('x')} RLIKE '^last_(updated|projected):'), '\\n'), 256)"
+    """Hash of a page without its ``last_updated:`` and ``last_projected:`` lines, whatever its line ends.
+
+    One pattern passes over the text as a whole; the others only where a line end asks for them.
+    """
+    within_line = WHITE_SPACE.replace(r"\n", "").replace(r"\r", "")
+    trimmed = f"if(right({content}, 2) RLIKE r'[\\r\\n]', regexp_replace({content}, r'(\\r\\n|\\n|\\r)$', ''), {content})"
+    lines = f"if(contains(page, '\\r'), regexp_replace(page, r'\\r\\n?', '\\n'), page)"
+    kept = f"substr(regexp_replace(concat('\\n', {lines}), r'\\n[{within_line}]*last_(updated|projected):[^\\n]*', ''), 2)"
+    return f"sha2({let('page', trimmed, kept)}, 256)"
 
 
 def html_to_markdown(html: str) -> str:

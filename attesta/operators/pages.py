@@ -14,6 +14,7 @@ from attesta.functions import render as R
 from attesta.functions import text as X
 from attesta.plans.ordered import ordered_index
 from attesta.plans.sqlrun import run_sql
+from attesta.session import cut_lineage
 
 PART_LINES = 5000
 
@@ -270,18 +271,26 @@ def union_lines(parts: list[DataFrame]) -> DataFrame:
 def to_parts(lines: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
     """Page parts (path, part, content, content_hash): at most ``part_lines`` lines each.
 
-    ``content_hash`` leaves out the time stamps, so an unchanged page keeps its hash.
+    ``content_hash`` leaves out the time stamps, so an unchanged page keeps its hash. Lines are written once. A page that
+    fits one part is put together by one shuffle; only the lines of longer pages are sorted and numbered across tasks.
     """
-    order = [F.asc(c) for c in ("section", "k1", "k2", "k3")]
-    numbered = ordered_index(lines.selectExpr("path", "section", "k1", "k2", "k3", "line"), ["path"], order, "no")
-    return run_sql(
-        f"""
-        SELECT path, part, content, {X.stable_hash('content')} AS content_hash FROM (
-          SELECT path, cast((no - 1) div {part_lines} AS INT) AS part, array_join(transform(array_sort(collect_list(struct(no, line))), x -> x.line), '\\n') AS content
-          FROM @n GROUP BY path, (no - 1) div {part_lines})
-        """,
-        n=numbered,
+    order = ["section", "k1", "k2", "k3"]
+    lines = cut_lineage(lines.select("path", *order, "line"))
+    long = cut_lineage(lines.groupBy("path").count().where(F.col("count") > part_lines).select("path"))
+    parts = run_sql(
+        f"SELECT path, 0 AS part, transform(sort_array(collect_list(struct({', '.join(order)}, line))), x -> x.line) AS lines FROM @l GROUP BY path",
+        l=lines.join(long, "path", "left_anti").repartition("path"),
     )
+    if not long.isEmpty():
+        numbered = ordered_index(lines.join(long, "path", "left_semi"), ["path"], [F.asc(c) for c in order], "no")
+        parts = parts.unionByName(run_sql(
+            f"""
+            SELECT path, cast((no - 1) div {part_lines} AS INT) AS part, transform(sort_array(collect_list(struct(no, line))), x -> x.line) AS lines
+            FROM @n GROUP BY path, (no - 1) div {part_lines}
+            """,
+            n=numbered,
+        ))
+    return parts.selectExpr("path", "part", "array_join(lines, '\\n') AS content").selectExpr("*", f"{X.stable_hash('content')} AS content_hash")
 
 
 def page_hashes(parts: DataFrame) -> DataFrame:
