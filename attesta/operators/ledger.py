@@ -27,6 +27,7 @@ CLAIM_FIELDS = [
     "group_id", "n_conflicts", "fingerprint", "superseded_by", "supersedes",
 ]
 OWN_FIELDS = ["own_sup", "own_ref", "own_auth", "own_sources", "own_first_sup", "own_first_ref"]
+PIECE_FIELDS = ["artifact_id", "source_artifact", "source_span"]
 EVIDENCE_FIELDS = ["supports", "source_authority", "source_artifact", "author", "source_span", "recorded_at"]
 INACTIVE = "('superseded', 'rejected')"
 KEY_BUCKETS = 65_536  # hashes of merge keys that are counted to find large keys
@@ -44,12 +45,19 @@ class Promotion:
 
 
 def _own_counts() -> str:
+    """Counts over a claim's evidence; most claims arrive with one piece, which is looked at without passes over arrays."""
     own = SC.evidence_counts("evidence")
     firsts = "filter(evidence, (e, i) -> array_position(transform(evidence, x -> x.artifact_id), e.artifact_id) = i + 1)"
-    return f"""{own['n_supporting']} AS own_sup, {own['n_refuting']} AS own_ref,
-          {own['max_authority']} AS own_auth, {own['n_sources']} AS own_sources,
-          cast(size(filter({firsts}, e -> e.supports)) AS BIGINT) AS own_first_sup,
-          cast(size(filter({firsts}, e -> NOT e.supports)) AS BIGINT) AS own_first_ref"""
+    named = "evidence[0].artifact_id IS NOT NULL"
+    counts = {
+        "own_sup": ("if(evidence[0].supports, 1L, 0L)", own["n_supporting"]),
+        "own_ref": ("if(NOT evidence[0].supports, 1L, 0L)", own["n_refuting"]),
+        "own_auth": ("if(evidence[0].supports, evidence[0].source_authority, null)", own["max_authority"]),
+        "own_sources": ("if(evidence[0].supports, 1L, 0L)", own["n_sources"]),
+        "own_first_sup": (f"if({named} AND evidence[0].supports, 1L, 0L)", f"cast(size(filter({firsts}, e -> e.supports)) AS BIGINT)"),
+        "own_first_ref": (f"if({named} AND NOT evidence[0].supports, 1L, 0L)", f"cast(size(filter({firsts}, e -> NOT e.supports)) AS BIGINT)"),
+    }
+    return ", ".join(f"if(size(evidence) = 1, {one}, {many}) AS {name}" for name, (one, many) in counts.items())
 
 
 def arrivals(claims: DataFrame, merge_key: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
@@ -136,7 +144,18 @@ def merge(rows: DataFrame, evidence: DataFrame, as_of: str, rule: Promotion = Pr
     return _settled(judged.withColumn("newest_last", judged["newest_seq"] == judged["last_seq"]), as_of, rule), first.withColumnRenamed("seq0", "seq")
 
 
-def _settled(judged: DataFrame, as_of: str, rule: Promotion) -> DataFrame:
+def with_first_piece(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims with ``first_piece``: artifact, source and span of their earliest evidence, null where there is none."""
+    return run_sql(
+        f"""
+        SELECT c.*, f.first_piece FROM @c c LEFT JOIN (
+          SELECT merge_key, min_by(struct({', '.join(PIECE_FIELDS)}), struct(seq, pos)) AS first_piece FROM @e GROUP BY merge_key) f ON c.merge_key = f.merge_key
+        """,
+        c=claims, e=evidence,
+    )
+
+
+def _settled(judged: DataFrame, as_of: str, rule: Promotion, *more: str) -> DataFrame:
     """Claim rows from groups whose counts, score and steps on the ladder are known."""
     names = [c for c in CLAIM_FIELDS if c not in ("status", "last_confirmed_at")]
     return run_sql(
@@ -148,7 +167,7 @@ def _settled(judged: DataFrame, as_of: str, rule: Promotion) -> DataFrame:
           CASE WHEN corroborated AND (n_claims = 1 OR (newest_last AND n_sources - newest_sup < {rule.sources})) THEN {ts(as_of)}
                WHEN n_claims > 1 THEN coalesce(last_time, {ts(as_of)}) ELSE root_time END AS last_confirmed_at,
           n_supporting AS own_sup, n_refuting AS own_ref, max_authority AS own_auth, n_sources AS own_sources,
-          first_sup AS own_first_sup, first_ref AS own_first_ref
+          {', '.join(['first_sup AS own_first_sup', 'first_ref AS own_first_ref', *more])}
         FROM @judged
         """,
         judged=judged,
@@ -220,10 +239,12 @@ def large_keys(claims: DataFrame) -> DataFrame | None:
     return None if keys.isEmpty() else keys
 
 
-def merge_small(claims: DataFrame, as_of: str, rule: Promotion) -> tuple[DataFrame, DataFrame]:
+def merge_small(claims: DataFrame, as_of: str, rule: Promotion, first_piece: bool = False) -> tuple[DataFrame, DataFrame]:
     """``merge`` of arriving claims whose keys have few pieces of evidence each: one shuffle by key, then windows in place.
 
-    Every column runs along with its row, so a reader that takes few columns shuffles only those.
+    Every column runs along with its row, so a reader that takes few columns shuffles only those. Counts over a group need no
+    order of arrival; after them only the rows go on that can still decide something: the first claim's, the last one's, and all
+    of a group with so few sources that what the score was in between matters. Rows are sorted by a hash of the key first.
     """
     own = _own_counts()
     pieces = run_sql(
@@ -232,36 +253,41 @@ def merge_small(claims: DataFrame, as_of: str, rule: Promotion) -> tuple[DataFra
           SELECT merge_key, {', '.join(CLAIM_FIELDS)}, {own}, posexplode_outer(evidence) AS (pos, e) FROM @claims)
         """,
         claims=claims,
-    ).repartition("merge_key")
+    ).repartition("merge_key").selectExpr("*", "xxhash64(merge_key) AS h")
     marked = run_sql(
-        "SELECT *, pos IS NOT NULL AND row_number() OVER (PARTITION BY merge_key, pos IS NULL, artifact_id ORDER BY seq, pos) = 1 AS is_new FROM @p", p=pieces
+        "SELECT *, pos IS NOT NULL AND row_number() OVER (PARTITION BY h, merge_key, pos IS NULL, artifact_id ORDER BY seq, pos) = 1 AS is_new FROM @p", p=pieces
     )
     score = SC.truth_score_from_counts("conf", "greatest(root_auth, auth)", "root_authority", "root_recency", "(root_sup + sup)", "(root_ref + ref)", "root_conflicts")
     kept_fields = ", ".join(c for c in CLAIM_FIELDS if c not in ("confidence", "status", "last_confirmed_at"))
     judged = run_sql(
         f"""
-        WITH placed AS (
-          SELECT *, is_new AND supports AS new_sup, is_new AND NOT supports AS new_ref, rank() OVER w AS place, row_number() OVER w AS no,
-            max(seq) OVER (PARTITION BY merge_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_seq
-          FROM @m WINDOW w AS (PARTITION BY merge_key ORDER BY seq)),
-        running AS (
-          SELECT *, count_if(coalesce(pos, 0) = 0) OVER whole AS n_claims, max(confidence) OVER whole AS max_conf, last(last_confirmed_at) OVER whole AS last_time,
+        WITH counted AS (
+          SELECT *, min(seq) OVER whole AS root_seq, max(seq) OVER whole AS last_seq, count_if(coalesce(pos, 0) = 0) OVER whole AS n_claims,
+            max(confidence) OVER whole AS max_conf, max_by(last_confirmed_at, seq) OVER whole AS last_time,
             count_if(new_sup) OVER whole AS first_sup, count_if(new_ref) OVER whole AS first_ref, max(if(new_sup, source_authority, null)) OVER whole AS first_auth,
-            count_if(new_sup AND seq = last_seq) OVER whole AS newest_sup, max(is_new AND seq = last_seq) OVER whole AS newest_last,
+            min_by(struct({', '.join(PIECE_FIELDS)}), if(pos IS NULL, null, struct(seq, pos))) OVER whole AS first_piece
+          FROM (SELECT *, is_new AND supports AS new_sup, is_new AND NOT supports AS new_ref FROM @m) WINDOW whole AS (PARTITION BY h, merge_key)),
+        -- a group has at least first_sup sources; with enough of them it is corroborated, whatever its score was on the way
+        deciding AS (
+          SELECT *, seq <=> root_seq AS is_root, seq <=> last_seq AS is_last FROM counted
+          WHERE seq <=> root_seq OR seq <=> last_seq OR first_sup < {rule.sources}),
+        running AS (
+          SELECT *, row_number() OVER w AS no, count_if(new_sup AND is_last) OVER whole AS newest_sup, max(is_new AND is_last) OVER whole AS newest_last,
             -- what is known after each claim: rows of one seq are peers
-            max(confidence) OVER so_far AS conf, count_if(new_sup AND place > 1) OVER so_far AS sup, count_if(new_ref AND place > 1) OVER so_far AS ref,
-            max(if(new_sup AND place > 1, source_authority, null)) OVER so_far AS auth, first(own_sup) OVER so_far AS root_sup, first(own_ref) OVER so_far AS root_ref,
+            max(confidence) OVER so_far AS conf, count_if(new_sup AND NOT is_root) OVER so_far AS sup, count_if(new_ref AND NOT is_root) OVER so_far AS ref,
+            max(if(new_sup AND NOT is_root, source_authority, null)) OVER so_far AS auth, first(own_sup) OVER so_far AS root_sup, first(own_ref) OVER so_far AS root_ref,
             first(own_auth) OVER so_far AS root_auth, first(authority) OVER so_far AS root_authority, first(recency) OVER so_far AS root_recency, first(n_conflicts) OVER so_far AS root_conflicts
-          FROM placed WINDOW whole AS (PARTITION BY merge_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
-            so_far AS (PARTITION BY merge_key ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+          FROM deciding WINDOW w AS (PARTITION BY h, merge_key ORDER BY seq),
+            whole AS (PARTITION BY h, merge_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+            so_far AS (PARTITION BY h, merge_key ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
         roots AS (
           SELECT * FROM (
-            SELECT *, max({score} >= {rule.score}D) OVER (PARTITION BY merge_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS reached
+            SELECT *, max({score} >= {rule.score}D) OVER (PARTITION BY h, merge_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS reached
             FROM running) WHERE no = 1),
         joined AS (
           SELECT merge_key, {kept_fields}, max_conf AS confidence, status AS old_status, last_confirmed_at AS root_time, n_claims, last_time, newest_last, newest_sup,
             first_sup, first_ref, own_sup + first_sup - own_first_sup AS n_supporting, own_ref + first_ref - own_first_ref AS n_refuting,
-            own_sources + first_sup - own_first_sup AS n_sources, greatest(own_auth, first_auth) AS max_authority, reached AND n_claims > 1 AS passed
+            own_sources + first_sup - own_first_sup AS n_sources, greatest(own_auth, first_auth) AS max_authority, reached AND n_claims > 1 AS passed, first_piece
           FROM roots),
         scored AS (SELECT *, {SC.LEDGER_SCORE} AS truth_score FROM joined)
         SELECT *, {_steps(rule)} FROM scored
@@ -269,26 +295,28 @@ def merge_small(claims: DataFrame, as_of: str, rule: Promotion) -> tuple[DataFra
         m=marked,
     )
     evidence = run_sql(f"SELECT merge_key, artifact_id, claim_id, pos, {', '.join(EVIDENCE_FIELDS)}, seq FROM @m WHERE is_new", m=marked)
-    return _settled(judged, as_of, rule), evidence
+    return _settled(judged, as_of, rule, *(["first_piece"] if first_piece else [])), evidence
 
 
 def add_claims(
     incoming: DataFrame, as_of: str, base: tuple[DataFrame, DataFrame] | None = None,
-    rule: Promotion = Promotion(), merge_key: str = "fingerprint",
+    rule: Promotion = Promotion(), merge_key: str = "fingerprint", first_piece: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Add arriving claims to a ledger (or to an empty one)."""
+    """Add arriving claims to a ledger (or to an empty one). With ``first_piece`` claims say what their earliest evidence is."""
     if base is not None:
         rows, evidence = arrivals(incoming, merge_key)
         old_rows, old_evidence = as_base(*base)
-        return merge(old_rows.unionByName(rows), old_evidence.unionByName(evidence), as_of, rule)
+        merged, kept = merge(old_rows.unionByName(rows), old_evidence.unionByName(evidence), as_of, rule)
+        return with_first_piece(merged, kept) if first_piece else merged, kept
     keyed = incoming.selectExpr(f"{merge_key} AS merge_key", *CLAIM_FIELDS, "evidence")
     large = large_keys(keyed)
     if large is None:
-        return merge_small(keyed, as_of, rule)
+        return merge_small(keyed, as_of, rule, first_piece)
     same = F.col("k.merge_key").eqNullSafe(F.col("l.merge_key"))
     small, big = (keyed.alias("k").join(large.alias("l"), same, how) for how in ("left_anti", "left_semi"))
-    parts = merge_small(small, as_of, rule), merge(*arrivals(big, "merge_key"), as_of, rule)
-    return parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1])
+    claims, evidence = merge_small(small, as_of, rule, first_piece)
+    merged, kept = merge(*arrivals(big, "merge_key"), as_of, rule)
+    return claims.unionByName(with_first_piece(merged, kept) if first_piece else merged), evidence.unionByName(kept)
 
 
 def rescored(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import render as R
 from attesta.functions import text as X
+from attesta.operators import ledger
 from attesta.plans.ordered import ordered_index
 from attesta.plans.sqlrun import run_sql
 from attesta.session import cut_lineage
@@ -24,16 +25,11 @@ def active_claims(claims: DataFrame) -> DataFrame:
 
 
 def page_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Active claims with their first source: name and span of the earliest evidence."""
-    return run_sql(
-        f"""
-        WITH first_source AS (
-          SELECT merge_key, min_by(struct({R.source_key('source_artifact', 'artifact_id')} AS source, source_span AS span), struct(seq, pos)) AS f
-          FROM @e GROUP BY merge_key)
-        SELECT c.*, f.source, f.span FROM @c c LEFT JOIN first_source s ON c.merge_key = s.merge_key
-        """,
-        c=active_claims(claims), e=evidence,
-    )
+    """Active claims with their first source: name and span of the earliest evidence, which claims with ``first_piece`` know themselves."""
+    known = active_claims(claims)
+    if "first_piece" not in claims.columns:
+        known = ledger.with_first_piece(known, evidence)
+    return known.selectExpr("* EXCEPT (first_piece)", f"{R.source_key('first_piece.source_artifact', 'first_piece.artifact_id')} AS source", "first_piece.source_span AS span")
 
 
 def entity_summary(pc: DataFrame, topics: DataFrame | None = None) -> DataFrame:
@@ -90,35 +86,38 @@ def entity_lines(
 ) -> DataFrame:
     """Lines of entity pages: header, facts by score (under their topics when given), related entities, sources.
 
-    Subjects that differ only in case or spaces have one path, hence one page, and its lines are those of all of them.
+    Subjects that differ only in case or spaces have one path, hence one page, and its lines are those of all of them. The
+    pairs of subject and source are found and written once; lines are put together after repeated rows are gone.
     """
-    src = run_sql(
+    path = f"concat('entities/', {X.slugify('subject')}, '.md')"
+    src = cut_lineage(run_sql(
         f"""
-        SELECT DISTINCT subject, source FROM (
-          SELECT c.subject, {R.source_key('e.source_artifact', 'e.artifact_id')} AS source FROM @p c JOIN @e e ON c.merge_key = e.merge_key)
+        SELECT DISTINCT path, subject, source FROM (SELECT merge_key, subject, {path} AS path FROM @p) c JOIN (
+          SELECT DISTINCT merge_key, {R.source_key('source_artifact', 'artifact_id')} AS source FROM @e) e ON c.merge_key = e.merge_key
         WHERE source <> ''
         """,
         p=pc, e=evidence,
-    )
+    ))
     head = R.frontmatter([
         ("entity", "subject"), ("claim_count", "claim_count"), ("avg_truth_score", "avg_truth_score"), ("", R.list_field("topics", "topics")),
         ("", R.list_field("sources", "coalesce(sources, array())")), ("last_updated", _stamp(as_of)),
     ])
-    path = f"concat('entities/', {X.slugify('subject')}, '.md')"
     facts = pc.selectExpr("*", "'' AS topic") if topic_claims is None else topic_claims
     summaries = entity_summary(pc, facts.selectExpr("subject", "coalesce(nullif(topic, ''), 'general') AS topic"))
     top_sources = run_sql(
         f"""
-        SELECT subject, array_sort(collect_list(source)) AS sources FROM (
-          SELECT *, row_number() OVER (PARTITION BY subject ORDER BY source) AS rn FROM @s) WHERE rn <= {title_sources} GROUP BY subject
+        SELECT path, subject, array_sort(collect_list(source)) AS sources FROM (
+          SELECT *, row_number() OVER (PARTITION BY path, subject ORDER BY source) AS rn FROM @s) WHERE rn <= {title_sources} GROUP BY path, subject
         """,
         s=src,
     )
     parts = [
+        # a subject with sources has the heading of section 4; with claims among the facts it has a header, too
         run_sql(
             f"""
-            SELECT {path} AS path, 1 AS section, subject AS k1, 0D AS k2, 0L AS k3, concat({head}, '\\n\\n# ', subject, '\\n\\n## Facts\\n') AS line
-            FROM @h h JOIN @t t USING (subject)
+            SELECT path, section, subject AS k1, if(section = 1, 0D, -1D) AS k2, 0L AS k3,
+              if(section = 1, concat({head}, '\\n\\n# ', subject, '\\n\\n## Facts\\n'), '\\n## Source Documents\\n') AS line
+            FROM (SELECT *, explode(if(claim_count IS NULL, array(4), array(1, 4))) AS section FROM @t t LEFT JOIN @h h USING (subject))
             """,
             h=summaries, t=top_sources,
         ),
@@ -126,19 +125,15 @@ def entity_lines(
             f"{path} AS path", "2 AS section", "topic AS k1", "-truth_score AS k2", "seq AS k3",
             f"{R.claim_bullet('status', 'natural_language', 'truth_score', 'source', 'span')} AS line",
         ),
-        run_sql(
-            f"SELECT DISTINCT {path} AS path, 4 AS section, subject AS k1, -1D AS k2, 0L AS k3, '\\n## Source Documents\\n' AS line FROM @s", s=src
+        src.select("path", "source").distinct().selectExpr(
+            "path", "5 AS section", "source AS k1", "0D AS k2", "0L AS k3", f"concat('- [', source, '](../sources/', {X.slugify('source')}, '.md)') AS line",
         ),
-        src.selectExpr(
-            f"{path} AS path", "5 AS section", "source AS k1", "0D AS k2", "0L AS k3",
-            f"concat('- [', source, '](../sources/', {X.slugify('source')}, '.md)') AS line",
-        ).distinct(),
     ]
     if topic_claims is not None:
-        parts.append(facts.selectExpr(
-            f"{path} AS path", "2 AS section", "topic AS k1", "double('-Infinity') AS k2", "0L AS k3",
+        parts.append(facts.selectExpr(f"{path} AS path", "topic").distinct().selectExpr(
+            "path", "2 AS section", "topic AS k1", "double('-Infinity') AS k2", "0L AS k3",
             f"concat('\\n### [', topic, '](../topics/', {X.slugify('topic')}, '.md)\\n') AS line",
-        ).distinct())
+        ))
     if relations is not None:
         parts.append(relations.selectExpr(
             f"concat('entities/', {X.slugify('entity')}, '.md') AS path", "3 AS section", "related AS k1", "0D AS k2", "0L AS k3",

@@ -17,7 +17,7 @@ from attesta.session import cut_lineage
 
 
 def _page_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    claims, evidence = ledger.add_claims(stamped_c1(spark, sf_dir), V.AS_OF)
+    claims, evidence = ledger.add_claims(stamped_c1(spark, sf_dir), V.AS_OF, first_piece=True)
     return cut_lineage(pages.page_claims(ledger.decay(claims, V.AS_OF), evidence)), evidence
 
 
@@ -61,11 +61,13 @@ TOPIC_OF_SEGMENT = "CASE WHEN segment IN ('BUILDING', 'FURNITURE') THEN 'premise
 
 
 def _with_topics(spark: SparkSession, sf_dir: str, pc: DataFrame) -> DataFrame:
-    """Page claims with the topic of their customer's market segment."""
+    """Page claims with the topic of their customer's market segment.
+
+    The name is a column before the join: a sort by an expression works it out again for each comparison.
+    """
     seg = V.table(spark, sf_dir, "customer").selectExpr("lower(c_name) AS name", "c_mktsegment AS segment")
-    return run_sql(
-        f"SELECT p.*, {TOPIC_OF_SEGMENT} AS topic FROM @p p JOIN @s s ON {X.norm('p.subject')} = s.name", p=pc, s=seg
-    )
+    named = pc.selectExpr("*", f"{X.norm('subject')} AS _name")
+    return run_sql(f"SELECT p.* EXCEPT (_name), {TOPIC_OF_SEGMENT} AS topic FROM @p p JOIN @s s ON p._name = s.name", p=named, s=seg)
 
 
 @query("topic_page_summary", f"""
