@@ -106,8 +106,9 @@ def entity_lines(
     summaries = entity_summary(pc, facts.selectExpr("subject", "coalesce(nullif(topic, ''), 'general') AS topic"))
     top_sources = run_sql(
         f"""
-        SELECT path, subject, array_sort(collect_list(source)) AS sources FROM (
-          SELECT *, row_number() OVER (PARTITION BY path, subject ORDER BY source) AS rn FROM @s) WHERE rn <= {title_sources} GROUP BY path, subject
+        SELECT subject, array_sort(collect_list(source)) AS sources FROM (
+          SELECT *, row_number() OVER (PARTITION BY h, subject ORDER BY source) AS rn FROM (SELECT xxhash64(subject) AS h, subject, source FROM @s))
+        WHERE rn <= {title_sources} GROUP BY h, subject
         """,
         s=src,
     )
@@ -115,7 +116,7 @@ def entity_lines(
         # a subject with sources has the heading of section 4; with claims among the facts it has a header, too
         run_sql(
             f"""
-            SELECT path, section, subject AS k1, if(section = 1, 0D, -1D) AS k2, 0L AS k3,
+            SELECT {path} AS path, section, subject AS k1, if(section = 1, 0D, -1D) AS k2, 0L AS k3,
               if(section = 1, concat({head}, '\\n\\n# ', subject, '\\n\\n## Facts\\n'), '\\n## Source Documents\\n') AS line
             FROM (SELECT *, explode(if(claim_count IS NULL, array(4), array(1, 4))) AS section FROM @t t LEFT JOIN @h h USING (subject))
             """,
